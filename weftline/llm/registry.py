@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup
+from . import bpe, decontaminate, exact_dedup, langid, line_dedup, quality, toxicity
 
 _QUERIES = {
+    "op1_language_id": (langid.query, langid.SQL),
+    "op2_line_dedup": (line_dedup.query, line_dedup.SQL),
+    "op3_quality_classifier": (quality.query, quality.SQL),
+    "op6_byte_bpe": (bpe.query, bpe.SQL),
     "op7_benchmark_decontamination": (decontaminate.query, decontaminate.SQL),
     "op9_exact_dedup": (exact_dedup.query, exact_dedup.SQL),
+    "op10_toxicity": (toxicity.query, toxicity.SQL),
 }
 
 
