@@ -193,7 +193,7 @@ def encode(docs: DataFrame, lines: bytes, pattern: str, id_col: str = "doc_id",
                 ids = c.encode(texts.slice(first, end - first).to_pylist())
                 yield pa.RecordBatch.from_arrays([who.slice(first, end - first), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
 
-    return docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return common.arrow_map(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), run, schema)
 
 
 def decode(encoded: DataFrame, lines: bytes, pattern: str, ids_col: str = "ids") -> DataFrame:
@@ -209,7 +209,7 @@ def decode(encoded: DataFrame, lines: bytes, pattern: str, ids_col: str = "ids")
                 out = [None if x is None else c.decode(x) for x in part.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return common.arrow_map(encoded, run, schema)
 
 
 def digests(docs: DataFrame, lines: bytes, pattern: str) -> DataFrame:

@@ -180,7 +180,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("held_out"), pa.array(lang, pa.string()), pa.array(score), pa.array(accepted)], [id_col, "held_out", "lang_pred", "score", "accepted"])
 
     rows = docs.select(F.col(id_col).alias("__id"), common.held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, schema)
+    return common.arrow_map(rows, run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -60,7 +60,7 @@ def line_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([batch.column("__id").take(pa.array(rows, pa.int32())), pa.array(keys, pa.binary())], ["doc_id", "key"])
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, schema)
+    return common.arrow_map(rows, run, schema)
 
 
 class Shard:
@@ -151,7 +151,7 @@ def _run_shards(counted: DataFrame, shards: int, doc_type) -> DataFrame:
             yield from out(now, s)
 
     dealt = counted.repartition(shards, "shard").sortWithinPartitions("shard").select("shard", "key", "refs", "first")
-    return dealt.mapInArrow(run, schema)
+    return common.arrow_map(dealt, run, schema)
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> Index:
@@ -276,7 +276,7 @@ def kept(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
                         left.append(text.decode())
                 yield pa.RecordBatch.from_arrays([part.column("__id"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(left, pa.string())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return common.arrow_map(rows, run, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

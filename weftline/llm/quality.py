@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__held"), pa.array(out), *[batch.column(c) for c in carry]], [id_col, "held_out", "score", *carry])
 
     rows = docs.select(F.col(id_col).alias("__id"), common.held_out(F.col(id_col)).alias("__held"), F.col(text_col).alias("__text"), *carry)
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return common.arrow_map(rows, run, schema).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:

@@ -80,7 +80,7 @@ def language(docs: DataFrame, text_col: str = "text") -> Language:
         for k in range(0, len(seen), 50000):
             yield pa.RecordBatch.from_arrays([pa.array(seen[k : k + 50000], pa.int32()), pa.array(total[seen[k : k + 50000]])], ["gram", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = common.arrow_map(docs.select(F.col(text_col).alias("text")), run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     got = rows.toArrow()
     counts = np.zeros(SYMBOLS**4, np.int64)
     counts[got.column("gram").to_numpy()] = got.column("n").to_numpy()
@@ -275,7 +275,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__held"), pa.array(out, pa.float64()), *([pa.array(read, pa.string())] if restored else [])], schema.names)
 
     rows = docs.select(F.col(id_col).alias("__id"), common.held_out(F.col(id_col)).alias("__held"), F.col(text_col).alias("__text"))
-    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return common.arrow_map(rows, run, schema).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
