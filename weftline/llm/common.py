@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -146,3 +147,34 @@ def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     if len(full):
         out[full] = np.add.reduceat(values, starts[full], dtype=np.float64)
     return out
+
+
+def whole_groups(batches, key: str) -> Iterator[tuple[object, pa.RecordBatch]]:
+    """Key and rows of each group of a sorted run of batches; a group that batches cut is put together again."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        ids = batch.column(key).to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero(ids[1:] != ids[:-1]) + 1
+        if rest and rest[0].column(key)[0].as_py() != ids[0]:
+            yield rest[0].column(key)[0].as_py(), pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+            rest = []
+        edges = [0, *cuts.tolist(), len(ids)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            part = batch.slice(a, b - a)
+            if b == len(ids):
+                rest.append(part)
+            elif rest:
+                yield ids[a], pa.Table.from_batches([*rest, part]).combine_chunks().to_batches()[0]
+                rest = []
+            else:
+                yield ids[a], part
+    if rest:
+        yield rest[0].column(key)[0].as_py(), pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, langid, line_dedup, quality, toxicity
+from . import bpe, decontaminate, exact_dedup, jaccard_join, langid, line_dedup, quality, toxicity
 
 _QUERIES = {
     "op1_language_id": (langid.query, langid.SQL),
@@ -10,6 +10,7 @@ _QUERIES = {
     "op3_quality_classifier": (quality.query, quality.SQL),
     "op6_byte_bpe": (bpe.query, bpe.SQL),
     "op7_benchmark_decontamination": (decontaminate.query, decontaminate.SQL),
+    "op8_jaccard_join": (jaccard_join.query, jaccard_join.SQL),
     "op9_exact_dedup": (exact_dedup.query, exact_dedup.SQL),
     "op10_toxicity": (toxicity.query, toxicity.SQL),
 }
