@@ -98,7 +98,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_sweep, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def unwrite(df: DataFrame) -> None:
+    """Deletes the table behind a written() frame that nothing will read again."""
+    drop_path(df.sparkSession, df.written_to)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -104,11 +104,13 @@ def shared(docs: DataFrame, text_col: str, hashes: Callable[[np.ndarray, np.ndar
 
 
 def of_values(df: DataFrame, column: str, bits: int) -> Screen:
-    """The screen of a column of 64-bit hashes (as longs); the driver gets at most the screen's words."""
+    """The screen of a column of 64-bit hashes (longs, or the first 8 bytes of binary digests); the driver gets at most the screen's words."""
 
     def run(batches):
         for batch in batches:
-            at = Screen(bits, np.zeros(1, np.uint8)).at(batch.column("h").to_numpy().view(np.uint64))
+            h = batch.column("h")
+            h = h.to_numpy().view(np.uint64) if pa.types.is_integer(h.type) else np.array([int.from_bytes(x[:8], "little") for x in h.to_pylist()], np.uint64)
+            at = Screen(bits, np.zeros(1, np.uint8)).at(h)
             word = np.unique(at >> 6)
             marks = np.zeros(len(word), np.uint64)
             np.bitwise_or.at(marks, np.searchsorted(word, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
