@@ -78,13 +78,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text an earlier id holds; all columns stay."""
-    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col), F.lit(True).alias("__copy"))
-    ids = gone.dropDuplicates([id_col])
-    nulls = docs.filter(F.col(id_col).isNull()).limit(1).count()
-    if nulls:
-        return docs.join(ids.drop("__copy"), docs[id_col].eqNullSafe(ids[id_col]), "left_anti")
-    return docs.join(ids.drop("__copy"), id_col, "left_anti")
+    """docs without the rows whose text an earlier id holds; all columns stay, and so do rows with a null id."""
+    gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept") & F.col("doc_id").isNotNull())
+    gone = gone.select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias("__digest")).distinct()
+    marked = docs.withColumn("__digest", F.sha2(normalised(F.col(text_col)), 256))
+    return marked.join(gone, [id_col, "__digest"], "left_anti").select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, exact_dedup, jaccard_join, langid, line_dedup, quality, suffix_dedup, toxicity
+from . import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, langid, line_dedup, quality, suffix_dedup, toxicity
 
 _QUERIES = {
     "op1_language_id": (langid.query, langid.SQL),
     "op2_line_dedup": (line_dedup.query, line_dedup.SQL),
     "op3_quality_classifier": (quality.query, quality.SQL),
+    "op4_chat_format": (chat_format.query, chat_format.SQL),
     "op5_suffix_dedup": (suffix_dedup.query, suffix_dedup.SQL),
     "op6_byte_bpe": (bpe.query, bpe.SQL),
     "op7_benchmark_decontamination": (decontaminate.query, decontaminate.SQL),
