@@ -1,11 +1,15 @@
-"""The registered queries and their SQL."""
+"""The registered queries of the core engine and their SQL."""
 
 from __future__ import annotations
 
+from . import classify_queries, entity_queries, panel_queries
+
+_ALL = entity_queries.QUERIES | classify_queries.QUERIES | panel_queries.QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for name, (q, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items() if sql}
