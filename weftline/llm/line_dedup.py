@@ -162,7 +162,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     part = pairs.select(shard_of(shards).alias("shard"), "key", "doc_id", F.spark_partition_id().alias("p"))
     counted = part.groupBy("shard", "key", F.pmod("p", F.lit(16)).alias("p")).agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("first"))
     state = common.written(_run_shards(counted, shards, pairs.schema["doc_id"].dataType), "refs")
-    return Index(pairs, state.filter("key is not null").drop("cells"), state.filter("key is null").select("shard", "cells"), shards)
+    return Index(pairs, state.filter("key is not null").drop("cells"), state.filter("key is null").select(F.col("shard").alias("shard"), F.col("cells").alias("cells")), shards)
 
 
 def insert(index: Index, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:

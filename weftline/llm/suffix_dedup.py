@@ -228,16 +228,15 @@ def query(spark, sf_dir: str) -> DataFrame:
 SQL = """
 WITH d AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
-), w AS (
-  SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 49)) AS i FROM d)
-), f AS (
-  SELECT s, min(doc_id) AS first FROM w GROUP BY s
-), g AS (
-  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM (SELECT w.doc_id, w.i FROM w JOIN f ON w.s = f.s WHERE f.first < w.doc_id)
 ), b AS (
-  SELECT doc_id, p, substr(x, 2 * p + 1, 2) AS c FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2)) AS p FROM d)
+  SELECT doc_id, p, substr(x, 2 * p + 1, 2) AS c, CASE WHEN p <= n - 50 THEN substr(x, 2 * p + 1, 100) END AS s
+  FROM (SELECT doc_id, x, len(x) // 2 AS n, unnest(range(0, len(x) // 2)) AS p FROM d)
+), f AS (
+  SELECT s, min(doc_id) AS first FROM b WHERE s IS NOT NULL GROUP BY s HAVING min(doc_id) < max(doc_id)
+), w AS (
+  SELECT b.doc_id, b.p, b.c, coalesce(f.first < b.doc_id, false) AS opens FROM b LEFT JOIN f ON f.s = b.s
 ), r AS (
-  SELECT b.doc_id, b.p, b.c, g.p IS NOT NULL AS gone FROM b LEFT JOIN g ON g.doc_id = b.doc_id AND g.p = b.p
+  SELECT doc_id, p, c, bool_or(opens) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM w
 ), t AS (
   SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS opens FROM r
 ), a AS (
