@@ -227,10 +227,10 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH d AS (
-  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+  SELECT doc_id, encode(coalesce(text, '')) AS x FROM documents
 ), b AS (
-  SELECT doc_id, p, substr(x, 2 * p + 1, 2) AS c, CASE WHEN p <= n - 50 THEN substr(x, 2 * p + 1, 100) END AS s
-  FROM (SELECT doc_id, x, len(x) // 2 AS n, unnest(range(0, len(x) // 2)) AS p FROM d)
+  SELECT doc_id, p, hex(x[p + 1:p + 1]) AS c, CASE WHEN p <= n - 50 THEN x[p + 1:p + 50] END AS s
+  FROM (SELECT doc_id, x, octet_length(x) AS n, unnest(range(0, octet_length(x))) AS p FROM d)
 ), f AS (
   SELECT s, min(doc_id) AS first FROM b WHERE s IS NOT NULL GROUP BY s HAVING min(doc_id) < max(doc_id)
 ), w AS (
