@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import evidence, matching, taxonomy
+from ..operators import cascade, evidence, matching, taxonomy
 from .tables import read
 
 RULES = [("round", ["ring", "gear"]), ("red things", ["red"]), ("plates", ["plate", "late"])]
@@ -142,7 +142,68 @@ def candidate_json(spark, sf):
     return matching.as_json(_native(spark, sf), "l_id", ["r_id"], 3)
 
 
+def _pick(values, k):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (k % len(values) + 1).cast("int"))
+
+
+_BROADS, _LEVELS = ["Home", "Travel", "Other / Unclassified"], ["low", "medium", "high"]
+
+
+def classification_status(spark, sf):
+    k = F.col("o_orderkey")
+    o = read(spark, sf, "orders").select("o_orderkey")
+    x = cascade.classification(
+        _pick(["", "internal", "", "nav", "", "", "", "", "", ""], k), F.when(k % 17 != 0, "n"), F.when(k % 13 != 0, "u").otherwise(" "), k % 11 != 0, k % 7 != 0,
+        (_pick(_BROADS, k), _pick(_LEVELS, F.floor(k / 3))), (_pick(_BROADS, F.floor(k / 9)), _pick(_LEVELS, F.floor(k / 27))))
+    return o.select("o_orderkey", x.alias("x")).select("o_orderkey", "x.*")
+
+
+def listing_cascade(spark, sf):
+    k = F.col("o_orderkey")
+    score = lambda salt, every: F.when((k + salt) % every != 0, ((k * 7 + salt * 13) % 101).cast("double"))
+    entity = cascade.entity_score(score(5, 3), F.lit("a.b"), F.when(k % 2 == 0, "a.b").otherwise(""))
+    x = cascade.listing_status(F.when(k % 19 != 0, "n"), F.when(k % 23 == 0, "private"), score(1, 4), k % 2 == 0, entity, score(9, 2))
+    return read(spark, sf, "orders").select("o_orderkey", x.alias("x")).select("o_orderkey", "x.*")
+
+
+def url_discovery(spark, sf):
+    k, u = F.col("page_id"), F.col("url")
+    own = F.when(k % 4 == 0, F.concat(F.lit("https://p.example.org/?u="), F.url_encode(u))).otherwise(u)
+    listed = cascade.known_urls(F.when(k % 3 == 0, F.concat_ws("|", F.lit("https://p.example.org/x"), F.lit(" "), u)), F.lit("mailto:x"))
+    x = cascade.discover(own, listed, F.when(k % 5 == 0, F.lit("https://page.example.net/")), F.when(k % 2 == 0, F.lit("https://found.example.net/")), ["p.example.org"])
+    return read(spark, sf, "pages").select("page_id", x.alias("x")).select("page_id", "x.*")
+
+
+def one_hop_owners(spark, sf):
+    """The first two nations' customers as owners of each supplier's nation: an edge list with more than enough owners."""
+    s, c = read(spark, sf, "supplier"), read(spark, sf, "customer").filter("c_acctbal > 5000")
+    edges = s.join(c, s["s_nationkey"] == c["c_nationkey"]).select(F.col("s_suppkey").alias("entity"), F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("parent"))
+    return cascade.parents(edges)
+
+
 QUERIES = {
+    "classification_status": (classification_status, """WITH o AS (
+  SELECT o_orderkey, o_orderkey AS k, (['', 'internal', '', 'nav', '', '', '', '', '', ''])[o_orderkey % 10 + 1] AS gate, (['Home', 'Travel', 'Other / Unclassified'])[o_orderkey % 3 + 1] AS pb, (o_orderkey // 3) % 3 + 1 AS pl,
+         (['Home', 'Travel', 'Other / Unclassified'])[(o_orderkey // 9) % 3 + 1] AS sb, (o_orderkey // 27) % 3 + 1 AS sl FROM orders
+), s AS (
+  SELECT *, CASE WHEN gate = 'internal' THEN 'a' WHEN gate = 'nav' THEN 'b' WHEN k % 17 = 0 THEN 'missing_name' WHEN k % 13 = 0 THEN 'no_url' WHEN k % 11 = 0 THEN 'fetch_failed' WHEN k % 7 = 0 THEN 'parse_failed'
+    WHEN (pl = 1 OR pb LIKE 'Other%') AND sb NOT LIKE 'Other%' AND (sl > pl OR pb LIKE 'Other%') THEN 'verified_search' ELSE 'verified' END AS st FROM o
+), t AS (
+  SELECT *, CASE WHEN st IN ('no_url', 'fetch_failed', 'parse_failed') AND sb NOT LIKE 'Other%' THEN 'search_only' WHEN st IN ('a', 'b') THEN 'excluded' ELSE st END AS status FROM s
+) SELECT o_orderkey, status, CASE WHEN st = 'a' THEN 'Exclude - provider internal' WHEN st = 'b' THEN 'Exclude - navigation' WHEN status IN ('search_only', 'verified_search') THEN sb WHEN status = 'verified' THEN pb ELSE 'Other / Unclassified' END AS broad,
+  CASE WHEN status = 'excluded' THEN 'high' WHEN status IN ('search_only', 'verified_search') THEN (['low', 'medium', 'high'])[sl] WHEN status = 'verified' THEN (['low', 'medium', 'high'])[pl] ELSE 'low' END AS confidence FROM t"""),
+    "listing_cascade": (listing_cascade, """WITH s AS (
+  SELECT o_orderkey, o_orderkey AS k, CASE WHEN (o_orderkey + 1) % 4 <> 0 THEN (o_orderkey * 7 + 13) % 101 END AS d, CASE WHEN (o_orderkey + 5) % 3 <> 0 THEN least(100, (o_orderkey * 7 + 65) % 101 + CASE WHEN o_orderkey % 2 = 0 THEN 10 ELSE 0 END) END AS e,
+         CASE WHEN (o_orderkey + 9) % 2 <> 0 THEN (o_orderkey * 7 + 117) % 101 END AS p FROM orders
+), t AS (
+  SELECT *, greatest(coalesce(d, 0), coalesce(e, 0), coalesce(p, 0)) AS b, CASE WHEN k % 19 = 0 THEN 'error' WHEN k % 23 = 0 THEN 'private' WHEN k % 2 = 0 AND d >= 94 THEN 'd' WHEN d >= 86 THEN 'needs_review' WHEN e >= 88 THEN 'e' WHEN p >= 82 THEN 'subsidiary'
+    WHEN greatest(coalesce(d, 0), coalesce(e, 0), coalesce(p, 0)) >= 75 THEN 'ambiguous' ELSE 'no_match' END AS st FROM s
+), u AS (SELECT *, CASE st WHEN 'd' THEN d WHEN 'needs_review' THEN d WHEN 'e' THEN e WHEN 'subsidiary' THEN p WHEN 'ambiguous' THEN b ELSE 0 END AS v FROM t)
+SELECT o_orderkey, CASE WHEN st IN ('d', 'e') THEN 'direct_public' ELSE st END AS status, CASE WHEN st = 'private' THEN 'manual' WHEN v >= 96 THEN 'high' WHEN v >= 88 THEN 'medium' ELSE 'low' END AS confidence,
+  CASE st WHEN 'error' THEN true WHEN 'd' THEN d < 96 WHEN 'needs_review' THEN true WHEN 'e' THEN e < 94 WHEN 'subsidiary' THEN p < 90 WHEN 'ambiguous' THEN true ELSE false END AS review FROM u"""),
+    "url_discovery": (url_discovery, """SELECT page_id, CASE WHEN page_id % 4 = 0 OR page_id % 3 = 0 THEN url WHEN page_id % 5 = 0 THEN 'https://page.example.net/' WHEN page_id % 2 = 0 THEN 'https://found.example.net/' ELSE '' END AS url,
+  CASE WHEN page_id % 4 = 0 THEN 'redirect' WHEN page_id % 3 = 0 THEN 'existing' WHEN page_id % 5 = 0 THEN 'provider_page' WHEN page_id % 2 = 0 THEN 'search' ELSE 'none' END AS method FROM pages"""),
+    "one_hop_owners": (one_hop_owners, "SELECT entity, parent FROM (SELECT s_suppkey AS entity, c_name AS parent, row_number() OVER (PARTITION BY s_suppkey ORDER BY c_custkey) AS rn FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_acctbal > 5000) WHERE rn <= 4"),
     "keyword_rules_first_match": (keyword_rules, "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') OR contains(p_name, 'gear') THEN 'round' WHEN contains(p_name, 'red') THEN 'red things' WHEN contains(p_name, 'late') THEN 'plates' ELSE 'Other' END AS rule FROM part"),
     "phrase_counts": (phrase_counts, """WITH d AS (SELECT doc_id, lower(text) AS t FROM documents)
 SELECT doc_id, len(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda w: w = 'lamp')) AS n0, (length(t) - length(replace(t, 'the ', ''))) // 4 AS n1, (length(t) - length(replace(t, ' of ', ''))) // 4 AS n2,
