@@ -202,7 +202,7 @@ def test_transform_against_sorting():
     for trial in range(30):
         cap = rng.choice([3, 50])
         strings = [bytes(rng.choice(b"ab" if trial % 2 else b"abcz\x00\xff") for _ in range(rng.randint(1, 25))) for _ in range(rng.randint(1, 20))]
-        _, owner, length, lcp = bwt.transform(strings, cap)
+        _, owner, length, lcp = bwt.of_bytes(strings, cap)
         got = [strings[o][len(strings[o]) - n :] for o, n in zip(owner, length, strict=True)]
         assert got == sorted((s[k:] for s in strings for k in range(len(s) + 1)))
         same = [0] + [min(cap, next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))) for a, b in zip(got, got[1:], strict=False)]

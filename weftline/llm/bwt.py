@@ -1,9 +1,9 @@
-"""The Burrows-Wheeler transform and common prefixes of a collection of byte strings, built column by column.
+"""The Burrows-Wheeler transform and common prefixes of a collection of strings, built column by column.
 
-Round j knows the transform of all suffixes of at most j bytes. It inserts one symbol of each string, the one before its
-suffix of j bytes, where that suffix stands; where the same symbol's suffixes stand next tells, by one stable sort of the
-transform, where the suffix that is a byte longer goes. The common prefix of a new suffix with its neighbours is one more than
-the least common prefix between their tails. Each round reads the columns once in order and writes them anew.
+Round j knows the transform of all suffixes of at most j symbols. It inserts one symbol of each string, the one before its
+suffix of j symbols, where that suffix stands; where the same symbol's suffixes stand next tells, by one stable sort of the
+transform, where the suffix that is a symbol longer goes. The common prefix of a new suffix with its neighbours is one more
+than the least common prefix between their tails. Each round reads the columns once in order and writes them anew.
 """
 
 from __future__ import annotations
@@ -11,63 +11,107 @@ from __future__ import annotations
 import numpy as np
 
 
-def _least(lcp: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """min(lcp[first..last]) of each range."""
-    order = np.argsort(first, kind="stable")
-    cuts = np.empty(2 * len(first), np.int64)
-    cuts[::2], cuts[1::2] = first[order], last[order] + 1
-    out = np.empty(len(first), lcp.dtype)
-    out[order] = np.minimum.reduceat(np.append(lcp, 0).astype(lcp.dtype), cuts)[::2]
-    return out
+class _Least:
+    """Minima of ranges of a column, from the minima of all runs of 1, 2, 4 ... entries."""
 
+    def __init__(self, column: np.ndarray, longest: int):
+        self.runs = [column]
+        while 2 << (len(self.runs) - 1) <= longest:
+            half, last = 1 << (len(self.runs) - 1), self.runs[-1]
+            self.runs.append(np.minimum(last[:-half], last[half:]))
 
-def transform(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all suffixes in order: the symbol before each (0 at a string's start, else a code of its byte), the string, the
-    suffix's length, and its common prefix with the one before, at most cap. Ends of strings count as different."""
-    m = len(strings)
-    size = np.array([len(x) for x in strings])
-    rounds = int(size.max(initial=0))
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    code = np.zeros(256, np.uint16)
-    used = np.unique(flat)
-    code[used] = np.arange(1, len(used) + 1)
-    kind = np.uint8 if len(used) < 255 else np.uint16  # both are sorted by radix
-    columns = np.zeros((rounds + 1, m), kind)  # row j: the symbol before each suffix of j bytes
-    ends = np.cumsum(size)
+    def of(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        out = np.empty(len(first), self.runs[0].dtype)
+        level = np.frexp((last - first + 1).astype(np.float64))[1] - 1
+        for k in range(len(self.runs)):
+            at = np.flatnonzero(level == k)
+            if len(at):
+                out[at] = np.minimum(self.runs[k][first[at]], self.runs[k][last[at] - (1 << k) + 1])
+        return out
+
+
+def transform(symbols: np.ndarray, starts: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all suffixes of some strings in order: the symbol before each (0 at a string's start), the string, the suffix's
+    length, and its common prefix with the one before, at most cap. Ends of strings count as different.
+
+    symbols holds the strings one after the other, each symbol over 0; starts where each starts, and the end.
+    """
+    size = np.diff(starts)
+    m, rounds, ends = len(size), int(size.max(initial=0)), starts[1:]
+    kind = np.uint8 if symbols.max(initial=0) < 256 else np.uint16 if symbols.max() < 65536 else np.uint32  # the first two are sorted by radix
+    columns = np.zeros((rounds + 1, m), kind)  # row j: the symbol before each suffix of j symbols
     for j in range(rounds):
         live = size > j
-        columns[j, live] = code[flat[ends[live] - 1 - j]]
-    symbols, owner, length = columns[0].copy(), np.arange(m, dtype=np.int32), np.zeros(m, np.int32)
-    lcp, at = np.zeros(m, np.uint8 if cap < 255 else np.int32), np.arange(m)
+        columns[j, live] = symbols[ends[live] - 1 - j]
+    before, lcp, at = columns[0].copy(), np.zeros(m, np.uint8 if cap < 255 else np.int32), np.arange(m)
     for j in range(rounds):
         active = np.flatnonzero(size > j)
-        order = np.argsort(symbols, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        done = len(symbols) - int(np.count_nonzero(symbols))
+        order = np.argsort(before, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        done = len(before) - int(np.count_nonzero(before))
         here = at[active]
-        r, own = rank[here], symbols[here]
-        before, after = order[r - 1], order[np.minimum(r + 1, len(order) - 1)]
-        has_before = (r > 0) & (symbols[before] == own)
-        has_after = (r + 1 < len(order)) & (symbols[after] == own)
+        r, own = place[here], before[here]
+        prior, after = order[r - 1], order[np.minimum(r + 1, len(order) - 1)]
+        has_prior = (r > 0) & (before[prior] == own)
+        has_after = (r + 1 < len(order)) & (before[after] == own)
+        a, b = here[has_prior], here[has_after]
+        prior, after = prior[has_prior], after[has_after]
+        least = _Least(lcp, max(int((a - prior).max(initial=1)), int((after - b).max(initial=1))))
         prefix = np.zeros(len(active), lcp.dtype)
-        if has_before.any():
-            prefix[has_before] = np.minimum(_least(lcp, before[has_before] + 1, here[has_before]), cap - 1) + 1
-        if has_after.any():
-            follow = np.minimum(_least(lcp, here[has_after] + 1, after[has_after]), cap - 1) + 1
+        prefix[has_prior] = np.minimum(least.of(prior + 1, a), cap - 1) + 1
+        follow = np.minimum(least.of(b + 1, after), cap - 1) + 1
         to = m + r - done
-        new = np.zeros(len(symbols) + len(active), bool)
-        new[to] = True
-
-        def put(old, values, new=new, to=to):
-            out = np.empty(len(new), old.dtype)
-            out[~new] = old
-            out[to] = values
-            return out
-
-        symbols = put(symbols, columns[j + 1, active])
-        owner, length, lcp = put(owner, active), put(length, j + 1), put(lcp, prefix)
-        if has_after.any():
-            lcp[to[has_after] + 1] = follow
+        old = np.ones(len(before) + len(active), bool)
+        old[to] = False
+        before, lcp = _put(before, old, to, columns[j + 1, active]), _put(lcp, old, to, prefix)
+        lcp[to[has_after] + 1] = follow
         at[active] = to
-    return symbols, owner, length, lcp
+    return before, *_owners(before, size, m), lcp
+
+
+def _put(column: np.ndarray, old: np.ndarray, to: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.empty(len(old), column.dtype)
+    out[old] = column
+    out[to] = values
+    return out
+
+
+def _owners(before: np.ndarray, size: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """String and length of every suffix: each string is walked from its end through the finished transform."""
+    order = np.argsort(before, kind="stable")
+    done = len(before) - int(np.count_nonzero(before))
+    after = np.empty(len(before), np.int64)
+    after[order] = np.arange(m - done, m - done + len(order))
+    owner, length = np.empty(len(before), np.int32), np.empty(len(before), np.int32)
+    who, at = np.arange(m), np.arange(m)
+    for j in range(int(size.max(initial=0)) + 1):
+        owner[at], length[at] = who, j
+        go = size[who] > j
+        who, at = who[go], after[at[go]]
+    return owner, length
+
+
+def of_bytes(strings: list[bytes], cap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """transform() with a symbol for each byte."""
+    return transform(np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1, np.concatenate([[0], np.cumsum([len(x) for x in strings])]).astype(np.int64), cap)
+
+
+def grams(strings: list[bytes], width: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The strings in symbols of width bytes: for each string and phase (offset under width) of `least` symbols and more, its symbols.
+
+    Symbols, starts, and the string and the phase of each. Equal runs of width * k bytes are equal runs of k symbols of one phase each.
+    """
+    flat = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint64)
+    size = np.array([len(x) for x in strings])
+    first = np.cumsum(size) - size
+    count = (size[:, None] - np.arange(width)) // width
+    who, phase = np.nonzero(count >= least)
+    n = count[who, phase]
+    starts = np.concatenate([[0], np.cumsum(n)]).astype(np.int64)
+    at = np.repeat(first[who] + phase - starts[:-1] * width, n) + np.arange(starts[-1]) * width
+    words = np.zeros(len(at), np.uint64)
+    for k in range(width):
+        words = words << np.uint64(8) | flat[at + k]
+    _, codes = np.unique(words, return_inverse=True)
+    return codes.astype(np.int64) + 1, starts, who, phase

@@ -115,7 +115,7 @@ def binary_texts(batch: pa.RecordBatch, column: str) -> pa.Array:
     return pc.fill_null(texts, "") if texts.null_count else texts
 
 
-def byte_blocks(texts: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def byte_blocks(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about limit bytes, a longer text alone: first row, end row, their bytes, and where each row starts in these (and the end)."""
     wide = pa.types.is_large_string(texts.type) or pa.types.is_large_binary(texts.type)
     _, offsets, data = texts.buffers()

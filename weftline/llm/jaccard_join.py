@@ -160,7 +160,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         got = [ordered(x, late.value) for x in shingle_sets(raw, starts)]
         return np.concatenate(got) if got else np.zeros(0, np.uint64)
 
-    once = screen.shared(docs, text_col, hashes, SCREEN_BITS)
+    once, _ = screen.shared(docs, text_col, hashes, SCREEN_BITS)
     twice = sc.broadcast(once)
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("window", T.ArrayType(T.LongType())), T.StructField("histogram", T.BinaryType())])
 

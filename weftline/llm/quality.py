@@ -39,7 +39,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's base and of its inverse, n of each."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_R, _R_INVERSE)):
-            x = np.full(max(n, 1 << 21), base, np.uint64)
+            x = np.full(max(n, (1 << 18) + 1024), base, np.uint64)
             x[0] = 1
             _powers[k] = np.multiply.accumulate(x)
     return _powers[0][:n], _powers[1][:n]

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
+#: Bits of the screens of frequent hashes.
+HOT_BITS = 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -51,8 +53,11 @@ def counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[start], np.diff(np.append(start, len(h)))
 
 
-def shared(docs: DataFrame, text_col: str, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], bits: int, most: int = 3_000_000) -> Screen:
-    """The screen of the hashes that two rows of docs have; hashes(bytes, starts) gives those of a block of texts, each once a text."""
+def shared(docs: DataFrame, text_col: str, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray], bits: int, often: int = 1 << 62, most: int = 1_500_000) -> tuple[Screen, Screen]:
+    """The screen of the hashes that two rows of docs have, and that of those which a task has `often` times in one go.
+
+    hashes(bytes, starts) gives the hashes of a block of texts, each once a text.
+    """
     spark = docs.sparkSession
     shards = min(1 << 14, 1 << max(3, (2 * common.shuffle_partitions(spark) - 1).bit_length()))
     top = np.uint64(64 - (shards.bit_length() - 1))
@@ -62,12 +67,13 @@ def shared(docs: DataFrame, text_col: str, hashes: Callable[[np.ndarray, np.ndar
         order = np.argsort(mixed(values) >> top, kind="stable")
         values, n = values[order], n[order]
         edge = np.searchsorted(mixed(values) >> top, np.arange(shards + 1, dtype=np.uint64))
-        ones, twos = [], []
+        ones, twos, many_ = [], [], []
         for k in range(shards):
             own, many = values[edge[k] : edge[k + 1]], n[edge[k] : edge[k + 1]] > 1
             ones.append(own[~many].tobytes())
             twos.append(own[many].tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), pa.array(ones, pa.binary()), pa.array(twos, pa.binary())], ["shard", "ones", "twos"])
+            many_.append(own[n[edge[k] : edge[k + 1]] >= often].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(range(shards), pa.int32()), *(pa.array(x, pa.binary()) for x in (ones, twos, many_))], ["shard", "ones", "twos", "often"])
 
     def send(batches) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -84,23 +90,26 @@ def shared(docs: DataFrame, text_col: str, hashes: Callable[[np.ndarray, np.ndar
     def mark(batches) -> Iterator[pa.RecordBatch]:
         got: dict[int, list] = {}
         for batch in batches:
-            for k, one, two in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                got.setdefault(k, []).append((np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)))
+            for k, *parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                got.setdefault(k, []).append([np.frombuffer(x, np.uint64) for x in parts])
         for k, parts in got.items():
             values, n = counted(np.concatenate([x for p in parts for x in (p[0], p[1], p[1])]))
             s = Screen(bits)
             at = np.unique(s.at(values[n > 1])) - (k << (bits - shards.bit_length() + 1))
             chunk = np.zeros((1 << (bits - 3)) // shards, np.uint8)
             np.bitwise_or.at(chunk, at >> 3, (1 << (at & 7)).astype(np.uint8))
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk.tobytes()], pa.binary())], ["shard", "marks"])
+            hot = np.unique(Screen(HOT_BITS, np.zeros(1, np.uint8)).at(np.concatenate([p[2] for p in parts])))
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk.tobytes()], pa.binary()), pa.array([hot.tolist()], pa.list_(pa.int64()))], ["shard", "marks", "hot"])
 
-    sent = common.arrow_map(docs.select(F.col(text_col).alias("text")), send, "shard int, ones binary, twos binary")
-    out = Screen(bits)
+    sent = common.arrow_map(docs.select(F.col(text_col).alias("text")), send, "shard int, ones binary, twos binary, often binary")
+    out, hot = Screen(bits), Screen(HOT_BITS)
     size = len(out.marks) // shards
     dealt = sent.repartition(shards, "shard").sortWithinPartitions("shard")
-    for row in common.arrow_map(dealt, mark, "shard int, marks binary").toLocalIterator():  # the screen's size in all
+    for row in common.arrow_map(dealt, mark, "shard int, marks binary, hot array<long>").toLocalIterator():  # the screen's size in all
         out.marks[row["shard"] * size : (row["shard"] + 1) * size] = np.frombuffer(row["marks"], np.uint8)
-    return out
+        at = np.array(row["hot"], np.int64)
+        np.bitwise_or.at(hot.marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out, hot
 
 
 def of_values(df: DataFrame, column: str, bits: int) -> Screen:

@@ -5,7 +5,8 @@ have equal anchors, whatever stands around them. A screen drops the anchors that
 with one anchor make a segment, a short string; equal segments are counted once with their smallest document. Segments
 are dealt out by anchor, and each task builds the Burrows-Wheeler transform and common prefixes of its segments, a column
 at a time: suffixes in a row with a common prefix of N bytes are equal windows, and the smallest document of the row is the
-one that keeps them. The answers go back to the places by segment, and then to the texts.
+one that keeps them. A symbol is WIDTH bytes and a segment one string for each offset below that, which takes a fifth of the
+rounds. The answers go back to the places by segment, and then to the texts.
 
 An anchor with over HOT different segments is not sorted in one task: its windows are grouped one by one instead.
 """
@@ -23,21 +24,25 @@ from . import bwt, common, quality, screen
 from .jaccard_join import finish
 
 N, K = 50, 20
-SCREEN_BITS, BATCH, HOT = 26, 4096, 4096
-_PLACE = np.uint64((1 << 24) - 1)
+SCREEN_BITS, BATCH, HOT = 27, 2048, 4096
+#: Documents in a few MB of anchors from which an anchor is dealt out in parts, as hot.
+OFTEN = 200
+#: Bytes of a symbol of the transform: N is a multiple, so that a window is N / WIDTH symbols.
+WIDTH = 5
+_PLACE, _MIX = np.uint64((1 << 24) - 1), np.uint64(0x9E3779B97F4A7C15)
 #: Texts are read in pieces of at most this many bytes, which overlap by N - 1.
 PIECE = 8 << 20
 
 
 def segments(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each segment of a block of texts: anchor hash, text, first window's start, and end of the last window."""
-    none = (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
-    if len(raw) < N:
-        return none
+    long = np.flatnonzero(np.diff(starts) >= N)
+    if not len(long):
+        return (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
     up, down = quality.powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    h = finish((total[K:] - total[:-K]) * down[: len(raw) - K + 1])
+    h = (total[K:] - total[:-K]) * down[: len(raw) - K + 1] * _MIX
     least = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     width, want = 1, N - K + 1
     while 2 * width <= want:
@@ -45,16 +50,12 @@ def segments(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
         width *= 2
     if width < want:
         least = np.minimum(least[: len(raw) - N + 1], least[want - width : want - width + len(raw) - N + 1])
-    at = np.arange(len(raw) - N + 1)
-    text = np.searchsorted(starts, at, "right") - 1
-    good = at + N <= starts[text + 1]
-    at, text, anchor = at[good], text[good], (least[good] & _PLACE).astype(np.int64)
-    if not len(at):
-        return none
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    return h[anchor[first]], text[first], at[first], at[last] + N
+    # a segment begins at a text's first window and where the least K-gram is another
+    first = np.union1d(np.flatnonzero(least[1:] != least[:-1]) + 1, starts[long])
+    text = np.searchsorted(starts, first, "right") - 1
+    last = starts[text + 1] - N
+    text, first, last, after = text[first <= last], first[first <= last], last[first <= last], np.append(first[1:], len(raw))[first <= last]
+    return h[(least[first] & _PLACE).astype(np.int64)], text, first, np.minimum(last, after - 1) + N
 
 
 def pieces(raw: np.ndarray, starts: np.ndarray):
@@ -77,10 +78,53 @@ def anchor_hashes(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _places(docs: DataFrame, twice, answered=None) -> DataFrame:
-    """Segments that may be shared, of docs (id, text, t): with their bytes, or with what answered lets through their place."""
-    full = answered is None
-    schema = T.StructType([T.StructField("id", T.LongType()), *([T.StructField("h", T.LongType()), T.StructField("bytes", T.BinaryType())] if full else [T.StructField("t", T.LongType()), T.StructField("start", T.LongType()), T.StructField("gid", T.BinaryType())])])
+def _found(docs: DataFrame, twice, hot) -> DataFrame:
+    """Segments (h, salt, bytes) of docs (id, text) that may be shared, with the least and the largest document, once a task and few MB."""
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("salt", T.IntegerType()), T.StructField("bytes", T.BinaryType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())])
+
+    def run(batches):
+        seen: dict[bytes, int] = {}
+        hs, lo, hi = [], [], []
+
+        def out():
+            h = np.array(hs, np.uint64)
+            salt = np.full(len(h), -1, np.int32)
+            often, strings = np.flatnonzero(hot.value.has(h)), list(seen)
+            salt[often] = [xxhash.xxh32_intdigest(strings[k]) & 63 for k in often]
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(salt), pa.array(strings, pa.binary()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], schema.names)
+
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            for first, _, raw, starts in common.byte_blocks(common.binary_texts(batch, "text")):
+                for _, part, edges in pieces(raw, starts):
+                    h, text, a, b = segments(part, edges)
+                    keep = twice.value.has(h)
+                    data = part.tobytes()
+                    for anchor, who, x, y in zip(h[keep].tolist(), ids[first + text[keep]].tolist(), a[keep].tolist(), b[keep].tolist(), strict=True):
+                        s = data[x:y]
+                        k = seen.get(s)
+                        if k is None:
+                            seen[s] = len(hs)
+                            hs.append(anchor)
+                            lo.append(who)
+                            hi.append(who)
+                        elif who < lo[k]:
+                            lo[k] = who
+                        elif who > hi[k]:
+                            hi[k] = who
+                    if len(hs) > 100_000:
+                        yield out()
+                        seen.clear()
+                        hs, lo, hi = [], [], []
+        if hs:
+            yield out()
+
+    return common.arrow_map(docs, run, schema)
+
+
+def _places(docs: DataFrame, twice, answered) -> DataFrame:
+    """Where (id, t, start) the segments (gid) stand that answered lets through, of docs (id, text, t)."""
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("t", T.LongType()), T.StructField("start", T.LongType()), T.StructField("gid", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
@@ -89,58 +133,84 @@ def _places(docs: DataFrame, twice, answered=None) -> DataFrame:
                 for offset, part, edges in pieces(raw, starts):
                     h, text, a, b = segments(part, edges)
                     keep = twice.value.has(h)
-                    h, text, a, b = h[keep], text[keep], a[keep], b[keep]
+                    text, a, b = text[keep], a[keep], b[keep]
                     data = part.tobytes()
-                    strings = [data[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
-                    if full:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[first + text]), pa.array(h.view(np.int64)), pa.array(strings, pa.binary())], schema.names)
-                        continue
-                    gids = [xxhash.xxh3_128_digest(x) for x in strings]
-                    marks = np.frombuffer(b"".join(gids), "<u8")[::2]
-                    keep = np.flatnonzero(answered.value.has(marks))
+                    gids = [xxhash.xxh3_128_digest(data[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                    keep = np.flatnonzero(answered.value.has(np.frombuffer(b"".join(gids), "<u8")[::2]))
                     yield pa.RecordBatch.from_arrays([pa.array(ids[first + text[keep]]), pa.array(ts[first + text[keep]]), pa.array((a - edges[text])[keep] + offset), pa.array([gids[k] for k in keep], pa.binary())], schema.names)
 
     return common.arrow_map(docs, run, schema)
 
 
-_ANSWER = T.StructType([T.StructField("gid", T.BinaryType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("first", T.LongType())])
+_ANSWER = T.StructType([
+    T.StructField("gid", T.BinaryType()), T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType()), T.StructField("first", T.LongType()),
+    T.StructField("bytes", T.BinaryType()), T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()),
+])
 
 
 def _answers(strings: list[bytes], lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
     """Runs of windows (a to b, by their start in the segment) that a smaller document than one of the segment's has."""
-    _, owner, length, lcp = bwt.transform(strings, N)
-    starts = np.flatnonzero(lcp < N)
-    smallest = np.repeat(np.minimum.reduceat(lo[owner], starts), np.diff(np.append(starts, len(owner))))
-    size = np.array([len(x) for x in strings])
-    live = (length >= N) & (smallest < hi[owner])
-    who, at, best = owner[live], (size[owner] - length)[live], smallest[live]
+    symbols, edges, who, phase = bwt.grams(strings, WIDTH, N // WIDTH)
+    _, owner, length, lcp = bwt.transform(symbols, edges, N // WIDTH)
+    size = np.diff(edges)
+    starts = np.flatnonzero(lcp < N // WIDTH)
+    smallest = np.repeat(np.minimum.reduceat(lo[who[owner]], starts), np.diff(np.append(starts, len(owner))))
+    live = (length >= N // WIDTH) & (smallest < hi[who[owner]])
+    at = ((size[owner] - length) * WIDTH + phase[owner])[live]
+    who, best = who[owner[live]], smallest[live]
     order = np.lexsort((at, who))
     who, at, best = who[order], at[order], best[order]
-    if not len(who):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.binary()), pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.int64())], _ANSWER.names)
-    new = np.concatenate([[True], (who[1:] != who[:-1]) | (best[1:] != best[:-1]) | (at[1:] != at[:-1] + 1)])
+    new = np.ones(len(who), bool)
+    new[1:] = (who[1:] != who[:-1]) | (best[1:] != best[:-1]) | (at[1:] != at[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(who)) - 1
-    return pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(strings[k]) for k in who[first]], pa.binary()), pa.array(at[first], pa.int32()), pa.array(at[last], pa.int32()), pa.array(best[first])], _ANSWER.names)
+    last = np.append(first[1:], len(who))[: len(first)] - 1
+    none = len(first)
+    return pa.RecordBatch.from_arrays([
+        pa.array([xxhash.xxh3_128_digest(strings[k]) for k in who[first]], pa.binary()), pa.array(at[first], pa.int32()), pa.array(at[last], pa.int32()), pa.array(best[first], pa.int64()),
+        pa.nulls(none, pa.binary()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64())], _ANSWER.names)
+
+
+def _copies(alone: list[tuple[bytes, int]]) -> pa.RecordBatch:
+    """Answers of segments that only equal ones share an anchor with: all windows are the smallest document's."""
+    n = len(alone)
+    return pa.RecordBatch.from_arrays([
+        pa.array([xxhash.xxh3_128_digest(s) for s, _ in alone], pa.binary()), pa.array([0] * n, pa.int32()), pa.array([len(s) - N for s, _ in alone], pa.int32()), pa.array([lo for _, lo in alone], pa.int64()),
+        pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], _ANSWER.names)
+
+
+def _hot(rows: pa.RecordBatch) -> pa.RecordBatch:
+    n = len(rows)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), *(rows.column(c) for c in ("bytes", "lo", "hi"))], _ANSWER.names)
 
 
 def _collections(batches):
-    """Answers of the segments of a task, which come by anchor, in collections of about BATCH."""
+    """Answers of the segments of a task, which come by anchor, in collections of about BATCH; segments of hot anchors as they are."""
     held: list[pa.RecordBatch] = []
+    alone: list[tuple[bytes, int]] = []
+    size = 0
 
     def solve():
         t = pa.Table.from_batches(held)
         return _answers(t.column("bytes").to_pylist(), t.column("lo").to_numpy(), t.column("hi").to_numpy())
 
     for _, group in common.whole_groups(batches, "h"):
-        if len(group) == 1 and group.column("lo")[0] == group.column("hi")[0]:
-            continue  # no other document has the anchor
-        held.append(group.select(["bytes", "lo", "hi"]))
-        if sum(map(len, held[-1:])) and sum(len(x) for x in held) >= BATCH:
-            yield solve()
-            held = []
+        if len(group) > HOT or group.column("salt")[0].as_py() >= 0:
+            yield _hot(group)
+        elif len(group) > 1:
+            held.append(group.select(["bytes", "lo", "hi"]))
+            size += len(group)
+            if size >= BATCH:
+                yield solve()
+                held, size = [], 0
+        elif group.column("lo")[0] != group.column("hi")[0]:  # one string: its transform has only its own windows; else one document's
+            alone.append((group.column("bytes")[0].as_py(), group.column("lo")[0].as_py()))
+            if len(alone) >= 8 * BATCH:
+                yield _copies(alone)
+                alone.clear()
     if held:
         yield solve()
+    if alone:
+        yield _copies(alone)
 
 
 def _windows(batches):
@@ -152,7 +222,8 @@ def _windows(batches):
 
 def _one_by_one(rows: DataFrame) -> DataFrame:
     """Answers of the segments of hot anchors, by grouping their windows."""
-    w = common.written(common.arrow_map(rows.select("bytes", "lo", "hi"), _windows, "gid binary, a int, w binary, lo long, hi long"), "windows")
+    rows = rows.groupBy("bytes").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    w = common.written(common.arrow_map(rows, _windows, "gid binary, a int, w binary, lo long, hi long"), "windows")
     least = w.groupBy("w").agg(F.min("lo").alias("first"), F.max("hi").alias("most")).filter("first < most").select("w", "first")
     return w.join(least, "w").filter("first < hi").select("gid", "a", F.col("a").alias("b"), "first")
 
@@ -163,19 +234,16 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sc = spark.sparkContext
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("t", F.xxhash64("text"))
-    twice = sc.broadcast(screen.shared(rows, "text", anchor_hashes, SCREEN_BITS))
-    common.tidy(spark)
-    found = _places(rows, twice).groupBy("h", "bytes").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    found = common.written(found, "segments")
+    both, often = screen.shared(rows, "text", anchor_hashes, SCREEN_BITS, OFTEN)
+    twice, hot = sc.broadcast(both), sc.broadcast(often)
     common.tidy(spark)
-    hot = common.written(found.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > HOT).select("h"), "hot")
-    cold = found.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h").select("h", "bytes", "lo", "hi")
-    answers = common.arrow_map(cold, _collections, _ANSWER)
-    if hot.limit(1).count():
-        answers = answers.unionByName(_one_by_one(found.join(hot, "h")))
-    answers = common.written(answers, "answers")
-    common.unwrite(found)
+    found = _found(rows, twice, hot).repartition("h", "salt").groupBy("h", "salt", "bytes").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    solved = common.written(common.arrow_map(found.sortWithinPartitions("h").select("h", "salt", "bytes", "lo", "hi"), _collections, _ANSWER), "answers")
     common.tidy(spark)
+    answers = solved.filter("gid is not null").select("gid", "a", "b", "first")
+    left = solved.filter("gid is null").select("bytes", "lo", "hi")
+    if left.limit(1).count():
+        answers = answers.unionByName(common.written(_one_by_one(left), "one-by-one"))
     answered = sc.broadcast(screen.of_values(answers, "gid", SCREEN_BITS))
     places = _places(rows, twice, answered)
     runs = answers.groupBy("gid").agg(F.collect_list(F.struct("a", "b", "first")).alias("runs"))
