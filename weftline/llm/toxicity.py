@@ -87,9 +87,15 @@ def language(docs: DataFrame, text_col: str = "text") -> Language:
     return Language.of(counts)
 
 
-def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merge: float = 0.5) -> str:
-    """The likeliest reading of a written place in lower case: words of letters with single spaces between."""
-    table, b2, b3 = lm.table, SYMBOLS * SYMBOLS, SYMBOLS**3
+def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merge: float = 0.5, odd: float = 1.5) -> str:
+    """The likeliest reading of a written place in lower case: words of letters with single spaces between.
+
+    Between single letters, the commonest separator is taken for a filler and any other for the end of a word, unless that
+    costs more than odd.
+    """
+    between = [c for c in written if c in SEPARATORS]
+    filler = max(sorted(set(between)), key=between.count, default="")
+    table, b3 = lm.table, SYMBOLS**3
     # state: the last three symbols, the last sign; value: score, text
     states = {(0, "", False): (0.0, "")}
     for sign in written + " ":
@@ -104,9 +110,10 @@ def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merg
         for (context, last, single), (score, text) in states.items():
             if closing or not reads:
                 step = float(table[context * SYMBOLS]) if context % SYMBOLS else 0.0
-                offer(((context * SYMBOLS) % b3 if context % SYMBOLS else context, "", False), score + step, text + " ")
+                split = odd if single and sign == filler else 0.0
+                offer(((context * SYMBOLS) % b3 if context % SYMBOLS else context, "", False), score + step - split, text + " ")
                 if closing and single:  # a separator between spaced letters
-                    offer((context, "", False), score - cut, text)
+                    offer((context, "", False), score - cut - (0.0 if sign == filler else odd), text)
             for letter, cost in reads:
                 symbol = ord(letter) - 96 if "a" <= letter <= "z" else 27
                 if last == sign and text.endswith(letter):
@@ -116,9 +123,11 @@ def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merg
     return " ".join(max(states.values())[1].split())
 
 
-_TOKEN = re.compile(r"[^\W\d_]*(?:[0-9@$!|+(]+[^\W\d_]+|[^\W\d_]+[0-9@$!|+(]+)[^\W_@$!|+(0-9]*(?:[\w@$!|+(]*)")
+_HINT = re.compile(r"[a-z][0-9@$!|+(]|[0-9@$!|+(][a-z]|([a-z])\1\1")
+_AFTER = re.compile(r"[\w@$!|+(]*")
+_BEFORE = re.compile(r"[\w@$!|+(]")
 _SPACED = re.compile(r"(?<![\w@$!|])[a-z0-9@$!|](?:[ .\-_*]{1,2}[a-z0-9@$!|]){2,}(?![\w@$|])")
-_RUN = re.compile(r"\w*([a-z])\1\1\w*")
+_NOISE = re.compile(r"([@$!|+(&%*#])\1{2,}|!!+")
 _WORD = re.compile(r"[^\W\d_]+")
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -161,11 +170,32 @@ class Restorer:
 
     def __call__(self, text: str) -> str:
         """text, lower-cased, with the decoded readings in the places they belong to."""
-        t = text.lower()
-        t = re.sub(r"([@$!|+(&%*#])\1{2,}|!!+", " ", t)
-        for pattern in (_SPACED, _TOKEN, _RUN):
-            t = pattern.sub(lambda m: " " + self.read(m.group()) + " ", t)
-        return t
+        t = _NOISE.sub(" ", text.lower())
+        t = _SPACED.sub(lambda m: " " + self.read(m.group()) + " ", t)
+        out, end = [], 0
+        for hint in _HINT.finditer(t):  # the word around each hint, once
+            if hint.start() < end:
+                continue
+            first = hint.start()
+            while first > end and _BEFORE.match(t[first - 1]):
+                first -= 1
+            out.append(t[end:first])
+            end = _AFTER.match(t, hint.end()).end()
+            out.append(" " + self.read(t[first:end]) + " ")
+        return "".join([*out, t[end:]]) if out else t
+
+
+def words(text: str, heads=None) -> tuple[list[str], int]:
+    """The distinct words of letters of a text, in lower case (with heads, only those that may start with one), and its number of words."""
+    parts = text.split()
+    out = []
+    for w in set(parts):
+        if heads is None or w[:3] in heads or not w.isalpha():
+            if w.isalpha():
+                out.append(w)
+            else:
+                out += _WORD.findall(w)
+    return out, len(parts)
 
 
 def word_features(word: str) -> list[str]:
@@ -184,12 +214,14 @@ class Model:
     def __post_init__(self):
         self.heads = frozenset(f.rstrip("$")[:3] for f in self.weights)
 
-    def score(self, words: list[str], heads=None) -> float:
-        heads, get, z = self.heads, self.weights.get, 0.0
-        for w in set(words):
-            if w[:3] in heads:
+    def score(self, text: str) -> float:
+        """The probability that a restored, lower-cased text is toxic."""
+        found, n = words(text, self.heads)
+        get, z = self.weights.get, 0.0
+        for w in set(found):
+            if w[:3] in self.heads:
                 z += sum(get(f, 0.0) for f in word_features(w))
-        z = self.bias + z + self.length * math.log1p(len(words))
+        z = self.bias + z + self.length * math.log1p(n)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -198,14 +230,14 @@ def fit(lm: Language, texts: list[str], labels: list[int], counts: dict | None =
     if not 0 < sum(labels) < len(labels):
         return Model(lm, {}, -3.0 if not sum(labels) else 3.0, 0.0)
     restore = Restorer(lm)
-    bags = [_WORD.findall(restore(t)) for t in texts]
+    bags = [(set(found), size) for found, size in (words(restore(t)) for t in texts)]
     n = np.bincount(labels, minlength=2)
     toxic: dict[str, int] = {}
     clean: dict[str, int] = {}
     for y, into in ((1, toxic), (0, clean)):
-        for words, label in zip(bags, labels, strict=True):
+        for (found, _), label in zip(bags, labels, strict=True):
             if label == y:
-                own = {f for w in set(words) for f in word_features(w) if y or f in toxic}
+                own = {f for w in found for f in word_features(w) if y or f in toxic}
                 for f in own:
                     into[f] = into.get(f, 0) + 1
         if y:
@@ -216,13 +248,13 @@ def fit(lm: Language, texts: list[str], labels: list[int], counts: dict | None =
     chosen = sorted(f for f, v in lift.items() if v > 1.6)
     place = {f: k for k, f in enumerate(chosen)}
     rows = []
-    for words in bags:
-        found: dict[int, float] = {}
-        for w in set(words):
+    for found, size in bags:
+        held: dict[int, float] = {}
+        for w in sorted(found):
             for f in word_features(w):
                 if (k := place.get(f)) is not None:
-                    found[k] = found.get(k, 0) + 1
-        rows.append((np.fromiter(found, int, len(found)), np.fromiter(found.values(), float, len(found)), math.log1p(len(words))))
+                    held[k] = held.get(k, 0) + 1
+        rows.append((np.fromiter(held, int, len(held)), np.fromiter(held.values(), float, len(held)), math.log1p(size)))
     total = counts or {0: int(n[0]), 1: int(n[1])}
     rate = {y: total.get(y, 0) / max(1, n[y]) for y in (0, 1)}
     mean = (rate[0] * n[0] + rate[1] * n[1]) / len(labels)
@@ -270,7 +302,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for first, end, raw, starts in common.byte_blocks(texts):
                 flags = suspects(raw, starts)
                 read = [restore(t) if flag else t.lower() for t, flag in zip(texts.slice(first, end - first).to_pylist(), flags, strict=True)]
-                out = [m.score(_WORD.findall(t)) for t in read]
+                out = [m.score(t) for t in read]
                 part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__held"), pa.array(out, pa.float64()), *([pa.array(read, pa.string())] if restored else [])], schema.names)
 
