@@ -30,8 +30,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digest of the ids decoded again."""
-    production = bpe.production()
-    x = bpe.decode(bpe.encode(docs, *production), *production)
+    x = bpe.encode(docs, *bpe.production(), decoded=True)
     return x.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

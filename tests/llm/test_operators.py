@@ -268,7 +268,8 @@ def test_bpe_against_the_library(docs, empty):
     lines, pattern = bpe.production()
     codec = bpe.Codec(lines, pattern)
     other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=codec.ranks, special_tokens={})
-    got = rows(bpe.decode(bpe.encode(docs, lines, pattern), lines, pattern))
+    got = rows(bpe.decode(bpe.encode(docs, lines, pattern), lines))
+    assert {i: bytes(r["decoded"]) for i, r in got.items()} == {i: bytes(r["decoded"]) for i, r in rows(bpe.encode(docs, lines, pattern, decoded=True)).items()}
     for i, t in corpus():
         ids = other.encode_ordinary(t or "")
         assert bytes(got[i]["ids"]) == b"".join(x.to_bytes(4, "little") for x in ids)

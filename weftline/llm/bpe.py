@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from . import common
 
-LONGEST, CACHED, NONE = 256, 300_000, np.int32(2**31 - 1)
+LONGEST, CACHED, NONE = 256, 150_000, np.int32(2**31 - 1)
 
 
 class Codec:
@@ -156,7 +156,21 @@ class Codec:
         return [b"".join(map(get, words)) for words in split]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return joined(self.tokens, ids)
+
+
+def joined(tokens: list[bytes], ids: bytes) -> bytes:
+    """The bytes of little-endian unsigned 32-bit ids."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
+def token_list(lines: bytes) -> list[bytes]:
+    """A rank file's tokens by rank: all that decoding needs."""
+    ranks = [(int(b), base64.b64decode(a)) for a, b in map(bytes.split, lines.splitlines())]
+    out = [b""] * (max(r for r, _ in ranks) + 1)
+    for rank, token in ranks:
+        out[rank] = token
+    return out
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -176,44 +190,47 @@ def vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, lines: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each row of docs: id, n_tokens, ids (binary, little-endian unsigned 32-bit).
+def encode(docs: DataFrame, lines: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """A row for each row of docs: id, n_tokens, ids (binary, little-endian unsigned 32-bit), and if asked for the ids decoded again.
 
     A null text counts as empty and gives no ids. Special tokens are ordinary text. Repeated rows and null ids come out
     as they came in; empty docs give no rows; other columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast((lines, pattern))
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    more = [T.StructField("decoded", T.BinaryType())] if decoded else []
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), *more])
 
     def run(batches):
         c = codec(*held.value)
         for batch in batches:
             texts, who = common.binary_texts(batch, "__text"), batch.column("__id")
-            for first, end, raw, _ in common.byte_blocks(texts):
+            for first, end, _, _ in common.byte_blocks(texts):
                 ids = c.encode(texts.slice(first, end - first).to_pylist())
-                yield pa.RecordBatch.from_arrays([who.slice(first, end - first), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], [id_col, "n_tokens", "ids"])
+                back = [pa.array([c.decode(x) for x in ids], pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([who.slice(first, end - first), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), *back], schema.names)
+        c.cache.clear()  # an idle worker holds the vocabulary only
 
     return common.arrow_map(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), run, schema)
 
 
-def decode(encoded: DataFrame, lines: bytes, pattern: str, ids_col: str = "ids") -> DataFrame:
+def decode(encoded: DataFrame, lines: bytes, ids_col: str = "ids") -> DataFrame:
     """The rows of encoded with the decoded bytes; null ids give null."""
-    held = encoded.sparkSession.sparkContext.broadcast((lines, pattern))
+    held = encoded.sparkSession.sparkContext.broadcast(lines)
     schema = T.StructType([*encoded.schema, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
-        c = codec(*held.value)
+        tokens = token_list(held.value)
         for batch in batches:
             for k in range(0, len(batch), 256):
                 part = batch.slice(k, 256)
-                out = [None if x is None else c.decode(x) for x in part.column(ids_col).to_pylist()]
+                out = [None if x is None else joined(tokens, x) for x in part.column(ids_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], [*part.schema.names, "decoded"])
 
     return common.arrow_map(encoded, run, schema)
 
 
 def digests(docs: DataFrame, lines: bytes, pattern: str) -> DataFrame:
-    x = decode(encode(docs, lines, pattern), lines, pattern)
+    x = encode(docs, lines, pattern, decoded=True)
     return x.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
