@@ -108,7 +108,8 @@ def set_id(own: np.ndarray) -> int:
 
 
 def histogram_size(n: int) -> int:
-    return 1 << max(3, min(14, int(n).bit_length() - 1))
+    """Buckets: a fourth to an eighth of n, which tells sets of unlike texts apart and is a small share of a set's bytes."""
+    return 1 << max(5, min(14, int(n).bit_length() - 3))
 
 
 def histogram(own: np.ndarray) -> bytes:
@@ -141,7 +142,7 @@ def late_shingles(docs: DataFrame, text_col: str) -> screen.Screen:
             for _, _, raw, starts in common.byte_blocks(common.binary_texts(batch, "text")):
                 parts += shingle_sets(raw, starts)
                 size += sum(map(len, parts[-(len(starts) - 1) :]))
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield out()
                     parts, size = [], 0
         if parts:
@@ -238,6 +239,8 @@ def loose_components(sigs: DataFrame) -> DataFrame:
     small = common.arrow_map(members.repartition("h").sortWithinPartitions("h"), loose_links, "a long, b long")
     large = rows.join(regions.filter(F.col("m") > SMALL).select("h", "least"), "h").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
     links = common.written(small.unionByName(large).distinct(), "loose")
+    common.unwrite(rows)
+    common.unwrite(regions)
     common.tidy(spark)
     return components(links)
 
@@ -365,7 +368,7 @@ def exact_labels(docs: DataFrame, loose: DataFrame, text_col: str) -> DataFrame:
                 sets = [x for x in shingle_sets(raw, starts) if len(x)]
                 nodes = np.array([set_id(x) for x in sets], np.int64)
                 keep = [k for k in np.flatnonzero(wanted.value.has(nodes.view(np.uint64))) if nodes[k] not in sent] if len(sets) else []
-                if len(sent) < 1_000_000:
+                if len(sent) < 200_000:
                     sent.update(nodes[keep].tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[keep] if len(sets) else [], pa.int64()), pa.array([sets[k].tobytes() for k in keep], pa.binary())], ["node", "shingles"])
 
@@ -378,6 +381,8 @@ def exact_labels(docs: DataFrame, loose: DataFrame, text_col: str) -> DataFrame:
     labels = common.arrow_map(small, _solve_groups, "node long, label long")
     if large.limit(1).count():
         labels = labels.unionByName(components(_divide(sets.join(large, "label", "left_semi"))))
+    labels = common.written(labels, "labels")
+    common.unwrite(sets)
     return labels
 
 
