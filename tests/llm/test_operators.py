@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 
 from weftline.llm import bpe, chat_format, common, decontaminate, exact_dedup, jaccard_join, langid, line_dedup, quality, suffix_dedup, toxicity
@@ -351,6 +352,22 @@ def test_toxicity(spark, empty):
     assert toxicity.score(df, toxicity.train(df, lab.limit(0))).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_hidden_words():
+    plain = "you are an idiot and a moron but he said that this is all she can do with it of the more in the night at noon ".split()
+    rng = random.Random(3)
+    raw = np.frombuffer(" ".join(rng.choice(plain) for _ in range(20000)).encode(), np.uint8)
+    lm = toxicity.Language.of(toxicity.gram_counts(raw, np.array([0, len(raw)])))
+    for hidden, want in [("i d i o t", "idiot"), ("i  d  i  o  t", "idiot"), ("i. d. i. o. t", "idiot"), ("mor-on", "moron"), ("id iot", "idiot"), ("i dio t", "idiot"), ("morron", "moron"), ("idiiot", "idiot"), ("m0r on", "moron"), ("1d10t", "idiot")]:
+        text = f"she said {hidden} at night"
+        assert toxicity.suspects([text], lm).all(), hidden
+        assert want in toxicity.Restorer(lm)(text).split(), hidden
+    signs = "abdeimnorst" * 3 + "0134@$!|+(" + " .-_*" * 3 + "\né!#"
+    texts = [*["".join(rng.choices(signs, k=rng.randint(0, 14))) for _ in range(4000)], *[" ".join(rng.choices(plain, k=4)) for _ in range(2000)]]
+    flags, restore = toxicity.suspects(texts, lm), toxicity.Restorer(lm)
+    assert 0 < flags.sum() < len(texts)
+    assert [t for t, flag in zip(texts, flags, strict=True) if not flag and restore(t) != t] == []
+
+
 def test_chat_format(spark):
     t = [(1, 0, "system", "S"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "é!"), (2, 0, "system", "x"), (None, 0, "ann", "q"), (3, None, None, "z"), (3, 0, "bob", "b"), (3, 0, "bob", "b")]
     df = spark.createDataFrame(t, "conv_id long, turn long, role string, text string")

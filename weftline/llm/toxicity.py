@@ -3,7 +3,8 @@
 The channel is a character lattice: each written sign can stand for itself, for the letters it imitates, for nothing (a
 separator between spaced letters), or for one more copy of the letter before it. Viterbi search finds the reading that is
 likeliest under a character 4-gram model, whose counts are taken over the whole corpus by a distributed sum into a table of
-fixed size. Only places that look written through the channel are decoded; all other words read as they are.
+fixed size. Only places that look written through the channel are decoded; all other words read as they are. Chunks of a word
+are put together where the model finds the joined word far likelier than the two chunks.
 
 The scorer is a logistic regression over word and word-start features, learned from a bounded sample of labels.
 """
@@ -87,19 +88,20 @@ def language(docs: DataFrame, text_col: str = "text") -> Language:
     return Language.of(counts)
 
 
-def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merge: float = 0.5, odd: float = 1.5) -> str:
+def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merge: float = 0.5, odd: float = 1.5, pair: float = 3.0) -> str:
     """The likeliest reading of a written place in lower case: words of letters with single spaces between.
 
-    Between single letters, the commonest separator is taken for a filler and any other for the end of a word, unless that
-    costs more than odd.
+    Between single letters, the commonest run of separators is taken for a filler and any other for the end of a word, unless
+    that costs more than odd. The first copy of a letter costs pair, as many plain words have two; more copies cost merge.
     """
-    between = [c for c in written if c in SEPARATORS]
+    signs = _SIGNS.findall(written)
+    between = [c for c in signs if c[0] in SEPARATORS]
     filler = max(sorted(set(between)), key=between.count, default="")
     table, b3 = lm.table, SYMBOLS**3
     # state: the last three symbols, the last sign; value: score, text
     states = {(0, "", False): (0.0, "")}
-    for sign in written + " ":
-        closing = sign in SEPARATORS or sign.isspace()
+    for sign in [*signs, " "]:
+        closing = sign[0] in SEPARATORS or sign.isspace()
         reads = ([(sign, 0.0)] if sign.isalpha() else []) + [(c, -swap) for c in LEET.get(sign, "")]
         after: dict = {}
 
@@ -116,14 +118,15 @@ def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merg
                     offer((context, "", False), score - cut - (0.0 if sign == filler else odd), text)
             for letter, cost in reads:
                 symbol = ord(letter) - 96 if "a" <= letter <= "z" else 27
-                if last == sign and text.endswith(letter):
-                    offer((context, last, False), score - merge, text)
+                if last[:1] == sign and text.endswith(letter):
+                    offer((context, sign + sign, False), score - (pair if last == sign else merge), text)
                 offer(((context * SYMBOLS + symbol) % b3, sign, last == ""), score + cost + float(table[context * SYMBOLS + symbol]), text + letter)
         states = after
     return " ".join(max(states.values())[1].split())
 
 
-_HINT = re.compile(r"[a-z][0-9@$!|+(]|[0-9@$!|+(][a-z]|([a-z])\1\1")
+_SIGNS = re.compile(r"[ .\-_*]+|.", re.S)
+_HINT = re.compile(r"[a-z][0-9@$!|+(]|[0-9@$!|+(][a-z]|([a-z])\1")
 _AFTER = re.compile(r"[\w@$!|+(]*")
 _BEFORE = re.compile(r"[\w@$!|+(]")
 _SPACED = re.compile(r"(?<![\w@$!|])[a-z0-9@$!|](?:[ .\-_*]{1,2}[a-z0-9@$!|]){2,}(?![\w@$|])")
@@ -137,19 +140,49 @@ _WORDY = _LETTER | _SIGN
 _WORDY[128:] = True
 
 
-def suspects(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which texts may hold a place to decode: a sign beside a letter, single letters in a row, or three equal letters."""
-    letter, sign, wordy = _LETTER[raw], _SIGN[raw], _WORDY[raw]
+_PART = np.zeros(256, bool)
+_PART[[ord(c) for c in SEPARATORS]] = True
+_LOUD = np.zeros(256, bool)
+_LOUD[[ord(c) for c in "@$!|+(&%*#"]] = True
+JOIN, JOIN_SIGN = 6.0, 2.0  # how much likelier a joined word must be than its chunks, as a logarithm: across a blank, and across a sign
+
+
+def chunk_ends(raw: np.ndarray, lm: Language) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last positions of the one or two separators between chunks that read as one word, and how much likelier that is."""
+    s, part = np.concatenate([np.zeros(3, np.int32), _SYMBOL[raw], np.zeros(4, np.int32)]), np.concatenate([_PART[raw], [False, False]])
+    at = np.flatnonzero(part[:-2])
+    at = at[s[at + 2] != 0]  # a letter before
+    end = at + part[at + 1]
+    live = s[end + 4] != 0  # a letter after
+    at, end = at[live], end[live]
+    a1, a2, a3 = s[at], s[at + 1], s[at + 2]
+    a1 = np.where(a2 == 0, 0, a1)
+    b1, b2, b3 = s[end + 4], s[end + 5], s[end + 6]
+    b3 = np.where(b2 == 0, 0, b3)
+    p = lambda a, b, c, d: lm.table[((a * SYMBOLS + b) * SYMBOLS + c) * SYMBOLS + d]
+    # boundaries in a row count as one, so after a chunk of one letter nothing more is read
+    tail = lambda t: np.where(b2 == 0, 0.0, t)
+    apart = p(a1, a2, a3, 0) + p(a2, a3, 0, b1) + p(a3, 0, b1, b2) + tail(p(0, b1, b2, b3))
+    joined = p(a1, a2, a3, b1) + p(a2, a3, b1, b2) + tail(p(a3, b1, b2, b3))
+    gain = joined - apart
+    one = gain > np.where((raw[at] == 32) | (raw[end] == 32), JOIN, JOIN_SIGN)
+    return at[one], end[one], gain[one]
+
+
+def suspects(texts: list[str], lm: Language) -> np.ndarray:
+    """Which lower-cased texts a Restorer may change: all others read as they are."""
+    parts = [t.encode() for t in texts]
+    raw = np.frombuffer(b"\n".join([*parts, b""]), np.uint8)
+    starts = np.cumsum([0, *[len(p) + 1 for p in parts]])
+    letter, sign, wordy, part, loud = _LETTER[raw], _SIGN[raw], _WORDY[raw], _PART[raw], _LOUD[raw]
     flag = np.zeros(len(raw), bool)
-    if len(raw) > 3:
+    if len(raw) > 1:
         flag[1:] |= sign[1:] & letter[:-1]
         flag[1:] |= sign[:-1] & letter[1:]
-        run = letter[1:] & ((raw[1:] | 32) == (raw[:-1] | 32))
-        flag[2:] |= run[1:] & run[:-1]
-        alone = wordy.copy()
-        alone[1:] &= ~wordy[:-1]
-        alone[:-1] &= ~wordy[1:]
-        flag[2:] |= alone[2:] & alone[:-2]
+        flag[1:] |= letter[1:] & (raw[1:] == raw[:-1])
+        flag[1:] |= loud[1:] & (raw[1:] == raw[:-1])
+        flag[1:-1] |= part[:-2] & wordy[1:-1] & part[2:]
+        flag[chunk_ends(raw, lm)[0]] = True
     return common.sums(flag, starts) > 0
 
 
@@ -182,7 +215,21 @@ class Restorer:
             out.append(t[end:first])
             end = _AFTER.match(t, hint.end()).end()
             out.append(" " + self.read(t[first:end]) + " ")
-        return "".join([*out, t[end:]]) if out else t
+        return self.joined("".join([*out, t[end:]]) if out else t)
+
+    def joined(self, text: str) -> str:
+        """text with the chunks of words put together, the likeliest of neighbours first, until no two read as one word."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        while len((found := chunk_ends(raw, self.lm))[0]):
+            at, end, gain = found
+            near = at[1:] - end[:-1] <= 32
+            first = np.ones(len(at), bool)
+            first[1:] &= ~near | (gain[1:] >= gain[:-1])
+            first[:-1] &= ~near | (gain[:-1] >= gain[1:])
+            keep = np.ones(len(raw), bool)
+            keep[at[first]] = keep[end[first]] = False
+            raw = raw[keep]
+        return raw.tobytes().decode()
 
 
 def words(text: str, heads=None) -> tuple[list[str], int]:
@@ -299,9 +346,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         restore = Restorer(m.lm)
         for batch in batches:
             texts = common.binary_texts(batch, "__text")
-            for first, end, raw, starts in common.byte_blocks(texts):
-                flags = suspects(raw, starts)
-                read = [restore(t) if flag else t.lower() for t, flag in zip(texts.slice(first, end - first).to_pylist(), flags, strict=True)]
+            for first, end, _, _ in common.byte_blocks(texts):
+                low = [t.lower() for t in texts.slice(first, end - first).to_pylist()]
+                read = [restore(t) if flag else t for t, flag in zip(low, suspects(low, m.lm), strict=True)]
                 out = [m.score(t) for t in read]
                 part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([part.column("__id"), part.column("__held"), pa.array(out, pa.float64()), *([pa.array(read, pa.string())] if restored else [])], schema.names)
