@@ -67,7 +67,7 @@ _EVENTS = "events_ AS (SELECT l_suppkey AS entity, CAST(year(min(l_shipdate)) *
 
 
 def event_panel(spark, sf):
-    p = panel.align(_panel(spark, sf).select("entity", "period", "revenue"), _events(spark, sf), "entity", "period", 12)
+    p = panel.align(_panel(spark, sf).select("entity", "period", "revenue"), _events(spark, sf), "entity", "period", 40)
     return p.withColumn("revenue", F.round("revenue", 4))
 
 
