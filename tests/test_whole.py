@@ -24,3 +24,8 @@ def test_event_panel_keeps_forty_quarters(spark):
     got = catalog.queries()["event_panel"](spark, SF).select("entity", "period", "event_index").collect()
     panel = f"SELECT DISTINCT l_suppkey AS entity, {_QUARTER} AS period FROM lineitem"
     assert sorted(map(tuple, got)) == rows(f"WITH {_EVENTS} SELECT entity, period, event_index FROM ({panel}) JOIN events_ USING (entity) WHERE abs(period - event_index) <= 40")
+
+
+def test_one_hop_owners_come_from_all_customers(spark):
+    got = catalog.queries()["one_hop_owners"](spark, SF).collect()
+    assert sorted(map(tuple, got)) == rows("SELECT s_suppkey, c_name FROM supplier JOIN customer ON s_nationkey = c_nationkey QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY c_custkey) <= 4")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -62,9 +63,9 @@ def entity_score(name_score: Column, own_domain: Column, entity_domain: Column)
 
 
 def parents(edges: DataFrame, most: int = 4) -> DataFrame:
-    """entity and its first `most` owners (ordinal, parent): one hop, kept by aggregation."""
-    got = edges.groupBy("entity").agg(F.slice(F.array_sort(F.collect_set(F.struct("ordinal", "parent"))), 1, most).alias("p"))
-    return got.select("entity", F.explode("p").alias("p")).select("entity", "p.parent")
+    """entity and its first `most` owners (ordinal, parent), each once: one hop. Ranks over `most` are dropped before the shuffle."""
+    first = edges.withColumn("__r", F.dense_rank().over(W.partitionBy("entity").orderBy("ordinal", "parent"))).filter(F.col("__r") <= most)
+    return first.select("entity", "ordinal", "parent").distinct().select("entity", "parent")
 
 
 def listing_status(name: Column, override: Column, direct: Column, firm: Column, entity: Column, parent: Column) -> Column:

@@ -175,10 +175,10 @@ def url_discovery(spark, sf):
 
 
 def one_hop_owners(spark, sf):
-    """The first two nations' customers as owners of each supplier's nation: an edge list with more than enough owners."""
-    s, c = read(spark, sf, "supplier"), read(spark, sf, "customer").filter("c_acctbal > 5000")
-    edges = s.join(c, s["s_nationkey"] == c["c_nationkey"]).select(F.col("s_suppkey").alias("entity"), F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("parent"))
-    return cascade.parents(edges)
+    """All customers of a supplier's nation as its owners; the first four are the same for a nation, so they are kept before the join."""
+    s, c = read(spark, sf, "supplier"), read(spark, sf, "customer")
+    owners = cascade.parents(c.select(F.col("c_nationkey").alias("entity"), F.col("c_custkey").alias("ordinal"), F.col("c_name").alias("parent")))
+    return s.join(owners, s["s_nationkey"] == owners["entity"]).select(F.col("s_suppkey").alias("entity"), "parent")
 
 
 QUERIES = {
