@@ -1,5 +1,6 @@
 """Queries that must cover the whole of their tables, against plain SQL of the whole job."""
 
+import json
 import os
 
 import duckdb
@@ -29,3 +30,20 @@ def test_event_panel_keeps_forty_quarters(spark):
 def test_one_hop_owners_come_from_all_customers(spark):
     got = catalog.queries()["one_hop_owners"](spark, SF).collect()
     assert sorted(map(tuple, got)) == rows("SELECT s_suppkey, c_name FROM supplier JOIN customer ON s_nationkey = c_nationkey QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY c_custkey) <= 4")
+
+
+def test_review_queue_takes_five_hundred(spark, monkeypatch):
+    from weftline.plans import entity_queries
+
+    singles = spark.range(600).selectExpr("concat('e', id) AS entity_key", "'n' AS canonical_name", "1L AS provider_count", "'MACHINERY' AS broad_industry")
+    monkeypatch.setattr(entity_queries, "_summary", lambda *_: singles)
+    assert entity_queries.review_queue(spark, SF).count() == 500
+
+
+def test_candidate_json_lists_five(spark, monkeypatch):
+    from weftline.plans import classify_queries
+
+    ranked = spark.range(1, 9).selectExpr("1L AS l_id", "id AS r_id", "CAST(100 - id AS DOUBLE) AS score", "CAST(id AS INT) AS place")
+    monkeypatch.setattr(classify_queries, "_native", lambda *_: ranked)
+    (row,) = classify_queries.candidate_json(spark, SF).collect()
+    assert [c["r_id"] for c in json.loads(row["candidates"])] == [1, 2, 3, 4, 5]

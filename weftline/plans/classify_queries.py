@@ -139,7 +139,7 @@ def fuzzy_topk(spark, sf):
 
 
 def candidate_json(spark, sf):
-    return matching.as_json(_native(spark, sf), "l_id", ["r_id"], 3)
+    return matching.as_json(_native(spark, sf), "l_id", ["r_id"])
 
 
 def _pick(values, k):

@@ -157,7 +157,7 @@ def label_override(spark, sf):
 
 def review_queue(spark, sf):
     over = _summary(spark, sf).withColumn("broad_industry", F.when(F.col("broad_industry") == "MACHINERY", "Other").otherwise(F.col("broad_industry")))
-    return labels.review_queue(over, 50)
+    return labels.review_queue(over)
 
 
 _NAV, _INTERNAL = ["customer000000005", "customer000000010"], {"URGENT": ["customer000000003"], "LOW": ["customer000000004"]}
