@@ -47,3 +47,14 @@ def test_candidate_json_lists_five(spark, monkeypatch):
     monkeypatch.setattr(classify_queries, "_native", lambda *_: ranked)
     (row,) = classify_queries.candidate_json(spark, SF).collect()
     assert [c["r_id"] for c in json.loads(row["candidates"])] == [1, 2, 3, 4, 5]
+
+
+def test_listings_rules_of_providers(spark):
+    from weftline.operators import evidence
+
+    rows = [("Big Shop klarna at checkout", "https://k.x/a"), ("Nike", "https://k.x/us/store/nike"), ("Help", "https://k.x/us/store/help"), ("Nike", "https://k.x/b"), ("a", "https://z.x/us/store/a"),
+            ("Zara", "https://www.z.x/us/store/zara/?q=1"), ("Zara", "https://y.x/us/store/zara"), ("Dir", "https://z.x/us/store/directory/a"), ("Root", "https://z.x/us/store/"), ("me@z.x", "https://z.x/us/store/m")]
+    df = spark.createDataFrame(rows, "text string, href string")
+    kept = lambda **rules: {(r["text"], r["href"]) for r in evidence.listings(df, {"blocked": ["help"], "longest": 100, "blocked_parts": [], **rules}).collect()}
+    assert kept(path="/us/store/", signals=["klarna at checkout"]) == set(rows) - {rows[2], rows[3]}
+    assert kept(hosts=["z.x", "www.z.x"], prefix="/us/store/", closed=["/us/store/directory"], single=False, plain=True) == {rows[5]}

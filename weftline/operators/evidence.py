@@ -164,15 +164,31 @@ def title(html: Column) -> Column:
 
 
 def listings(anchors: DataFrame, rules) -> DataFrame:
-    """Anchors (text, href) that a provider's rule takes for listings, once by lower-cased name and link, first wins.
+    """Anchors (text, href) that a provider's rule takes for listings.
 
-    rules: blocked names, the longest name, required path part, and blocked link parts.
+    rules: blocked names (regions too), the longest name and blocked link parts; optional: path, a part of the link, and signals,
+    phrases of the text, either of which will do; hosts; prefix, what the path starts with before a slug; closed, starts of
+    paths that aren't listings; letter (names need one, the default); single (False: no names of one letter a to z); plain (no
+    names that are links or addresses).
     """
-    name = X.clean(F.col("text"))
-    ok = (
-        (name != "") & ~F.lower(name).isin(list(rules["blocked"])) & (F.length(name) <= rules["longest"]) & ~name.rlike("^[0-9]+$") & name.rlike("\\p{L}")
-        & (F.contains("href", F.lit(rules["path"])) if rules.get("path") else F.lit(True)) & ~X.contains_any(F.lower("href"), rules["blocked_parts"])
-    )
+    name, href = X.clean(F.col("text")), F.coalesce(F.col("href"), F.lit(""))
+    low, path = F.lower(name), F.regexp_replace(F.regexp_extract(href, "^[A-Za-z]+://[^/?#]*([^?#;]*)", 1), "/+$", "")
+    ok = (name != "") & ~low.isin(list(rules["blocked"])) & (F.length(name) <= rules["longest"]) & ~name.rlike("^[0-9]+$") & ~X.contains_any(F.lower(href), rules["blocked_parts"])
+    if rules.get("path") or rules.get("signals"):
+        part = F.contains(F.lower(href), F.lit(rules["path"].lower())) if rules.get("path") else F.lit(False)
+        ok = ok & (part | X.contains_any(low, rules.get("signals", [])))
+    if rules.get("hosts"):
+        ok = ok & F.regexp_extract(href, "^[A-Za-z]+://([^/?#]*)", 1).isin(list(rules["hosts"]))
+    if rules.get("prefix"):
+        ok = ok & F.startswith(path, F.lit(rules["prefix"])) & (F.length(path) > len(rules["prefix"]))
+    for start in rules.get("closed", []):
+        ok = ok & ~F.startswith(path, F.lit(start))
+    if rules.get("letter", True):
+        ok = ok & name.rlike("\\p{L}")
+    if not rules.get("single", True):
+        ok = ok & ~low.rlike("^[a-z]$")
+    if rules.get("plain"):
+        ok = ok & ~low.startswith("http") & ~F.contains(low, F.lit("@"))
     return anchors.filter(ok).withColumn("name", name).withColumn("slug", X.slug(F.col("href")))
 
 

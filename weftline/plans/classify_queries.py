@@ -16,7 +16,7 @@ TERMS = [
 ]
 RAILS = [taxonomy.Guardrail(("licensed under", "copyright"), "Home", "Legal", 12), taxonomy.Guardrail(("idiot", "moron"), "Home", "General", -9), taxonomy.Guardrail(("the ", "und "), "Trade", "Mixed", 4, 2)]
 LEGAL, GENERIC = ["inc", "co"], ["small"]
-LISTING = {"blocked": ["the", "de"], "longest": 12, "path": "/", "blocked_parts": ["auf"]}
+LISTING = {"blocked": ["the", "de"], "longest": 80, "path": "/", "blocked_parts": ["auf"]}
 
 
 def keyword_rules(spark, sf):
