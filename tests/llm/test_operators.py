@@ -352,6 +352,29 @@ def test_toxicity(spark, empty):
     assert toxicity.score(df, toxicity.train(df, lab.limit(0))).filter("predicted = 1").count() == 0
 
 
+def test_filter_routes_keys():
+    class Table(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+    shard, want = line_dedup.Shard(table=None), {}
+    shard.table = Table()
+    rng = random.Random(4)
+    for batch in range(6):
+        keys = [hashlib.md5(b"%d" % rng.randrange(4000)).digest() for _ in range(1000)]
+        met = len({k for k in keys if k in want})
+        before = shard.table.asked
+        shard.insert(keys, [2] * 1000, list(range(batch, batch + 1000)))
+        for k, first in zip(keys, range(batch, batch + 1000), strict=True):
+            n, least = want.get(k, (0, first))
+            want[k] = (n + 2, min(least, first))
+        assert met <= shard.table.asked - before <= met + 10  # only what the filter knows is looked up
+    assert dict(shard.table) == want and shard.filter.contains(shard.marks(list(want))).all()
+
+
 def test_toxicity_hidden_words():
     plain = "you are an idiot and a moron but he said that this is all she can do with it of the more in the night at noon ".split()
     rng = random.Random(3)

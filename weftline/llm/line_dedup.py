@@ -87,17 +87,24 @@ class Shard:
 
     def insert(self, keys: list[bytes], refs: list[int], firsts: list) -> None:
         """Counts refs documents, the smallest of which is the key's first, for each key; keys may repeat."""
+        batch: dict = {}
+        for key, n, first in zip(keys, refs, firsts, strict=True):
+            if key in batch:  # repeats within a batch are combined first
+                own = batch[key]
+                n, first = own[0] + n, min(own[1], first)
+            batch[key] = (n, first)
+        keys, table = list(batch), self.table
         known = self.filter.contains(self.marks(keys))
-        new, table = [], self.table
-        for key, n, first, maybe in zip(keys, refs, firsts, known.tolist(), strict=True):
-            if maybe:  # the filter may err: the exact table decides
-                self.confirmed += key in table
-                self.doubted += key not in table
+        new = [keys[k] for k in np.flatnonzero(~known)]
+        seen = [keys[k] for k in np.flatnonzero(known)]
+        for key in seen:  # the filter may err: the exact table decides
             if (own := table.get(key)) is None:
-                table[key] = (n, first)
+                self.doubted += 1
                 new.append(key)
             else:
-                table[key] = (own[0] + n, min(own[1], first))
+                self.confirmed += 1
+                batch[key] = (own[0] + batch[key][0], min(own[1], batch[key][1]))
+        table.update(batch)
         try:
             self.filter.insert(self.marks(new))
         except Full:
