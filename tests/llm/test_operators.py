@@ -407,6 +407,18 @@ def test_chat_format(spark):
     assert chat_format.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_format_sparse_and_crowded(spark):
+    said = [(1, 0, "system", "S"), *[(1, 10 * (i + 1), "ab"[i % 2], f"t{i:04}") for i in range(600)], *[(2, None, "ab"[i % 2], f"t{i:04}") for i in range(600)]]
+    got = chat_format.rotate(spark.createDataFrame(said, "conv_id long, turn long, role string, text string")).filter("perspective = 'a'").collect()
+    sparse = {r["segment"]: r for r in got if r["conv_id"] == 1}
+    assert {k: r["n_turns"] for k, r in sparse.items()} == {0: 256, 1: 256, 2: 89}
+    assert all(r["rendered"].startswith("<|system|>\nS<|end|>\n") for r in sparse.values())
+    assert [t for k in range(3) for t in re.findall("t[0-9]{4}", sparse[k]["rendered"])] == [f"t{i:04}" for i in range(600)]
+    assert all(r["rendered"][a:b].endswith("<|end|>") and r["rendered"][:a].endswith("<|assistant|>\n") for r in sparse.values() for a, b in r["mask"])
+    crowded = {r["segment"]: re.findall("t[0-9]{4}", r["rendered"]) for r in got if r["conv_id"] == 2}
+    assert [t for k in (-1, -2, -3) for t in crowded[k]] == [f"t{i:04}" for i in (*range(0, 600, 2), *range(1, 600, 2))]
+
+
 def test_very_long_texts(spark):
     rng = random.Random(5)
     long = " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(120_000))
