@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which all executors share; a temporary one only where it is unset, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='weftline-')}"
         spark.conf.set("spark.checkpoint.dir", top)
@@ -71,15 +71,27 @@ def _sweep(spark: SparkSession, root: str) -> None:
         return
 
 
+#: Has Spark delete an execution's shuffle files as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, and a lost executor costs a reread only."""
+    """df as a Parquet table in the shared folder: cuts the lineage, and a lost executor costs a reread only.
+
+    The shuffle files behind the table go when it is complete.
+    """
     spark = df.sparkSession
     root = shared_dir(spark)
     if root not in _roots:
         _roots.add(root)
         atexit.register(_sweep, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
@@ -161,9 +173,3 @@ def whole_groups(batches, key: str) -> Iterator[tuple[object, pa.RecordBatch]]:
                 yield ids[a], part
     if rest:
         yield rest[0].column(key)[0].as_py(), pa.Table.from_batches(rest).combine_chunks().to_batches()[0]
-
-
-def tidy(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of frames that nothing refers to any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

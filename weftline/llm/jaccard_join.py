@@ -241,7 +241,6 @@ def loose_components(sigs: DataFrame) -> DataFrame:
     links = common.written(small.unionByName(large).distinct(), "loose")
     common.unwrite(rows)
     common.unwrite(regions)
-    common.tidy(spark)
     return components(links)
 
 
@@ -374,7 +373,6 @@ def exact_labels(docs: DataFrame, loose: DataFrame, text_col: str) -> DataFrame:
 
     sets = common.arrow_map(docs.select(F.col(text_col).alias("text")), run, "node long, shingles binary")
     sets = common.written(sets.join(loose, "node").dropDuplicates(["node"]).select("label", "node", "shingles"), "sets")
-    common.tidy(spark)
     sizes = sets.groupBy("label").agg(F.sum(F.octet_length("shingles") / 8).alias("size"))
     large = common.written(sizes.filter(F.col("size") > MOST_SHINGLES).select("label"), "large")
     small = sets.join(large, "label", "left_anti").repartition("label").sortWithinPartitions("label")
@@ -394,7 +392,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Empty docs give no rows; other columns are not read.
     """
     sigs = signatures(docs, id_col, text_col)
-    common.tidy(docs.sparkSession)
     labels = exact_labels(docs, loose_components(sigs), text_col)
     nodes = sigs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m"))
     named = nodes.join(labels, "node", "left").select("node", "least", "m", F.coalesce("label", "node").alias("label"))

@@ -88,27 +88,27 @@ def shared(docs: DataFrame, text_col: str, hashes: Callable[[np.ndarray, np.ndar
             yield packed(parts)
 
     def mark(batches) -> Iterator[pa.RecordBatch]:
-        got: dict[int, list] = {}
-        for batch in batches:
-            for k, *parts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                got.setdefault(k, []).append([np.frombuffer(x, np.uint64) for x in parts])
-        for k, parts in got.items():
-            values, n = counted(np.concatenate([x for p in parts for x in (p[0], p[1], p[1])]))
+        for _, group in common.whole_groups(batches, "shard"):
+            k = group.column("shard")[0].as_py()
+            ones, twos, many = ([np.frombuffer(x, np.uint64) for x in group.column(c).to_pylist()] for c in ("ones", "twos", "often"))
+            values, n = counted(np.concatenate([*ones, *twos, *twos]))
             s = Screen(bits)
             at = np.unique(s.at(values[n > 1])) - (k << (bits - shards.bit_length() + 1))
             chunk = np.zeros((1 << (bits - 3)) // shards, np.uint8)
             np.bitwise_or.at(chunk, at >> 3, (1 << (at & 7)).astype(np.uint8))
-            hot = np.unique(Screen(HOT_BITS, np.zeros(1, np.uint8)).at(np.concatenate([p[2] for p in parts])))
+            hot = np.unique(Screen(HOT_BITS, np.zeros(1, np.uint8)).at(np.concatenate(many)))
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([chunk.tobytes()], pa.binary()), pa.array([hot.tolist()], pa.list_(pa.int64()))], ["shard", "marks", "hot"])
 
     sent = common.arrow_map(docs.select(F.col(text_col).alias("text")), send, "shard int, ones binary, twos binary, often binary")
     out, hot = Screen(bits), Screen(HOT_BITS)
     size = len(out.marks) // shards
     dealt = sent.repartition(shards, "shard").sortWithinPartitions("shard")
-    for row in common.arrow_map(dealt, mark, "shard int, marks binary, hot array<long>").toLocalIterator():  # the screen's size in all
+    marks = common.written(common.arrow_map(dealt, mark, "shard int, marks binary, hot array<long>"), "marks")
+    for row in marks.toLocalIterator():  # the screen's size in all
         out.marks[row["shard"] * size : (row["shard"] + 1) * size] = np.frombuffer(row["marks"], np.uint8)
         at = np.array(row["hot"], np.int64)
         np.bitwise_or.at(hot.marks, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    common.unwrite(marks)
     return out, hot
 
 

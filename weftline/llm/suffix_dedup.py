@@ -170,47 +170,78 @@ def _answers(strings: list[bytes], lo: np.ndarray, hi: np.ndarray) -> pa.RecordB
         pa.nulls(none, pa.binary()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64())], _ANSWER.names)
 
 
-def _copies(alone: list[tuple[bytes, int]]) -> pa.RecordBatch:
+def _copies(strings: list[bytes], lo: np.ndarray) -> pa.RecordBatch:
     """Answers of segments that only equal ones share an anchor with: all windows are the smallest document's."""
-    n = len(alone)
+    n = len(strings)
     return pa.RecordBatch.from_arrays([
-        pa.array([xxhash.xxh3_128_digest(s) for s, _ in alone], pa.binary()), pa.array([0] * n, pa.int32()), pa.array([len(s) - N for s, _ in alone], pa.int32()), pa.array([lo for _, lo in alone], pa.int64()),
+        pa.array([xxhash.xxh3_128_digest(s) for s in strings], pa.binary()), pa.array(np.zeros(n, np.int32)), pa.array([len(s) - N for s in strings], pa.int32()), pa.array(lo),
         pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], _ANSWER.names)
 
 
-def _hot(rows: pa.RecordBatch) -> pa.RecordBatch:
-    n = len(rows)
-    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), *(rows.column(c) for c in ("bytes", "lo", "hi"))], _ANSWER.names)
+def _hot(strings: list[bytes], lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    n = len(strings)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.array(strings, pa.binary()), pa.array(lo), pa.array(hi)], _ANSWER.names)
+
+
+def _whole(batches):
+    """Tables of whole anchors from the sorted batches of a task, and whether they are one anchor with over HOT segments, which comes in parts."""
+    held, size, crowded = [], 0, None
+    for batch in batches:
+        if not len(batch):
+            continue
+        h = batch.column("h").to_numpy()
+        first, cut = int(np.searchsorted(h, h[0], "right")), int(np.searchsorted(h, h[-1], "left"))
+        if crowded is not None and h[0] == crowded:
+            yield pa.Table.from_batches([batch.slice(0, first)]), True
+            batch = batch.slice(first)
+            cut -= first
+            if not len(batch):
+                continue
+        crowded = None
+        if cut > 0 or held and held[-1].column("h")[0].as_py() != h[-1]:
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)]), False
+            held, size, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        size += len(batch)
+        if size > HOT:
+            yield pa.Table.from_batches(held), True
+            held, size, crowded = [], 0, h[-1]
+    if held:
+        yield pa.Table.from_batches(held), False
 
 
 def _collections(batches):
     """Answers of the segments of a task, which come by anchor, in collections of about BATCH; segments of hot anchors as they are."""
-    held: list[pa.RecordBatch] = []
-    alone: list[tuple[bytes, int]] = []
+    held: list[tuple[list[bytes], np.ndarray, np.ndarray]] = []
     size = 0
 
     def solve():
-        t = pa.Table.from_batches(held)
-        return _answers(t.column("bytes").to_pylist(), t.column("lo").to_numpy(), t.column("hi").to_numpy())
-
-    for _, group in common.whole_groups(batches, "h"):
-        if len(group) > HOT or group.column("salt")[0].as_py() >= 0:
-            yield _hot(group)
-        elif len(group) > 1:
-            held.append(group.select(["bytes", "lo", "hi"]))
-            size += len(group)
+        return _answers([s for part, _, _ in held for s in part], *(np.concatenate([x[k] for x in held]) for k in (1, 2)))
+
+    for rows, crowded in _whole(batches):
+        h, lo, hi = (rows.column(c).to_numpy() for c in ("h", "lo", "hi"))
+        strings = rows.column("bytes").to_pylist()
+        edge = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+        members = np.repeat(np.diff(edge), np.diff(edge))
+        hot = (rows.column("salt").to_numpy() >= 0) | crowded | (members > HOT)
+        alone = np.flatnonzero(~hot & (members == 1) & (lo != hi))  # one string: its transform has only its own windows; with one document, nothing
+        many, hot = np.flatnonzero(~hot & (members > 1)), np.flatnonzero(hot)
+        if len(hot):
+            yield _hot([strings[k] for k in hot], lo[hot], hi[hot])
+        if len(alone):
+            yield _copies([strings[k] for k in alone], lo[alone])
+        first = 0
+        for end in [*(np.flatnonzero(h[many][1:] != h[many][:-1]) + 1).tolist(), len(many)]:
+            if size + end - first >= BATCH or end == len(many) > first:
+                own = many[first:end]
+                held.append(([strings[k] for k in own], lo[own], hi[own]))
+                size += end - first
+                first = end
             if size >= BATCH:
                 yield solve()
                 held, size = [], 0
-        elif group.column("lo")[0] != group.column("hi")[0]:  # one string: its transform has only its own windows; else one document's
-            alone.append((group.column("bytes")[0].as_py(), group.column("lo")[0].as_py()))
-            if len(alone) >= 8 * BATCH:
-                yield _copies(alone)
-                alone.clear()
     if held:
         yield solve()
-    if alone:
-        yield _copies(alone)
 
 
 def _windows(batches):
@@ -236,17 +267,16 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.withColumn("t", F.xxhash64("text"))
     both, often = screen.shared(rows, "text", anchor_hashes, SCREEN_BITS, OFTEN)
     twice, hot = sc.broadcast(both), sc.broadcast(often)
-    common.tidy(spark)
     found = _found(rows, twice, hot).repartition("h", "salt").groupBy("h", "salt", "bytes").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     solved = common.written(common.arrow_map(found.sortWithinPartitions("h").select("h", "salt", "bytes", "lo", "hi"), _collections, _ANSWER), "answers")
-    common.tidy(spark)
     answers = solved.filter("gid is not null").select("gid", "a", "b", "first")
     left = solved.filter("gid is null").select("bytes", "lo", "hi")
     if left.limit(1).count():
         answers = answers.unionByName(common.written(_one_by_one(left), "one-by-one"))
     answered = sc.broadcast(screen.of_values(answers, "gid", SCREEN_BITS))
     places = _places(rows, twice, answered)
-    runs = answers.groupBy("gid").agg(F.collect_list(F.struct("a", "b", "first")).alias("runs"))
+    # written first, so that Spark can split the places of a segment that very many documents have
+    runs = common.written(answers.groupBy("gid").agg(F.collect_list(F.struct("a", "b", "first")).alias("runs")), "runs")
     met = places.join(runs, "gid").select("id", "t", "start", F.explode("runs").alias("run")).filter("run.first < id")
     spans = F.struct((F.col("start") + F.col("run.a")).alias("a"), (F.col("start") + F.col("run.b") + N).alias("b"))
     return met.groupBy("id", "t").agg(F.collect_set(spans).alias("spans"))
@@ -259,7 +289,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     null id lose nothing and take nothing. Empty docs give no rows; other columns are not read.
     """
     spans = common.written(repeated(docs, id_col, text_col), "spans")
-    common.tidy(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("t"), F.col(id_col).cast("long").alias("id"))
     rows = rows.join(spans, ["id", "t"], "left").select("__id", "__text", "spans")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
