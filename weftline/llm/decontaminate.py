@@ -1,8 +1,12 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, met by every token window of the texts.
 
-One pass over the texts, without Python: the words of a text are exploded, each position hashes its window of words and
-looks the hash up in the broadcast set, and a hit counts only if the words themselves agree. The only rows shuffled are
+One pass over the texts, without Python: the words of a text are cut into blocks that overlap by a window, each position of a
+block hashes its window and looks the hash up in the broadcast set, and a hit counts only if the words themselves agree. What
+a position carries is its block, so the work grows with a text's length and not with its square. The only rows shuffled are
 one for each text and one for each verified hit.
+
+Where the windows are too large to be broadcast, each position sends its hash alone (with the text's id and hash); the hashes
+that meet a window go back to the text, where the words are compared.
 """
 
 from __future__ import annotations
@@ -13,8 +17,10 @@ from pyspark.sql import functions as F
 from . import common
 
 N = 10
-#: Windows of the benchmark that are broadcast at most (about 200 bytes each); beyond it the windows are joined by a shuffle.
-MAX_BROADCAST = 400_000
+#: Bytes of the benchmark's windows that are broadcast at most; beyond it the windows are joined by a shuffle.
+MAX_BROADCAST = 80 << 20
+#: Positions of a block.
+BLOCK = 128
 GAP = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 CASED_GAP = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 
@@ -42,29 +48,28 @@ def _covered(spans: Column) -> Column:
 
 def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", bench_id: str = "item_id", bench_text: str = "text", n: int = N, carry: bool = False) -> DataFrame:
     """A row for each row of docs: id, n_words, n_hit, items (sorted strings), spans (start, len in words), and with carry the text."""
-    spark = docs.sparkSession
     grams = common.written(windows(bench, bench_id, bench_text, n), "windows")
-    sizes = {r[0]: r[1] for r in grams.groupBy("len").count().collect()}  # n lengths at most
+    weight = 24 * (1 + F.size("window") + F.size("items")) + F.octet_length(F.concat_ws("", "window", "items"))
+    sizes = {r[0]: r[1] for r in grams.groupBy("len").agg(F.sum(weight).alias("bytes")).collect()}  # n lengths at most
     lens = sorted(sizes) or [n]
-    grams = grams.withColumn("key", F.xxhash64(F.col("window")))
-    if sum(sizes.values()) <= MAX_BROADCAST:
-        grams = F.broadcast(grams)
+    grams = grams.withColumn("key", F.xxhash64("window"))
+    if sum(sizes.values()) > MAX_BROADCAST:
+        return _shuffled(docs, grams, lens, id_col, text_col, carry)
+    extra = ["__text"] if carry else []
     base = docs.select(F.col(id_col).alias("__id"), words(F.col(text_col)).alias("w"), *([F.col(text_col).alias("__text")] if carry else []))
     base = base.withColumn("__row", F.monotonically_increasing_id())
-    extra = ["__text"] if carry else []
-    spots = base.select("__row", "__id", "w", *extra, F.posexplode_outer("w").alias("pos", "word"))
-    if len(lens) == 1:
-        spots = spots.withColumn("size", F.lit(lens[0]))
-    else:
-        spots = spots.withColumn("size", F.explode(F.array(*map(F.lit, lens))))
-    here = F.slice("w", F.col("pos") + 1, F.col("size"))
-    spots = spots.withColumn("key", F.when(F.col("pos") + F.col("size") <= F.size("w"), F.xxhash64(here)))
-    met = spots.join(grams, (spots["key"] == grams["key"]) & (F.slice(spots["w"], spots["pos"] + 1, spots["size"]) == grams["window"]), "left")
-    first = (F.coalesce("pos", F.lit(0)) == 0) & (F.col("size") == lens[0])
-    met = met.filter(first | F.col("items").isNotNull()).select(
-        "__row", "__id", F.size("w").cast("long").alias("n_words"), "items",
-        F.when(F.col("items").isNotNull(), F.struct(F.col("pos").alias("start"), F.col("len"))).alias("span"),
-        *[F.when(first, F.col(c)).alias(c) for c in extra],
+    # a text's blocks, and before them a part without words that stands for the text itself
+    part = lambda at, block, *more: F.struct(at.alias("at"), block.alias("block"), *more)
+    text = lambda c: [c.alias("__text")] if carry else []
+    head = F.array(part(F.lit(-1), F.array().cast("array<string>"), *text(F.col("__text"))))
+    parts = base.select("__row", "__id", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(head, blocks("w", lens[-1], lambda at, block: part(at, block, *text(F.lit(None).cast("string")))))).alias("part"))
+    spots = parts.select("__row", "__id", "n_words", "part.*", F.explode_outer(positions("part.block")).alias("p"))
+    spots = spots.withColumn("size", F.explode(F.array(*map(F.lit, lens))) if len(lens) > 1 else F.lit(lens[0]))
+    here = F.slice("block", F.col("p") + 1, F.col("size"))
+    spots = spots.withColumn("key", F.when(F.col("p") + F.col("size") <= F.size("block"), F.xxhash64(here)))
+    met = spots.join(F.broadcast(grams), (spots["key"] == grams["key"]) & (F.slice(spots["block"], spots["p"] + 1, spots["size"]) == grams["window"]), "left")
+    met = met.filter((F.col("at") < 0) & (F.col("size") == lens[0]) | F.col("items").isNotNull()).select(
+        "__row", "__id", "n_words", "items", F.when(F.col("items").isNotNull(), F.struct((F.col("at") + F.col("p")).alias("start"), "len")).alias("span"), *extra,
     )
     out = met.groupBy("__row").agg(
         F.max("__id").alias("__id"), F.max("n_words").alias("n_words"), F.collect_set("span").alias("spans"),
@@ -74,6 +79,33 @@ def hits(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: st
     return out.select(F.col("__id").alias(id_col), "n_words", _covered(F.col("spans")).cast("long").alias("n_hit"), "items", F.array_sort("spans").alias("spans"), *extra)
 
 
+def blocks(w: str, longest: int, part) -> Column:
+    """The words in runs of BLOCK, each with the longest - 1 words after it, so that every window lies in one; none for no words."""
+    at = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1, F.lit(BLOCK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: part(i, F.slice(w, i + 1, F.lit(BLOCK + longest - 1))))
+
+
+def positions(block: str) -> Column:
+    """0 to BLOCK - 1, as far as the block has words; null for none."""
+    return F.when(F.size(block) > 0, F.sequence(F.lit(0), F.least(F.size(block), F.lit(BLOCK)) - 1))
+
+
+def _shuffled(docs: DataFrame, grams: DataFrame, lens: list[int], id_col: str, text_col: str, carry: bool) -> DataFrame:
+    """hits() by joins: positions go as hashes, and the words are compared where the text is."""
+    base = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("t"), words(F.col(text_col)).alias("w"), *([F.col(text_col).alias("__text")] if carry else []))
+    parts = base.select("__id", "t", F.explode(blocks("w", lens[-1], lambda at, block: F.struct(at.alias("at"), block.alias("block")))).alias("part"))
+    spots = parts.select("__id", "t", "part.*", F.explode(positions("part.block")).alias("p")).withColumn("size", F.explode(F.array(*map(F.lit, lens))))
+    spots = spots.filter(F.col("p") + F.col("size") <= F.size("block")).select(
+        F.col("__id").alias("i"), F.col("t").alias("u"), (F.col("at") + F.col("p")).alias("start"), F.xxhash64(F.slice("block", F.col("p") + 1, F.col("size"))).alias("key"))
+    met = spots.join(grams, "key").groupBy("i", "u").agg(F.collect_set(F.struct("start", "len", "window", "items")).alias("met"))
+    out = base.join(met, base["__id"].eqNullSafe(met["i"]) & (base["t"] == met["u"]), "left")
+    true = F.filter(F.coalesce("met", F.array()), lambda m: F.slice(F.col("w"), m["start"] + 1, m["len"]) == m["window"])
+    out = out.withColumn("true", true)
+    spans = F.array_sort(F.array_distinct(F.transform("true", lambda m: F.struct(m["start"].alias("start"), m["len"].alias("len")))))
+    out = out.withColumns({"spans": spans, "items": F.array_sort(F.array_distinct(F.flatten(F.transform("true", lambda m: m["items"]))))})
+    return out.select(F.col("__id").alias(id_col), F.size("w").cast("long").alias("n_words"), _covered(F.col("spans")).cast("long").alias("n_hit"), "items", "spans", *(["__text"] if carry else []))
+
+
 def report(docs: DataFrame, bench: DataFrame, **names) -> DataFrame:
     """A row for each row of docs: its id, n_words, n_hit, n_items, items_sha256, contaminated.
 
