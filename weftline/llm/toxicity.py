@@ -98,31 +98,35 @@ def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merg
     between = [c for c in signs if c[0] in SEPARATORS]
     filler = max(sorted(set(between)), key=between.count, default="")
     table, b3 = lm.table, SYMBOLS**3
-    # state: the last three symbols, the last sign; value: score, text
-    states = {(0, "", False): (0.0, "")}
+    # state: the last three symbols, the last sign, whether that is a word alone so far; value: score, and the reading as linked letters
+    states: dict = {(0, "", False): (0.0, None)}
     for sign in [*signs, " "]:
         closing = sign[0] in SEPARATORS or sign.isspace()
         reads = ([(sign, 0.0)] if sign.isalpha() else []) + [(c, -swap) for c in LEET.get(sign, "")]
         after: dict = {}
 
-        def offer(key, score, text, after=after):
+        def offer(key, score, read, letter="", after=after):
             if key not in after or after[key][0] < score:
-                after[key] = (score, text)
+                after[key] = (score, (read, letter) if letter else read)
 
-        for (context, last, single), (score, text) in states.items():
+        for (context, last, single), (score, read) in states.items():
             if closing or not reads:
                 step = float(table[context * SYMBOLS]) if context % SYMBOLS else 0.0
                 split = odd if single and sign == filler else 0.0
-                offer(((context * SYMBOLS) % b3 if context % SYMBOLS else context, "", False), score + step - split, text + " ")
+                offer(((context * SYMBOLS) % b3 if context % SYMBOLS else context, "", False), score + step - split, read, " ")
                 if closing and single:  # a separator between spaced letters
-                    offer((context, "", False), score - cut - (0.0 if sign == filler else odd), text)
+                    offer((context, "", False), score - cut - (0.0 if sign == filler else odd), read)
             for letter, cost in reads:
                 symbol = ord(letter) - 96 if "a" <= letter <= "z" else 27
-                if last[:1] == sign and text.endswith(letter):
-                    offer((context, sign + sign, False), score - (pair if last == sign else merge), text)
-                offer(((context * SYMBOLS + symbol) % b3, sign, last == ""), score + cost + float(table[context * SYMBOLS + symbol]), text + letter)
+                if last[:1] == sign and read and read[1] == letter:
+                    offer((context, sign + sign, False), score - (pair if last == sign else merge), read)
+                offer(((context * SYMBOLS + symbol) % b3, sign, last == ""), score + cost + float(table[context * SYMBOLS + symbol]), read, letter)
         states = after
-    return " ".join(max(states.values())[1].split())
+    out, read = [], max(states.values(), key=lambda x: x[0])[1]
+    while read:
+        out.append(read[1])
+        read = read[0]
+    return " ".join("".join(reversed(out)).split())
 
 
 _SIGNS = re.compile(r"[ .\-_*]+|.", re.S)
@@ -144,6 +148,8 @@ _PART = np.zeros(256, bool)
 _PART[[ord(c) for c in SEPARATORS]] = True
 _LOUD = np.zeros(256, bool)
 _LOUD[[ord(c) for c in "@$!|+(&%*#"]] = True
+#: Characters of the longest place whose reading is kept for the next time.
+REMEMBERED = 200
 JOIN, JOIN_SIGN = 6.0, 2.0  # how much likelier a joined word must be than its chunks, as a logarithm: across a blank, and across a sign
 
 
@@ -193,12 +199,13 @@ class Restorer:
         self.lm, self.most, self.known = lm, most, {}
 
     def read(self, written: str) -> str:
+        """The reading of a place, decoded as a whole however long it is; short ones are remembered."""
+        if len(written) > REMEMBERED:
+            return decode(written, self.lm)
         if written not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()
-            # a long place is read in parts that overlap, so that time stays linear and no reading is lost
-            parts = [written[k : k + 160] for k in range(0, max(1, len(written) - 32), 128)]
-            self.known[written] = " ".join(decode(p, self.lm) for p in parts)
+            self.known[written] = decode(written, self.lm)
         return self.known[written]
 
     def __call__(self, text: str) -> str:
