@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 from . import common
 
 BITS, DIM, ORDERS = 16, 16, (3, 4)
-#: The bounds of the sample: documents a language, and bytes of a document that may be in it.
-MAX_DOCS, MAX_BYTES = 1000, 32768
+#: The bounds of the sample: documents a language, bytes of a document that may be in it, and pieces of all of them together.
+MAX_DOCS, MAX_BYTES, MAX_PIECES = 1000, 32768, 12000
 MULT = {3: np.uint32(2654435761), 4: np.uint32(2246822519)}
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -74,8 +74,8 @@ def softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def pieces(texts: list[str], labels: np.ndarray, rng: np.random.Generator, most: int = 12000) -> tuple[list[bytes], np.ndarray]:
-    """Pieces of 12 to 240 bytes at places drawn over the whole of each text, as many from each."""
+def pieces(texts: list[str], labels: np.ndarray, rng: np.random.Generator, most: int = MAX_PIECES) -> tuple[list[bytes], np.ndarray]:
+    """Pieces of 12 to 240 bytes at places drawn over the whole of each text, as many from each: about `most` in all, 1 to 8 a text."""
     each = max(1, min(8, most // max(1, len(texts))))
     out, who = [], []
     for text, y in zip(texts, labels, strict=True):
@@ -92,13 +92,13 @@ def packed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
 
 
-def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 1.5, batch: int = 64, seed: int = 7, target: float = 0.99) -> Model | None:
-    """A model of the labelled texts; None where there is none."""
+def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 1.5, batch: int = 64, seed: int = 7, target: float = 0.99, max_pieces: int = MAX_PIECES) -> Model | None:
+    """A model of the labelled texts, learned from about max_pieces pieces of them; None where there is none."""
     if not texts:
         return None
     names = sorted(set(langs))
     rng = np.random.default_rng(seed)
-    x, y = pieces(texts, np.array([names.index(v) for v in langs]), rng)
+    x, y = pieces(texts, np.array([names.index(v) for v in langs]), rng, max_pieces)
     order = rng.permutation(len(x))
     back = order[: max(1, len(x) // 10)] if len(x) >= 20 else order
     train = order[len(x) // 10 :] if len(x) >= 20 else order
@@ -141,13 +141,14 @@ def fit(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 1.5,
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model | None:
-    """Learns from text and non-null lang of documents that are not held out, at most about max_docs a language, of at most max_bytes."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES, max_pieces: int = MAX_PIECES) -> Model | None:
+    """Learns from text and non-null lang of documents that are not held out: at most about max_docs a language, of at most max_bytes, and of
+    their texts about max_pieces short pieces (at least one and at most eight a text) at places drawn over the whole text."""
     ok = F.col(id_col).isNotNull() & ~common.held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()
     rows = docs.filter(ok).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     got = common.bounded_sample(rows, "id", max_docs, "lang").filter(F.octet_length("text") <= max_bytes).collect()
     got.sort(key=lambda r: (str(r["id"]), r["lang"], r["text"]))
-    return fit([r["text"] for r in got], [r["lang"] for r in got])
+    return fit([r["text"] for r in got], [r["lang"] for r in got], max_pieces=max_pieces)
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

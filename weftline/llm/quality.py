@@ -135,11 +135,14 @@ def fit(texts: list[str], labels: list[int], epochs: int = 3, alpha: float = 0.1
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text", stratified: bool = False) -> tuple[list[str], list[int], dict]:
-    """Texts and labels of at most about max_docs labelled documents (a label, if stratified) that are not held out, and the labels' counts."""
+    """Texts and labels of at most about max_docs labelled documents (a label, if stratified) that are not held out, and the labels' counts.
+
+    Of rows that repeat an id the least text counts, so what the driver gets is bounded by the ids.
+    """
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~common.held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
     chosen = common.bounded_sample(known, "id", max_docs, "y" if stratified else None)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    got = rows.join(F.broadcast(chosen), "id").collect()  # chosen has a bounded number of ids
+    got = rows.join(F.broadcast(chosen.distinct()), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()  # chosen has a bounded number of ids
     got.sort(key=lambda r: (str(r["id"]), r["y"], r["text"]))
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()} if stratified else {}
     return [r["text"] for r in got], [r["y"] for r in got], counts
