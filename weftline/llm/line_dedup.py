@@ -4,7 +4,10 @@ The index has three tables. refs: each key (16-byte hash of a line's key) with t
 smallest of them; pairs: which document holds which key, so that deletions can be undone exactly; filters: a cuckoo filter
 for each shard of the keys. A shard takes what arrives in batches: what its filter doesn't know is new and goes straight
 into its table, what the filter knows is looked up there and only then counted. Deleting documents takes their counts and
-fingerprints out again.
+fingerprints out again. Insertions and deletions write the shards that they hit and no others.
+
+Keys are equal when the 128-bit hashes of the lines' keys are: among a million million lines two unlike ones meet with a
+chance of about one in 10^15.
 
 Keys are counted before they are dealt out (a batch of documents sends a key once), so a line that is in a third of all
 documents reaches its shard as a few rows; the few keys that hold more than a HEAVY-th of all pairs are joined by broadcast.
@@ -27,6 +30,8 @@ from . import common
 from .cuckoo import Cuckoo, Full
 
 MIN_POINTS, HEAVY = 10, 5000
+#: Pairs of document and key for each shard: what a task holds grows with this and not with the input.
+SHARD_PAIRS = 500_000
 STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -162,20 +167,31 @@ def _run_shards(counted: DataFrame, shards: int, doc_type) -> DataFrame:
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> Index:
-    """The index of docs."""
+    """The index of docs; there are as many shards as hold about SHARD_PAIRS pairs each, so that a task's table is bounded."""
     spark = docs.sparkSession
     pairs = common.written(line_pairs(docs, id_col, text_col), "pairs")
-    shards = shards or common.shuffle_partitions(spark)
+    shards = shards or max(common.shuffle_partitions(spark), -(-pairs.count() // SHARD_PAIRS))
     part = pairs.select(shard_of(shards).alias("shard"), "key", "doc_id", F.spark_partition_id().alias("p"))
     counted = part.groupBy("shard", "key", F.pmod("p", F.lit(16)).alias("p")).agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("first"))
     state = common.written(_run_shards(counted, shards, pairs.schema["doc_id"].dataType), "refs")
     return Index(pairs, state.filter("key is not null").drop("cells"), state.filter("key is null").select(F.col("shard").alias("shard"), F.col("cells").alias("cells")), shards)
 
 
+def _split(df: DataFrame, hit: list[int]) -> tuple[DataFrame, DataFrame]:
+    """The rows of the shards that are hit, and the others, as they are stored."""
+    return df.filter(F.col("shard").isin(hit)), df.filter(~F.col("shard").isin(hit))
+
+
+def _hit(df: DataFrame) -> list[int]:
+    """The shards of df's rows: numbers under the index's count of shards."""
+    return sorted(r[0] for r in df.select("shard").distinct().collect())
+
+
 def insert(index: Index, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The index with the documents of docs, whose ids must be new to it, added.
 
-    Each shard's filter tells which of the new keys it can't hold; only the others are looked up in the exact table.
+    Each shard's filter tells which of the new keys it can't hold; only the others are looked up in the exact table. Shards
+    without a new key stay as they are stored, and so do the pairs that there were; compact() brings all into single tables.
     """
     more = common.written(line_pairs(docs, id_col, text_col), "pairs")
     counted = more.groupBy("key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("first")).withColumn("shard", shard_of(index.shards))
@@ -188,56 +204,73 @@ def insert(index: Index, docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     probed = counted.select("shard", "key", "refs", "first").groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInPandas(probe, flag)
     probed = common.written(probed, "probed")
-    fresh = probed.filter("not maybe").drop("maybe")
-    both = index.refs.select("shard", "key", "refs", "first").unionByName(probed.filter("maybe").drop("maybe"))
-    merged = both.groupBy("shard", "key").agg(F.sum("refs").alias("refs"), F.min("first").alias("first")).unionByName(fresh)
-    merged = common.written(merged, "refs")
-    return Index(common.written(index.pairs.unionByName(more), "pairs"), merged, _add(index, fresh, probed.filter("maybe").join(index.refs.select("key"), "key", "left_anti")), index.shards)
-
-
-def _add(index: Index, fresh: DataFrame, false_hits: DataFrame) -> DataFrame:
-    """The filters with the keys that are new."""
+    hit = _hit(probed)
+    on, off = _split(index.refs.select("shard", "key", "refs", "first"), hit)
+    asked = probed.filter("maybe").drop("maybe")
+    met = common.written(asked.join(on.select("key", F.col("refs").alias("r"), F.col("first").alias("f")), "key", "left"), "met")  # the filter may err: r is null then
+    known = met.filter("r is not null").select("shard", "key", (F.col("refs") + F.col("r")).alias("refs"), F.least("first", "f").alias("first"))
+    new = probed.filter("not maybe").drop("maybe").unionByName(met.filter("r is null").select("shard", "key", "refs", "first"))
+    changed = common.written(on.join(known.select("key"), "key", "left_anti").select(*known.columns).unionByName(known).unionByName(new), "refs")
+    filters, others = _split(index.filters, hit)
+    return Index(index.pairs.unionByName(more), off.unionByName(changed), others.unionByName(_grown(filters, new, changed)), index.shards)
+
+
+def _grown(filters: DataFrame, new: DataFrame, refs: DataFrame) -> DataFrame:
+    """The filters with the keys that are new; a filter that is full is built again, twice as large, from its exact table."""
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("cells", T.BinaryType())])
-    new = fresh.select("shard", "key").unionByName(false_hits.select("shard", "key"))
-    old = index.refs.select("shard", "key")
 
-    def put(key, own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
+    def put(key, added: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         f = Cuckoo.from_bytes(cells["cells"].iloc[0]) if len(cells) else Cuckoo(1024)
-        added = own.loc[own["new"], "key"]
         try:
-            if len(added):
-                f.insert(Shard.marks(list(added)))
+            f.insert(Shard.marks(list(added["key"])) if len(added) else np.zeros(0, np.uint64))
         except Full:
-            s = Shard(None, dict.fromkeys(own["key"]))
-            s._grow()
-            f = s.filter
+            return pd.DataFrame({"shard": [key[0]], "cells": [None]})
         return pd.DataFrame({"shard": [key[0]], "cells": [f.to_bytes()]})
 
-    keys = old.withColumn("new", F.lit(False)).unionByName(new.withColumn("new", F.lit(True)))
-    return common.written(keys.groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInPandas(put, schema), "filters")
+    def again(key, own: pd.DataFrame) -> pd.DataFrame:
+        s = Shard(None, dict.fromkeys(own["key"]))
+        s._grow()
+        return pd.DataFrame({"shard": [key[0]], "cells": [s.filter.to_bytes()]})
+
+    grown = common.written(new.select("shard", "key").groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(put, schema), "filters")
+    full = _hit(grown.filter("cells is null"))
+    if not full:
+        return grown
+    larger = refs.filter(F.col("shard").isin(full)).select("shard", "key").groupBy("shard").applyInPandas(again, schema)
+    return grown.filter("cells is not null").unionByName(common.written(larger, "filters"))
 
 
 def delete(index: Index, ids: DataFrame, id_col: str = "doc_id") -> Index:
-    """The index without the documents whose ids are given, as if they had never been inserted."""
-    gone_ids = ids.select(F.col(id_col).alias("doc_id")).distinct()
-    left = common.written(index.pairs.join(gone_ids, "doc_id", "left_anti"), "pairs")
-    hurt = index.pairs.join(gone_ids, "doc_id", "left_semi").select("key").distinct()
-    again = left.join(hurt, "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("first"))
-    again = again.withColumn("shard", shard_of(index.shards)).select("shard", "key", "refs", "first")
-    refs = common.written(index.refs.join(hurt, "key", "left_anti").select("shard", "key", "refs", "first").unionByName(again), "refs")
-    dead = hurt.join(left.select("key"), "key", "left_anti").withColumn("shard", shard_of(index.shards))
+    """The index without the documents whose ids are given, as if they had never been inserted.
+
+    Only the shards of their keys are written anew; their pairs are left out when pairs are read, until compact().
+    """
+    gone = common.written(ids.select(F.col(id_col).alias("doc_id")).distinct(), "gone")
+    left = index.pairs.join(gone, "doc_id", "left_anti")
+    hurt = index.pairs.join(gone, "doc_id", "left_semi").select("key").distinct().withColumn("shard", shard_of(index.shards))
+    hurt = common.written(hurt, "hurt")
+    hit = _hit(hurt)
+    again = left.join(hurt.select("key"), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc_id").alias("first"))
+    again = common.written(again.withColumn("shard", shard_of(index.shards)).select("shard", "key", "refs", "first"), "again")
+    on, off = _split(index.refs.select("shard", "key", "refs", "first"), hit)
+    changed = common.written(on.join(hurt.select("key"), "key", "left_anti").select(*again.columns).unionByName(again), "refs")
+    dead = hurt.join(again.select("key"), "key", "left_anti").select("shard", "key")
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("cells", T.BinaryType())])
 
     def take(key, own: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
-        if not len(cells):
-            return pd.DataFrame({"shard": [], "cells": []})
         f = Cuckoo.from_bytes(cells["cells"].iloc[0])
         if len(own):
             f.delete(Shard.marks(list(own["key"])))
         return pd.DataFrame({"shard": [key[0]], "cells": [f.to_bytes()]})
 
-    filters = common.written(dead.groupBy("shard").cogroup(index.filters.groupBy("shard")).applyInPandas(take, schema), "filters")
-    return Index(left, refs, filters, index.shards)
+    filters, others = _split(index.filters, hit)
+    taken = common.written(dead.groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(take, schema), "filters")
+    return Index(left, off.unionByName(changed), others.unionByName(taken), index.shards)
+
+
+def compact(index: Index) -> Index:
+    """The same index in three tables, after many insertions and deletions."""
+    return Index(common.written(index.pairs, "pairs"), common.written(index.refs, "refs"), common.written(index.filters, "filters"), index.shards)
 
 
 def drops(index: Index) -> DataFrame:
