@@ -14,6 +14,9 @@ Links are pairs of documents whose sets of word shingles are within Jaccard dist
    triangle inequality, to every region whose pivot is at most 2 EPS further; regions that are still too large are joined in
    blocks.
 
+Sets are told apart by 64-bit ids, which a second id of each set verifies; if two unlike sets ever share one, all ids are made
+anew from another seed. Shingles are compared by 64-bit hashes.
+
 Only components are asked for, so a group of m near copies takes about m comparisons and m rows, never m squared.
 """
 
@@ -100,10 +103,10 @@ def ordered(own: np.ndarray, late: screen.Screen) -> np.ndarray:
     return np.concatenate([own[~m], own[m]])[: window(len(own))] if len(own) else own
 
 
-def set_id(own: np.ndarray) -> int:
-    """A 64-bit identifier of a set."""
+def set_id(own: np.ndarray, seed: int = 0) -> int:
+    """A 64-bit identifier of a set; another seed gives another, unrelated one."""
     with np.errstate(over="ignore"):
-        h = np.uint64(len(own)) * _C[2] + np.sum(finish(own * _C[3] + _C[0]), dtype=np.uint64)
+        h = np.uint64(len(own)) * _C[2] + np.sum(finish(own * _C[3] + _C[0] + np.uint64(seed) * _C[1]), dtype=np.uint64)
     return int(finish(np.array([h], np.uint64)).view(np.int64)[0])
 
 
@@ -152,8 +155,8 @@ def late_shingles(docs: DataFrame, text_col: str) -> screen.Screen:
     return screen.of_values(many.filter(F.col("n") >= COMMON), "h", ORDER_BITS)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, node (set id, null for an empty set), n, window (shingles that screens let through) and histogram of each row."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
+    """doc_id, node (set id, null for an empty set), check (another id), n, window (shingles that screens let through) and histogram of each row."""
     sc = docs.sparkSession.sparkContext
     late = sc.broadcast(late_shingles(docs, text_col))
 
@@ -163,20 +166,21 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     once, _ = screen.shared(docs, text_col, hashes, SCREEN_BITS)
     twice = sc.broadcast(once)
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("window", T.ArrayType(T.LongType())), T.StructField("histogram", T.BinaryType())])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("node", T.LongType()), T.StructField("check", T.LongType()), T.StructField("n", T.LongType()), T.StructField("window", T.ArrayType(T.LongType())), T.StructField("histogram", T.BinaryType())])
 
     def run(batches):
         for batch in batches:
             for first, end, raw, starts in common.byte_blocks(common.binary_texts(batch, "__text")):
-                nodes, sizes, windows, histograms = [], [], [], []
+                nodes, checks, sizes, windows, histograms = [], [], [], [], []
                 for own in shingle_sets(raw, starts):
                     w = ordered(own, late.value)
                     w = w[twice.value.has(w)]
-                    nodes.append(set_id(own) if len(own) else None)
+                    nodes.append(set_id(own, seed) if len(own) else None)
+                    checks.append(set_id(own, seed + 1) if len(own) else None)
                     sizes.append(len(own))
                     windows.append(w.view(np.int64))
                     histograms.append(histogram(own) if len(w) else None)
-                yield pa.RecordBatch.from_arrays([batch.column("__id").slice(first, end - first), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(windows, pa.list_(pa.int64())), pa.array(histograms, pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column("__id").slice(first, end - first), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(sizes, pa.int64()), pa.array(windows, pa.list_(pa.int64())), pa.array(histograms, pa.binary())], schema.names)
 
     return common.written(common.arrow_map(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), run, schema), "signatures")
 
@@ -355,7 +359,7 @@ def _divide(big: DataFrame) -> DataFrame:
     return found.unionByName(more.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")))
 
 
-def exact_labels(docs: DataFrame, loose: DataFrame, text_col: str) -> DataFrame:
+def exact_labels(docs: DataFrame, loose: DataFrame, text_col: str, seed: int = 0) -> DataFrame:
     """node and label of the nodes with links."""
     spark = docs.sparkSession
     wanted = spark.sparkContext.broadcast(screen.of_values(loose, "node", ORDER_BITS))
@@ -365,7 +369,7 @@ def exact_labels(docs: DataFrame, loose: DataFrame, text_col: str) -> DataFrame:
         for batch in batches:
             for _, _, raw, starts in common.byte_blocks(common.binary_texts(batch, "text")):
                 sets = [x for x in shingle_sets(raw, starts) if len(x)]
-                nodes = np.array([set_id(x) for x in sets], np.int64)
+                nodes = np.array([set_id(x, seed) for x in sets], np.int64)
                 keep = [k for k in np.flatnonzero(wanted.value.has(nodes.view(np.uint64))) if nodes[k] not in sent] if len(sets) else []
                 if len(sent) < 200_000:
                     sent.update(nodes[keep].tolist())
@@ -391,9 +395,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are linked. Rows that repeat an id are alike; a null id takes part, but names a component only if no other id does.
     Empty docs give no rows; other columns are not read.
     """
-    sigs = signatures(docs, id_col, text_col)
-    labels = exact_labels(docs, loose_components(sigs), text_col)
-    nodes = sigs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m"))
+    for seed in range(0, 200, 2):
+        sigs = signatures(docs, id_col, text_col, seed)
+        nodes = sigs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("m"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+        nodes = common.written(nodes, "nodes")
+        if not nodes.filter("lo <> hi").limit(1).count():
+            break
+        common.unwrite(sigs)  # two unlike sets have one id: another seed tells them apart
+    labels = exact_labels(docs, loose_components(sigs), text_col, seed)
     named = nodes.join(labels, "node", "left").select("node", "least", "m", F.coalesce("label", "node").alias("label"))
     tops = named.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("m").alias("size"))
     map_ = named.join(tops.filter("size > 1"), "label").select("node", "component_id")
