@@ -102,6 +102,14 @@ def unwrite(df: DataFrame) -> None:
     drop_path(df.sparkSession, df.written_to)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, or name with as many underscores before it as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

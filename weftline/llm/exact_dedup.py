@@ -1,9 +1,10 @@
 """Exact dedup as a tree-merge of sorted digest runs, in DataFrame operations only.
 
 Every row gets a digest of its normalised text and a run number. A run is first reduced to one entry a digest; then, in
-rounds, FAN neighbouring runs at a time are merged into one (a binomial tree of merges where FAN is 2), each merge keeping
-the smallest identifier of a digest and its count, until one run is left. Its answers go down the same tree to the rows.
-An entry of min(struct) type makes Spark merge by sort, so that runs are sorted by digest and met in order.
+rounds, run r takes the FAN - 1 runs that differ from it in the next bits of their number (four rounds of a binomial tree at
+once where FAN is 16), a multiway merge that keeps the smallest identifier of a digest and its count, until one run is left.
+Its answers go down the same tree to the rows. An entry of min(struct) type makes Spark merge by sort, so that runs are
+sorted by digest and met in order. An entry is merged with another only if SHA-256, length and a second hash all agree.
 
 No task ever holds a group of copies: at each level at most FAN entries share a key, and a leaf run is a bounded share of
 the rows, so a group of copies that is a third of the table is met as a few entries a run.
@@ -80,9 +81,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text an earlier id holds; all columns stay, and so do rows with a null id."""
     gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept") & F.col("doc_id").isNotNull())
-    gone = gone.select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias("__digest")).distinct()
-    marked = docs.withColumn("__digest", F.sha2(normalised(F.col(text_col)), 256))
-    return marked.join(gone, [id_col, "__digest"], "left_anti").select(docs.columns)
+    digest = common.unused(docs, "digest")
+    gone = gone.select(F.col("doc_id").alias(id_col), F.col("text_sha256").alias(digest)).distinct()
+    marked = docs.withColumn(digest, F.sha2(normalised(F.col(text_col)), 256))
+    return marked.join(gone, [id_col, digest], "left_anti").select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
