@@ -59,8 +59,8 @@ def test_taxonomy(spark):
     rails = [taxonomy.Guardrail(("bad",), "Home", "Desk", -5)]
     plain = {(r["id"], r["sub"]): r["score"] for r in taxonomy.scores(docs, "id", {"body": 2, "nav": 5}, terms).collect()}
     assert plain == {(1, "Desk"): 2 * 3 * 2, (1, "Light"): 5}
-    scored = taxonomy.scores(docs, "id", {"body": 2, "nav": 5}, terms, rails)
-    got = {r["id"]: r for r in taxonomy.classify(scored, docs, "id", F.lit(True), F.lit(True), F.lit(False)).collect()}
+    found = taxonomy.entries(docs, {"body": 2, "nav": 5}, terms, rails)
+    got = {r["id"]: r for r in taxonomy.classify(found, "id", F.lit(True), F.lit(True), F.lit(False)).collect()}
     assert (got[1]["sub"], got[1]["margin"], got[1]["confidence"]) == ("Desk", 7, "low")
     assert got[2]["broad"] == got[3]["broad"] == "Other / Unclassified" and got[3]["review"]
     assert taxonomy.extend(terms, [terms[0], taxonomy.Term("Home", "Desk", "bureau")])[-1].term == "bureau"
@@ -69,9 +69,9 @@ def test_taxonomy(spark):
 def test_page_evidence():
     e = evidence.parse(
         "<title>A &amp; B</title><body><h1>One<h1>Two</h1><script>var x='no'</script><script type='application/ld+json'>{\"@type\":\"Shop\",\"x\":[{\"name\":\"N\"}]}</script>"
-        "<meta property='og:description' content=' d  e '><a href='/in'>In side<a href='https://o.x/'>Out</a>", "https://h.x/p")
-    assert e["headings"] == "One | Two" and "no" not in e["body"] and e["description"] == "d e" and e["schema_text"] == "Shop N"
-    assert e["internal_links"] == ["https://h.x/in"] and e["external_links"] == ["https://o.x/"]
+        "<meta property='og:description' content=' d  e '><a href='/in'>In side<a href='/Shop/x'>S<b>h</b></a><a href='https://o.x/'>Out</a>", "https://h.x/p")
+    assert e["headings"] == "One | Two" and "no" not in e["body"] and e["description"] == "d e" and e["schema_text"] == "Shop | N"
+    assert e["nav"] == "In side | S h | Out" and e["internal_links"] == ["https://h.x/Shop/x"] and e["external_links"] == ["https://o.x/"]
     assert evidence.parse(None, None)["title"] == ""
 
 

@@ -43,7 +43,7 @@ def test_sets_and_urls(spark):
     assert one(spark, "https://WWW.Example.com:80/stores/oak?x=1", X.domain) == "example.com:80"
     assert one(spark, "shop.example.com/x", X.domain) == "shop.example.com"
     assert one(spark, "https://e.com/stores/oak?x=1", X.slug) == "oak"
-    assert one(spark, "https://r.e/?a=1&u=https%3A%2F%2Fx.y%2F", X.redirect_target) == "https://x.y/"
+    assert one(spark, "https://r.e/?a=1&url=https%3A%2F%2Fx.y%2F", X.redirect_target) == "https://x.y/"
     assert one(spark, None, X.domain) == ""
     assert one(spark, "TidalWorksUK24h", X.spaced_name) == "Tidal Works UK 24 h"
     assert one(spark, "  brk.b ", X.ticker) == "BRK-B"

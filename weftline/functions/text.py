@@ -103,14 +103,46 @@ def spaced_name(c: Column) -> Column:
     return F.when(t == "", F.coalesce(c, F.lit(""))).otherwise(t)
 
 
+def friendly_name(c: Column, names: dict[str, str] | None = None) -> Column:
+    """A name as people search for it: from names if it is there, else & spelt out, + a blank, no final .com, no marks, and split as spaced_name() does."""
+    t = clean(c)
+    out = F.regexp_replace(F.replace(F.replace(t, F.lit("&"), F.lit(" and ")), F.lit("+"), F.lit(" ")), "(?i)\\.com$", "")
+    out = clean(spaced_name(F.regexp_replace(out, "[™®]", "")))
+    return F.coalesce(renamed(t, names), out) if names else out
+
+
+def renamed(c: Column, names: dict[str, str]) -> Column:
+    """The new name of a text that has one in a short list, else null."""
+    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[c]
+
+
+def country_hint(c: Column) -> Column:
+    """What a search adds for a country: ` UK`, ` US` or nothing."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(F.contains(low, F.lit("united kingdom")), " UK").when(F.contains(low, F.lit("united states")), " US").otherwise("")
+
+
+#: Spellings of countries.
+COUNTRIES = {
+    "UnitedStates": "United States", "United States": "United States", "USA": "United States", "US": "United States", "UnitedKingdom": "United Kingdom", "United Kingdom": "United Kingdom",
+    "UK": "United Kingdom", "Canada(En)": "Canada", "Canada(Fr)": "Canada",
+}
+
+
+def country_items(c: Column, names: dict[str, str] = COUNTRIES) -> Column:
+    """The items of a delimited set of countries, each once, in one spelling."""
+    return unique_items(F.transform(split_items(c), lambda x: F.coalesce(renamed(x, names), x)))
+
+
 def first_filled(*cs: Column) -> Column:
     """The first text that isn't blank, else the empty text."""
     return F.coalesce(*[F.nullif(clean(c), F.lit("")) for c in cs], F.lit(""))
 
 
-def filled(*cs: Column) -> Column:
-    """Distinct texts that aren't blank, in order."""
-    return F.array_distinct(F.filter(F.array(*[clean(c) for c in cs]), lambda x: x != ""))
+def filled(*cs: Column, fallback: Column | None = None) -> Column:
+    """Distinct texts that aren't blank, in order; the fallback alone if there is none."""
+    found = F.array_distinct(F.filter(F.array(*[clean(c) for c in cs]), lambda x: x != ""))
+    return found if fallback is None else F.when(F.size(found) > 0, found).otherwise(F.filter(F.array(clean(fallback)), lambda x: x != ""))
 
 
 def cache_key(key: Column, *rest: Column) -> Column:
@@ -150,6 +182,31 @@ def slug(c: Column, part: str = "stores?") -> Column:
     return F.regexp_extract(F.coalesce(c, F.lit("")), f"/{part}/([^/?#]+)", 1)
 
 
+def last_slug(c: Column, part: str = "stores") -> Column:
+    """The last path segment if `part` is the one before it and not the first."""
+    path = F.regexp_replace(F.regexp_extract(F.coalesce(c, F.lit("")), "^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1), "/+$", "")
+    return F.regexp_extract(path, f"^.*/[^/]*/{part}/([^/]+)$", 1)
+
+
+def blocked_domain(url: Column, parts: Sequence[str]) -> Column:
+    """True where the domain holds one of some parts, and where there is none."""
+    d = domain(url)
+    return (d == "") | contains_any(d, parts)
+
+
+def domain_score(name: Column, url: Column, retail: Sequence[str], legal: Sequence[str]) -> Column:
+    """How well a domain fits a name: 5 for equal keys, 4 for the name within, 3 for the domain within (of four signs at least), else the
+    name's words of three letters that it holds. `com`, `co` and `net` are taken out of the domain wherever they stand."""
+    own, core = key_trimmed(name, retail, legal), alnum(domain(url))
+    for part in ("com", "co", "net"):
+        core = F.replace(core, F.lit(part), F.lit(""))
+    tokens = F.filter(F.split(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) >= 3)
+    return (
+        F.when((own == "") | (core == ""), 0).when(own == core, 5).when(F.contains(core, own), 4)
+        .when(F.contains(own, core) & (F.length(core) >= 4), 3).otherwise(F.size(F.filter(tokens, lambda t: F.contains(core, t))))
+    )
+
+
 def within_domains(dom: Column, domains: Sequence[str]) -> Column:
     """Equal to one of some domains or below one."""
     out = F.lit(False)
@@ -158,9 +215,22 @@ def within_domains(dom: Column, domains: Sequence[str]) -> Column:
     return out
 
 
-def redirect_target(url: Column, keys: Sequence[str] = ("url", "u", "target", "dest", "redirect")) -> Column:
-    """The first query value among keys that is itself a http URL."""
-    found = [F.url_decode(F.nullif(F.regexp_extract(url, f"[?&]{k}=([^&#]*)", 1), F.lit(""))) for k in keys]
+#: The query keys that hold a redirect's target, in order of preference.
+REDIRECT_KEYS = ("dest_url", "url", "redirect_url", "merchant_url", "target")
+
+
+def _unescaped(c: Column) -> Column:
+    """Percent escapes resolved; what isn't an escape stays as it is."""
+    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def redirect_target(url: Column, keys: Sequence[str] = REDIRECT_KEYS) -> Column:
+    """The first query value among keys that is itself a http URL once its escapes are resolved, twice as many are; blank for none."""
+    query = F.regexp_extract(url, "^[^?#]*\\?([^#]*)", 1)
+    found = []
+    for k in keys:
+        once = _unescaped(F.nullif(F.regexp_extract(query, f"(?:^|&){k}=([^&]+)", 1), F.lit("")))
+        found.append(_unescaped(F.replace(once, F.lit("+"), F.lit("%2B"))))
     return F.coalesce(*[F.when(is_http(x), x) for x in found], F.lit(""))
 
 
@@ -213,9 +283,14 @@ def card_fields(c: Column) -> Column:
 
 
 def phrase_count(text: Column, phrase: str) -> Column:
-    """Occurrences of a phrase: as a substring if it has a blank, -, ' or &, else between other than letters and digits."""
+    """Occurrences of a phrase (in lower case, without blanks at its ends): as a substring if it has a blank, -, ' or & then, else between
+    other than letters and digits; none of a blank phrase. text must be in lower case."""
+    phrase = phrase.lower().strip()
+    if not phrase:
+        return F.lit(0).cast("long")
     if any(s in phrase for s in " -'&"):
-        return ((F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))) / len(phrase)).cast("long")
+        n = (F.length(text) - F.length(F.replace(text, F.lit(phrase), F.lit("")))) / len(phrase)
+        return F.when(F.contains(text, F.lit(phrase)), n.cast("long")).otherwise(F.lit(0).cast("long"))
     return F.regexp_count(text, F.lit("(?<![a-z0-9])\\Q" + phrase + "\\E(?![a-z0-9])")).cast("long")
 
 

@@ -21,7 +21,10 @@ def keep_first(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
-    return best(df, keys, [-F.col(ordinal)])
+    """The row of each key with the highest ordinal, a number or a text; a null ordinal is the lowest."""
+    rest = [c for c in df.columns if c not in keys]
+    out = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(F.col(ordinal).isNotNull(), F.col(ordinal))).alias("__best"))
+    return out.select(*[c if c in keys else F.col(f"__best.{c}").alias(c) for c in df.columns])
 
 
 def joined_set(df: DataFrame, keys: Sequence[str], items: Column, ordinal: str, out: str, sep: str = "; ") -> DataFrame:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlparse
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,40 +14,58 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import workers
+from . import dedupe
 
 PAGE = T.StructType([
     T.StructField("title", T.StringType()), T.StructField("description", T.StringType()), T.StructField("schema_text", T.StringType()),
     T.StructField("nav", T.StringType()), T.StructField("headings", T.StringType()), T.StructField("body", T.StringType()),
     T.StructField("internal_links", T.ArrayType(T.StringType())), T.StructField("external_links", T.ArrayType(T.StringType())),
     T.StructField("anchors", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("href", T.StringType())]))),
+    T.StructField("items", T.ArrayType(T.StringType())), T.StructField("error", T.StringType()),
 ])
-#: Caps that are part of the evidence's definition: anchors, headings, characters of body and schema text, links.
-NAV, HEADINGS, BODY, SCHEMA, INTERNAL, EXTERNAL = 150, 30, 5000, 4000, 8, 20
+# Fixed values, part of the evidence's definition: anchors of the navigation and its characters, headings and theirs, characters of body and schema text, links.
+NAV, NAV_CHARS, HEADINGS, HEADING_CHARS, BODY, SCHEMA, INTERNAL, EXTERNAL = 150, 4000, 30, 2500, 5000, 4000, 8, 20
+# The keys of structured data that are read.
 _SCHEMA_KEYS = ("@type", "name", "category", "description", "brand")
-_SILENT = {"script", "style", "noscript", "template"}
+# Parts of a path that make an internal link one to a category.
+CATEGORY = (
+    "shop", "collections", "collection", "category", "categories", "products", "product", "men", "women", "kids", "shoes", "apparel", "beauty", "home", "electronics", "jewelry", "bags", "wallet",
+    "travel", "grill", "pest", "grocery", "audio",
+)
+# Parts of a path that make an internal link not worth reading.
+UNREAD = ("account", "login", "cart", "checkout", "privacy", "terms", "return", "shipping", "contact", "help", "support")
+_SILENT = {"script", "style", "noscript", "template", "svg", "iframe"}
 
 
 def schema_text(value) -> list[str]:
-    """Texts of the known keys of a JSON-LD tree, depth first."""
+    """Texts of the known keys of a JSON-LD tree, depth first, however deep it is."""
     out: list[str] = []
-    if isinstance(value, list):
-        for x in value:
-            out += schema_text(x)
-    elif isinstance(value, dict):
-        for key in _SCHEMA_KEYS:
-            v = value.get(key)
-            if isinstance(v, str):
-                out.append(v)
-            elif isinstance(v, list):
-                out += [x for x in v if isinstance(x, str)]
-            elif isinstance(v, dict) and isinstance(v.get("name"), str):
-                out.append(v["name"])
-        for v in value.values():
-            if isinstance(v, (list, dict)):
-                out += schema_text(v)
+    left = [value]
+    while left:
+        node = left.pop()
+        if isinstance(node, dict):
+            for key in _SCHEMA_KEYS:
+                v = node.get(key)
+                if isinstance(v, str):
+                    out.append(v)
+                elif isinstance(v, list):
+                    out += [x for x in v if isinstance(x, str)]
+                elif isinstance(v, dict) and isinstance(v.get("name"), str):
+                    out.append(v["name"])
+        inside = node.values() if isinstance(node, dict) else node if isinstance(node, list) else ()
+        left += reversed([x for x in inside if isinstance(x, (list, dict))])
     return out
 
 
+def _joined(parts: list[str]) -> str:
+    """Texts of nested elements with single blanks between."""
+    return " ".join(" ".join(parts).split())
+
+
+def _host(url: str) -> str:
+    return urlparse(url).netloc.lower().removeprefix("www.")
+
+
 class _Page(HTMLParser):
     """Texts by element; an element left open is closed by the next of its kind or by the end."""
 
@@ -56,10 +75,12 @@ class _Page(HTMLParser):
         self.meta: dict[str, str] = {}
         self.inside: str | None = None
         self.silent, self.ld, self.link, self.head = 0, None, None, None
+        self.items: list[list[str]] = []
+        self.open_items: list[list[str] | None] = []  # None: a list within an item
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
-        if tag == "script" and "ld+json" in a.get("type", ""):
+        if tag == "script" and "application/ld+json" in a.get("type", "").lower():
             self.ld = []
         if tag in _SILENT:
             self.silent += 1
@@ -70,6 +91,13 @@ class _Page(HTMLParser):
         elif tag == "a":
             self._close_link()
             self.link = [a.get("href", ""), []]
+        elif tag in ("ul", "ol"):
+            self.open_items.append(None)
+        elif tag == "li":
+            if self.open_items and self.open_items[-1] is not None:
+                self.open_items.pop()
+            self.items.append([])
+            self.open_items.append(self.items[-1])
         elif tag in ("h1", "h2", "h3"):
             self._close_head()
             self.head = []
@@ -78,7 +106,7 @@ class _Page(HTMLParser):
         if tag == "script" and self.ld is not None:
             try:
                 self.schema += schema_text(json.loads("".join(self.ld)))
-            except ValueError:
+            except (ValueError, RecursionError):
                 pass  # malformed JSON-LD is no evidence
             self.ld = None
         if tag in _SILENT:
@@ -87,17 +115,22 @@ class _Page(HTMLParser):
             self.inside = None
         elif tag == "a":
             self._close_link()
+        elif tag in ("ul", "ol") and None in self.open_items:
+            while self.open_items.pop() is not None:
+                pass
+        elif tag == "li" and self.open_items and self.open_items[-1] is not None:
+            self.open_items.pop()
         elif tag in ("h1", "h2", "h3"):
             self._close_head()
 
     def _close_link(self):
         if self.link:
-            self.anchors.append((" ".join("".join(self.link[1]).split()), self.link[0]))
+            self.anchors.append((_joined(self.link[1]), self.link[0]))
             self.link = None
 
     def _close_head(self):
         if self.head is not None:
-            self.headings.append(" ".join("".join(self.head).split()))
+            self.headings.append(_joined(self.head))
             self.head = None
 
     def handle_data(self, data):
@@ -105,10 +138,13 @@ class _Page(HTMLParser):
             self.ld.append(data)
         if self.silent:
             return
+        self.body.append(data)
         if self.inside == "title":
             self.title.append(data)
             return
-        self.body.append(data)
+        for item in self.open_items:
+            if item is not None:
+                item.append(data)
         if self.link:
             self.link[1].append(data)
         if self.head is not None:
@@ -120,42 +156,69 @@ class _Page(HTMLParser):
         self._close_head()
 
 
-def parse(html: str | None, url: str | None) -> dict:
-    """The evidence of one page; malformed input gives what could be read."""
-    p = _Page()
+def parse(html: str | None, url: str | None, blocked: Sequence[str] = ()) -> dict:
+    """The evidence of one page; malformed input gives what could be read, and error names what went wrong.
+
+    Internal links are those of the page's own domain to a path of CATEGORY; external ones those to another domain that has no
+    part of blocked. Both are distinct and in order; anchors without a href, or with one that is no URL, don't count.
+    """
+    p, error = _Page(), ""
     try:
         p.feed(html or "")
         p.done()
-    except (ValueError, AssertionError):
-        pass
-    links = []
+    except Exception as e:  # noqa: BLE001  one bad page must not end the job: it becomes a row with an error
+        error = type(e).__name__
+    own, links, inside, outside = "", [], [], []
+    try:
+        own = _host(url or "")
+    except ValueError:
+        error = error or "ValueError"
     for label, href in p.anchors:
+        if not (href := " ".join(href.split())):
+            continue
         try:
-            links.append((label, urljoin(url or "", href)))
+            full = urljoin(url or "", href)
+            host, path = _host(full), urlparse(full).path.lower()
         except ValueError:
             continue
-    host = (url or "").split("/")[2] if (url or "").count("/") >= 2 else ""
-    http = [h for _, h in links if h.startswith(("http://", "https://"))]
-    inside = list(dict.fromkeys(h for h in http if host and h.split("/")[2] == host))
-    outside = list(dict.fromkeys(h for h in http if h.split("/")[2] != host))
+        links.append((label, full))
+        if not full.lower().startswith(("http://", "https://")):
+            continue
+        if host and own and host != own and not any(part in host for part in blocked):
+            outside.append(full)
+        if host == own and any(part in path for part in CATEGORY):
+            inside.append(full)
     described = next((p.meta[k] for k in ("description", "og:description", "twitter:description") if p.meta.get(k)), "")
+    pieces = [" ".join(x.split()) for x in p.schema]
     return {
-        "title": " ".join("".join(p.title).split()), "description": " ".join(described.split()), "schema_text": " ".join(p.schema)[:SCHEMA],
-        "nav": " | ".join([x for x, _ in links if 2 <= len(x) <= 80][:NAV]), "headings": " | ".join([x for x in p.headings if x][:HEADINGS]),
-        "body": " ".join(" ".join(p.body).split())[:BODY], "internal_links": inside[:INTERNAL], "external_links": outside[:EXTERNAL],
-        "anchors": [{"text": x, "href": h} for x, h in links],
+        "title": " ".join("".join(p.title).split()), "description": " ".join(described.split()), "schema_text": " | ".join(x for x in pieces if x)[:SCHEMA],
+        "nav": " | ".join([x for x, _ in links if 2 <= len(x) <= 80][:NAV])[:NAV_CHARS], "headings": " | ".join([x for x in p.headings[:HEADINGS] if x])[:HEADING_CHARS],
+        "body": _joined(p.body)[:BODY], "internal_links": list(dict.fromkeys(inside))[:INTERNAL], "external_links": list(dict.fromkeys(outside))[:EXTERNAL],
+        "anchors": [{"text": x, "href": h} for x, h in links], "items": [x for x in map(_joined, p.items) if x], "error": error,
     }
 
 
-@F.pandas_udf(PAGE)
-def page_evidence(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse(h, u) for h, u in zip(html, url, strict=True)], columns=PAGE.names)
+def page_evidence(blocked: Sequence[str] = ()):
+    """The UDF of (html, url) that gives a PAGE."""
+
+    @F.pandas_udf(PAGE)
+    def of(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse(h, u, blocked) for h, u in zip(html, url, strict=True)], columns=PAGE.names)
+
+    return of
 
 
-def with_evidence(pages: DataFrame, html: str = "html", url: str = "url", out: str = "evidence") -> DataFrame:
+def with_evidence(pages: DataFrame, html: str = "html", url: str = "url", out: str = "evidence", blocked: Sequence[str] = ()) -> DataFrame:
     """pages with a PAGE struct."""
     workers.ship(pages.sparkSession)
-    return pages.withColumn(out, page_evidence(html, url))
+    return pages.withColumn(out, page_evidence(blocked)(html, url))
+
+
+def readable(pages: DataFrame, status: str = "status", kind: str = "content_type", html: str = "html") -> DataFrame:
+    """Pages that were fetched without an error and hold HTML, by their type or by their first 500 characters."""
+    text = F.coalesce(html, F.lit(""))
+    ok = F.contains(F.lower(F.coalesce(kind, F.lit(""))), F.lit("text/html")) | F.contains(F.lower(F.left(text, F.lit(500))), F.lit("<html"))
+    return pages.filter((F.coalesce(F.col(status), F.lit(200)) < 400) & ok)
 
 
 def title(html: Column) -> Column:
@@ -164,27 +227,35 @@ def title(html: Column) -> Column:
 
 
 def listings(anchors: DataFrame, rules) -> DataFrame:
-    """Anchors (text, href) that a provider's rule takes for listings.
+    """Anchors (text, href) that a provider's rule takes for listings, with name, slug and the keys that first_seen() goes by.
 
-    rules: blocked names (regions too), the longest name and blocked link parts; optional: path, a part of the link, and signals,
-    phrases of the text, either of which will do; hosts; prefix, what the path starts with before a slug; closed, starts of
-    paths that aren't listings; letter (names need one, the default); single (False: no names of one letter a to z); plain (no
-    names that are links or addresses).
+    rules: blocked names (regions too); optional: the longest name, blocked link parts, card (the name is the first line of the
+    text), path, a part of the link, and signals, phrases of the text, either of which will do; hosts; prefix, what the path
+    starts with before a slug; last, the segment before the slug; closed, starts of paths that aren't listings, and shut, whole
+    ones; letter (names need one, the default); single (False: no names of one letter a to z); plain (no names that are links or
+    addresses); seen, the keys by which a listing counts once.
     """
-    name, href = X.clean(F.col("text")), F.coalesce(F.col("href"), F.lit(""))
+    text, href = F.coalesce(F.col("text"), F.lit("")), F.coalesce(F.col("href"), F.lit(""))
+    name = X.card_fields(text)["title"] if rules.get("card") else X.clean(text)
     low, path = F.lower(name), F.regexp_replace(F.regexp_extract(href, "^[A-Za-z]+://[^/?#]*([^?#;]*)", 1), "/+$", "")
-    ok = (name != "") & ~low.isin(list(rules["blocked"])) & (F.length(name) <= rules["longest"]) & ~name.rlike("^[0-9]+$") & ~X.contains_any(F.lower(href), rules["blocked_parts"])
+    ok = (name != "") & ~low.isin(list(rules["blocked"])) & ~name.rlike("^[0-9]+$") & ~X.contains_any(F.lower(href), rules.get("blocked_parts", []))
+    if rules.get("longest"):
+        ok = ok & (F.length(name) <= rules["longest"])
     if rules.get("path") or rules.get("signals"):
         part = F.contains(F.lower(href), F.lit(rules["path"].lower())) if rules.get("path") else F.lit(False)
-        ok = ok & (part | X.contains_any(low, rules.get("signals", [])))
+        ok = ok & (part | X.contains_any(F.lower(text), rules.get("signals", [])))
     if rules.get("hosts"):
         ok = ok & F.regexp_extract(href, "^[A-Za-z]+://([^/?#]*)", 1).isin(list(rules["hosts"]))
     if rules.get("prefix"):
         ok = ok & F.startswith(path, F.lit(rules["prefix"])) & (F.length(path) > len(rules["prefix"]))
+    if rules.get("last"):
+        ok = ok & (X.last_slug(href, rules["last"]) != "")
     for start in rules.get("closed", []):
         ok = ok & ~F.startswith(path, F.lit(start))
+    if rules.get("shut"):
+        ok = ok & ~path.isin(list(rules["shut"]))
     if rules.get("letter", True):
-        ok = ok & name.rlike("\\p{L}")
+        ok = ok & name.rlike("[A-Za-z]")
     if not rules.get("single", True):
         ok = ok & ~low.rlike("^[a-z]$")
     if rules.get("plain"):
@@ -192,23 +263,82 @@ def listings(anchors: DataFrame, rules) -> DataFrame:
     return anchors.filter(ok).withColumn("name", name).withColumn("slug", X.slug(F.col("href")))
 
 
-def official_site(results: DataFrame, key: str, blocked: list[str], provider_domains: list[str], name: str = "name") -> DataFrame:
-    """The best search result (rank, title, href) of each key: name-to-domain score, 2 for `official`, 1 for shop or store."""
-    dom = X.domain(F.col("href"))
-    core = X.key_lower(F.split(dom, "\\.")[0])
-    own = X.key_lower(F.col(name))
-    tokens = F.filter(F.split(F.lower(F.col(name)), "[^a-z0-9]+"), lambda t: F.length(t) > 2)
-    match = F.when(own == core, 5).when(F.contains(core, own), 4).when(F.contains(own, core), 3).otherwise(F.size(F.filter(tokens, lambda t: F.contains(core, t))))
-    low = F.lower(F.coalesce("title", F.lit("")))
-    points = match + F.when(F.contains(low, F.lit("official")), 2).otherwise(0) + F.when(X.contains_any(low, ["shop", "store"]), 1).otherwise(0)
-    ok = X.is_http(F.col("href")) & (dom != "") & ~X.contains_any(dom, blocked) & ~X.within_domains(dom, provider_domains)
+def list_items(pages: DataFrame, rules, evidence: str = "evidence") -> DataFrame:
+    """The list items of pages that a provider's names and no others stop: a second way to its listings, without links. Columns of pages, ordinal, text, href, name, slug."""
+    from_page = {k: v for k, v in rules.items() if k in ("blocked", "longest", "letter", "single", "plain")}
+    rows = pages.select("*", F.posexplode(f"{evidence}.items").alias("ordinal", "text")).withColumn("href", F.lit(""))
+    return listings(rows, from_page)
+
+
+def first_seen(found: DataFrame, ordinal: str | list[str], seen: Sequence[str] = ("low", "link"), within: Sequence[str] = ()) -> DataFrame:
+    """Listings once each (within the groups of some columns): the first by ordinal of those alike in low (lower-cased name), link (lower-cased) or key (letters and digits of the name)."""
+    made = {"low": F.lower("name"), "link": F.lower(F.coalesce("href", F.lit(""))), "key": X.key_lower(F.col("name"))}
+    keys = [f"__{k}" for k in seen]
+    rows = found.withColumns({f"__{k}": made[k] for k in seen})
+    if "key" in seen:
+        rows = rows.filter(F.col("__key") != "")
+    order = [ordinal] if isinstance(ordinal, str) else list(ordinal)
+    return dedupe.best(rows, [*within, *keys], [F.col(c) for c in order]).drop(*keys)
+
+
+def official_site(results: DataFrame, key: str, blocked: Sequence[str], provider_domains: Sequence[str], retail: Sequence[str], legal: Sequence[str], name: str = "name") -> DataFrame:
+    """key, href and points of the best search result (rank, title, body, href) of each key; the first of equals.
+
+    Points are X.domain_score() of name and href, 2 for `official` and 1 for `shop` or `store` in title or body. Results of blocked
+    domains and of providers don't count.
+    """
+    said = F.lower(F.concat_ws(" ", X.clean(F.col("title")), X.clean(F.col("body"))))
+    points = X.domain_score(F.col(name), F.col("href"), retail, legal) + F.when(F.contains(said, F.lit("official")), 2).otherwise(0) + F.when(X.contains_any(said, ["shop", "store"]), 1).otherwise(0)
+    href = X.clean(F.col("href"))
+    ok = X.is_http(href) & ~X.blocked_domain(href, blocked) & ~X.within_domains(X.domain(href), provider_domains)
     good = results.filter(ok).withColumn("points", points)
     return good.groupBy(key).agg(F.min_by(F.struct("href", "points"), F.struct(-F.col("points"), F.col("rank"))).alias("b")).select(key, "b.href", "b.points")
 
 
-def evidence_bundle(results: DataFrame, key: str, blocked: list[str], cap: int = 10000) -> DataFrame:
-    """key and its results' titles and bodies in order of query and rank, without blocked domains, cut at cap characters."""
-    rows = results.filter(~X.contains_any(X.domain(F.col("href")), blocked))
-    said = F.concat_ws(" ", "title", "body")
-    got = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("query", "rank", said.alias("said")))).alias("x"))
+def with_fallback(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """The results of a first source, and those of a second for the keys of which the first has none."""
+    return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti"))
+
+
+#: What is asked about a name, {} standing for it; the first asks with the country's hint.
+QUERIES = ('"{}" official website store', '"{}" products', '"{}" product categories', '"{}" what does it sell', '"{}" retailer brand products')
+
+
+def search_queries(name: Column, friendly: Column, country: Column, special: dict[str, list[str]] | None = None) -> Column:
+    """The queries about a name and, if it reads otherwise, its friendly form; then those that a few keys (key_plain) have of their own."""
+    names = X.unique_items(X.filled(name, friendly))
+    asked = F.flatten(F.transform(names, lambda n: F.array(*[F.concat(F.lit(a), n, F.lit(b), *([X.country_hint(country)] if k == 0 else [])) for k, (a, b) in enumerate(q.split("{}") for q in QUERIES)])))
+    if not special:
+        return asked
+    own = F.create_map(*[x for k, qs in special.items() for x in (F.lit(k), F.array(*map(F.lit, qs)))])[X.key_plain(name)]
+    return F.concat(asked, F.coalesce(own, F.array().cast("array<string>")))
+
+
+def evidence_bundle(asked: DataFrame, results: DataFrame, key: str, blocked: Sequence[str], cap: int = 10000, most: int = 5) -> DataFrame:
+    """key and what the results (query, rank, title, body, href) of its queries (an array) say, in order of query and rank.
+
+    The first `most` results of a query count, but for those of blocked domains; a key has few queries, so few results are
+    gathered. The text is cut at cap characters; a key without results has the empty one.
+    """
+    each = asked.select(key, F.posexplode("queries").alias("nth", "query")).join(results.filter(F.col("rank") <= most), "query", "left")
+    href = X.clean(F.col("href"))
+    said = X.clean(F.concat(F.lit("TITLE: "), X.clean(F.col("title")), F.lit(" | SNIPPET: "), X.clean(F.col("body")), F.lit(" | URL: "), href))
+    each = each.withColumn("said", F.when(F.col("rank").isNotNull() & ~((href != "") & X.blocked_domain(href, blocked)), said))
+    got = each.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("said").isNotNull(), F.struct("nth", "rank", "said")))).alias("x"))
     return got.select(key, F.left(F.array_join(F.transform("x", lambda r: r["said"]), " "), F.lit(cap)).alias("evidence"))
+
+
+def worth_reading(links: Column, most: int) -> Column:
+    """The first `most` internal links of which no part of the path tells that they hold no goods."""
+    path = lambda u: F.lower(F.regexp_extract(u, "^[A-Za-z]+://[^/?#]*([^?#]*)", 1))
+    return F.slice(F.filter(links, lambda u: ~X.contains_any(path(u), UNREAD)), 1, most)
+
+
+def extra_evidence(pages: DataFrame, landed: DataFrame, key: str, most: int = 3, cap: int = 5000, evidence: str = "evidence") -> DataFrame:
+    """key and what the landed pages (url and a PAGE struct) behind its internal links say, in the links' order; blank for none."""
+    links = pages.select(key, F.posexplode_outer(worth_reading(F.col(f"{evidence}.internal_links"), most)).alias("nth", "url"))
+    e = lambda c: F.coalesce(F.col(f"__e.{c}"), F.lit(""))
+    said = X.clean(F.concat_ws(" ", *[e(c) for c in ("title", "description", "schema_text", "nav", "headings")], F.left(e("body"), F.lit(1200))))
+    rows = links.join(landed.select("url", F.col(evidence).alias("__e")), "url", "left").withColumn("said", F.when(F.col("__e").isNotNull(), said))
+    got = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("said").isNotNull(), F.struct("nth", "said")))).alias("x"))
+    return got.select(key, F.left(X.clean(F.array_join(F.transform("x", lambda r: r["said"]), " ")), F.lit(cap)).alias("extra"))

@@ -7,15 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from . import dedupe
 
 FACT = "struct<val:double,frame:string,form:string,filed:string,accn:string>"
 
 
-def columnar_records(df: DataFrame, doc: str) -> DataFrame:
-    """A map from field name to text for every record of JSON like {"fields": [...], "data": [[...], ...]}."""
+def columnar_records(df: DataFrame, doc: str, keep: Sequence[str] = ()) -> DataFrame:
+    """A map from field name to text for every record of JSON like {"fields": [...], "data": [[...], ...]}, its ordinal, and the columns in keep."""
     parsed = F.from_json(F.col(doc), "struct<fields:array<string>,data:array<array<string>>>")
-    return df.select(parsed.alias("j")).select(F.posexplode("j.data").alias("ordinal", "row"), "j.fields").select("ordinal", F.map_from_arrays("fields", "row").alias("record"))
+    rows = df.select(*keep, parsed.alias("j")).select(*keep, F.posexplode("j.data").alias("ordinal", "row"), "j.fields")
+    return rows.select(*keep, "ordinal", F.map_from_arrays("fields", F.slice("row", 1, F.size("fields"))).alias("record"))
 
 
 def keyed_records(df: DataFrame, doc: str, record: str) -> DataFrame:
@@ -49,8 +51,11 @@ def by_period(facts: DataFrame, instant: Sequence[str]) -> tuple[DataFrame, Data
 
 def choose(facts: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One fact for the keys: originals before amendments, then the last filed, the highest accession, the first tag."""
-    later = lambda c: F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ""), lambda x: -F.ascii(x))  # noqa: E731  orders texts downwards
-    return dedupe.best(facts, keys, [F.col("form").endswith("/A").cast("int"), later("filed"), later("accn"), F.col("tag_ordinal")])
+    rest = [c for c in facts.columns if c not in keys]
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rank = F.struct((~F.endswith(text("form"), F.lit("/A"))).alias("original"), text("filed").alias("filed"), text("accn").alias("accn"), (-F.col("tag_ordinal")).alias("tag"))
+    one = facts.groupBy(*keys).agg(F.max_by(F.struct(*rest), rank).alias("__best"))
+    return one.select(*[c if c in keys else F.col(f"__best.{c}").alias(c) for c in facts.columns])
 
 
 def wide(facts: DataFrame, index: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -64,3 +69,22 @@ def found_metrics(panel: DataFrame, entity: str, metrics: Sequence[str]) -> Data
     """entity and the metrics it has any value of, in the metrics' order."""
     has = [F.when(F.max(F.col(m)).isNotNull(), F.lit(m)) for m in metrics]
     return panel.groupBy(entity).agg(F.array_join(F.array_compact(F.array(*has)), "; ").alias("metrics_found"))
+
+
+def counted_metrics(panel: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """metric and the number of rows that have it, zeros included, in one pass."""
+    one = panel.agg(*[F.count(F.col(m)).alias(m) for m in metrics])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("n")) for m in metrics])).alias("r")).select("r.*")
+
+
+def audit(sample: DataFrame, tickers: DataFrame, fetched: DataFrame, found: DataFrame, entity: str = "entity") -> DataFrame:
+    """A row for each entity (entity, ticker): cik, title, fetch_status and metrics_found.
+
+    tickers maps ticker to cik and title; fetched has the ciks whose facts were read (cik, ok); found the metrics of each entity
+    (metrics_found). Status: no_ticker_match, fetch_error (not fetched, or not ok), or ok.
+    """
+    t = tickers.select(F.col("ticker").alias("__t"), "cik", "title")
+    f = fetched.groupBy(F.col("cik").alias("__c")).agg(F.bool_or("ok").alias("ok"))
+    out = sample.withColumn("__m", X.ticker(F.col("ticker"))).join(t, F.col("__m") == F.col("__t"), "left").join(f, F.col("cik") == F.col("__c"), "left").join(found, entity, "left")
+    status = F.when(F.col("cik").isNull(), "no_ticker_match").when(F.coalesce("ok", F.lit(False)), "ok").otherwise("fetch_error")
+    return out.select(entity, "ticker", "cik", F.coalesce("title", F.lit("")).alias("title"), status.alias("fetch_status"), F.when(status == "ok", F.coalesce("metrics_found", F.lit(""))).otherwise("").alias("metrics_found"))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import workers
+from . import records
 
 #: What the reference's candidate search is defined by: rows of a token's posting list, least score, candidates kept.
 POSTINGS, LEAST, TOP = 500, 70.0, 6
@@ -102,6 +103,30 @@ def domain_bonus(name_key: Column, url: Column) -> Column:
     )
 
 
+def variants(records: DataFrame, record_id: str, name: str, aliases: str) -> DataFrame:
+    """A row for each name of a record, its own and its aliases (an array), with the record's other columns and variant (record and place)."""
+    names = F.array_distinct(F.filter(F.concat(F.array(X.clean(F.col(name))), F.coalesce(F.transform(aliases, X.clean), F.array().cast("array<string>"))), lambda x: x != ""))
+    rest = [c for c in records.columns if c not in (name, aliases)]
+    rows = records.select(*rest, F.posexplode(names).alias("__place", name))
+    return rows.withColumn("variant", F.concat_ws("#", F.col(record_id).cast("string"), "__place")).drop("__place")
+
+
+def best_of_variants(scored: DataFrame, left_id: str, record_id: str, bonus: Column | None = None) -> DataFrame:
+    """A row for each left row and record with the best score over the record's names, the bonus added, 100 at most.
+
+    bonus is an expression over scored's columns that is the same for all of a left row's pairs, as domain_bonus() is.
+    """
+    rest = [c for c in scored.columns if c not in (left_id, record_id, "score", "variant")]
+    rows = scored.withColumn("__b", bonus if bonus is not None else F.lit(0.0))
+    one = rows.groupBy(left_id, record_id).agg(F.max("score").alias("score"), F.max("__b").alias("__b"), F.max_by(F.struct(*rest), F.struct("score", "variant")).alias("__r"))
+    return one.select(left_id, record_id, F.least(F.lit(100.0), F.col("score") + F.col("__b")).alias("score"), "__r.*")
+
+
+def candidate_order(exchange: Column, ticker: Column, name: Column) -> list[Column]:
+    """How candidates of one score are ordered: by market, short ticker, short name, ticker."""
+    return [records.market_rank(exchange, ticker), F.length(X.strip_only(ticker)), F.length(X.strip_only(name)), ticker]
+
+
 def top(scored: DataFrame, left_id: str, order: Sequence[Column], k: int = TOP) -> DataFrame:
     """The k best of each left row, those of LEAST and more, with their place."""
     w = W.partitionBy(left_id).orderBy(F.desc("score"), *order)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -17,20 +17,32 @@ def master(listings: DataFrame) -> DataFrame:
     return dedupe.keep_first(keyed, ["entity_key", "provider"], "ordinal")
 
 
+def with_canonical(long: DataFrame, key: str = "entity_key", name: str = "name") -> DataFrame:
+    """long with the canonical name of each row's key."""
+    return long.join(long.groupBy(key).agg(dedupe.shortest_name(name).alias("canonical_name")), key)
+
+
 def summary(long: DataFrame, providers: Sequence[str]) -> DataFrame:
-    """One row an entity: canonical name, variants, provider set and count, countries, modal industry, 0/1 flags."""
+    """One row an entity: canonical name, variants, provider set and count, countries, modal industry, URLs, source files, 0/1 flags."""
     return long.groupBy("entity_key").agg(
         dedupe.shortest_name("name").alias("canonical_name"),
-        dedupe.sorted_set(F.col("name")).alias("name_variants"),
+        dedupe.sorted_set(F.col("name"), " | ").alias("name_variants"),
         dedupe.sorted_set(F.col("provider")).alias("provider_set"),
         F.count_distinct("provider").alias("provider_count"),
         dedupe.sorted_set(F.col("country")).alias("country_set"),
-        dedupe.modal(F.col("broad")).alias("broad_industry"),
+        dedupe.modal(F.col("broad"), "Other / Unclassified").alias("broad_industry"),
         dedupe.modal(F.col("sub")).alias("sub_industry"),
+        dedupe.sorted_set(F.col("url"), " | ").alias("urls"),
+        dedupe.sorted_set(F.col("file")).alias("files"),
         *[F.max(F.when(F.col("provider") == p, 1).otherwise(0)).alias("has_" + column_name(p)) for p in providers],
     )
 
 
+def in_order(entities: DataFrame) -> DataFrame:
+    """Entities of many providers first, then by name."""
+    return entities.orderBy(F.desc("provider_count"), "canonical_name", "entity_key")
+
+
 def column_name(provider: str) -> str:
     return "".join(c if c.isalnum() else "_" for c in provider.lower())
 
@@ -70,11 +82,33 @@ def merge_aliases(over: DataFrame, alias: DataFrame) -> DataFrame:
     return over.join(a, "entity_key", "left").withColumn("entity_key", F.coalesce("__to", "entity_key")).drop("__to")
 
 
-def aggregate_flags(over: DataFrame, providers: Sequence[str]) -> DataFrame:
-    """Alias-merged entities: whether any row has a provider, how many providers, and the shortest name."""
-    has = [F.bool_or(F.col("has_" + column_name(p)) == 1).alias("has_" + column_name(p)) for p in providers]
+def has_provider(over: DataFrame, provider: str) -> Column:
+    """Whether a row has a provider: by its flag column if there is one, else by the name's being in provider_set."""
+    flag = "has_" + column_name(provider)
+    if flag in over.columns:
+        return X.truthy(F.col(flag))
+    return F.contains(F.lower(X.clean(F.col("provider_set"))), F.lit(provider.lower()))
+
+
+#: Columns whose delimited sets are united, and what they become.
+UNITED = {"name_variants": "name_variants", "country_set": "countries", "urls": "urls", "files": "files"}
+
+
+def aggregate_flags(over: DataFrame, providers: Sequence[str], exclusions: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Alias-merged entities: whether any row has a provider, how many and which, the shortest name, the united sets of the rows (in the
+    order of in_order(); countries in one spelling), and the exclusion whose list of keys has the entity, blank for none."""
+    has = [F.bool_or(has_provider(over, p)).alias("has_" + column_name(p)) for p in providers]
     out = over.groupBy("entity_key").agg(dedupe.shortest_name("canonical_name").alias("canonical_name"), F.count(F.lit(1)).alias("merged_rows"), *has)
-    return out.withColumn("provider_count", sum((F.col("has_" + column_name(p)).cast("long") for p in providers), F.lit(0).cast("long")))
+    own = [F.when(F.col("has_" + column_name(p)), F.lit(p)) for p in providers]
+    out = out.withColumn("providers", F.array_join(F.array_compact(F.array(*own)), "; ")).withColumn("provider_count", F.size(F.array_compact(F.array(*own))).cast("long"))
+    kinds = [F.when(F.col("entity_key").isin(list(keys)), F.lit(kind)) for kind, keys in (exclusions or {}).items()]
+    out = out.withColumn("exclusion", F.coalesce(*kinds, F.lit("")))
+    rows = over.withColumn("__at", F.struct(-F.col("provider_count"), F.col("canonical_name"), F.col("name_variants")))
+    for column, name in UNITED.items():
+        if column in over.columns:
+            items = X.country_items(F.col(column)) if column == "country_set" else X.split_items(F.col(column))
+            out = out.join(dedupe.joined_set(rows, ["entity_key"], items, "__at", name), "entity_key", "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return out
 
 
 def best_classification(classified: DataFrame) -> DataFrame:

@@ -12,7 +12,11 @@ from ..functions import text as X
 from . import dedupe
 
 #: Strengths of evidence that can't confirm an adoption.
-UNCONFIRMABLE = ("planned_not_final_adoption", "weak_directory_only", "unverified", "not_found")
+UNCONFIRMABLE = ("planned_not_final_adoption", "expansion_not_initial", "not_merchant_adoption", "strong_non_us")
+#: Audit statuses of the core sample, and of a match that is none; exchanges whose companies report facts.
+CORE = ("confirmed_or_manually_mapped_public", "auto_public_match_needs_light_review")
+FALSE_MATCH = "exclude_false_public_match"
+REPORTING = ("NASDAQ", "NYSE", "NYSE ADR", "OTC Markets")
 
 
 def confirmable(strength: Column, excluded: Sequence[str] = UNCONFIRMABLE) -> Column:
@@ -25,10 +29,31 @@ def earliest(evidence: DataFrame, key: str) -> DataFrame:
     return dedupe.best(evidence.filter(confirmable(F.col("strength")) & F.col("date").isNotNull()), [key], [F.col("date"), F.col("strength"), F.col("provider"), F.col("ordinal")])
 
 
-def notes(evidence: DataFrame, key: str, line: Column, limit: int = 1000) -> DataFrame:
-    """key and its evidence lines by date and provider, joined; limit is the most that a note is defined to list."""
+def notes(evidence: DataFrame, key: str, line: Column) -> DataFrame:
+    """key and all its evidence lines by date and provider, joined."""
     got = evidence.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("date", "provider", "ordinal", line.alias("line")))).alias("x"))
-    return got.select(key, F.array_join(F.transform(F.slice("x", 1, limit), lambda r: r["line"]), " | ").alias("note"))
+    return got.select(key, F.array_join(F.transform("x", lambda r: r["line"]), " | ").alias("note"))
+
+
+def core(rows: DataFrame, status: str) -> DataFrame:
+    """Rows of the core sample."""
+    return rows.filter(F.coalesce(F.col(status).isin(list(CORE)), F.lit(False)))
+
+
+def sample_flags(listing: Column, level: Column, audited: Column, exchange: Column) -> dict[str, Column]:
+    """Flags of the main sample, of the robustness sample of parents, and of companies that may report facts; a missing audit status is no false match."""
+    sound = F.coalesce(audited != FALSE_MATCH, F.lit(True))
+    both = lambda a, b: F.coalesce((listing == a) & (level == b), F.lit(False)) & sound
+    return {"sample_main": both("direct_public", "merchant_level"), "sample_parent": both("subsidiary_of_public", "parent_level"), "reports": F.coalesce(exchange.isin(list(REPORTING)), F.lit(False))}
+
+
+def joined_sample(adoption: DataFrame, public: DataFrame, left_key: str, right_key: str, keep: Sequence[str]) -> DataFrame:
+    """adoption with the columns in keep of the public companies whose key, of another name, is the same; rows without one stay, and repeated keys repeat rows."""
+    taken = [c for c in keep if c in adoption.columns]
+    if taken:
+        raise ValueError(f"both sides have {taken}")
+    right = public.select(F.col(right_key).alias("__key"), *keep)
+    return adoption.join(right, adoption[left_key] == F.col("__key"), "left").drop("__key")
 
 
 def sample(df: DataFrame, date: Column) -> DataFrame:
@@ -68,7 +93,3 @@ def outcomes(panel: DataFrame, entity: str, period: str, lag: int, calendar: boo
     return out.withColumns({
         "revenue_growth": F.try_divide(rev, F.col("__r")) - 1, "operating_income_growth": F.try_divide(F.col("operating_income"), F.abs("__o")) - 1,
     }).drop("__r", "__o")
-
-
-def complete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.na.drop(subset=list(columns))

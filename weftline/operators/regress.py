@@ -1,8 +1,8 @@
 """Two-way fixed effects with entity-clustered errors, from per-entity sums that add up across the cluster.
 
 The model is y = post b + entity effects + period effects. Rows are first summed by entity and period; an entity's sums, with
-its own mean taken out, give its share of the normal equations over (post, periods), a small matrix. Tasks add these up, the
-driver gets one matrix a task and outcome, solves, and a second pass sums each entity's score for the clustered errors.
+its own mean taken out, give its share of the normal equations over (post, periods), a small matrix. Tasks add these up, Spark adds up the tasks, the
+driver gets one matrix an outcome, solves, and a second pass sums each entity's score for the clustered errors.
 """
 
 from __future__ import annotations
@@ -32,78 +32,103 @@ def cells(panel: DataFrame, outcomes: Sequence[str], entity: str, period: str, p
     return rows.groupBy("outcome", "entity", "period").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("p"), F.sum(F.col("p") * F.col("p")).alias("pp"), F.sum("y").alias("y"), F.sum(F.col("p") * F.col("y")).alias("py"))
 
 
-def _gram(g: pd.DataFrame, place: dict) -> tuple[np.ndarray, np.ndarray]:
-    """An entity's X'X and X'y over (post, periods) with its mean taken out."""
+def _dense(g: pd.DataFrame, place: dict) -> tuple[np.ndarray, ...]:
+    """Of some whole entities: counts, sums of post and of the outcome by entity and period, and by entity the sums of post, its square and its product with the outcome."""
+    _, who = np.unique(g["entity"].to_numpy(), return_inverse=True)
+    at, shape = g["period"].map(place).to_numpy(), (int(who.max()) + 1, len(place))
+    n, p, y = (np.zeros(shape) for _ in range(3))
+    n[who, at], p[who, at], y[who, at] = g["n"], g["p"], g["y"]
+    return n, p, y, np.bincount(who, g["pp"]), np.bincount(who, g["py"])
+
+
+def _moments(g: pd.DataFrame, place: dict, beta: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """X'X and X'y over (post, periods) with each entity's mean taken out, summed over some entities; with beta the sum of their scores' squares."""
+    n, p, y, pp, py = _dense(g, place)
+    size = n.sum(axis=1)
+    s = np.column_stack([p.sum(axis=1), n])  # sums of the regressors
+    ys = y.sum(axis=1)
+    if beta is None:
+        x = -(s / size[:, None]).T @ s
+        x[0, 0] += pp.sum()
+        x[0, 1:] += p.sum(axis=0)
+        x[1:, 0] += p.sum(axis=0)
+        x[np.arange(1, len(x)), np.arange(1, len(x))] += n.sum(axis=0)
+        return x, np.concatenate([[py.sum()], y.sum(axis=0)]) - s.T @ (ys / size)
+    fit = np.column_stack([pp * beta[0] + p @ beta[1:], p * beta[0] + n * beta[1:]]) - s * (s @ beta / size)[:, None]
+    score = np.column_stack([py, y]) - s * (ys / size)[:, None] - fit
+    return score.T @ score, np.zeros(len(beta))
+
+
+def _sums(df: DataFrame, place: dict, solved: dict | None) -> dict:
+    """outcome to (matrix, vector): each task adds up its entities', Spark adds up the tasks' entries, and the driver gets one matrix an outcome."""
     k = 1 + len(place)
-    x, y, s, n = np.zeros((k, k)), np.zeros(k), np.zeros(k), float(g["n"].sum())
-    x[0, 0], y[0], s[0] = g["pp"].sum(), g["py"].sum(), g["p"].sum()
-    for at, m, p, v in zip(g["period"].map(place), g["n"], g["p"], g["y"], strict=True):
-        x[0, 1 + at] += p
-        x[1 + at, 0] += p
-        x[1 + at, 1 + at] += m
-        y[1 + at] += v
-        s[1 + at] += m
-    return x - np.outer(s, s) / n, y - s * g["y"].sum() / n
-
-
-def _tasks(df: DataFrame, place: dict, solved: dict | None) -> list:
-    """One (outcome, matrix, vector, entities, rows) a task: sums of Gram matrices, or of the scores' squares once solved."""
+    most = max(1, 2_000_000 // k)  # cells at a time, so that a task holds a few such tables
 
     def run(batches):
         held, total = None, {}
 
-        def add(g: pd.DataFrame) -> None:
-            outcome = g["outcome"].iloc[0]
-            x, y = _gram(g, place)
-            m, v, e, n = total.get(outcome, (np.zeros_like(x), np.zeros_like(y), 0, 0))
-            if solved is not None:
-                score = y - x @ solved[outcome]
-                x, y = np.outer(score, score), score
-            total[outcome] = (m + x, v + y, e + 1, n + int(g["n"].sum()))
+        def add(rows: pd.DataFrame) -> None:
+            for outcome, g in rows.groupby("outcome", sort=False):
+                x, y = _moments(g, place, None if solved is None else solved[outcome])
+                m, v = total.get(outcome, (0, 0))
+                total[outcome] = (m + x, v + y)
 
         for batch in batches:
-            held = batch if held is None else pd.concat([held, batch])
-            ids = list(zip(held["outcome"], held["entity"], strict=True))
-            last = next((k for k in range(len(ids) - 1, -1, -1) if ids[k] != ids[-1]), -1) + 1
-            if last:
-                for _, g in held.iloc[:last].groupby(["outcome", "entity"], sort=False):
-                    add(g)
-                held = held.iloc[last:]
+            for first in range(0, len(batch), most):
+                part = batch.iloc[first : first + most]
+                held = part if held is None else pd.concat([held, part])
+                same = (held["outcome"] == held["outcome"].iloc[-1]) & (held["entity"] == held["entity"].iloc[-1])
+                if not same.all():
+                    add(held[~same])
+                    held = held[same]
         if held is not None and len(held):
-            for _, g in held.groupby(["outcome", "entity"], sort=False):
-                add(g)
-        for outcome, (m, v, e, n) in total.items():
-            yield pd.DataFrame({"outcome": [outcome], "x": [m.ravel().tolist()], "y": [v.tolist()], "firms": [e], "n": [n]})
+            add(held)
+        for outcome, (m, v) in total.items():
+            i, j = np.nonzero(np.triu(m))
+            at = np.flatnonzero(v)
+            yield pd.DataFrame({"outcome": outcome, "i": np.concatenate([i, np.full(len(at), -1)]), "j": np.concatenate([j, at]), "v": np.concatenate([m[i, j], v[at]])})
 
     workers.ship(df.sparkSession)
     dealt = df.repartition("outcome", "entity").sortWithinPartitions("outcome", "entity")
-    return dealt.mapInPandas(run, "outcome string, x array<double>, y array<double>, firms long, n long").collect()
+    rows = dealt.mapInPandas(run, "outcome string, i long, j long, v double").groupBy("outcome", "i", "j").agg(F.sum("v").alias("v")).toPandas()
+    out = {}
+    for outcome, g in rows.groupby("outcome"):
+        x, y = np.zeros((k, k)), np.zeros(k)
+        pair, one = g[g["i"] >= 0], g[g["i"] < 0]
+        x[pair["i"], pair["j"]] = pair["v"]
+        x[pair["j"], pair["i"]] = pair["v"]
+        y[one["j"]] = one["v"]
+        out[outcome] = (x, y)
+    return out
 
 
 def twfe(panel: DataFrame, outcomes: Sequence[str], entity: str, period: str, post: str, most_periods: int = 2000) -> DataFrame:
     """One result row an outcome; `not_enough_variation` with fewer than two values of post or three entities."""
     spark = panel.sparkSession
-    c = cells(panel, outcomes, entity, period, post)
-    periods = sorted(r[0] for r in c.select("period").distinct().limit(most_periods + 1).collect())
+    c = cells(panel, outcomes, entity, period, post).persist()  # one row for each outcome, entity and period; read three times
+    try:
+        return _solved(spark, c, outcomes, most_periods)
+    finally:
+        c.unpersist()
+
+
+def _solved(spark, c: DataFrame, outcomes: Sequence[str], most_periods: int) -> DataFrame:
+    spread, used, periods = {}, {}, set()
+    by_period = c.groupBy("outcome", "period").agg(F.sum("n").alias("n"), F.min(F.col("p") / F.col("n")).alias("least"), F.max(F.col("p") / F.col("n")).alias("most"))
+    got = by_period.limit(len(outcomes) * (most_periods + 1)).collect()
+    firms = {r["outcome"]: r["firms"] for r in c.groupBy("outcome").agg(F.count_distinct("entity").alias("firms")).collect()}
+    for r in got:
+        n, _, least, most = spread.get(r["outcome"], (0, 0, math.inf, -math.inf))
+        spread[r["outcome"]] = (n + r["n"], firms[r["outcome"]], min(least, r["least"]), max(most, r["most"]))
+        used[r["outcome"]] = used.get(r["outcome"], 0) + 1
+        periods.add(r["period"])
     if len(periods) > most_periods:
         raise ValueError(f"more than {most_periods} periods")
-    place = {p: k for k, p in enumerate(periods)}
-    spread = {r["outcome"]: (r["n"], r["firms"], r["least"], r["most"]) for r in c.groupBy("outcome").agg(
-        F.sum("n").alias("n"), F.count_distinct("entity").alias("firms"), F.min(F.col("p") / F.col("n")).alias("least"), F.max(F.col("p") / F.col("n")).alias("most")).collect()}
-    size = {}
-    gram: dict = {}
-    for r in _tasks(c, place, None):
-        x, y = np.array(r["x"]).reshape(1 + len(place), -1), np.array(r["y"])
-        m = gram.get(r["outcome"], (0, 0))
-        gram[r["outcome"]] = (m[0] + x, m[1] + y)
-    for o, (x, _) in gram.items():
-        size[o] = int(np.linalg.matrix_rank(x))
+    place = {p: k for k, p in enumerate(sorted(periods))}
+    gram = _sums(c, place, None)
     inverse = {o: np.linalg.pinv(x) for o, (x, _) in gram.items()}
     beta = {o: inverse[o] @ y for o, (_, y) in gram.items()}
-    meat: dict = {}
-    for r in _tasks(c, place, beta):
-        meat[r["outcome"]] = meat.get(r["outcome"], 0) + np.array(r["x"]).reshape(1 + len(place), -1)
-    used = {r["outcome"]: r["t"] for r in c.groupBy("outcome").agg(F.count_distinct("period").alias("t")).collect()}
+    meat = {o: x for o, (x, _) in _sums(c, place, beta).items()}
     out = []
     for o in outcomes:
         n, firms, least, most = spread.get(o, (0, 0, 0.0, 0.0))
@@ -111,7 +136,7 @@ def twfe(panel: DataFrame, outcomes: Sequence[str], entity: str, period: str, po
             out.append((o, n, firms, None, None, None, None, "not_enough_variation"))
             continue
         k = 1 + 1 + (firms - 1) + (used[o] - 1)  # constant, post, entities, periods
-        cov = inverse[o] @ meat[o] @ inverse[o]
+        cov = inverse[o] @ meat.get(o, 0 * inverse[o]) @ inverse[o]
         if firms > 1 and n > k:
             cov = cov * (firms / (firms - 1)) * ((n - 1) / (n - k))
         se, b = math.sqrt(max(cov[0, 0], 0.0)), float(beta[o][0])

@@ -37,23 +37,33 @@ def bonus(term: str) -> int:
     return 3 if " " in term else 1
 
 
-def scores(docs: DataFrame, key: str, sources: dict[str, int], terms: Sequence[Term], guardrails: Sequence[Guardrail] = (), cap: int = 10000) -> DataFrame:
-    """key, ordinal, broad, sub, score for every entry that a term or a guardrail touches.
+def _times(words: str, word: str) -> Column:
+    return F.size(F.filter(words, lambda x: x == word)).cast("long")
+
+
+def entries(docs: DataFrame, sources: dict[str, int], terms: Sequence[Term], guardrails: Sequence[Guardrail] = (), cap: int = 10000, out: str = "entries") -> DataFrame:
+    """docs with an array of (ordinal, broad, sub, score) for the entries that a term or a guardrail touches.
 
     sources gives each text column's weight. The rules are a short list, made into one expression, so a document is scored
-    in its own row: no documents-by-terms join and no shuffle.
+    in its own row: no documents-by-terms join and no shuffle. Terms of letters and digits are counted among the text's words, of
+    which only those that are terms are looked at again; other terms are searched for in the text.
     """
-    entries = list(dict.fromkeys([(t.broad, t.sub) for t in terms] + [(g.broad, g.sub) for g in guardrails]))
-    low = {c: F.lower(X.clean(F.col(c))) for c in sources}
-    all_text = F.lower(F.left(X.clean(F.concat_ws(" ", *[F.col(c) for c in sources])), F.lit(cap)))
-    base = docs.select(key, *[low[c].alias(f"__t{i}") for i, c in enumerate(sources)], all_text.alias("__all"))
-    structs = []
-    for place, (broad, sub) in enumerate(entries):
+    places = list(dict.fromkeys([(t.broad, t.sub) for t in terms] + [(g.broad, g.sub) for g in guardrails]))
+    words = sorted({w for t in terms if (w := t.term.lower().strip()).isascii() and w.isalnum()})
+    low = {f"__t{i}": F.lower(X.clean(F.col(c))) for i, c in enumerate(sources)}
+    every = F.lower(F.left(X.clean(F.concat_ws(" ", *[F.col(c) for c in sources])), F.lit(cap)))
+    base = docs.withColumns(low | {"__all": every})
+    if words:
+        base = base.withColumns({f"__w{i}": F.filter(F.split(F.col(f"__t{i}"), "[^a-z0-9]+"), lambda w: w.isin(words)) for i in range(len(sources))})
+    found = []
+    for place, (broad, sub) in enumerate(places):
         hits = F.lit(0).cast("long")
         for t in terms:
             if (t.broad, t.sub) == (broad, sub):
+                w = t.term.lower().strip()
                 for i, weight in enumerate(sources.values()):
-                    hits = hits + X.phrase_count(F.col(f"__t{i}"), t.term.lower()) * (weight * bonus(t.term))
+                    n = _times(f"__w{i}", w) if w in words else X.phrase_count(F.col(f"__t{i}"), t.term)
+                    hits = hits + n * (weight * bonus(t.term))
         touched, extra = hits > 0, F.lit(0).cast("long")
         for g in guardrails:
             if (g.broad, g.sub) == (broad, sub):
@@ -61,9 +71,13 @@ def scores(docs: DataFrame, key: str, sources: dict[str, int], terms: Sequence[T
                 fires = n >= g.min_hits
                 extra = extra + F.when(fires, g.delta).otherwise(0)
                 touched = touched | fires
-        structs.append(F.when(touched, F.struct(F.lit(place).alias("ordinal"), F.lit(broad).alias("broad"), F.lit(sub).alias("sub"), (hits + extra).alias("score"))))
-    found = base.select(key, F.explode(F.array_compact(F.array(*structs))).alias("e"))
-    return found.select(key, "e.*")
+        found.append(F.when(touched, F.struct(F.lit(place).alias("ordinal"), F.lit(broad).alias("broad"), F.lit(sub).alias("sub"), (hits + extra).alias("score"))))
+    return base.withColumn(out, F.array_compact(F.array(*found))).drop("__all", *low, *[f"__w{i}" for i in range(len(sources))])
+
+
+def scores(docs: DataFrame, key: str, sources: dict[str, int], terms: Sequence[Term], guardrails: Sequence[Guardrail] = (), cap: int = 10000) -> DataFrame:
+    """key, ordinal, broad, sub, score: entries() as rows."""
+    return entries(docs, sources, terms, guardrails, cap, "__e").select(key, F.explode("__e").alias("e")).select(key, "e.*")
 
 
 def confidence(top: Column, margin: Column, second: Column, other_broad: Column, fetched: Column, structured: Column, snippet_only: Column) -> Column:
@@ -76,14 +90,10 @@ def confidence(top: Column, margin: Column, second: Column, other_broad: Column,
     return F.when((second > 0) & other_broad & (margin < 6), "low").otherwise(base)
 
 
-def classify(scored: DataFrame, docs: DataFrame, key: str, fetched: Column, structured: Column, snippet_only: Column) -> DataFrame:
-    """key, broad, sub, score, margin, confidence, review. Ties keep the taxonomy's order; no positive score is unclassified.
-
-    The two best entries of a document are kept by aggregation; a document has at most as many entries as the taxonomy.
-    """
-    ranked = scored.groupBy(key).agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "ordinal", "broad", "sub", "score"))), 1, 2).alias("r"))
-    flags = docs.select(key, fetched.alias("__f"), structured.alias("__s"), snippet_only.alias("__o"))
-    out = flags.join(ranked, key, "left")
+def classify(scored: DataFrame, key: str, fetched: Column, structured: Column, snippet_only: Column, found: str = "entries") -> DataFrame:
+    """key, broad, sub, score, margin, confidence, review from the entries of each row. Ties keep the taxonomy's order; no positive score is unclassified."""
+    best = F.array_sort(F.transform(found, lambda e: F.struct((-e["score"]).alias("neg"), e["ordinal"].alias("ordinal"), e["broad"].alias("broad"), e["sub"].alias("sub"), e["score"].alias("score"))))
+    out = scored.select(key, F.slice(best, 1, 2).alias("r"), fetched.alias("__f"), structured.alias("__s"), snippet_only.alias("__o"))
     first, second = F.try_element_at("r", F.lit(1)), F.try_element_at("r", F.lit(2))
     top, next_ = F.coalesce(first["score"], F.lit(0)), F.coalesce(second["score"], F.lit(0))
     ok = top > 0

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import classify_queries, entity_queries, panel_queries
+from . import classify_queries, entity_queries, panel_queries, record_queries
 
-_ALL = entity_queries.QUERIES | classify_queries.QUERIES | panel_queries.QUERIES
+_ALL = entity_queries.QUERIES | classify_queries.QUERIES | panel_queries.QUERIES | record_queries.QUERIES
 
 
 def queries() -> dict:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import cascade, evidence, matching, taxonomy
+from ..operators import cascade, evidence, matching, providers, taxonomy
 from .tables import read
 
 RULES = [("round", ["ring", "gear"]), ("red things", ["red"]), ("plates", ["plate", "late"])]
@@ -28,17 +28,13 @@ def phrase_counts(spark, sf):
     return d.select("doc_id", *[X.phrase_count(F.col("t"), p).alias(f"n{i}") for i, p in enumerate(["lamp", "the ", " of ", "de la", "en-"])])
 
 
-def _scores(spark, sf):
-    return taxonomy.scores(read(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id", {"text": 2, "source": 1}, TERMS, RAILS)
-
-
 def taxonomy_scores(spark, sf):
-    return _scores(spark, sf)
+    return taxonomy.scores(read(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id", {"text": 2, "source": 1}, TERMS, RAILS)
 
 
 def taxonomy_confidence(spark, sf):
-    d = read(spark, sf, "documents")
-    return taxonomy.classify(_scores(spark, sf), d, "doc_id", F.col("doc_id") % 3 != 0, F.col("doc_id") % 2 == 0, F.col("doc_id") % 7 == 0)
+    d = taxonomy.entries(read(spark, sf, "documents").select("doc_id", "text", "source"), {"text": 2, "source": 1}, TERMS, RAILS)
+    return taxonomy.classify(d, "doc_id", F.col("doc_id") % 3 != 0, F.col("doc_id") % 2 == 0, F.col("doc_id") % 7 == 0)
 
 
 _C = "trim(regexp_replace(coalesce(text, ''), '[\\s\\x{00A0}]+', ' ', 'g'))"
@@ -77,20 +73,34 @@ def page_title(spark, sf):
     return read(spark, sf, "pages").select("page_id", evidence.title(F.col("html")).alias("title"))
 
 
+def _evidence(spark, sf):
+    return evidence.with_evidence(read(spark, sf, "pages"), out="e", blocked=providers.BLOCKED_DOMAINS)
+
+
 def page_evidence(spark, sf):
-    p = evidence.with_evidence(read(spark, sf, "pages"), out="e").select("page_id", "e")
-    return p.select("page_id", "e.title", "e.nav", "e.headings", "e.body", F.size("e.internal_links").alias("internal"), F.size("e.external_links").alias("external"), F.size("e.anchors").alias("anchors"))
+    links = [F.array_join(f"e.{c}", " ").alias(c) for c in ("internal_links", "external_links")]
+    return _evidence(spark, sf).select("page_id", "e.title", "e.nav", "e.headings", *links, F.size("e.anchors").alias("anchors"), F.array_join("e.items", "|").alias("items"), "e.error")
+
+
+def page_bodies(spark, sf):
+    return _evidence(spark, sf).select("page_id", "e.description", "e.schema_text", "e.body")
 
 
 def listing_filter(spark, sf):
-    p = evidence.with_evidence(read(spark, sf, "pages"), out="e").select("page_id", "e").select("page_id", F.explode("e.anchors").alias("a")).select("page_id", "a.*")
-    return evidence.listings(p, LISTING).groupBy("page_id").agg(F.count_distinct(F.lower("name")).alias("n"), F.min("name").alias("least"))
+    """Listings of the pages' anchors once each, the first of a name, and the same for list items."""
+    p = _evidence(spark, sf).select("page_id", F.posexplode("e.anchors").alias("ordinal", "a")).select("page_id", "ordinal", "a.*")
+    found = evidence.first_seen(evidence.listings(p, LISTING), "ordinal", ["low"], ["page_id"])
+    return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("name", "ordinal").alias("first"), F.max_by("name", "ordinal").alias("last"))
+
+
+def list_items(spark, sf):
+    return evidence.list_items(_evidence(spark, sf).select("page_id", "e"), LISTING, "e").select("page_id", "ordinal", "name")
 
 
 def url_parts(spark, sf):
     u = F.col("url")
     return read(spark, sf, "pages").select(
-        "page_id", X.domain(u).alias("domain"), X.slug(u, "(?:en|fr|de|es)").alias("slug"), X.is_http(u).alias("is_http"), X.redirect_target(F.concat(F.lit("https://r.example/?u="), F.url_encode(u))).alias("target"),
+        "page_id", X.domain(u).alias("domain"), X.slug(u, "(?:en|fr|de|es)").alias("slug"), X.is_http(u).alias("is_http"), X.redirect_target(F.concat(F.lit("https://r.example/?url="), F.url_encode(u))).alias("target"),
         X.within_domains(X.domain(u), ["example.com", "example.org"]).alias("own"))
 
 
@@ -168,7 +178,7 @@ def listing_cascade(spark, sf):
 
 def url_discovery(spark, sf):
     k, u = F.col("page_id"), F.col("url")
-    own = F.when(k % 4 == 0, F.concat(F.lit("https://p.example.org/?u="), F.url_encode(u))).otherwise(u)
+    own = F.when(k % 4 == 0, F.concat(F.lit("https://p.example.org/?url="), F.url_encode(u))).otherwise(u)
     listed = cascade.known_urls(F.when(k % 3 == 0, F.concat_ws("|", F.lit("https://p.example.org/x"), F.lit(" "), u)), F.lit("mailto:x"))
     x = cascade.discover(own, listed, F.when(k % 5 == 0, F.lit("https://page.example.net/")), F.when(k % 2 == 0, F.lit("https://found.example.net/")), ["p.example.org"])
     return read(spark, sf, "pages").select("page_id", x.alias("x")).select("page_id", "x.*")
@@ -181,6 +191,12 @@ def one_hop_owners(spark, sf):
     return s.join(owners, s["s_nationkey"] == owners["entity"]).select(F.col("s_suppkey").alias("entity"), "parent")
 
 
+#: Anchors of the pages, which stand in plain list items: text and href as parsed.
+_ANCHORS = """WITH raw AS (
+  SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS a FROM pages
+), anchors AS (
+  SELECT page_id, list_transform(a, lambda x: {'text': trim(replace(replace(regexp_extract(x, '>([^<]*)<', 1), '&quot;', '"'), '&amp;', '&')), 'href': replace(replace(regexp_extract(x, '"([^"]*)"', 1), '&quot;', '"'), '&amp;', '&')}) AS a FROM raw
+)"""
 QUERIES = {
     "classification_status": (classification_status, """WITH o AS (
   SELECT o_orderkey, o_orderkey AS k, (['', 'internal', '', 'nav', '', '', '', '', '', ''])[o_orderkey % 10 + 1] AS gate, (['Home', 'Travel', 'Other / Unclassified'])[o_orderkey % 3 + 1] AS pb, (o_orderkey // 3) % 3 + 1 AS pl,
@@ -203,16 +219,37 @@ SELECT o_orderkey, CASE WHEN st IN ('d', 'e') THEN 'direct_public' ELSE st END A
   CASE st WHEN 'error' THEN true WHEN 'd' THEN d < 96 WHEN 'needs_review' THEN true WHEN 'e' THEN e < 94 WHEN 'subsidiary' THEN p < 90 WHEN 'ambiguous' THEN true ELSE false END AS review FROM u"""),
     "url_discovery": (url_discovery, """SELECT page_id, CASE WHEN page_id % 4 = 0 OR page_id % 3 = 0 THEN url WHEN page_id % 5 = 0 THEN 'https://page.example.net/' WHEN page_id % 2 = 0 THEN 'https://found.example.net/' ELSE '' END AS url,
   CASE WHEN page_id % 4 = 0 THEN 'redirect' WHEN page_id % 3 = 0 THEN 'existing' WHEN page_id % 5 = 0 THEN 'provider_page' WHEN page_id % 2 = 0 THEN 'search' ELSE 'none' END AS method FROM pages"""),
-    "one_hop_owners": (one_hop_owners, "SELECT entity, parent FROM (SELECT s_suppkey AS entity, c_name AS parent, row_number() OVER (PARTITION BY s_suppkey ORDER BY c_custkey) AS rn FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE c_acctbal > 5000) WHERE rn <= 4"),
+    "one_hop_owners": (one_hop_owners, "SELECT entity, parent FROM (SELECT s_suppkey AS entity, c_name AS parent, row_number() OVER (PARTITION BY s_suppkey ORDER BY c_custkey) AS rn FROM supplier JOIN customer ON s_nationkey = c_nationkey) WHERE rn <= 4"),
     "keyword_rules_first_match": (keyword_rules, "SELECT p_partkey, CASE WHEN contains(p_name, 'ring') OR contains(p_name, 'gear') THEN 'round' WHEN contains(p_name, 'red') THEN 'red things' WHEN contains(p_name, 'late') THEN 'plates' ELSE 'Other' END AS rule FROM part"),
     "phrase_counts": (phrase_counts, """WITH d AS (SELECT doc_id, lower(text) AS t FROM documents)
-SELECT doc_id, len(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda w: w = 'lamp')) AS n0, (length(t) - length(replace(t, 'the ', ''))) // 4 AS n1, (length(t) - length(replace(t, ' of ', ''))) // 4 AS n2,
+SELECT doc_id, len(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda w: w = 'lamp')) AS n0, len(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda w: w = 'the')) AS n1, len(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda w: w = 'of')) AS n2,
        (length(t) - length(replace(t, 'de la', ''))) // 5 AS n3, (length(t) - length(replace(t, 'en-', ''))) // 3 AS n4 FROM d"""),
     "taxonomy_scores": (taxonomy_scores, "WITH " + _SCORES + " SELECT * FROM scored"),
     "taxonomy_top2_confidence": (taxonomy_confidence, _TOP2),
     "page_evidence_title": (page_title, "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[\\s\\x{00A0}]+', ' ', 'g')) AS title FROM pages"),
-    "page_evidence": (page_evidence, None),
-    "listing_filter": (listing_filter, None),
+    "page_evidence": (page_evidence, _ANCHORS + """, t AS (
+  SELECT page_id, list_filter(list_transform(a, lambda x: x.text), lambda x: length(x) BETWEEN 2 AND 80) AS nav, a FROM anchors
+), h AS (
+  SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '[\\s\\x{00A0}]+', ' ', 'g')) AS h, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[\\s\\x{00A0}]+', ' ', 'g')) AS title FROM pages
+), l AS (
+  SELECT page_id, list_filter(list_transform(a, lambda x: regexp_extract(url, '^https?://[^/?#]*') || x.href), lambda u: regexp_matches(lower(u[9:]), '/.*(shop|collection|categor|product|men|kids|shoes|apparel|beauty|home|electronics|jewelry|bags|wallet|travel|grill|pest|grocery|audio)')) AS l
+  FROM t JOIN pages USING (page_id)
+)
+SELECT page_id, replace(replace(title, '&quot;', '"'), '&amp;', '&') AS title, left(array_to_string(nav, ' | '), 4000) AS nav, left(replace(replace(h, '&quot;', '"'), '&amp;', '&'), 2500) AS headings, len(a) AS anchors,
+  array_to_string(list_filter(list_transform(a, lambda x: x.text), lambda x: x <> ''), '|') AS items, '' AS error, '' AS external_links,
+  array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[:8], ' ') AS internal_links
+FROM t JOIN h USING (page_id) JOIN l USING (page_id)"""),
+    "page_bodies": (page_bodies, None),
+    "listing_filter": (listing_filter, _ANCHORS + """, e AS (
+  SELECT page_id, unnest(a) AS x, generate_subscripts(a, 1) AS p FROM anchors
+), f AS (
+  SELECT page_id, p, x.text AS name FROM e WHERE x.text <> '' AND lower(x.text) NOT IN ('the', 'de') AND length(x.text) <= 80 AND NOT regexp_matches(x.text, '^[0-9]+$') AND regexp_matches(x.text, '[A-Za-z]') AND NOT contains(lower(x.href), 'auf')
+), d AS (
+  SELECT page_id, arg_min(name, p) AS name, min(p) AS p FROM f GROUP BY page_id, lower(name)
+) SELECT page_id, count(*) AS n, arg_min(name, p) AS first, arg_max(name, p) AS last FROM d GROUP BY page_id"""),
+    "list_items": (list_items, _ANCHORS + """, e AS (
+  SELECT page_id, unnest(a).text AS name, generate_subscripts(a, 1) - 1 AS ordinal FROM (SELECT page_id, list_filter(a, lambda x: x.text <> '') AS a FROM anchors)
+) SELECT page_id, ordinal, name FROM e WHERE lower(name) NOT IN ('the', 'de') AND length(name) <= 80 AND NOT regexp_matches(name, '^[0-9]+$') AND regexp_matches(name, '[A-Za-z]')"""),
     "url_parts": (url_parts, """SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\\.', '') AS domain, regexp_extract(url, '/(?:en|fr|de|es)/([^/?#]+)', 1) AS slug, true AS is_http, url AS target,
        regexp_matches(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '(^|\\.)example\\.(com|org)$') AS own FROM pages"""),
     "token_blocked_candidates": (token_blocked, "WITH " + _NAMES + " SELECT l_id, r_id, shared, round(set_score, 4) AS set_score, CAST(key_score AS DOUBLE) AS key_score FROM s"),
@@ -227,5 +264,7 @@ SELECT doc_id, len(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda w: w
   SELECT b.*, score >= 94 AND (score >= 99 OR n = 1 OR close <= 1 OR starts_with(r_key, l_key)) AS firm FROM b JOIN c USING (l_id)
 ) SELECT l_id, round(score, 4) AS score, CASE WHEN firm THEN 'direct_public' WHEN score >= 86 THEN 'needs_review' WHEN score >= 75 THEN 'ambiguous' ELSE 'no_match' END AS status,
   CASE WHEN score >= 96 THEN 'high' WHEN score >= 88 THEN 'medium' ELSE 'low' END AS confidence, NOT firm OR score < 96 AS review FROM f"""),
-    "candidate_json": (candidate_json, None),
+    "candidate_json": (candidate_json, "WITH " + _NAMES + """, k AS (
+  SELECT * FROM (SELECT l_id, r_id, greatest(set_score, key_score) AS score, row_number() OVER (PARTITION BY l_id ORDER BY greatest(set_score, key_score) DESC, r_id) AS place FROM s WHERE greatest(set_score, key_score) >= 70) WHERE place <= 5
+) SELECT l_id, '[' || string_agg('{"place":' || place || ',"score":' || CAST(round(score, 2) AS DOUBLE) || ',"r_id":' || r_id || '}', ',' ORDER BY place) || ']' AS candidates FROM k GROUP BY l_id"""),
 }

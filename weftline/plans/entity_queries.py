@@ -23,9 +23,10 @@ def _summary(spark, sf):
 _FLAGS = ", ".join(f"CAST(max(CASE WHEN provider = '{p}' THEN 1 ELSE 0 END) AS INTEGER) AS has_{overlap.column_name(p)}" for p in PROVIDERS)
 SUMMARY = MASTER + f""", summary AS (
   SELECT a.*, b.m AS broad_industry, s.m AS sub_industry FROM (
-    SELECT entity_key, arg_min(name, (length(name), lower(name), name)) AS canonical_name, array_to_string(list_sort(list_distinct(list(name))), '; ') AS name_variants,
+    SELECT entity_key, arg_min(name, (length(name), lower(name), name)) AS canonical_name, array_to_string(list_sort(list_distinct(list(name))), ' | ') AS name_variants,
            array_to_string(list_sort(list_distinct(list(provider))), '; ') AS provider_set, count(DISTINCT provider) AS provider_count,
-           array_to_string(list_sort(list_distinct(list(country))), '; ') AS country_set, {_FLAGS}
+           array_to_string(list_sort(list_distinct(list(country))), '; ') AS country_set,
+           coalesce(array_to_string(list_sort(list_distinct(list(url) FILTER (WHERE url <> ''))), ' | '), '') AS urls, array_to_string(list_sort(list_distinct(list(file))), '; ') AS files, {_FLAGS}
     FROM master GROUP BY entity_key) a
   JOIN {mode_sql('broad')} b USING (entity_key) JOIN {mode_sql('sub')} s USING (entity_key)
 )"""
@@ -36,17 +37,63 @@ def _alias(spark, sf):
     return keys.select(F.col("entity_key").alias("alias_key"), F.concat(F.lit("Group & "), F.substring("entity_key", -2, 1)).alias("canonical"))
 
 
+_EXCLUDED = {"navigation": ["groupand1", "1996customer000000002"], "provider": ["groupand1", "groupand2"]}
+
+
 def overlap_alias_merged(spark, sf):
-    return overlap.aggregate_flags(overlap.merge_aliases(_summary(spark, sf), _alias(spark, sf)), PROVIDERS)
+    return overlap.in_order(overlap.aggregate_flags(overlap.merge_aliases(_summary(spark, sf), _alias(spark, sf)), PROVIDERS, _EXCLUDED))
+
+
+def provider_membership(spark, sf):
+    """Flags by column for the first two providers, by the provider set for the others."""
+    over = _summary(spark, sf)
+    over = over.drop(*[f"has_{overlap.column_name(p)}" for p in PROVIDERS[2:]])
+    return over.select("entity_key", *[overlap.has_provider(over, p).alias(f"p{i}") for i, p in enumerate(PROVIDERS)])
+
+
+def canonical_rows(spark, sf):
+    x = tables.listings(spark, sf).withColumn("entity_key", X.key_squashed(F.col("name")))
+    x = x.withColumn("name", F.when(F.col("ordinal") % 2 == 0, F.upper("name")).otherwise(F.col("name")))
+    return overlap.with_canonical(x).select("ordinal", "entity_key", "name", "canonical_name")
+
+
+def country_sets(spark, sf):
+    c, n = read(spark, sf, "customer"), read(spark, sf, "nation")
+    text = F.concat(F.initcap(F.lower("n_name")), F.lit("; UnitedStates|US, "), F.col("n_name"), F.lit(";UK"))
+    return c.join(n, c["c_nationkey"] == n["n_nationkey"]).select("c_custkey", F.array_join(X.country_items(text), "; ").alias("countries"), X.country_hint(F.array_join(X.country_items(text), "; ")).alias("hint"))
+
+
+def friendly_names(spark, sf):
+    squashed = X.squash(F.initcap("p_name"))
+    name = F.when(F.col("p_partkey") % 3 == 0, F.concat(squashed, F.lit("+Co.com"))).when(F.col("p_partkey") % 3 == 1, F.concat(squashed, F.lit("&Co™"))).otherwise("TheOAK")
+    return read(spark, sf, "part").select("p_partkey", X.friendly_name(name, {"TheOAK": "Oak"}).alias("name"))
 
 
 _HAS = [f"has_{overlap.column_name(p)}" for p in PROVIDERS]
-MERGED = SUMMARY + f""", merged AS (
-  SELECT key AS entity_key, arg_min(canonical_name, (length(canonical_name), lower(canonical_name), canonical_name)) AS canonical_name, count(*) AS merged_rows, {', '.join(f'bool_or({h} = 1) AS {h}' for h in _HAS)}
-  FROM (SELECT *, CASE WHEN entity_key LIKE '%0' THEN 'groupand' || substr(entity_key, length(entity_key) - 1, 1) ELSE entity_key END AS key FROM summary) GROUP BY key
+
+def _united(column: str, name: str, to: str = "item") -> str:
+    """A CTE of the items of a delimited column of the aliased summary, each once by lower case in the order of the rows."""
+    return f"""{name}_ AS (
+  SELECT key, string_agg(item, '; ' ORDER BY at_) AS {name} FROM (
+    SELECT key, arg_min({to}, (-provider_count, canonical_name, name_variants, p)) AS item, min((-provider_count, canonical_name, name_variants, p)) AS at_ FROM (
+      SELECT *, generate_subscripts(a, 1) AS p, trim(unnest(a)) AS item FROM (SELECT *, regexp_split_to_array({column}, '[;|,]') AS a FROM aliased)) WHERE item <> '' GROUP BY key, lower({to})) GROUP BY key
 )"""
 
 
+_NUMBER = " + ".join(f"CAST({h} AS INTEGER)" for h in _HAS)
+_LIST = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {h} THEN '{p}' END" for h, p in zip(_HAS, PROVIDERS, strict=True)) + "], lambda x: x IS NOT NULL), '; ')"
+MERGED = SUMMARY + f""", aliased AS (
+  SELECT *, CASE WHEN entity_key LIKE '%0' THEN 'groupand' || substr(entity_key, length(entity_key) - 1, 1) ELSE entity_key END AS key FROM summary
+), merged AS (
+  SELECT key AS entity_key, arg_min(canonical_name, (length(canonical_name), lower(canonical_name), canonical_name)) AS canonical_name, count(*) AS merged_rows, {', '.join(f'bool_or({h} = 1) AS {h}' for h in _HAS)}
+  FROM aliased GROUP BY key
+), {_united('name_variants', 'name_variants')}, {_united('country_set', 'countries')}, {_united('urls', 'urls')}, {_united('files', 'files')}"""
+_MERGED_ROWS = f"""SELECT merged.*, {_LIST} AS providers, CAST({_NUMBER} AS BIGINT) AS provider_count,
+  CASE WHEN entity_key IN ('groupand1', '1996customer000000002') THEN 'navigation' WHEN entity_key = 'groupand2' THEN 'provider' ELSE '' END AS exclusion,
+  v.name_variants, c.countries, coalesce(u.urls, '') AS urls, f.files
+FROM merged JOIN name_variants_ v ON v.key = entity_key JOIN countries_ c ON c.key = entity_key LEFT JOIN urls_ u ON u.key = entity_key JOIN files_ f ON f.key = entity_key"""
+
+
 def ordered_distinct_union(spark, sf):
     items = X.split_items(F.concat_ws("; ", F.col("provider"), F.lower("provider"), F.concat_ws(",", F.col("sub"), F.col("country"))))
     return dedupe.joined_set(tables.listings(spark, sf), ["name"], items, "ordinal", "items")
@@ -150,31 +197,49 @@ def first_and_last(spark, sf):
 
 def label_override(spark, sf):
     long = _master(spark, sf).select("entity_key", "provider", "ordinal", "broad", "sub")
-    c = read(spark, sf, "customer").filter("c_custkey % 4 = 0")
-    lab = c.select(X.key_squashed(F.col("c_name")).alias("entity_key"), F.col("c_custkey").alias("ordinal"), F.when(F.col("c_custkey") % 8 == 0, " ").otherwise("Labelled").alias("final_broad"), F.lit("Checked").alias("final_sub"))
+    k = F.right("name", F.lit(9)).cast("int")
+    c = tables.listings(spark, sf).groupBy("name").agg(F.min("ordinal").alias("ordinal")).filter(k % 4 == 0)  # the labels of every fourth customer
+    lab = c.select(X.key_squashed(F.col("name")).alias("entity_key"), "ordinal", F.when(k % 8 == 0, " ").otherwise("Labelled").alias("final_broad"), F.lit("Checked").alias("final_sub"))
     return labels.apply_labels(long, lab)
 
 
 def review_queue(spark, sf):
-    over = _summary(spark, sf).withColumn("broad_industry", F.when(F.col("broad_industry") == "MACHINERY", "Other").otherwise(F.col("broad_industry")))
+    over = _summary(spark, sf).withColumn("broad_industry", F.when(F.col("broad_industry") == "MACHINERY", "Other / Unclassified").otherwise(F.col("broad_industry")))
     return labels.review_queue(over)
 
 
-_NAV, _INTERNAL = ["customer000000005", "customer000000010"], {"URGENT": ["customer000000003"], "LOW": ["customer000000004"]}
+_NAV, _INTERNAL = ["1996customer000000005", "1997customer000000010"], {"URGENT": ["1996customer000000004"], "LOW": ["1995customer000000004"]}
 
 
 def exclusion_gates(spark, sf):
     x = tables.listings(spark, sf).select("ordinal", "name", "provider")
-    gate = labels.gate(F.col("name"), F.col("provider"), _INTERNAL, {"HIGH": "customer0000001"}, _NAV)
+    gate = labels.gate(F.col("name"), F.col("provider"), _INTERNAL, {"HIGH": "1996customer0000001"}, _NAV)
     return x.withColumn("gate", F.coalesce(gate, F.lit("")))
 
 
 def override_defaults(spark, sf):
     o = read(spark, sf, "orders")
     k = F.col("o_orderkey")
-    status = F.element_at(F.array(*map(F.lit, ["direct_public", "subsidiary", "acquired", "ambiguous", "private"])), (k % 5 + 1).cast("int"))
+    status = F.element_at(F.array(*map(F.lit, ["direct_public", "subsidiary_of_public", "private_no_public_match", "ambiguous", "acquired_or_delisted"])), (k % 5 + 1).cast("int"))
     review = F.when(k % 3 == 0, "").when(k % 3 == 1, "TRUE").otherwise("no")
-    return o.select("o_orderkey", status.alias("status"), labels.override_defaults(status, review, F.when(k % 2 == 0, "")).alias("d")).select("o_orderkey", "status", "d.*")
+    d = labels.override_result({"listing_status": status, "needs_listing_review": review, "listing_match_score": F.when(k % 2 == 0, "77.5"), "public_parent_name": F.col("o_clerk") if "o_clerk" in o.columns else F.lit("P"), "url": F.lit(" u ")})
+    return o.select("o_orderkey", d.alias("d")).select("o_orderkey", "d.listing_status", "d.financial_data_available", "d.financial_data_level", "d.score", "d.confidence", "d.source_url", "d.source", "d.needs_review")
+
+
+def brand_override(spark, sf):
+    c = read(spark, sf, "customer").select(X.key_lower(F.col("c_name")).alias("entity_key"), F.col("c_mktsegment").alias("broad"), F.lit("General").alias("sub"), F.when(F.col("c_custkey") % 2 == 0, "high").otherwise("low").alias("confidence"))
+    o = read(spark, sf, "customer").filter("c_acctbal < 0").select(X.key_lower(F.col("c_name")).alias("key"), F.lit("MACHINERY").alias("to_broad"), F.lit("General").alias("to_sub"))
+    return labels.brand_override(c, o)
+
+
+def override_template(spark, sf):
+    x = _summary(spark, sf).withColumn("needs_review", F.col("provider_count") > 1)
+    return labels.override_template(x)
+
+
+def prefilled_labels(spark, sf):
+    x = _summary(spark, sf).withColumn("broad_industry", F.when(F.col("broad_industry") == "MACHINERY", " Other / Unclassified ").otherwise(F.col("broad_industry")))
+    return x.select("entity_key", labels.prefilled(F.col("broad_industry")).alias("final_broad"))
 
 
 def metric_summary(spark, sf):
@@ -209,8 +274,17 @@ def text_flags(spark, sf):
 
 
 QUERIES = {
-    "overlap_summary": (_summary, "WITH " + SUMMARY + " SELECT * FROM summary"),
-    "overlap_alias_merged": (overlap_alias_merged, "WITH " + MERGED + f" SELECT *, CAST({' + '.join(f'CAST({h} AS INTEGER)' for h in _HAS)} AS BIGINT) AS provider_count FROM merged"),
+    "overlap_summary": (lambda s, d: overlap.in_order(_summary(s, d)), "WITH " + SUMMARY + " SELECT * FROM summary"),
+    "overlap_alias_merged": (overlap_alias_merged, "WITH " + MERGED + " " + _MERGED_ROWS),
+    "provider_membership": (provider_membership, "WITH " + SUMMARY + " SELECT entity_key, " + ", ".join(f"has_{overlap.column_name(p)} = 1 AS p{i}" if i < 2 else f"contains(lower(provider_set), '{p.lower()}') AS p{i}" for i, p in enumerate(PROVIDERS)) + " FROM summary"),
+    "canonical_rows": (canonical_rows, "WITH " + LISTING + """, k AS (
+  SELECT ordinal, CASE WHEN ordinal % 2 = 0 THEN upper(name) ELSE name END AS name, regexp_replace(lower(replace(name, ' ', '')), '[^a-z0-9]+', '', 'g') AS entity_key FROM listing
+) SELECT ordinal, entity_key, name, canonical_name FROM k JOIN (SELECT entity_key, arg_min(name, (length(name), lower(name), name)) AS canonical_name FROM k GROUP BY 1) USING (entity_key)"""),
+    "country_sets": (country_sets, """SELECT c_custkey, CASE WHEN n_name = 'UNITED STATES' THEN 'United States; United Kingdom' WHEN n_name = 'UNITED KINGDOM' THEN 'United Kingdom; United States'
+  ELSE array_to_string(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), ' ') || '; United States; United Kingdom' END AS countries, ' UK' AS hint
+FROM customer JOIN nation ON c_nationkey = n_nationkey"""),
+    "friendly_names": (friendly_names, """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN n || ' Co' WHEN 1 THEN n || ' and Co' ELSE 'Oak' END AS name
+FROM (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS n FROM part)"""),
     "ordered_distinct_union": (ordered_distinct_union, "WITH " + LISTING + """, e AS (
   SELECT name, ordinal, generate_subscripts(a, 1) AS p, trim(unnest(a)) AS item FROM (SELECT name, ordinal, regexp_split_to_array(provider || '; ' || lower(provider) || '; ' || sub || ',' || country, '[;|,]') AS a FROM listing)
 ), o AS (
@@ -235,16 +309,20 @@ QUERIES = {
     "canonical_shortest_name": (canonical_shortest_name, "SELECT p_brand, arg_min(p_name, (length(p_name), lower(p_name), p_name)) AS name FROM part GROUP BY p_brand"),
     "first_and_last": (first_and_last, """SELECT o_custkey, o_orderpriority, min(o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus, 'first' AS which FROM orders GROUP BY 1, 2
 UNION ALL SELECT o_custkey, o_orderpriority, max(o_orderkey), arg_max(o_orderstatus, o_orderkey), 'last' FROM orders GROUP BY 1, 2"""),
-    "label_override": (label_override, "WITH " + MASTER + """, l AS (SELECT lower(regexp_replace(c_name, '[^A-Za-z0-9]+', '', 'g')) AS entity_key, CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE 'Labelled' END AS b FROM customer WHERE c_custkey % 4 = 0)
+    "label_override": (label_override, "WITH " + MASTER + """, l AS (SELECT DISTINCT entity_key, CASE WHEN CAST(right(entity_key, 9) AS INTEGER) % 8 = 0 THEN NULL ELSE 'Labelled' END AS b FROM master WHERE CAST(right(entity_key, 9) AS INTEGER) % 4 = 0)
 SELECT m.entity_key, provider, ordinal, coalesce(b, broad) AS broad, CASE WHEN l.entity_key IS NULL THEN sub ELSE 'Checked' END AS sub, b IS NOT NULL AS labelled FROM master m LEFT JOIN l USING (entity_key)"""),
-    "review_queue": (review_queue, "WITH " + SUMMARY + """, s AS (SELECT * FROM summary WHERE provider_count = 1 AND broad_industry = 'MACHINERY' ORDER BY entity_key LIMIT 50)
+    "review_queue": (review_queue, "WITH " + SUMMARY + """, s AS (SELECT * FROM summary WHERE provider_count = 1 AND broad_industry = 'MACHINERY' ORDER BY canonical_name, entity_key LIMIT 500)
 SELECT entity_key, canonical_name, provider_count, 'overlap' AS reason FROM summary WHERE provider_count >= 2 UNION ALL SELECT entity_key, canonical_name, provider_count, 'single_unclassified' FROM s"""),
     "exclusion_gates": (exclusion_gates, "WITH " + LISTING + """ SELECT ordinal, name, provider, CASE
-  WHEN (provider = 'URGENT' AND k = 'customer000000003') OR (provider = 'LOW' AND k = 'customer000000004') OR (provider = 'HIGH' AND k LIKE 'customer0000001%') THEN 'internal'
-  WHEN k IN ('customer000000005', 'customer000000010') THEN 'nav' ELSE '' END AS gate FROM (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS k FROM listing)"""),
-    "override_defaults": (override_defaults, """SELECT o_orderkey, status, CASE status WHEN 'direct_public' THEN 'company' WHEN 'subsidiary' THEN 'parent' WHEN 'acquired' THEN 'historical' ELSE 'none' END AS level,
-  CASE o_orderkey % 3 WHEN 0 THEN status = 'ambiguous' WHEN 1 THEN true ELSE false END AS review, 'manual_override' AS source
-FROM (SELECT o_orderkey, (['direct_public', 'subsidiary', 'acquired', 'ambiguous', 'private'])[o_orderkey % 5 + 1] AS status FROM orders)"""),
+  WHEN (provider = 'URGENT' AND k = '1996customer000000004') OR (provider = 'LOW' AND k = '1995customer000000004') OR (provider = 'HIGH' AND k LIKE '1996customer0000001%') THEN 'internal'
+  WHEN k IN ('1996customer000000005', '1997customer000000010') THEN 'nav' ELSE '' END AS gate FROM (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS k FROM listing)"""),
+    "override_defaults": (override_defaults, """SELECT o_orderkey, s AS listing_status, (['yes', 'partial', 'no', 'unknown', 'unknown'])[k] AS financial_data_available, (['merchant_level', 'parent_level', 'none_public', 'unknown', 'unknown'])[k] AS financial_data_level,
+  CASE WHEN o_orderkey % 2 = 0 THEN 77.5 ELSE 0.0 END::DOUBLE AS score, 'manual' AS confidence, 'u' AS source_url, 'manual_override' AS source, CASE o_orderkey % 3 WHEN 0 THEN k > 3 WHEN 1 THEN true ELSE false END AS needs_review
+FROM (SELECT o_orderkey, o_orderkey % 5 + 1 AS k, (['direct_public', 'subsidiary_of_public', 'private_no_public_match', 'ambiguous', 'acquired_or_delisted'])[o_orderkey % 5 + 1] AS s FROM orders)"""),
+    "brand_override": (brand_override, """SELECT regexp_replace(lower(c_name), '[^a-z0-9]+', '', 'g') AS entity_key, CASE WHEN o THEN 'MACHINERY' ELSE c_mktsegment END AS broad, 'General' AS sub, CASE WHEN o OR c_custkey % 2 = 0 THEN 'high' ELSE 'low' END AS confidence, o AS overridden
+FROM (SELECT *, c_acctbal < 0 AND NOT (c_mktsegment = 'MACHINERY' AND c_custkey % 2 = 0) AS o FROM customer)"""),
+    "override_template": (override_template, "WITH " + SUMMARY + " SELECT entity_key, canonical_name, " + ", ".join(f"'' AS {c}" for c in labels.TEMPLATE) + " FROM summary WHERE provider_count > 1 ORDER BY entity_key LIMIT 500"),
+    "prefilled_labels": (prefilled_labels, "WITH " + SUMMARY + " SELECT entity_key, CASE WHEN broad_industry = 'MACHINERY' THEN '' ELSE broad_industry END AS final_broad FROM summary"),
     "metric_summary": (metric_summary, "SELECT 'c_mktsegment' AS metric, c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 2 UNION ALL SELECT 'c_nationkey', CASE WHEN c_nationkey > 5 THEN CAST(c_nationkey AS VARCHAR) ELSE '' END, count(*) FROM customer GROUP BY 2"),
     "scalar_metrics": (scalar_metrics, "WITH " + SUMMARY + """ SELECT 'entities' AS metric, CAST(count(*) AS VARCHAR) AS value FROM summary UNION ALL SELECT 'multi', CAST(count(*) FILTER (WHERE provider_count >= 2) AS VARCHAR) FROM summary
 UNION ALL SELECT 'high', CAST(count(*) FILTER (WHERE provider_count >= 3) AS VARCHAR) FROM summary UNION ALL SELECT 'industries', CAST(count(DISTINCT broad_industry) AS VARCHAR) FROM summary"""),

@@ -87,9 +87,8 @@ def twfe_counts(spark, sf):
 
 def json_fields(spark, sf):
     e = read(spark, sf, "events").select("event_id", F.concat(F.lit('{"fields": ["id", "k"], "data": [["'), F.col("event_id").cast("string"), F.lit('", "'), F.get_json_object("props", "$.k"), F.lit('"], ["x", null]]}')).alias("doc"))
-    r = e.select("event_id", F.from_json("doc", "struct<fields:array<string>,data:array<array<string>>>").alias("j"))
-    r = r.select("event_id", F.posexplode("j.data").alias("ordinal", "row"), "j.fields").select("event_id", "ordinal", F.map_from_arrays("fields", "row").alias("m"))
-    return r.select("event_id", "ordinal", F.lpad(F.col("m")["id"], 10, "0").alias("id"), F.col("m")["k"].try_cast("long").alias("k"))
+    m = F.col("record")
+    return facts.columnar_records(e, "doc", ["event_id"]).select("event_id", F.col("ordinal"), F.lpad(m["id"], 10, "0").alias("id"), m["k"].try_cast("long").alias("k"))
 
 
 def _facts(spark, sf):
@@ -144,7 +143,7 @@ def earliest_evidence(spark, sf):
 
 def evidence_note(spark, sf):
     line = F.concat_ws(" ", X.display_date(F.col("date")), "provider", F.coalesce("strength", F.lit("-")))
-    return panel.notes(_evidence(spark, sf), "entity", line, 1_000_000)
+    return panel.notes(_evidence(spark, sf), "entity", line)
 
 
 def adoption_sample(spark, sf):
@@ -165,7 +164,7 @@ QUERIES = {
     "panel_outcomes_quarterly": (_outcomes, "WITH " + _outcome_sql(_QUARTER, 4) + " " + _ROUNDED),
     "panel_outcomes_annual": (lambda s, d: _outcomes(s, d, True), "WITH " + _outcome_sql("year(l_shipdate)", 1) + " " + _ROUNDED),
     "panel_outcomes_calendar": (lambda s, d: _outcomes(s, d, False, True), "WITH " + _outcome_sql(_QUARTER, 4, True) + " " + _ROUNDED),
-    "event_panel": (event_panel, "WITH " + _panel_sql(_QUARTER) + ", " + _EVENTS + " SELECT entity, period, round(revenue, 4) AS revenue, event_index, period - event_index AS event_time, CAST(period >= event_index AS INTEGER) AS post FROM panel JOIN events_ USING (entity) WHERE period - event_index BETWEEN -12 AND 12"),
+    "event_panel": (event_panel, "WITH " + _panel_sql(_QUARTER) + ", " + _EVENTS + " SELECT entity, period, round(revenue, 4) AS revenue, event_index, period - event_index AS event_time, CAST(period >= event_index AS INTEGER) AS post FROM panel JOIN events_ USING (entity) WHERE period - event_index BETWEEN -40 AND 40"),
     "twfe_regression": (twfe_regression, None),
     "twfe_counts": (twfe_counts, "WITH " + _panel_sql(_QUARTER) + ", " + _EVENTS + """, w AS (
   SELECT p.* FROM panel p JOIN events_ USING (entity) WHERE period - event_index BETWEEN -40 AND 40

@@ -13,22 +13,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One sighting of an entity (a customer) by a provider (an order priority) for each order of 1996."""
-    o = read(spark, sf_dir, "orders").filter((F.col("o_orderdate") >= "1996-01-01") & (F.col("o_orderdate") < "1997-01-01"))
-    c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    """One sighting of an entity (a customer in one year) by a provider (an order priority) for each order.
+
+    The year is part of the name, as over all years nearly every customer has every provider.
+    """
+    o, c, n = (read(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    provider = F.regexp_replace("o_orderpriority", "^[0-9]-", "")
     return o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"]).select(
-        F.col("o_orderkey").alias("ordinal"), F.col("c_name").alias("name"), F.regexp_replace("o_orderpriority", "^[0-9]-", "").alias("provider"),
+        F.col("o_orderkey").alias("ordinal"), F.concat(F.year("o_orderdate").cast("string"), F.lit(" "), F.col("c_name")).alias("name"), provider.alias("provider"),
         F.col("n_name").alias("country"), F.col("c_mktsegment").alias("broad"), F.col("o_orderstatus").alias("sub"),
+        F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit("https://shop.example/"), (F.col("o_orderkey") % 10).cast("string"))).otherwise("").alias("url"), F.concat(provider, F.lit(".csv")).alias("file"),
     )
 
 
 #: SQL for listings and for their first row of each key and provider.
 LISTING = """listing AS (
-  SELECT o_orderkey AS ordinal, c_name AS name, regexp_replace(o_orderpriority, '^[0-9]-', '') AS provider, n_name AS country, c_mktsegment AS broad, o_orderstatus AS sub
-  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE year(o_orderdate) = 1996
+  SELECT o_orderkey AS ordinal, year(o_orderdate) || ' ' || c_name AS name, regexp_replace(o_orderpriority, '^[0-9]-', '') AS provider, n_name AS country, c_mktsegment AS broad, o_orderstatus AS sub,
+         CASE WHEN o_orderkey % 3 <> 0 THEN 'https://shop.example/' || (o_orderkey % 10) ELSE '' END AS url, regexp_replace(o_orderpriority, '^[0-9]-', '') || '.csv' AS file
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
 )"""
 MASTER = LISTING + """, master AS (
-  SELECT ordinal, regexp_replace(name, '\\s+', '', 'g') AS name, provider, country, broad, sub, entity_key FROM (
+  SELECT ordinal, regexp_replace(name, '\\s+', '', 'g') AS name, provider, country, broad, sub, url, file, entity_key FROM (
     SELECT *, row_number() OVER (PARTITION BY entity_key, provider ORDER BY ordinal) AS rn FROM (
       SELECT *, regexp_replace(replace(lower(regexp_replace(name, '\\s+', '', 'g')), '&', 'and'), '[^a-z0-9]+', '', 'g') AS entity_key FROM listing))
   WHERE rn = 1 AND entity_key <> ''

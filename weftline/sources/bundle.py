@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -36,16 +36,45 @@ def newest(spark: SparkSession, pattern: str) -> str:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A table by its suffix: parquet, csv (all text, with a header), json or jsonl."""
+    """A table by its suffix: parquet, csv (all text, with a header), json or jsonl; headers without blanks at their ends."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "parquet":
-        return spark.read.parquet(path)
-    if kind == "csv":
+        df = spark.read.parquet(path)
+    elif kind == "csv":
         df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-        return df.toDF(*[c.lstrip("﻿").strip() for c in df.columns])
-    if kind in ("json", "jsonl"):
-        return spark.read.json(path)
-    raise ValueError(f"no reader for .{kind}")
+    elif kind in ("json", "jsonl"):
+        df = spark.read.json(path)
+    else:
+        raise ValueError(f"no reader for .{kind}")
+    return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
+
+
+def numbered(spark: SparkSession, path: str, ordinal: str = "ordinal") -> DataFrame:
+    """A csv file's rows, all text, with their place in it: read in one piece, as such files are written by hand."""
+    df = read(spark, path)
+    return df.coalesce(1).withColumn(ordinal, F.monotonically_increasing_id())
+
+
+def landed(spark: SparkSession, path: str, max_age_days: float | None = None, now: str | None = None) -> DataFrame:
+    """path, modified and text of the files below a path or glob; with an age only those written within it before now (a timestamp's text; else the present)."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    if max_age_days is not None:
+        at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+        df = df.filter(F.col("modificationTime") > at - F.make_dt_interval(F.lit(int(max_age_days)), F.lit(0), F.lit(0), F.lit((max_age_days % 1) * 86400)))
+    return df.select("path", F.col("modificationTime").alias("modified"), F.col("content").cast("string").alias("text"))
+
+
+def sections(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """path, modified, text and section of the files of a source that comes in parts: section names to paths or globs, those without a file left out."""
+    out = None
+    for name, path in paths.items():
+        fs, p = _fs(spark, path)
+        if fs.globStatus(p):
+            part = landed(spark, path).withColumn("section", F.lit(name))
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise FileNotFoundError(str(paths))
+    return out
 
 
 def guarded(df: DataFrame) -> DataFrame:
@@ -63,6 +92,22 @@ def write(tables: dict[str, DataFrame], path: str, kind: str = "parquet") -> Non
     spark.createDataFrame(rows, "ordinal int, name string, kind string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest.json")
 
 
+def write_both(df: DataFrame, path: str) -> None:
+    """A table as parquet and, its texts guarded, as csv."""
+    df.write.mode("overwrite").parquet(f"{path}.parquet")
+    guarded(df).write.mode("overwrite").option("header", True).csv(f"{path}.csv")
+
+
+def write_views(df: DataFrame, path: str, views: dict[str, Column], kind: str = "parquet") -> None:
+    """A bundle of a table, named `all`, and of its rows for each named condition, a null one counting as false."""
+    write({"all": df} | {name: df.filter(F.coalesce(c, F.lit(False))) for name, c in views.items()}, path, kind)
+
+
+def append_log(df: DataFrame, path: str, fields: list[str]) -> None:
+    """Appends some columns, in order, to a log in csv; each part has a header, so read() gives the rows alone."""
+    df.select(*fields).write.mode("append").option("header", True).csv(path)
+
+
 def names(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """Names and kinds of a bundle's tables, in order."""
     return [(r["name"], r["kind"]) for r in spark.read.json(f"{path}/manifest.json").orderBy("ordinal").collect()]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,6 +26,36 @@ def pending(inputs: DataFrame, store: DataFrame, key: str) -> DataFrame:
     return dedupe.keep_first(inputs.join(store.select(key), key, "left_anti"), [key], "ordinal")
 
 
+def write_back(rows: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """All rows with the result of their key (one a key); blank where there is none yet."""
+    more = [c for c in results.columns if c != key]
+    out = rows.join(results, key, "left")
+    return out.na.fill("", [f.name for f in results.schema if f.name in more and f.dataType.simpleString() == "string"])
+
+
+def rows_from(df: DataFrame, ordinal: str, start: int = 0, limit: int | None = None) -> DataFrame:
+    """limit rows (all without one) from the start-th on, in order."""
+    out = df.orderBy(ordinal).offset(start)
+    return out if limit is None else out.limit(limit)
+
+
+@dataclass(frozen=True)
+class Switches:
+    """What a run of the listing cascade uses: offline keeps to what has landed within the age that readers allow; without a source its scores are none."""
+
+    offline: bool = False
+    quotes: bool = True
+    entities: bool = True
+    no_match_is_private: bool = True
+
+    def scores(self, direct: Column, entity: Column, parent: Column) -> tuple[Column, Column, Column]:
+        none = F.lit(None).cast("double")
+        return direct, entity if self.entities else none, parent if self.entities else none
+
+    def status(self, status: Column) -> Column:
+        return F.when(status == "no_match", "private_no_public_match" if self.no_match_is_private else "no_public_match").otherwise(status)
+
+
 def run(spark: SparkSession, inputs: DataFrame, path: str, schema: T.StructType, key: str, work: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
     """Does what is pending, appends it, and gives the store; force starts anew."""
     if force and bundle.exists(spark, path):
@@ -40,7 +71,8 @@ def stream(source: DataFrame, path: str, checkpoint: str, key: str, schema: T.St
 
     def each(batch: DataFrame, _: int) -> None:
         s = batch.sparkSession
-        todo = pending(batch, load(s, path, schema, key), key)
+        keys = T.StructType([schema[key], schema["seq"]])  # of the store's rows no more than this is read
+        todo = pending(batch, load(s, path, keys, key), key)
         work(todo).select(*schema.names).write.mode("append").json(path)
 
     return source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
