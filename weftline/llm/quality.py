@@ -159,25 +159,30 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     null, empty docs give no rows; without labels every score is a half. Columns not named are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), *[docs.schema[c] for c in carry]])
+    who, fold, text = (common.unused(docs, c) for c in ("__id", "__held", "__text"))
+    made = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())]
+    schema = T.StructType([*made, *[T.StructField(f"c{k}", docs.schema[c].dataType) for k, c in enumerate(carry)]])
 
     def run(batches):
         m = held.value
         for batch in batches:
-            texts = common.binary_texts(batch, "__text")
+            texts = common.binary_texts(batch, text)
             out = np.zeros(len(texts))
             for first, end, raw, starts in common.byte_blocks(texts):
                 out[first:end] = m.scores(raw, starts)
-            yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__held"), pa.array(out), *[batch.column(c) for c in carry]], [id_col, "held_out", "score", *carry])
+            yield pa.RecordBatch.from_arrays([batch.column(who), batch.column(fold), pa.array(out), *[batch.column(c) for c in carry]], schema.names)
 
-    rows = docs.select(F.col(id_col).alias("__id"), common.held_out(F.col(id_col)).alias("__held"), F.col(text_col).alias("__text"), *carry)
-    return common.arrow_map(rows, run, schema).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    rows = docs.select(F.col(id_col).alias(who), common.held_out(F.col(id_col)).alias(fold), F.col(text_col).alias(text), *[F.col(f"`{c}`") for c in carry])
+    scored = common.arrow_map(rows, run, schema).withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return scored.select(id_col, "held_out", "score", "predicted", *[F.col(f"c{k}").alias(c) for k, c in enumerate(carry)])
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows that the model rejects; all columns stay."""
-    rest = [c for c in docs.columns if c != "doc_id"]
-    return score(docs, model, carry=rest).filter("predicted = 1").select(docs.columns)
+    """docs without the rows that the model rejects; all columns stay, whatever their names."""
+    x = score(docs, model, carry=docs.columns)
+    names = x.columns[4:]
+    x = x.toDF("i", "h", "s", "p", *[f"c{k}" for k in range(len(names))])
+    return x.filter("p = 1").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -288,6 +288,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Ids must be integers. A null text has no bytes. Rows that repeat an id never take bytes from one another; rows with a
     null id lose nothing and take nothing. Empty docs give no rows; other columns are not read.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} must be an integer")
     spans = common.written(repeated(docs, id_col, text_col), "spans")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("t"), F.col(id_col).cast("long").alias("id"))
     rows = rows.join(spans, ["id", "t"], "left").select("__id", "__text", "spans")

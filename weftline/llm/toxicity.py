@@ -100,8 +100,9 @@ def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merg
     table, b3 = lm.table, SYMBOLS**3
     # state: the last three symbols, the last sign, whether that is a word alone so far; value: score, and the reading as linked letters
     states: dict = {(0, "", False): (0.0, None)}
-    for sign in [*signs, " "]:
+    for sign, next_ in zip([*signs, " "], [*signs[1:], " ", " "], strict=True):
         closing = sign[0] in SEPARATORS or sign.isspace()
+        itself = sign == "!" and (next_[0] in SEPARATORS or next_.isspace())  # a mark after a word, and no letter
         reads = ([(sign, 0.0)] if sign.isalpha() else []) + [(c, -swap) for c in LEET.get(sign, "")]
         after: dict = {}
 
@@ -110,7 +111,7 @@ def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merg
                 after[key] = (score, (read, letter) if letter else read)
 
         for (context, last, single), (score, read) in states.items():
-            if closing or not reads:
+            if closing or itself or not reads:
                 step = float(table[context * SYMBOLS]) if context % SYMBOLS else 0.0
                 split = odd if single and sign == filler else 0.0
                 offer(((context * SYMBOLS) % b3 if context % SYMBOLS else context, "", False), score + step - split, read, " ")
