@@ -363,5 +363,23 @@ def test_pipeline_on_awkward_and_empty_rows(spark, awkward, tmp_path):
         assert p.run(spark, where).count() == left.count()
 
 
+def test_very_long_texts_in_pieces_are_the_same(monkeypatch, spark):
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["oak", "Ünder", "12", "%%%", "x" * 90, "lamp!", "\t"]) for _ in range(3000)).encode()
+    raw, edges = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    weights = np.random.default_rng(1).normal(size=1 << quality.BITS).astype(np.float32) / 100
+    model = quality.Model(weights, 0.1)
+    speech = langid.Model(["a", "b"], np.random.default_rng(2).normal(size=(2, (1 << langid.BITS) + 1)).astype(np.float32), np.zeros(2))
+    speech.table[:, -1] = 0
+    whole = model.scores(raw, edges), speech.logits(raw, edges), jaccard_join.shingle_sets(raw, edges)
+    for size in (64, 1000, 4096):
+        monkeypatch.setattr(common, "PIECE", size)
+        assert model.scores(raw, edges) == pytest.approx(whole[0], abs=1e-9)
+        assert speech.logits(raw, edges) == pytest.approx(whole[1], abs=1e-9)
+        assert (jaccard_join.shingle_sets(raw, edges)[0] == whole[2][0]).all()
+    blank = np.frombuffer(b" " * 5000, np.uint8)
+    assert len(jaccard_join.shingle_sets(blank, np.array([0, 5000]))[0]) == 0 and model.scores(blank, np.array([0, 5000]))[0] == pytest.approx(1 / (1 + math.exp(-0.1)))
+
+
 def test_every_query_is_registered():
     assert [n.split("_")[0] for n in sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]

@@ -6,7 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,6 +149,26 @@ def byte_blocks(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, in
         first = end
 
 
+#: Bytes of a text that numpy works on at a time: what a very long text takes in memory is a few dozen times this.
+PIECE = 4 << 20
+
+
+def word_pieces(raw: np.ndarray, word: Callable[[np.ndarray], np.ndarray], before: int, piece: int | None = None) -> Iterator[tuple[int, int, int]]:
+    """First byte, end, and words to skip, of the pieces of one text in which whole words lie, each with `before` words of the last.
+
+    word(bytes) tells, of the bytes of a stretch, where a word begins; its first byte begins one. A word that is longer than a
+    piece stays whole.
+    """
+    piece = piece or PIECE
+    starts = [np.flatnonzero(word(raw[k : k + piece + 1])) + k for k in range(0, len(raw), piece)]
+    begin = np.unique(np.concatenate([starts[0], *[x[x > k] for k, x in zip(range(piece, len(raw), piece), starts[1:], strict=True)], *[x[x == k] for k, x in zip(range(piece, len(raw), piece), starts, strict=False)]]))
+    first = 0
+    while first < len(begin):
+        end = max(first + 1, int(np.searchsorted(begin, begin[first] + piece)))
+        yield int(begin[max(0, first - before)]), int(begin[end]) if end < len(begin) else len(raw), min(first, before)
+        first = end
+
+
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of the runs of values that starts (with the end) delimits; empty runs give 0."""
     out = np.zeros(len(starts) - 1, np.float64)

@@ -51,11 +51,26 @@ def finish(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_sets(raw: np.ndarray, starts: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
-    """The sorted set of shingle hashes of each text of a block."""
-    n_texts = len(starts) - 1
-    if not len(raw):
-        return [np.zeros(0, np.uint64)] * n_texts
+def _begins(raw: np.ndarray) -> np.ndarray:
+    """Where words begin in a stretch of a text: after a blank, and at its first byte unless that is one."""
+    gap = _SPACE[raw]
+    out = ~gap
+    out[1:] &= gap[:-1]
+    return out
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of a block of texts, and where it begins."""
+    if len(starts) == 2 and len(raw) > common.PIECE:  # one very long text
+        parts = []
+        for first, end, _ in common.word_pieces(raw, _begins, 0):
+            h, begin = _word_hashes(raw[first:end], np.array([0, end - first]))
+            parts.append((h, begin + first))
+        return np.concatenate([x for x, _ in parts] or [np.zeros(0, np.uint64)]), np.concatenate([x for _, x in parts] or [np.zeros(0, np.int64)])
+    return _word_hashes(raw, starts)
+
+
+def _word_hashes(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = _LOWER[raw]
     gap = _SPACE[raw]
     first = ~gap
@@ -69,7 +84,15 @@ def shingle_sets(raw: np.ndarray, starts: np.ndarray, words: int = WORDS) -> lis
     up, down = quality.powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-    h = finish((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(np.uint64) * _C[0])
+    return finish((total[stop] - total[begin]) * down[begin] + (stop - begin).astype(np.uint64) * _C[0]), begin
+
+
+def shingle_sets(raw: np.ndarray, starts: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
+    """The sorted set of shingle hashes of each text of a block."""
+    n_texts = len(starts) - 1
+    if not len(raw):
+        return [np.zeros(0, np.uint64)] * n_texts
+    h, begin = word_hashes(raw, starts)
     edge = np.searchsorted(begin, starts)
     if len(h) >= words:
         rows = np.zeros(len(h) - words + 1, np.uint64)

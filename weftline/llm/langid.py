@@ -59,10 +59,15 @@ class Model:
         n = np.zeros(len(starts) - 1)
         length = np.diff(starts)
         for order in ORDERS:
-            at = grams(raw, starts, order)
-            for c in range(len(self.langs)):
-                total[c] += common.sums(self.table[c][at], starts)
             n += np.maximum(0, length - order + 1)
+            if len(starts) == 2 and len(raw) > common.PIECE:  # one very long text, in pieces that overlap by what an n-gram needs
+                cuts = [(raw[k : k + common.PIECE + order - 1], np.array([0, len(raw[k : k + common.PIECE + order - 1])])) for k in range(0, len(raw), common.PIECE)]
+            else:
+                cuts = [(raw, starts)]
+            for part, edges in cuts:
+                at = grams(part, edges, order)
+                for c in range(len(self.langs)):
+                    total[c] += common.sums(self.table[c][at], edges)
         return (total / np.maximum(n, 1)).T + self.bias
 
     def probabilities(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -50,6 +50,14 @@ def buckets(h: np.ndarray) -> np.ndarray:
     return ((h * _K[0]) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
+def _begins(raw: np.ndarray) -> np.ndarray:
+    """Where words begin in a stretch of a text: other than blanks, of another kind than the byte before."""
+    kind = _CLASS[raw]
+    out = kind != 0
+    out[1:] &= kind[1:] != kind[:-1]
+    return out
+
+
 def features(raw: np.ndarray, starts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Four arrays of buckets, one entry a word each, and where each text's words start (and the end)."""
     if not len(raw):
@@ -97,9 +105,16 @@ class Model:
     bias: float
 
     def scores(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        parts, at = features(raw, starts)
-        dot = sum(common.sums(self.weights[x], at) for x in parts)
-        z = self.bias + SCALE * dot / np.maximum(1, np.diff(at))
+        if len(starts) == 2 and len(raw) > common.PIECE:  # one very long text
+            dot, n = np.zeros(1), np.zeros(1)
+            for first, end, skip in common.word_pieces(raw, _begins, 2):
+                parts, _ = features(raw[first:end], np.array([0, end - first]))
+                dot += sum(self.weights[x[skip:]].sum(dtype=np.float64) for x in parts)
+                n += len(parts[0]) - skip
+        else:
+            parts, at = features(raw, starts)
+            dot, n = sum(common.sums(self.weights[x], at) for x in parts), np.diff(at)
+        z = self.bias + SCALE * dot / np.maximum(1, n)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
