@@ -143,6 +143,14 @@ def test_decoding_finds_the_likeliest_reading(lm):
         assert " " not in read and score_of(read, w, lm) == pytest.approx(plain_decode(w, lm), abs=1e-4), w
 
 
+def test_short_cut_for_doubled_letters(lm):
+    rng = random.Random(13)
+    words = ["moron", "morron", "noon", "idiiot", "caan", "aa", *["".join(rng.choices("adehimnorst", k=rng.randint(2, 7))) for _ in range(2000)]]
+    taken = [w for w in words if toxicity.doubled(w) >= 0]
+    read = toxicity.Restorer(lm).read_once
+    assert len(taken) > 300 and [w for w in taken if read(w) != toxicity.decode(w, lm)] == [] and read("morron") == "moron" and read("noon") == "noon"
+
+
 def test_long_places_are_decoded_whole(lm):
     rng = random.Random(4)
     said = [rng.choice(["idiot", "moron", "she", "can", "that"]) for _ in range(120)]

@@ -241,7 +241,7 @@ def production() -> tuple[bytes, str]:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return digests(common.table(spark, sf_dir, "documents"), *production())
+    return digests(common.spread(common.table(spark, sf_dir, "documents")), *production())
 
 
 SQL = None

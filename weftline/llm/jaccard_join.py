@@ -441,7 +441,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return jaccard_components(common.table(spark, sf_dir, "documents"))
+    return jaccard_components(common.spread(common.table(spark, sf_dir, "documents")))
 
 
 SQL = """

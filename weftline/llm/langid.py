@@ -190,7 +190,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.spread(common.table(spark, sf_dir, "documents"))
     return identify(docs, train(docs))
 
 

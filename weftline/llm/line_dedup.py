@@ -320,7 +320,7 @@ def kept(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.spread(common.table(spark, sf_dir, "documents"))
     return kept(docs, build(docs)).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -149,22 +149,27 @@ def fit(texts: list[str], labels: list[int], epochs: int = 3, alpha: float = 0.1
     return Model(weights(z, n).astype(np.float32), float(-zb / ((beta + nb**0.5) / alpha)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_docs: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text", stratified: bool = False) -> tuple[list[str], list[int], dict]:
-    """Texts and labels of at most about max_docs labelled documents (a label, if stratified) that are not held out, and the labels' counts.
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, max_docs: int, max_bytes: int, id_col: str = "doc_id", text_col: str = "text", stratified: bool = False) -> tuple[DataFrame, dict]:
+    """id, y and text of at most about max_docs labelled documents (a label, if stratified) that are not held out, and the labels' counts.
 
-    Of rows that repeat an id the least text counts, so what the driver gets is bounded by the ids.
+    Of rows that repeat an id the least text counts, so the rows are bounded by the ids.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~common.held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y"))
     chosen = common.bounded_sample(known, "id", max_docs, "y" if stratified else None)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (F.octet_length("text") <= max_bytes))
-    got = rows.join(F.broadcast(chosen.distinct()), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()  # chosen has a bounded number of ids
-    got.sort(key=lambda r: (str(r["id"]), r["y"], r["text"]))
+    rows = rows.join(F.broadcast(chosen.distinct()), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # chosen has a bounded number of ids
     counts = {r[0]: r[1] for r in known.groupBy("y").count().collect()} if stratified else {}
-    return [r["text"] for r in got], [r["y"] for r in got], counts
+    return rows, counts
+
+
+def sampled(rows: DataFrame) -> tuple[list[str], list[int]]:
+    """Texts and labels of labelled_rows(), in an order of their own."""
+    got = sorted(rows.collect(), key=lambda r: (str(r["id"]), r["y"], r["text"]))
+    return [r["text"] for r in got], [r["y"] for r in got]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model:
-    return fit(*labelled_sample(docs, labels, "quality", max_docs, max_bytes)[:2])
+    return fit(*sampled(labelled_rows(docs, labels, "quality", max_docs, max_bytes)[0]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: list[str] = ()) -> DataFrame:
@@ -201,7 +206,7 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.spread(common.table(spark, sf_dir, "documents"))
     return score(docs, train(docs, common.table(spark, sf_dir, "labels")))
 
 

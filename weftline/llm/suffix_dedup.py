@@ -320,7 +320,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    x = dedup(common.table(spark, sf_dir, "documents"))
+    x = dedup(common.spread(common.table(spark, sf_dir, "documents")))
     return x.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 

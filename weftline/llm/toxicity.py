@@ -88,7 +88,10 @@ def language(docs: DataFrame, text_col: str = "text") -> Language:
     return Language.of(counts)
 
 
-def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merge: float = 0.5, odd: float = 1.5, pair: float = 3.0) -> str:
+PAIR = 3.0
+
+
+def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merge: float = 0.5, odd: float = 1.5, pair: float = PAIR) -> str:
     """The likeliest reading of a written place in lower case: words of letters with single spaces between.
 
     Between single letters, the commonest run of separators is taken for a filler and any other for the end of a word, unless
@@ -97,7 +100,7 @@ def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merg
     signs = _SIGNS.findall(written)
     between = [c for c in signs if c[0] in SEPARATORS]
     filler = max(sorted(set(between)), key=between.count, default="")
-    table, b3 = lm.table, SYMBOLS**3
+    table, b3 = memoryview(lm.table), SYMBOLS**3
     # state: the last three symbols, the last sign, whether that is a word alone so far; value: score, and the reading as linked letters
     states: dict = {(0, "", False): (0.0, None)}
     for sign, next_ in zip([*signs, " "], [*signs[1:], " ", " "], strict=True):
@@ -112,7 +115,7 @@ def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merg
 
         for (context, last, single), (score, read) in states.items():
             if closing or itself or not reads:
-                step = float(table[context * SYMBOLS]) if context % SYMBOLS else 0.0
+                step = table[context * SYMBOLS] if context % SYMBOLS else 0.0
                 split = odd if single and sign == filler else 0.0
                 offer(((context * SYMBOLS) % b3 if context % SYMBOLS else context, "", False), score + step - split, read, " ")
                 if closing and single:  # a separator between spaced letters
@@ -121,7 +124,7 @@ def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merg
                 symbol = ord(letter) - 96 if "a" <= letter <= "z" else 27
                 if last[:1] == sign and read and read[1] == letter:
                     offer((context, sign + sign, False), score - (pair if last == sign else merge), read)
-                offer(((context * SYMBOLS + symbol) % b3, sign, last == ""), score + cost + float(table[context * SYMBOLS + symbol]), read, letter)
+                offer(((context * SYMBOLS + symbol) % b3, sign, last == ""), score + cost + table[context * SYMBOLS + symbol], read, letter)
         states = after
     out, read = [], max(states.values(), key=lambda x: x[0])[1]
     while read:
@@ -130,6 +133,22 @@ def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merg
     return " ".join("".join(reversed(out)).split())
 
 
+def doubled(word: str) -> int:
+    """Where the one letter stands that is written twice in a row, in a word of plain letters; -1 for any other word."""
+    at = [k for k in range(1, len(word)) if word[k] == word[k - 1]]
+    return at[0] if len(at) == 1 and word.isascii() and word.isalpha() and word.islower() else -1
+
+
+def plain_score(word: str, table: memoryview) -> float:
+    """The score that decode() gives a word that is read as it is written."""
+    score, context = 0.0, 0
+    for c in word:
+        at = context * SYMBOLS + ord(c) - 96
+        score += table[at]
+        context = at % SYMBOLS**3
+    return score + table[context * SYMBOLS]
+
+
 _SIGNS = re.compile(r"[ .\-_*]+|.", re.S)
 _HINT = re.compile(r"[a-z][0-9@$!|+(]|[0-9@$!|+(][a-z]|([a-z])\1")
 _AFTER = re.compile(r"[\w@$!|+(]*")
@@ -197,7 +216,7 @@ class Restorer:
     """Restores texts with a bounded memory of what it has decoded."""
 
     def __init__(self, lm: Language, most: int = 100_000):
-        self.lm, self.most, self.known = lm, most, {}
+        self.lm, self.most, self.known, self.table = lm, most, {}, memoryview(lm.table)
 
     def read(self, written: str) -> str:
         """The reading of a place, decoded as a whole however long it is; short ones are remembered."""
@@ -206,9 +225,16 @@ class Restorer:
         if written not in self.known:
             if len(self.known) >= self.most:
                 self.known.clear()
-            self.known[written] = decode(written, self.lm)
+            self.known[written] = self.read_once(written)
         return self.known[written]
 
+    def read_once(self, written: str) -> str:
+        """decode(); a plain word with one doubled letter has two readings only, which are compared outright."""
+        if (k := doubled(written)) < 0:
+            return decode(written, self.lm)
+        short = written[:k] + written[k + 1 :]
+        return short if plain_score(short, self.table) - PAIR > plain_score(written, self.table) else written
+
     def __call__(self, text: str) -> str:
         """text, lower-cased, with the decoded readings in the places they belong to."""
         t = _NOISE.sub(" ", text.lower())
@@ -280,24 +306,23 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def fit(lm: Language, texts: list[str], labels: list[int], counts: dict | None = None, epochs: int = 30, seed: int = 3) -> Model:
+def fit(lm: Language, texts: list[str], labels: list[int], counts: dict | None = None, epochs: int = 30, seed: int = 3, restored: bool = False) -> Model:
     """Chooses the features that toxic texts hold far more often, then learns their weights; labels that were sampled count by their rate."""
     if not 0 < sum(labels) < len(labels):
         return Model(lm, {}, -3.0 if not sum(labels) else 3.0, 0.0)
-    restore = Restorer(lm)
+    restore = (lambda t: t) if restored else Restorer(lm)
     bags = [(set(found), size) for found, size in (words(restore(t)) for t in texts)]
     n = np.bincount(labels, minlength=2)
+    of = {w: word_features(w) for w in set().union(*[found for found, _ in bags])}  # of a bounded sample's words
     toxic: dict[str, int] = {}
     clean: dict[str, int] = {}
     for y, into in ((1, toxic), (0, clean)):
         for (found, _), label in zip(bags, labels, strict=True):
             if label == y:
-                own = {f for w in found for f in word_features(w) if y or f in toxic}
-                for f in own:
+                for f in {f for w in found for f in of[w] if y or f in toxic}:
                     into[f] = into.get(f, 0) + 1
         if y:
             toxic = {f: c for f, c in toxic.items() if c >= max(3, 0.002 * n[1])}
-            into = toxic
     clean = {f: clean.get(f, 0) for f in toxic}
     lift = {f: math.log(((c + 0.1) / n[1]) / ((clean[f] + 0.5) / n[0])) for f, c in toxic.items()}
     chosen = sorted(f for f, v in lift.items() if v > 1.6)
@@ -306,27 +331,31 @@ def fit(lm: Language, texts: list[str], labels: list[int], counts: dict | None =
     for found, size in bags:
         held: dict[int, float] = {}
         for w in sorted(found):
-            for f in word_features(w):
+            for f in of[w]:
                 if (k := place.get(f)) is not None:
                     held[k] = held.get(k, 0) + 1
-        rows.append((np.fromiter(held, int, len(held)), np.fromiter(held.values(), float, len(held)), math.log1p(size)))
+        rows.append((list(held.items()), math.log1p(size)))
     total = counts or {0: int(n[0]), 1: int(n[1])}
     rate = {y: total.get(y, 0) / max(1, n[y]) for y in (0, 1)}
     mean = (rate[0] * n[0] + rate[1] * n[1]) / len(labels)
-    w, bias, length = np.zeros(len(chosen)), -2.0, 0.0
-    sq, sq_b, sq_l = np.full(len(chosen), 1e-6), 1e-6, 1e-6
+    worth = {y: min(3.0, float(rate[y] / mean)) for y in (0, 1)}
+    # few features a text, so plain numbers are faster than arrays
+    w, bias, length = [0.0] * len(chosen), -2.0, 0.0
+    sq, sq_b, sq_l = [1e-6] * len(chosen), 1e-6, 1e-6
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            ids, x, long = rows[i]
-            z = float(w[ids] @ x) + bias + length * long
-            g = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - labels[i]) * min(3.0, rate[labels[i]] / mean)
+        for i in rng.permutation(len(rows)).tolist():
+            held_, long = rows[i]
+            z = bias + length * long
+            for k, x in held_:
+                z += w[k] * x
+            g = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - labels[i]) * worth[labels[i]]
             if abs(g) < 1e-3:
                 continue
-            if len(ids):
-                step = g * x + 2e-4 * w[ids]
-                sq[ids] += step * step
-                w[ids] = np.maximum(0, w[ids] - 0.3 * step / np.sqrt(sq[ids]))
+            for k, x in held_:
+                step = g * x + 2e-4 * w[k]
+                sq[k] += step * step
+                w[k] = max(0.0, w[k] - 0.3 * step / math.sqrt(sq[k]))
             sq_b += g * g
             bias -= 0.1 * g / math.sqrt(sq_b)
             sq_l += (g * long) ** 2
@@ -335,8 +364,20 @@ def fit(lm: Language, texts: list[str], labels: list[int], counts: dict | None =
 
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model:
-    texts, ys, counts = quality.labelled_sample(docs, labels, "toxic", max_docs, max_bytes, stratified=True)
-    return fit(language(docs), texts, ys, counts)
+    """The model of the labels, of at most about max_docs documents a label; their texts are restored by the executors."""
+    rows, counts = quality.labelled_rows(docs, labels, "toxic", max_docs, max_bytes, stratified=True)
+    lm = language(docs)
+    held = docs.sparkSession.sparkContext.broadcast(lm)
+
+    def run(batches):
+        restore = Restorer(held.value)
+        for batch in batches:
+            for k in range(0, len(batch), 256):
+                part = batch.slice(k, 256)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array([restore(t) for t in part.column("text").to_pylist()], pa.string())], part.schema.names)
+
+    spread = rows.repartition(4 * common.shuffle_partitions(docs.sparkSession))
+    return fit(lm, *quality.sampled(common.arrow_map(spread, run, rows.schema)), counts, restored=True)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", restored: bool = False) -> DataFrame:
@@ -366,7 +407,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.spread(common.table(spark, sf_dir, "documents"))
     return score(docs, train(docs, common.table(spark, sf_dir, "labels")))
 
 
