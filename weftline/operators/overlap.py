@@ -103,12 +103,17 @@ def aggregate_flags(over: DataFrame, providers: Sequence[str], exclusions: dict[
     out = out.withColumn("providers", F.array_join(F.array_compact(F.array(*own)), "; ")).withColumn("provider_count", F.size(F.array_compact(F.array(*own))).cast("long"))
     kinds = [F.when(F.col("entity_key").isin(list(keys)), F.lit(kind)) for kind, keys in (exclusions or {}).items()]
     out = out.withColumn("exclusion", F.coalesce(*kinds, F.lit("")))
-    rows = over.withColumn("__at", F.struct(-F.col("provider_count"), F.col("canonical_name"), F.col("name_variants")))
-    for column, name in UNITED.items():
-        if column in over.columns:
-            items = X.country_items(F.col(column)) if column == "country_set" else X.split_items(F.col(column))
-            out = out.join(dedupe.joined_set(rows, ["entity_key"], items, "__at", name), "entity_key", "left").withColumn(name, F.coalesce(name, F.lit("")))
-    return out
+    found = {c: name for c, name in UNITED.items() if c in over.columns}
+    if not found:
+        return out
+    items = lambda c: X.country_items(F.col(c)) if c == "country_set" else X.split_items(F.col(c))
+    sets = F.array(*[F.struct(F.lit(k).alias("set"), items(c).alias("items")) for k, c in enumerate(found)])
+    rows = over.select("entity_key", F.struct(-F.col("provider_count"), F.col("canonical_name"), F.col("name_variants")).alias("row"), F.explode(sets).alias("s"))
+    each = rows.select("entity_key", "row", "s.set", F.posexplode("s.items").alias("place", "item"))
+    at = F.struct("row", "place")
+    once = each.groupBy("entity_key", "set", F.lower("item")).agg(F.min_by("item", at).alias("item"), F.min(at).alias("at"))
+    joined = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("set") == k, F.struct("at", "item")))), lambda x: x["item"]), "; ").alias(name) for k, name in enumerate(found.values())]
+    return out.join(once.groupBy("entity_key").agg(*joined), "entity_key", "left").na.fill("", list(found.values()))
 
 
 def best_classification(classified: DataFrame) -> DataFrame:
