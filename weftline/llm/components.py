@@ -17,13 +17,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     one = links.select(F.col(a).alias("node"), F.col(b).alias("other"))
     both = one.unionByName(one.select(F.col("other").alias("node"), F.col("node").alias("other")))
     both = common.written(both.filter("node <> other").distinct(), "links")
-    labels = common.written(both.groupBy("node").agg(F.min("other").alias("label")).select("node", F.least("node", "label").alias("label")), "labels")
+    table = common.written(both.groupBy("node").agg(F.min("other").alias("label")).select("node", F.least("node", "label").alias("label")), "labels")
     while True:
+        labels = table.select("node", "label")
         beside = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("beside"))
         least = labels.join(beside, "node").select("node", F.col("label").alias("old"), F.least("label", "beside").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
         after = least.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("above", "label")).alias("label"))
-        after = common.written(after, "labels")
-        labels = after.select("node", "label")
-        if not after.filter("label <> old").limit(1).count():
-            return labels
+        before, table = table, common.written(after, "labels")
+        common.unwrite(before)
+        if not table.filter("label <> old").limit(1).count():
+            common.unwrite(both)
+            return table.select("node", "label")

@@ -430,6 +430,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tops = named.groupBy("label").agg(F.min("least").alias("component_id"), F.sum("m").alias("size"))
     map_ = named.join(tops.filter("size > 1"), "label").select("node", "component_id")
     map_ = common.written(map_, "map")
+    common.unwrite(nodes)
     out = sigs.select("doc_id", "n", "node").join(map_, "node", "left")
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

@@ -260,7 +260,7 @@ def _one_by_one(rows: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, t (hash of the text) and spans (a, b) of the bytes that go, for the rows of docs that lose any."""
+    """id, t (hash of the text) and spans (a, b) of the bytes that go, for the rows of docs that lose any, as a table."""
     spark = docs.sparkSession
     sc = spark.sparkContext
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -271,15 +271,20 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     solved = common.written(common.arrow_map(found.sortWithinPartitions("h").select("h", "salt", "bytes", "lo", "hi"), _collections, _ANSWER), "answers")
     answers = solved.filter("gid is not null").select("gid", "a", "b", "first")
     left = solved.filter("gid is null").select("bytes", "lo", "hi")
+    used = [solved]
     if left.limit(1).count():
-        answers = answers.unionByName(common.written(_one_by_one(left), "one-by-one"))
+        used.append(common.written(_one_by_one(left), "one-by-one"))
+        answers = answers.unionByName(used[-1])
     answered = sc.broadcast(screen.of_values(answers, "gid", SCREEN_BITS))
     places = _places(rows, twice, answered)
     # written first, so that Spark can split the places of a segment that very many documents have
     runs = common.written(answers.groupBy("gid").agg(F.collect_list(F.struct("a", "b", "first")).alias("runs")), "runs")
     met = places.join(runs, "gid").select("id", "t", "start", F.explode("runs").alias("run")).filter("run.first < id")
     spans = F.struct((F.col("start") + F.col("run.a")).alias("a"), (F.col("start") + F.col("run.b") + N).alias("b"))
-    return met.groupBy("id", "t").agg(F.collect_set(spans).alias("spans"))
+    out = common.written(met.groupBy("id", "t").agg(F.collect_set(spans).alias("spans")), "spans")
+    for table in (*used, runs):
+        common.unwrite(table)
+    return out
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -290,7 +295,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise ValueError(f"{id_col} must be an integer")
-    spans = common.written(repeated(docs, id_col, text_col), "spans")
+    spans = repeated(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("t"), F.col(id_col).cast("long").alias("id"))
     rows = rows.join(spans, ["id", "t"], "left").select("__id", "__text", "spans")
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
