@@ -50,5 +50,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir; each stage's result is written and read again."""
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.written(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        last, docs = docs, common.written(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        if hasattr(last, "written_to"):
+            common.unwrite(last)
     return STAGES[-1][1](spark, docs, sf_dir)
