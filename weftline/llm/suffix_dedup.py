@@ -255,7 +255,7 @@ def _one_by_one(rows: DataFrame) -> DataFrame:
     """Answers of the segments of hot anchors, by grouping their windows."""
     rows = rows.groupBy("bytes").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     w = common.written(common.arrow_map(rows, _windows, "gid binary, a int, w binary, lo long, hi long"), "windows")
-    least = w.groupBy("w").agg(F.min("lo").alias("first"), F.max("hi").alias("most")).filter("first < most").select("w", "first")
+    least = common.written(w.groupBy("w").agg(F.min("lo").alias("first"), F.max("hi").alias("most")).filter("first < most").select("w", "first"), "least")
     return w.join(least, "w").filter("first < hi").select("gid", "a", F.col("a").alias("b"), "first")
 
 
