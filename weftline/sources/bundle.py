@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import workbook
 
 
 def _fs(spark: SparkSession, path: str):
@@ -36,7 +37,7 @@ def newest(spark: SparkSession, pattern: str) -> str:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A table by its suffix: parquet, csv (all text, with a header), json or jsonl; headers without blanks at their ends."""
+    """A table by its suffix: parquet, csv (all text, with a header), json, jsonl or xlsx (its first sheet, all text); headers without blanks at their ends."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
     if kind == "parquet":
         df = spark.read.parquet(path)
@@ -44,6 +45,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     elif kind in ("json", "jsonl"):
         df = spark.read.json(path)
+    elif kind == "xlsx":
+        df = workbook.read(spark, path)
     else:
         raise ValueError(f"no reader for .{kind}")
     return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
@@ -82,20 +85,38 @@ def guarded(df: DataFrame) -> DataFrame:
     return df.select(*[X.guarded(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.simpleString() == "string" else F.col(f"`{f.name}`") for f in df.schema])
 
 
+def _csv(writer, path: str) -> None:
+    """Writes csv as read() takes it: a header, a quote in a text doubled, and blanks at a text's ends kept."""
+    writer.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
 def write(tables: dict[str, DataFrame], path: str, kind: str = "parquet") -> None:
     """Each table in its own folder, texts guarded, and a manifest that lists them in order."""
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         out = guarded(df).write.mode("overwrite")
-        (out.option("header", True).csv if kind == "csv" else getattr(out, kind))(f"{path}/{name}.{kind}")
+        if kind == "csv":
+            _csv(out, f"{path}/{name}.csv")
+        else:
+            out.format(kind).save(f"{path}/{name}.{kind}")
     rows = [(i, name, kind) for i, name in enumerate(tables)]
     spark.createDataFrame(rows, "ordinal int, name string, kind string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest.json")
 
 
-def write_both(df: DataFrame, path: str) -> None:
-    """A table as parquet and, its texts guarded, as csv."""
-    df.write.mode("overwrite").parquet(f"{path}.parquet")
-    guarded(df).write.mode("overwrite").option("header", True).csv(f"{path}.csv")
+def write_both(df: DataFrame, path: str, kinds: tuple[str, ...] = ("parquet", "csv")) -> None:
+    """A table in each of some formats: parquet as it is, csv and xlsx with guarded texts."""
+    for kind in kinds:
+        if kind == "xlsx":
+            write_workbook({path.rsplit("/", 1)[-1][: workbook.MAX_NAME]: df}, f"{path}.xlsx")
+        elif kind == "csv":
+            _csv(guarded(df).write.mode("overwrite"), f"{path}.csv")
+        else:
+            df.write.mode("overwrite").format(kind).save(f"{path}.{kind}")
+
+
+def write_workbook(tables: dict[str, DataFrame], path: str) -> None:
+    """Tables as the sheets of one .xlsx file, texts guarded, with frozen headers, filters and fitted columns."""
+    workbook.write({name: guarded(df) for name, df in tables.items()}, path)
 
 
 def write_views(df: DataFrame, path: str, views: dict[str, Column], kind: str = "parquet") -> None:
@@ -105,11 +126,13 @@ def write_views(df: DataFrame, path: str, views: dict[str, Column], kind: str =
 
 def append_log(df: DataFrame, path: str, fields: list[str]) -> None:
     """Appends some columns, in order, to a log in csv; each part has a header, so read() gives the rows alone."""
-    df.select(*fields).write.mode("append").option("header", True).csv(path)
+    _csv(df.select(*fields).write.mode("append"), path)
 
 
 def names(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """Names and kinds of a bundle's tables, in order."""
+    """Names and kinds of a bundle's tables, in order; of a workbook, its sheets."""
+    if path.lower().endswith(".xlsx"):
+        return [(name, "xlsx") for name in workbook.names(spark, path)]
     return [(r["name"], r["kind"]) for r in spark.read.json(f"{path}/manifest.json").orderBy("ordinal").collect()]
 
 
@@ -119,4 +142,6 @@ def table(spark: SparkSession, path: str, name: str | None = None, skip: tuple[s
     by_name = dict(all_)
     if name not in by_name:
         name = next((n for n, _ in all_ if not any(s in n.lower() for s in skip)), all_[0][0])
+    if by_name[name] == "xlsx":
+        return workbook.read(spark, path, name)
     return read(spark, f"{path}/{name}.{by_name[name]}")
