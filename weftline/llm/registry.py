@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat_format, decontaminate, exact_dedup, jaccard_join, langid, line_dedup, quality, suffix_dedup, toxicity
+from . import bpe, chat_format, conversation_repair, decontaminate, exact_dedup, jaccard_join, langid, line_dedup, quality, spelling, suffix_dedup, token_count, toxicity
 
 _QUERIES = {
     "op1_language_id": (langid.query, langid.SQL),
@@ -15,6 +15,9 @@ _QUERIES = {
     "op8_jaccard_join": (jaccard_join.query, jaccard_join.SQL),
     "op9_exact_dedup": (exact_dedup.query, exact_dedup.SQL),
     "op10_toxicity": (toxicity.query, toxicity.SQL),
+    "op11_spelling_variants": (spelling.query, spelling.SQL),
+    "op12_token_counts": (token_count.query, token_count.SQL),
+    "op13_conversation_repair": (conversation_repair.query, conversation_repair.SQL),
 }
 
 
