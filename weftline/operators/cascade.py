@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from . import labels
 
 
 def discover(own: Column, listed: Column, on_page: Column, searched: Column, provider_domains: Sequence[str]) -> Column:
@@ -28,32 +29,34 @@ def known_urls(*columns: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(parts, X.clean), X.is_http))
 
 
-#: From weak to strong.
-LEVELS = ["low", "medium", "high"]
+#: The statuses of a classification by how it came about, and what an excluded row is called.
+INTERNAL, NAVIGATION = ("exclude_provider_internal_page", "Exclude / BNPL Internal Page"), ("exclude_non_merchant_page", "Exclude / Non-Merchant Page")
+NO_NAME, NO_URL, UNREACHABLE, UNPARSED = "unable_to_verify", "search_only_no_official_url", "search_verified_website_unreachable", "website_parse_failed_search_fallback"
+VERIFIED, VERIFIED_BY_SEARCH, MANUAL = "official_website_verified", "official_website_verified_plus_search_fallback", "needs_manual_review"
+OTHER = "Other / Unclassified"
 
 
-def classification(gate: Column, name: Column, url: Column, fetched: Column, parsed: Column, page: tuple[Column, Column], search: tuple[Column, Column]) -> Column:
-    """Struct (status, broad, confidence) of the state machine; page and search are (broad, confidence).
+def classification(gate: Column, name: Column, url: Column, fetched: Column, parsed: Column, page: tuple[Column, Column], search: tuple[Column, Column], both: tuple[Column, Column] | None = None) -> Column:
+    """Struct (status, broad, confidence, review) of the state machine; page, search and both are (broad, confidence) of the evidence used.
 
-    A weak page (low confidence or unclassified) gives way to the search evidence only if that is better.
+    Without a page the search evidence alone counts. An unclassified or low page gives way to page and search together (both;
+    search unless given) if that has a class, and the page had none or the new confidence is not low.
     """
-    rank = lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, LEVELS)), c), F.lit(0))
-    state = lambda s, b, c: F.struct(F.lit(s).alias("status"), b.alias("broad"), c.alias("confidence"))
-    low = F.lit("low")
-    other = F.lit("Other / Unclassified")
-    weak = (rank(page[1]) <= 1) | (page[0] == other)
-    better = weak & (search[0] != other) & ((rank(search[1]) > rank(page[1])) | (page[0] == other))
-    snippet = F.coalesce(search[0] != other, F.lit(False))
-    no_page = lambda s: F.when(snippet, state("search_only", search[0], search[1])).otherwise(state(s, other, low))
+    both = both or search
+    state = lambda s, b, c, r: F.struct(F.lit(s).alias("status") if isinstance(s, str) else s.alias("status"), b.alias("broad"), c.alias("confidence"), r.alias("review"))
+    other, yes, no = F.lit(OTHER), F.lit(True), F.lit(False)
+    doubt = lambda x: F.coalesce((x[1] == "low") | (x[0] == OTHER), yes)
+    by_search = lambda s, r: state(s, F.coalesce(search[0], other), F.coalesce(search[1], F.lit("low")), r)
+    better = doubt(page) & (both[0] != OTHER) & ((page[0] == OTHER) | both[1].isin("medium", "high"))
     return (
-        F.when(gate == "internal", state("excluded", F.lit("Exclude - provider internal"), F.lit("high")))
-        .when(gate == "nav", state("excluded", F.lit("Exclude - navigation"), F.lit("high")))
-        .when(X.clean(name) == "", state("missing_name", other, low))
-        .when(X.clean(url) == "", no_page("no_url"))
-        .when(~F.coalesce(fetched, F.lit(False)), no_page("fetch_failed"))
-        .when(~F.coalesce(parsed, F.lit(False)), no_page("parse_failed"))
-        .when(F.coalesce(better, F.lit(False)), state("verified_search", search[0], search[1]))
-        .otherwise(state("verified", page[0], page[1]))
+        F.when(gate == "internal", state(INTERNAL[0], F.lit(INTERNAL[1]), F.lit("high"), no))
+        .when(gate == "nav", state(NAVIGATION[0], F.lit(NAVIGATION[1]), F.lit("high"), no))
+        .when(X.clean(name) == "", state(NO_NAME, other, F.lit("low"), yes))
+        .when(X.clean(url) == "", by_search(NO_URL, doubt(search)))
+        .when(~F.coalesce(fetched, no), by_search(UNREACHABLE, doubt(search)))
+        .when(~F.coalesce(parsed, no), by_search(UNPARSED, yes))
+        .when(F.coalesce(better, no), state(VERIFIED_BY_SEARCH, both[0], both[1], doubt(both)))
+        .otherwise(state(F.when(page[0] != OTHER, VERIFIED).otherwise(MANUAL), page[0], page[1], doubt(page)))
     )
 
 
@@ -68,19 +71,24 @@ def parents(edges: DataFrame, most: int = 4) -> DataFrame:
     return first.select("entity", "ordinal", "parent").distinct().select("entity", "parent")
 
 
-def listing_status(name: Column, override: Column, direct: Column, firm: Column, entity: Column, parent: Column) -> Column:
-    """Struct (status, confidence, review) from the best scores of each source (null for none); the first step that holds decides."""
-    step = lambda s, c, r: F.struct(F.lit(s).alias("status"), c.alias("confidence"), r.alias("review"))
+def listing_status(name: Column, override: Column, direct: Column, firm: Column, entity: Column, parent: Column, private: bool = False) -> Column:
+    """Struct (status, confidence, review) from the best scores of each source (null for none); the first step that holds decides.
+
+    A direct match of 86 and more, an entity's own ticker under 94 and a public parent under 90 are candidates for review. No
+    match asks for review too, unless private says that it counts as private.
+    """
+    step = lambda s, c, r: F.struct((F.lit(s) if isinstance(s, str) else s).alias("status"), c.alias("confidence"), r.alias("review"))
     level = lambda s: F.when(s >= 96, "high").when(s >= 88, "medium").otherwise("low")
-    yes, no = F.lit(True), F.lit(False)
+    yes, no, low = F.lit(True), F.lit(False), F.lit("low")
+    doubt = "direct_public_candidate_needs_review"
     best = F.greatest(*[F.coalesce(c, F.lit(0.0)) for c in (direct, entity, parent)])
     return (
-        F.when(X.clean(name) == "", step("error", F.lit("low"), yes))
-        .when(F.coalesce(override, F.lit("")) != "", F.struct(override.alias("status"), F.lit("manual").alias("confidence"), no.alias("review")))
+        F.when(X.clean(name) == "", step("error", low, yes))
+        .when(F.coalesce(override, F.lit("")) != "", step(override, F.lit("manual"), override.isin(list(labels.DOUBTFUL))))
         .when(F.coalesce(firm & (direct >= 94), no), step("direct_public", level(direct), direct < 96))
-        .when(F.coalesce(direct >= 86, no), step("needs_review", level(direct), yes))
-        .when(F.coalesce(entity >= 88, no), step("direct_public", level(entity), entity < 94))
-        .when(F.coalesce(parent >= 82, no), step("subsidiary", level(parent), parent < 90))
+        .when(F.coalesce(direct >= 86, no), step(doubt, level(direct), yes))
+        .when(F.coalesce(entity >= 88, no), step(F.when(entity >= 94, "direct_public").otherwise(doubt), level(entity), entity < 94))
+        .when(F.coalesce(parent >= 82, no), step(F.when(parent >= 90, "subsidiary_of_public").otherwise("subsidiary_public_candidate_needs_review"), level(parent), parent < 90))
         .when(best >= 75, step("ambiguous", level(best), yes))
-        .otherwise(step("no_match", F.lit("low"), no))
+        .otherwise(step("private_no_public_match", low, no) if private else step("no_public_match", low, yes))
     )

@@ -66,13 +66,17 @@ def _host(url: str) -> str:
     return urlparse(url).netloc.lower().removeprefix("www.")
 
 
+#: The meta elements that describe a page, by attribute and its value, in order.
+DESCRIPTIONS = (("name", "description"), ("property", "og:description"), ("name", "twitter:description"))
+
+
 class _Page(HTMLParser):
     """Texts by element; an element left open is closed by the next of its kind or by the end."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.title, self.body, self.headings, self.anchors, self.schema = [], [], [], [], []
-        self.meta: dict[str, str] = {}
+        self.meta: dict[tuple[str, str], str] = {}
         self.inside: str | None = None
         self.silent, self.ld, self.link, self.head = 0, None, None, None
         self.items: list[list[str]] = []
@@ -87,7 +91,9 @@ class _Page(HTMLParser):
         elif tag == "title":
             self.inside = "title"
         elif tag == "meta":
-            self.meta.setdefault((a.get("name") or a.get("property") or "").lower(), a.get("content", ""))
+            for kind in ("name", "property"):
+                if kind in a:
+                    self.meta.setdefault((kind, a[kind]), a.get("content", ""))
         elif tag == "a":
             self._close_link()
             self.link = [a.get("href", ""), []]
@@ -188,7 +194,7 @@ def parse(html: str | None, url: str | None, blocked: Sequence[str] = ()) -> dic
             outside.append(full)
         if host == own and any(part in path for part in CATEGORY):
             inside.append(full)
-    described = next((p.meta[k] for k in ("description", "og:description", "twitter:description") if p.meta.get(k)), "")
+    described = next((p.meta[k] for k in DESCRIPTIONS if p.meta.get(k)), "")
     pieces = [" ".join(x.split()) for x in p.schema]
     return {
         "title": " ".join("".join(p.title).split()), "description": " ".join(described.split()), "schema_text": " | ".join(x for x in pieces if x)[:SCHEMA],

@@ -81,10 +81,10 @@ def audit(sample: DataFrame, tickers: DataFrame, fetched: DataFrame, found: Data
     """A row for each entity (entity, ticker): cik, title, fetch_status and metrics_found.
 
     tickers maps ticker to cik and title; fetched has the ciks whose facts were read (cik, ok); found the metrics of each entity
-    (metrics_found). Status: no_ticker_match, fetch_error (not fetched, or not ok), or ok.
+    (metrics_found). Status: no_sec_ticker_match, fetch_error (not fetched, or not ok), or ok.
     """
     t = tickers.select(F.col("ticker").alias("__t"), "cik", "title")
     f = fetched.groupBy(F.col("cik").alias("__c")).agg(F.bool_or("ok").alias("ok"))
     out = sample.withColumn("__m", X.ticker(F.col("ticker"))).join(t, F.col("__m") == F.col("__t"), "left").join(f, F.col("cik") == F.col("__c"), "left").join(found, entity, "left")
-    status = F.when(F.col("cik").isNull(), "no_ticker_match").when(F.coalesce("ok", F.lit(False)), "ok").otherwise("fetch_error")
+    status = F.when(F.col("cik").isNull(), "no_sec_ticker_match").when(F.coalesce("ok", F.lit(False)), "ok").otherwise("fetch_error")
     return out.select(entity, "ticker", "cik", F.coalesce("title", F.lit("")).alias("title"), status.alias("fetch_status"), F.when(status == "ok", F.coalesce("metrics_found", F.lit(""))).otherwise("").alias("metrics_found"))

@@ -34,7 +34,7 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def prepared(df: DataFrame, name: str, legal: Sequence[str], generic: Sequence[str], prefix: str) -> DataFrame:
     """df with the name's forms as columns: norm, key, tokens."""
     c = F.col(name)
-    return df.withColumns({prefix + "norm": X.token_name(c, legal), prefix + "key": X.key_tokens(c, legal), prefix + "tokens": X.useful_tokens(c, legal, generic)})
+    return df.withColumns({prefix + "upper": F.upper(X.clean(c)), prefix + "norm": X.token_name(c, legal), prefix + "key": X.key_tokens(c, legal), prefix + "tokens": X.useful_tokens(c, legal, generic)})
 
 
 def capped_postings(right: DataFrame, ordinal: str) -> DataFrame:
@@ -50,12 +50,12 @@ def capped_postings(right: DataFrame, ordinal: str) -> DataFrame:
 
 
 def candidates(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
-    """Distinct pairs of ids: equal keys, a key that is the other's ticker (1 to 8 signs), or a shared useful token."""
+    """Distinct pairs of ids: equal keys, a name of 1 to 8 signs that is the other's ticker, whatever the case, or a shared useful token."""
     by_key = left.filter("l_key <> ''").select(left_id, F.col("l_key").alias("k")).join(right.select(right_id, F.col("r_key").alias("k")), "k").select(left_id, right_id)
     out = by_key
     if "ticker" in right.columns:
-        t = right.select(right_id, F.lower(X.ticker(F.col("ticker"))).alias("k")).filter("k <> ''")
-        out = out.unionByName(left.filter("length(l_key) between 1 and 8").select(left_id, F.col("l_key").alias("k")).join(t, "k").select(left_id, right_id))
+        t = right.select(right_id, F.upper("ticker").alias("k")).filter("k <> ''")
+        out = out.unionByName(left.filter("length(l_upper) between 1 and 8").select(left_id, F.col("l_upper").alias("k")).join(t, "k").select(left_id, right_id))
     token = left.select(left_id, F.explode("l_tokens").alias("token")).join(capped_postings(right, right_id), "token").select(left_id, right_id)
     return out.unionByName(token).distinct()
 
@@ -144,7 +144,7 @@ def decide(ranked: DataFrame, left_id: str, name_key: str = "l_key") -> DataFram
     close = F.array_distinct(F.transform(F.filter("all", lambda x: x["score"] >= F.col("b.score") - 1), lambda x: x["r_key"]))
     s = F.col("b.score")
     firm = (s >= 94) & ((s >= 99) | (F.col("n") == 1) | (F.size(close) <= 1) | ((F.col("b.l") != "") & F.startswith("b.r_key", F.col("b.l"))))
-    status = F.when(firm, "direct_public").when(s >= 86, "needs_review").when(s >= 75, "ambiguous").otherwise("no_match")
+    status = F.when(firm, "direct_public").when(s >= 86, "direct_public_candidate_needs_review").when(s >= 75, "ambiguous").otherwise("no_public_match")
     level = F.when(s >= 96, "high").when(s >= 88, "medium").otherwise("low")
     return g.select(left_id, s.alias("score"), status.alias("status"), level.alias("confidence"), (~firm | (s < 96)).alias("review"))
 

@@ -116,15 +116,28 @@ def aggregate_flags(over: DataFrame, providers: Sequence[str], exclusions: dict[
     return out.join(once.groupBy("entity_key").agg(*joined), "entity_key", "left").na.fill("", list(found.values()))
 
 
+#: How much a confidence and a status count when classifications of one key are compared; others count 0.
+CONFIDENCE_SCORE = {"high": 3, "medium": 2, "low": 1}
+STATUS_SCORE = {
+    "official_website_verified": 4, "official_website_verified_plus_search_fallback": 3, "search_verified_website_unreachable": 2,
+    "website_parse_failed_search_fallback": 2, "search_only_no_official_url": 1, "needs_manual_review": 0,
+}
+
+
 def best_classification(classified: DataFrame) -> DataFrame:
-    """Per entity: filled before blank, other than excluded before excluded, then confidence, status, no review, first row."""
-    score = lambda c, order: F.coalesce(F.array_position(F.array(*map(F.lit, order)), F.lower(F.col(c))), F.lit(0))
+    """Per entity: filled before blank, other than excluded before excluded, then confidence, status, no review, first row.
+
+    Of an entity without a filled row the first row stays, whatever else they say.
+    """
+    broad = X.clean(F.col("broad"))
+    filled = lambda c: F.when(broad != "", c)
+    score = lambda c, by: F.coalesce(F.create_map(*[F.lit(x) for kv in by.items() for x in kv])[c], F.lit(0))
     order = [
-        (F.trim(F.coalesce("broad", F.lit(""))) == "").cast("int"),
-        F.coalesce(F.startswith("broad", F.lit("Exclude")), F.lit(False)).cast("int"),
-        -score("confidence", ["low", "medium", "high", "manual"]),
-        -score("status", ["error", "fetch_failed", "excluded", "verified"]),
-        X.truthy(F.col("review")).cast("int"),
+        (broad == "").cast("int"),
+        filled(F.startswith(broad, F.lit("Exclude")).cast("int")),
+        filled(-score(F.lower(X.clean(F.col("confidence"))), CONFIDENCE_SCORE)),
+        filled(-score(X.clean(F.col("status")), STATUS_SCORE)),
+        filled(X.truthy(F.col("review")).cast("int")),
         F.col("ordinal"),
     ]
     return dedupe.best(classified, ["entity_key"], order, "classified_rows")

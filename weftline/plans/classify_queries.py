@@ -116,6 +116,14 @@ def _pairs(spark, sf):
     return matching.candidates(left, right, "l_id", "r_id").join(left, "l_id").join(right, "r_id")
 
 
+def ticker_pairs(spark, sf):
+    """Names that are tickers, in any case, and names that only look alike when their signs are dropped."""
+    k = F.col("s_suppkey")
+    asked = read(spark, sf, "supplier").select(k.alias("l_id"), F.when(k % 3 == 0, F.concat(F.lit(" t."), (k % 50).cast("string"))).when(k % 3 == 1, F.concat(F.lit("T"), (k % 50).cast("string"))).otherwise(F.concat(F.lit("LONGER."), k.cast("string"))).alias("l_name"))
+    known = read(spark, sf, "customer").select(F.col("c_custkey").alias("r_id"), F.concat(F.lit("Zz "), F.col("c_custkey").cast("string")).alias("r_name"), F.concat(F.lit("T."), (F.col("c_custkey") % 100).cast("string")).alias("ticker"))
+    return matching.candidates(matching.prepared(asked, "l_name", [], [], "l_"), matching.prepared(known, "r_name", [], [], "r_"), "l_id", "r_id")
+
+
 def token_blocked(spark, sf):
     return _pairs(spark, sf).withColumns(matching.token_scores()).select("l_id", "r_id", "shared", F.round("set_score", 4).alias("set_score"), "key_score")
 
@@ -164,7 +172,7 @@ def classification_status(spark, sf):
     o = read(spark, sf, "orders").select("o_orderkey")
     x = cascade.classification(
         _pick(["", "internal", "", "nav", "", "", "", "", "", ""], k), F.when(k % 17 != 0, "n"), F.when(k % 13 != 0, "u").otherwise(" "), k % 11 != 0, k % 7 != 0,
-        (_pick(_BROADS, k), _pick(_LEVELS, F.floor(k / 3))), (_pick(_BROADS, F.floor(k / 9)), _pick(_LEVELS, F.floor(k / 27))))
+        *((_pick(_BROADS, F.floor(k / n)), _pick(_LEVELS, F.floor(k / (3 * n)))) for n in (1, 9, 81)))
     return o.select("o_orderkey", x.alias("x")).select("o_orderkey", "x.*")
 
 
@@ -172,7 +180,7 @@ def listing_cascade(spark, sf):
     k = F.col("o_orderkey")
     score = lambda salt, every: F.when((k + salt) % every != 0, ((k * 7 + salt * 13) % 101).cast("double"))
     entity = cascade.entity_score(score(5, 3), F.lit("a.b"), F.when(k % 2 == 0, "a.b").otherwise(""))
-    x = cascade.listing_status(F.when(k % 19 != 0, "n"), F.when(k % 23 == 0, "private"), score(1, 4), k % 2 == 0, entity, score(9, 2))
+    x = cascade.listing_status(F.when(k % 19 != 0, "n"), F.when(k % 23 == 0, "private").when(k % 29 == 0, "acquired_or_delisted"), score(1, 4), k % 2 == 0, entity, score(9, 2))
     return read(spark, sf, "orders").select("o_orderkey", x.alias("x")).select("o_orderkey", "x.*")
 
 
@@ -199,24 +207,30 @@ _ANCHORS = """WITH raw AS (
 )"""
 QUERIES = {
     "classification_status": (classification_status, """WITH o AS (
-  SELECT o_orderkey, o_orderkey AS k, (['', 'internal', '', 'nav', '', '', '', '', '', ''])[o_orderkey % 10 + 1] AS gate, (['Home', 'Travel', 'Other / Unclassified'])[o_orderkey % 3 + 1] AS pb, (o_orderkey // 3) % 3 + 1 AS pl,
-         (['Home', 'Travel', 'Other / Unclassified'])[(o_orderkey // 9) % 3 + 1] AS sb, (o_orderkey // 27) % 3 + 1 AS sl FROM orders
+  SELECT o_orderkey, o_orderkey AS k, o_orderkey % 10 AS gate, (['Home', 'Travel', 'Other / Unclassified'])[o_orderkey % 3 + 1] AS pb, (['low', 'medium', 'high'])[(o_orderkey // 3) % 3 + 1] AS pc,
+         (['Home', 'Travel', 'Other / Unclassified'])[(o_orderkey // 9) % 3 + 1] AS sb, (['low', 'medium', 'high'])[(o_orderkey // 27) % 3 + 1] AS sc,
+         (['Home', 'Travel', 'Other / Unclassified'])[(o_orderkey // 81) % 3 + 1] AS bb, (['low', 'medium', 'high'])[(o_orderkey // 243) % 3 + 1] AS bc FROM orders
 ), s AS (
-  SELECT *, CASE WHEN gate = 'internal' THEN 'a' WHEN gate = 'nav' THEN 'b' WHEN k % 17 = 0 THEN 'missing_name' WHEN k % 13 = 0 THEN 'no_url' WHEN k % 11 = 0 THEN 'fetch_failed' WHEN k % 7 = 0 THEN 'parse_failed'
-    WHEN (pl = 1 OR pb LIKE 'Other%') AND sb NOT LIKE 'Other%' AND (sl > pl OR pb LIKE 'Other%') THEN 'verified_search' ELSE 'verified' END AS st FROM o
+  SELECT *, CASE WHEN gate = 1 THEN 'exclude_provider_internal_page' WHEN gate = 3 THEN 'exclude_non_merchant_page' WHEN k % 17 = 0 THEN 'unable_to_verify' WHEN k % 13 = 0 THEN 'search_only_no_official_url'
+    WHEN k % 11 = 0 THEN 'search_verified_website_unreachable' WHEN k % 7 = 0 THEN 'website_parse_failed_search_fallback'
+    WHEN (pb = 'Other / Unclassified' OR pc = 'low') AND bb <> 'Other / Unclassified' AND (pb = 'Other / Unclassified' OR bc IN ('medium', 'high')) THEN 'official_website_verified_plus_search_fallback'
+    WHEN pb <> 'Other / Unclassified' THEN 'official_website_verified' ELSE 'needs_manual_review' END AS status FROM o
 ), t AS (
-  SELECT *, CASE WHEN st IN ('no_url', 'fetch_failed', 'parse_failed') AND sb NOT LIKE 'Other%' THEN 'search_only' WHEN st IN ('a', 'b') THEN 'excluded' ELSE st END AS status FROM s
-) SELECT o_orderkey, status, CASE WHEN st = 'a' THEN 'Exclude - provider internal' WHEN st = 'b' THEN 'Exclude - navigation' WHEN status IN ('search_only', 'verified_search') THEN sb WHEN status = 'verified' THEN pb ELSE 'Other / Unclassified' END AS broad,
-  CASE WHEN status = 'excluded' THEN 'high' WHEN status IN ('search_only', 'verified_search') THEN (['low', 'medium', 'high'])[sl] WHEN status = 'verified' THEN (['low', 'medium', 'high'])[pl] ELSE 'low' END AS confidence FROM t"""),
+  SELECT o_orderkey, status, CASE status WHEN 'exclude_provider_internal_page' THEN 'Exclude / BNPL Internal Page' WHEN 'exclude_non_merchant_page' THEN 'Exclude / Non-Merchant Page' WHEN 'unable_to_verify' THEN 'Other / Unclassified'
+    WHEN 'official_website_verified' THEN pb WHEN 'needs_manual_review' THEN pb WHEN 'official_website_verified_plus_search_fallback' THEN bb ELSE sb END AS broad,
+    CASE WHEN status LIKE 'exclude%' THEN 'high' WHEN status = 'unable_to_verify' THEN 'low' WHEN status IN ('official_website_verified', 'needs_manual_review') THEN pc WHEN status = 'official_website_verified_plus_search_fallback' THEN bc ELSE sc END AS confidence FROM s
+) SELECT *, status IN ('unable_to_verify', 'website_parse_failed_search_fallback') OR status NOT LIKE 'exclude%' AND (confidence = 'low' OR broad = 'Other / Unclassified') AS review FROM t"""),
     "listing_cascade": (listing_cascade, """WITH s AS (
   SELECT o_orderkey, o_orderkey AS k, CASE WHEN (o_orderkey + 1) % 4 <> 0 THEN (o_orderkey * 7 + 13) % 101 END AS d, CASE WHEN (o_orderkey + 5) % 3 <> 0 THEN least(100, (o_orderkey * 7 + 65) % 101 + CASE WHEN o_orderkey % 2 = 0 THEN 10 ELSE 0 END) END AS e,
          CASE WHEN (o_orderkey + 9) % 2 <> 0 THEN (o_orderkey * 7 + 117) % 101 END AS p FROM orders
 ), t AS (
-  SELECT *, greatest(coalesce(d, 0), coalesce(e, 0), coalesce(p, 0)) AS b, CASE WHEN k % 19 = 0 THEN 'error' WHEN k % 23 = 0 THEN 'private' WHEN k % 2 = 0 AND d >= 94 THEN 'd' WHEN d >= 86 THEN 'needs_review' WHEN e >= 88 THEN 'e' WHEN p >= 82 THEN 'subsidiary'
-    WHEN greatest(coalesce(d, 0), coalesce(e, 0), coalesce(p, 0)) >= 75 THEN 'ambiguous' ELSE 'no_match' END AS st FROM s
-), u AS (SELECT *, CASE st WHEN 'd' THEN d WHEN 'needs_review' THEN d WHEN 'e' THEN e WHEN 'subsidiary' THEN p WHEN 'ambiguous' THEN b ELSE 0 END AS v FROM t)
-SELECT o_orderkey, CASE WHEN st IN ('d', 'e') THEN 'direct_public' ELSE st END AS status, CASE WHEN st = 'private' THEN 'manual' WHEN v >= 96 THEN 'high' WHEN v >= 88 THEN 'medium' ELSE 'low' END AS confidence,
-  CASE st WHEN 'error' THEN true WHEN 'd' THEN d < 96 WHEN 'needs_review' THEN true WHEN 'e' THEN e < 94 WHEN 'subsidiary' THEN p < 90 WHEN 'ambiguous' THEN true ELSE false END AS review FROM u"""),
+  SELECT *, greatest(coalesce(d, 0), coalesce(e, 0), coalesce(p, 0)) AS b FROM s
+), u AS (
+  SELECT *, CASE WHEN k % 19 = 0 THEN 'error' WHEN k % 23 = 0 THEN 'private' WHEN k % 29 = 0 THEN 'acquired_or_delisted' WHEN k % 2 = 0 AND d >= 94 THEN 'direct_public' WHEN d >= 86 THEN 'direct_public_candidate_needs_review'
+    WHEN e >= 94 THEN 'direct_public' WHEN e >= 88 THEN 'direct_public_candidate_needs_review' WHEN p >= 90 THEN 'subsidiary_of_public' WHEN p >= 82 THEN 'subsidiary_public_candidate_needs_review' WHEN b >= 75 THEN 'ambiguous' ELSE 'no_public_match' END AS status,
+    CASE WHEN k % 2 = 0 AND d >= 94 OR d >= 86 THEN d WHEN e >= 88 THEN e WHEN p >= 82 THEN p WHEN b >= 75 THEN b ELSE 0 END AS v FROM t
+) SELECT o_orderkey, status, CASE WHEN status IN ('private', 'acquired_or_delisted') THEN 'manual' WHEN status = 'error' THEN 'low' WHEN v >= 96 THEN 'high' WHEN v >= 88 THEN 'medium' ELSE 'low' END AS confidence,
+  CASE WHEN status IN ('private', 'subsidiary_of_public') THEN false WHEN status = 'direct_public' THEN CASE WHEN k % 2 = 0 AND d >= 94 THEN d < 96 ELSE false END ELSE true END AS review FROM u"""),
     "url_discovery": (url_discovery, """SELECT page_id, CASE WHEN page_id % 4 = 0 OR page_id % 3 = 0 THEN url WHEN page_id % 5 = 0 THEN 'https://page.example.net/' WHEN page_id % 2 = 0 THEN 'https://found.example.net/' ELSE '' END AS url,
   CASE WHEN page_id % 4 = 0 THEN 'redirect' WHEN page_id % 3 = 0 THEN 'existing' WHEN page_id % 5 = 0 THEN 'provider_page' WHEN page_id % 2 = 0 THEN 'search' ELSE 'none' END AS method FROM pages"""),
     "one_hop_owners": (one_hop_owners, "SELECT entity, parent FROM (SELECT s_suppkey AS entity, c_name AS parent, row_number() OVER (PARTITION BY s_suppkey ORDER BY c_custkey) AS rn FROM supplier JOIN customer ON s_nationkey = c_nationkey) WHERE rn <= 4"),
@@ -252,6 +266,9 @@ FROM t JOIN h USING (page_id) JOIN l USING (page_id)"""),
 ) SELECT page_id, ordinal, name FROM e WHERE lower(name) NOT IN ('the', 'de') AND length(name) <= 80 AND NOT regexp_matches(name, '^[0-9]+$') AND regexp_matches(name, '[A-Za-z]')"""),
     "url_parts": (url_parts, """SELECT page_id, regexp_replace(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '^www\\.', '') AS domain, regexp_extract(url, '/(?:en|fr|de|es)/([^/?#]+)', 1) AS slug, true AS is_http, url AS target,
        regexp_matches(lower(regexp_extract(url, '^https?://([^/?#]*)', 1)), '(^|\\.)example\\.(com|org)$') AS own FROM pages"""),
+    "ticker_pairs": (ticker_pairs, """WITH l AS (
+  SELECT s_suppkey AS l_id, CASE s_suppkey % 3 WHEN 0 THEN 'T.' || s_suppkey % 50 WHEN 1 THEN 'T' || s_suppkey % 50 ELSE 'LONGER.' || s_suppkey END AS name FROM supplier
+) SELECT l_id, c_custkey AS r_id FROM l JOIN customer ON name = 'T.' || c_custkey % 100 WHERE length(name) <= 8"""),
     "token_blocked_candidates": (token_blocked, "WITH " + _NAMES + " SELECT l_id, r_id, shared, round(set_score, 4) AS set_score, CAST(key_score AS DOUBLE) AS key_score FROM s"),
     "fuzzy_topk": (fuzzy_topk, None),
     "listing_decision": (listing_decision, "WITH " + _NAMES + """, k AS (
@@ -262,7 +279,7 @@ FROM t JOIN h USING (page_id) JOIN l USING (page_id)"""),
   SELECT b.l_id, count(DISTINCT k.r_key) AS close FROM b JOIN k ON k.l_id = b.l_id AND k.score >= b.score - 1 GROUP BY b.l_id
 ), f AS (
   SELECT b.*, score >= 94 AND (score >= 99 OR n = 1 OR close <= 1 OR starts_with(r_key, l_key)) AS firm FROM b JOIN c USING (l_id)
-) SELECT l_id, round(score, 4) AS score, CASE WHEN firm THEN 'direct_public' WHEN score >= 86 THEN 'needs_review' WHEN score >= 75 THEN 'ambiguous' ELSE 'no_match' END AS status,
+) SELECT l_id, round(score, 4) AS score, CASE WHEN firm THEN 'direct_public' WHEN score >= 86 THEN 'direct_public_candidate_needs_review' WHEN score >= 75 THEN 'ambiguous' ELSE 'no_public_match' END AS status,
   CASE WHEN score >= 96 THEN 'high' WHEN score >= 88 THEN 'medium' ELSE 'low' END AS confidence, NOT firm OR score < 96 AS review FROM f"""),
     "candidate_json": (candidate_json, "WITH " + _NAMES + """, k AS (
   SELECT * FROM (SELECT l_id, r_id, greatest(set_score, key_score) AS score, row_number() OVER (PARTITION BY l_id ORDER BY greatest(set_score, key_score) DESC, r_id) AS place FROM s WHERE greatest(set_score, key_score) >= 70) WHERE place <= 5

@@ -113,21 +113,23 @@ def _classified(spark, sf):
     return o.select(
         "entity_key", "ordinal", F.when(k == 0, "").when(k == 1, "Exclude - test").when(k == 2, "Other / Unclassified").otherwise(F.col("broad")).alias("broad"),
         F.element_at(F.array(*map(F.lit, ["low", "medium", "high", "manual", ""])), (F.col("ordinal") % 5 + 1).cast("int")).alias("confidence"),
-        F.element_at(F.array(*map(F.lit, ["verified", "error", "fetch_failed"])), (F.col("ordinal") % 3 + 1).cast("int")).alias("status"),
+        F.element_at(F.array(*map(F.lit, [*overlap.STATUS_SCORE, "else"])), (F.col("ordinal") % 7 + 1).cast("int")).alias("status"),
         F.when(F.col("ordinal") % 2 == 0, "TRUE").otherwise("FALSE").alias("review"),
     )
 
 
 CLASSIFIED = """classified AS (
   SELECT entity_key, ordinal, CASE ordinal % 11 WHEN 0 THEN '' WHEN 1 THEN 'Exclude - test' WHEN 2 THEN 'Other / Unclassified' ELSE broad END AS broad,
-         (['low', 'medium', 'high', 'manual', ''])[ordinal % 5 + 1] AS confidence, (['verified', 'error', 'fetch_failed'])[ordinal % 3 + 1] AS status,
+         (['low', 'medium', 'high', 'manual', ''])[ordinal % 5 + 1] AS confidence, (['official_website_verified', 'official_website_verified_plus_search_fallback', 'search_verified_website_unreachable', 'website_parse_failed_search_fallback', 'search_only_no_official_url', 'needs_manual_review', 'else'])[ordinal % 7 + 1] AS status,
          CASE WHEN ordinal % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS review
   FROM (SELECT *, regexp_replace(replace(lower(regexp_replace(name, '\\s+', '', 'g')), '&', 'and'), '[^a-z0-9]+', '', 'g') AS entity_key FROM listing)
 ), best AS (
   SELECT * EXCLUDE rn FROM (
     SELECT *, count(*) OVER (PARTITION BY entity_key) AS classified_rows,
-           row_number() OVER (PARTITION BY entity_key ORDER BY trim(broad) = '', broad LIKE 'Exclude%',
-             coalesce(list_position(['low', 'medium', 'high', 'manual'], confidence), 0) DESC, coalesce(list_position(['error', 'fetch_failed', 'excluded', 'verified'], status), 0) DESC, review = 'TRUE', ordinal) AS rn
+           row_number() OVER (PARTITION BY entity_key ORDER BY trim(broad) = '', CASE WHEN trim(broad) = '' THEN 0 ELSE CAST(broad LIKE 'Exclude%' AS INTEGER) END,
+             CASE WHEN trim(broad) = '' THEN 0 ELSE CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END END DESC,
+             CASE WHEN trim(broad) = '' THEN 0 ELSE CASE status WHEN 'official_website_verified' THEN 4 WHEN 'official_website_verified_plus_search_fallback' THEN 3 WHEN 'search_verified_website_unreachable' THEN 2
+               WHEN 'website_parse_failed_search_fallback' THEN 2 WHEN 'search_only_no_official_url' THEN 1 ELSE 0 END END DESC, trim(broad) <> '' AND review = 'TRUE', ordinal) AS rn
     FROM classified) WHERE rn = 1
 )"""
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import evidence, facts, labels, matching, panel, providers, records
 from ..streaming import resume
+from . import panel_queries
 from .tables import read
 
 
@@ -110,9 +111,7 @@ def fetch_audit(spark, sf):
 
 
 def metric_counts(spark, sf):
-    from .panel_queries import metric_pivot
-
-    return facts.counted_metrics(metric_pivot(spark, sf), ["revenue", "assets"])
+    return facts.counted_metrics(panel_queries.metric_pivot(spark, sf), ["revenue", "assets"])
 
 
 def row_range(spark, sf):
@@ -220,9 +219,9 @@ SELECT s_nationkey, s_suppkey, CAST(place AS INTEGER) AS place, CAST(market AS B
     "sample_flags": (sample_flags, "WITH " + _ADOPTION + " SELECT o_orderkey, o_custkey, audit, c_mktsegment, l = 0 AND v = 0 AND sound AS sample_main, l = 1 AND v = 1 AND sound AS sample_parent, reports FROM a LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey"),
     "core_sample": (core_sample, "WITH " + _ADOPTION + " SELECT o_orderkey, audit, l = 0 AND v = 0 AND sound AS sample_main FROM a WHERE o_orderkey % 5 IN (2, 3)"),
     "fetch_audit": (fetch_audit, "WITH " + _TICKERS + """, s AS (
-  SELECT s_suppkey AS entity, 't' || (s_suppkey % 60) AS ticker, t.cik, coalesce(t.title, '') AS title, CASE WHEN t.cik IS NULL THEN 'no_ticker_match' WHEN t.cik % 3 <> 0 AND t.cik % 5 <> 0 THEN 'ok' ELSE 'fetch_error' END AS fetch_status FROM supplier LEFT JOIN tickers t ON t.ticker = 'T' || (s_suppkey % 60)
+  SELECT s_suppkey AS entity, 't' || (s_suppkey % 60) AS ticker, t.cik, coalesce(t.title, '') AS title, CASE WHEN t.cik IS NULL THEN 'no_sec_ticker_match' WHEN t.cik % 3 <> 0 AND t.cik % 5 <> 0 THEN 'ok' ELSE 'fetch_error' END AS fetch_status FROM supplier LEFT JOIN tickers t ON t.ticker = 'T' || (s_suppkey % 60)
 ) SELECT *, CASE WHEN fetch_status = 'ok' AND entity % 2 = 0 THEN 'revenue; assets' ELSE '' END AS metrics_found FROM s"""),
-    "metric_counts": (metric_counts, None),
+    "metric_counts": (metric_counts, f"WITH p AS ({panel_queries.QUERIES['metric_pivot'][1]}) SELECT 'revenue' AS metric, count(revenue) AS n FROM p UNION ALL SELECT 'assets', count(assets) FROM p"),
     "row_range": (row_range, "SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderkey LIMIT 500 OFFSET 100"),
     "cached_results": (cached_results, "SELECT o_orderkey, o_custkey, CASE WHEN o_custkey % 3 = 0 THEN c_mktsegment ELSE '' END AS result FROM orders JOIN customer ON c_custkey = o_custkey"),
     "manual_overrides": (manual_overrides, "SELECT 'name' || (c_custkey % 50) AS merchant_key, max(c_custkey) AS ordinal, 's' || max(c_custkey) AS listing_status FROM customer WHERE c_custkey % 4 <> 0 GROUP BY c_custkey % 50"),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import dedupe
+from ..operators import cascade, dedupe
 from ..sources import bundle
 
 
@@ -41,19 +41,20 @@ def rows_from(df: DataFrame, ordinal: str, start: int = 0, limit: int | None = N
 
 @dataclass(frozen=True)
 class Switches:
-    """What a run of the listing cascade uses: offline keeps to what has landed within the age that readers allow; without a source its scores are none."""
+    """What a run of the listing cascade uses. Quotes and entities come from searches: a source that is off, or any search offline,
+    gives no scores. A row without a match is private only if that is asked for, and is up for review otherwise."""
 
     offline: bool = False
     quotes: bool = True
     entities: bool = True
-    no_match_is_private: bool = True
+    no_match_is_private: bool = False
 
-    def scores(self, direct: Column, entity: Column, parent: Column) -> tuple[Column, Column, Column]:
+    def listing(self, name: Column, override: Column, direct: Column, quote: Column, firm: Column, entity: Column, parent: Column) -> Column:
+        """cascade.listing_status() over the sources that are on; quote is the best score of a quote search, which is a direct match too."""
         none = F.lit(None).cast("double")
-        return direct, entity if self.entities else none, parent if self.entities else none
-
-    def status(self, status: Column) -> Column:
-        return F.when(status == "no_match", "private_no_public_match" if self.no_match_is_private else "no_public_match").otherwise(status)
+        found = self.entities and not self.offline
+        direct = F.greatest(direct, quote) if self.quotes and not self.offline else direct
+        return cascade.listing_status(name, override, direct, firm, entity if found else none, parent if found else none, self.no_match_is_private)
 
 
 def run(spark: SparkSession, inputs: DataFrame, path: str, schema: T.StructType, key: str, work: Callable[[DataFrame], DataFrame], force: bool = False) -> DataFrame:
