@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..functions import workers
+from ..functions.automaton import Automaton, blocks
 
 
 @dataclass(frozen=True)
@@ -75,6 +81,91 @@ def entries(docs: DataFrame, sources: dict[str, int], terms: Sequence[Term], gua
     return base.withColumn(out, F.array_compact(F.array(*found))).drop("__all", *low, *[f"__w{i}" for i in range(len(sources))])
 
 
+#: Rows of a table of terms or rules at most: such a table goes to the driver and is broadcast as an automaton.
+MOST_RULES = 200_000
+
+
+def _bounded(table: DataFrame, order: str) -> list:
+    rows = table.orderBy(order).limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"over {MOST_RULES} rules")
+    return rows
+
+
+def read_terms(table: DataFrame) -> list[Term]:
+    """The terms of a table (ordinal, broad, sub, term), in order, repeated and blank ones once and not at all."""
+    return extend([Term(r["broad"], r["sub"], r["term"]) for r in _bounded(table, "ordinal") if (r["term"] or "").strip()], [])
+
+
+def read_rules(table: DataFrame) -> list[Guardrail]:
+    """The guardrails of a table (ordinal, phrases, broad, sub, delta, min_hits), in order."""
+    return [Guardrail(tuple(r["phrases"]), r["broad"], r["sub"], r["delta"], r["min_hits"]) for r in _bounded(table, "ordinal")]
+
+
+def scanned(docs: DataFrame, sources: dict[str, int], terms: Sequence[Term], guardrails: Sequence[Guardrail] = (), cap: int = 10000, out: str = "entries") -> DataFrame:
+    """entries() for any number of terms: each text is read once, by an automaton of all phrases, and the time doesn't grow with them.
+
+    The same entries in the same order. The automata are broadcast; their size is bounded. Texts go to Python in Arrow batches.
+    """
+    workers.ship(docs.sparkSession)
+    places = list(dict.fromkeys([(t.broad, t.sub) for t in terms] + [(g.broad, g.sub) for g in guardrails]))
+    at = {p: k for k, p in enumerate(places)}
+    phrase = lambda t: t.term.lower().strip()
+    points: dict[str, dict[int, int]] = {}
+    for t in terms:
+        if p := phrase(t):
+            to = points.setdefault(p, {})
+            to[at[t.broad, t.sub]] = to.get(at[t.broad, t.sub], 0) + bonus(t.term)
+    signs = list(dict.fromkeys(p for g in guardrails for p in g.phrases if p))
+    # of rules, which phrases each has; a phrase that a rule names twice counts twice, an empty one always
+    rules = [(at[g.broad, g.sub], g.delta, g.min_hits - sum(not p for p in g.phrases), [signs.index(p) for p in g.phrases if p]) for g in guardrails]
+    held = docs.sparkSession.sparkContext.broadcast((Automaton(list(points)), Automaton(signs, words=False), list(points.values()), rules, places))
+    low = {f"__t{i}": F.lower(X.clean(F.col(c))) for i, c in enumerate(sources)}
+    every = F.lower(F.left(X.clean(F.concat_ws(" ", *[F.col(c) for c in sources])), F.lit(cap)))
+    weights, kept = list(sources.values()), docs.columns
+    entry = "array<struct<ordinal:int,broad:string,sub:string,score:long>>"
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T._parse_datatype_string(entry))])
+
+    def scores_of(columns: list[list[str]], everything: list[str]):
+        words, marks, points_of, rules, places = held.value
+        score = np.zeros((len(everything), len(places)), np.int64)
+        touched = np.zeros(score.shape, bool)
+        for weight, texts in zip(weights, columns, strict=True):
+            text, found, n = words.counts(texts)
+            for row, p, times in zip(text.tolist(), found.tolist(), n.tolist(), strict=True):
+                for place, more in points_of[p].items():
+                    score[row, place] += times * weight * more
+        touched |= score > 0
+        if rules:
+            has = np.zeros((len(everything), len(marks.size) + 1), bool)
+            row, sign, _ = marks.counts(everything)
+            has[row, sign] = True
+            for place, delta, least, which in rules:
+                fires = has[:, which].sum(axis=1) >= least
+                score[fires, place] += delta
+                touched |= fires[:, None] & (np.arange(len(places)) == place)
+        return score, touched
+
+    def run(batches):
+        places = held.value[4]
+        for batch in batches:
+            texts = [batch.column(f"__t{i}") for i in range(len(weights))] + [batch.column("__every")]
+            sizes = sum((np.asarray(pc.fill_null(pc.utf8_length(t), 0)).astype(np.int64) for t in texts), np.zeros(len(batch), np.int64))
+            parts = []
+            for a, b in blocks(sizes.tolist()):
+                *columns, everything = ([x or "" for x in t.slice(a, b - a).to_pylist()] for t in texts)
+                score, touched = scores_of(columns, everything)
+                row, place = np.nonzero(touched)
+                parts.append((np.bincount(row, minlength=b - a), place, score[row, place]))
+            size, place, score = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
+            names = [pa.array([places[k][j] for k in place.tolist()], pa.string()) for j in (0, 1)]
+            fields = pa.StructArray.from_arrays([pa.array(place, pa.int32()), *names, pa.array(score, pa.int64())], ["ordinal", "broad", "sub", "score"])
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), fields)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], lists], schema.names)
+
+    return docs.withColumns(low | {"__every": every}).mapInArrow(run, schema)
+
+
 def scores(docs: DataFrame, key: str, sources: dict[str, int], terms: Sequence[Term], guardrails: Sequence[Guardrail] = (), cap: int = 10000) -> DataFrame:
     """key, ordinal, broad, sub, score: entries() as rows."""
     return entries(docs, sources, terms, guardrails, cap, "__e").select(key, F.explode("__e").alias("e")).select(key, "e.*")

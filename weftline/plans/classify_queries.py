@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -37,6 +38,29 @@ def taxonomy_confidence(spark, sf):
     return taxonomy.classify(d, "doc_id", F.col("doc_id") % 3 != 0, F.col("doc_id") % 2 == 0, F.col("doc_id") % 7 == 0)
 
 
+def _term_tables(spark, sf):
+    """708 terms and 53 guardrails by rule from the corpus: its 600 commonest words, the first 108 as pairs with the next, rules over three words."""
+    words = read(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).filter(F.length("w") >= 2).groupBy("w").count()
+    first = words.orderBy(F.desc("count"), "w").limit(600)
+    rank = (F.row_number().over(W.orderBy(F.desc("count"), "w")) - 1).alias("rank")  # over 600 rows
+    ranked = first.select("w", rank, F.lead("w").over(W.orderBy(F.desc("count"), "w")).alias("after"), F.lead("w", 2).over(W.orderBy(F.desc("count"), "w")).alias("last"))
+    k = F.col("rank")
+    place = lambda n: (F.concat(F.lit("B"), (n % 9).cast("string")).alias("broad"), F.concat(F.lit("S"), (n % 27).cast("string")).alias("sub"))
+    terms = ranked.select(k.alias("ordinal"), *place(k), F.col("w").alias("term")).unionByName(ranked.filter(k < 108).select((k + 600).alias("ordinal"), *place(k + 600), F.concat_ws(" ", "w", "after").alias("term")))
+    r = F.floor(k / 3)
+    rules = ranked.filter((k % 3 == 0) & (k < 159)).select(
+        r.alias("ordinal"), F.array(F.concat("w", F.lit(" ")), F.concat(F.lit(" "), F.col("after")), F.col("last")).alias("phrases"), F.concat(F.lit("B"), (r % 30 % 9).cast("string")).alias("broad"),
+        F.concat(F.lit("S"), (r % 30).cast("string")).alias("sub"), (F.when(r % 2 == 0, 1).otherwise(-1) * (5 + r % 10)).cast("int").alias("delta"), (1 + r % 3).cast("int").alias("min_hits"))
+    return terms, rules
+
+
+def taxonomy_tables(spark, sf):
+    """Scores of all documents under the terms and guardrails of _term_tables(), by one automaton."""
+    terms, rules = _term_tables(spark, sf)
+    d = taxonomy.scanned(read(spark, sf, "documents").select("doc_id", "text", "source"), {"text": 2, "source": 1}, taxonomy.read_terms(terms), taxonomy.read_rules(rules))
+    return d.select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.*")
+
+
 _C = "trim(regexp_replace(coalesce(text, ''), '[\\s\\x{00A0}]+', ' ', 'g'))"
 _SCORES = f"""d AS (
   SELECT doc_id, lower({_C}) AS t, lower(left({_C} || ' ' || source, 10000)) AS every FROM documents
@@ -239,6 +263,20 @@ QUERIES = {
 SELECT doc_id, len(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda w: w = 'lamp')) AS n0, len(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda w: w = 'the')) AS n1, len(list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda w: w = 'of')) AS n2,
        (length(t) - length(replace(t, 'de la', ''))) // 5 AS n3, (length(t) - length(replace(t, 'en-', ''))) // 3 AS n4 FROM d"""),
     "taxonomy_scores": (taxonomy_scores, "WITH " + _SCORES + " SELECT * FROM scored"),
+    "taxonomy_tables": (taxonomy_tables, f"""WITH RECURSIVE f AS (
+  SELECT w, row_number() OVER (ORDER BY n DESC, w) - 1 AS k FROM (SELECT w, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM documents) WHERE length(w) >= 2 GROUP BY w ORDER BY n DESC, w LIMIT 600)
+), x AS (
+  SELECT a.k, a.w, b.w AS after, c.w AS last FROM f a LEFT JOIN f b ON b.k = a.k + 1 LEFT JOIN f c ON c.k = a.k + 2
+), d AS (
+  SELECT doc_id, lower({_C}) AS t, lower(source) AS s, lower(left({_C} || ' ' || source, 10000)) AS every FROM documents
+), u AS (
+  SELECT doc_id, w, sum(weight) AS n FROM (SELECT doc_id, 2 AS weight, unnest(string_split_regex(t, '[^a-z0-9]+')) AS w FROM d UNION ALL SELECT doc_id, 1, unnest(string_split_regex(s, '[^a-z0-9]+')) FROM d) GROUP BY doc_id, w
+), h AS (
+  SELECT doc_id, CAST(k % 27 AS BIGINT) AS ordinal, n AS score FROM u JOIN f USING (w)
+  UNION ALL SELECT doc_id, (k + 600) % 27, 6 * ((length(t) - length(replace(t, w || ' ' || after, ''))) // length(w || ' ' || after)) FROM d, x WHERE k < 108 AND contains(t, w || ' ' || after)
+  UNION ALL SELECT doc_id, r % 30, CASE WHEN r % 2 = 0 THEN 5 + r % 10 ELSE -5 - r % 10 END FROM (
+    SELECT doc_id, k // 3 AS r FROM d, x WHERE k % 3 = 0 AND k < 159 AND CAST(contains(every, w || ' ') AS INTEGER) + CAST(contains(every, ' ' || after) AS INTEGER) + CAST(contains(every, last) AS INTEGER) >= 1 + (k // 3) % 3)
+) SELECT doc_id, ordinal, 'B' || ordinal % 9 AS broad, 'S' || ordinal AS sub, CAST(sum(score) AS BIGINT) AS score FROM h GROUP BY doc_id, ordinal"""),
     "taxonomy_top2_confidence": (taxonomy_confidence, _TOP2),
     "page_evidence_title": (page_title, "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[\\s\\x{00A0}]+', ' ', 'g')) AS title FROM pages"),
     "page_evidence": (page_evidence, _ANCHORS + """, t AS (
