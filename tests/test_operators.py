@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.functions import similarity
 from weftline.operators import dedupe, evidence, facts, matching, overlap, panel, regress, taxonomy
 from weftline.sources import bundle
 from weftline.streaming import resume
@@ -77,7 +78,7 @@ def test_page_evidence():
 
 def test_ratio_and_score(spark):
     pairs = [("nike", "nike inc"), ("north trail", "trail north"), ("abcd", "bcde"), ("", "x")]
-    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", matching.ratio("a", "b").alias("r"))
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity.ratio("a", "b").alias("r"))
     for a, b, r in df.collect():
         assert r == pytest.approx(100 * SequenceMatcher(None, a, b).ratio() if a and b else 0)
     legal, generic = ["inc"], ["group"]

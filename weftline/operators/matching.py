@@ -3,32 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions import workers
+from ..functions.similarity import ratio_over
 from . import records
 
 #: What the reference's candidate search is defined by: rows of a token's posting list, least score, candidates kept.
 POSTINGS, LEAST, TOP = 500, 70.0, 6
-
-
-@F.pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Longest-matching-blocks similarity of two texts, 0 to 100; not symmetric, so the order of arguments counts."""
-    memo: dict = {}
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if (x, y) not in memo:
-            memo[x, y] = 100 * SequenceMatcher(None, x, y).ratio() if x and y else 0.0
-        out.append(memo[x, y])
-    return pd.Series(out)
+#: What domain_bonus() adds at most.
+BONUS = 8.0
 
 
 def prepared(df: DataFrame, name: str, legal: Sequence[str], generic: Sequence[str], prefix: str) -> DataFrame:
@@ -75,10 +63,11 @@ def token_scores() -> dict[str, Column]:
     return {"shared": shared.cast("long"), "set_score": set_score.cast("double"), "key_score": key_score.cast("double")}
 
 
-def score(pairs: DataFrame) -> DataFrame:
-    """pairs with score: the best of the native scores and of the three text ratios.
+def score(pairs: DataFrame, least: float = LEAST - BONUS) -> DataFrame:
+    """pairs with score: the best of the native scores and of the three text ratios; exact for scores of least and more.
 
-    A pair whose native scores reach 100 needs no ratio, nor does one where even equal letters could not reach LEAST.
+    A ratio counts only where it is over the native scores and not under least. Where the lengths show that none can be, a pair
+    isn't sent to Python; where the letters show it, a ratio isn't worked out there.
     """
     workers.ship(pairs.sparkSession)
     p = pairs.withColumns(token_scores())
@@ -86,13 +75,14 @@ def score(pairs: DataFrame) -> DataFrame:
     longest = lambda a, b: 200 * F.least(F.length(a), F.length(b)) / F.greatest(F.length(a) + F.length(b), F.lit(1))
     sorted_ = lambda c: F.array_join(F.array_sort(F.split(c, " ")), " ")
     l_set, r_set = F.array_join(F.array_sort("l_tokens"), " "), F.array_join(F.array_sort("r_tokens"), " ")
-    bound = F.greatest(longest(F.col("l_norm"), F.col("r_norm")), longest(l_set, r_set))
-    p = p.withColumn("native", native)
-    easy = p.filter((F.col("native") >= 100) | ((bound < LEAST) & (F.col("native") < LEAST))).withColumn("score", F.col("native"))
-    hard = p.filter(~((F.col("native") >= 100) | ((bound < LEAST) & (F.col("native") < LEAST))))
-    set_ratio = F.when(F.col("shared") > 0, ratio(l_set, r_set)).otherwise(0.0)
-    hard = hard.withColumn("score", F.greatest("native", ratio(F.col("l_norm"), F.col("r_norm")), ratio(sorted_(F.col("l_norm")), sorted_(F.col("r_norm"))), set_ratio))
-    return easy.unionByName(hard).drop("native")
+    floor = F.greatest(native, F.lit(least - 0.001))
+    p = p.withColumns({"native": native, "__floor": floor})
+    idle = F.greatest(longest(F.col("l_norm"), F.col("r_norm")), longest(l_set, r_set)) <= F.col("__floor")
+    easy = p.filter(idle).withColumn("score", F.col("native"))
+    over = lambda a, b: ratio_over(a, b, F.col("__floor"))
+    set_ratio = F.when(F.col("shared") > 0, over(l_set, r_set)).otherwise(0.0)
+    hard = p.filter(~idle).withColumn("score", F.greatest("native", over(F.col("l_norm"), F.col("r_norm")), over(sorted_(F.col("l_norm")), sorted_(F.col("r_norm"))), set_ratio))
+    return easy.unionByName(hard).drop("native", "__floor")
 
 
 def domain_bonus(name_key: Column, url: Column) -> Column:
