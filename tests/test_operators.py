@@ -118,11 +118,12 @@ def test_panel(spark):
     assert calendar["e", 4]["revenue_growth"] is None and calendar["e", 2]["revenue_growth"] == pytest.approx(12 / 11 - 1)
 
 
-def test_twfe_against_dummies(spark):
+@pytest.mark.parametrize("most_dense", [200, 0])
+def test_twfe_against_dummies(spark, most_dense):
     rng = np.random.default_rng(4)
     rows = [(f"f{i}", t, int(t > 3 + i % 4), float(i + 0.3 * t + 0.5 * (t > 3 + i % 4) + rng.normal())) for i in range(12) for t in range(10) if rng.random() < 0.9]
     df = spark.createDataFrame(rows, "entity string, period long, post int, y double")
-    r = regress.twfe(df, ["y"], "entity", "period", "post").first()
+    r = regress.twfe(df, ["y"], "entity", "period", "post", most_dense).first()
     firms, times = sorted({x[0] for x in rows}), sorted({x[1] for x in rows})
     x = np.array([[1, p, *[e == f for f in firms[1:]], *[t == s for s in times[1:]]] for e, t, p, _ in rows], float)
     y = np.array([v[3] for v in rows])
@@ -135,11 +136,29 @@ def test_twfe_against_dummies(spark):
         meat = meat + np.outer(s, s)
     n, k, g = len(y), x.shape[1], len(firms)
     se = np.sqrt((inv @ meat @ inv)[1, 1] * g / (g - 1) * (n - 1) / (n - k))
-    assert (r["coef_post"], r["se_cluster"], r["nobs"], r["n_firms"]) == (pytest.approx(b[1]), pytest.approx(se), n, g)
+    assert (r["coef_post"], r["se_cluster"], r["nobs"], r["n_firms"]) == (pytest.approx(b[1], rel=1e-9), pytest.approx(se, rel=1e-9), n, g)
     few = regress.twfe(df.filter("entity in ('f1', 'f2')"), ["y"], "entity", "period", "post").first()
     assert few["status"] == "not_enough_variation"
 
 
+def test_twfe_of_many_periods(spark):
+    """More periods than a matrix is made for, gaps, repeated rows, and an outcome with two unconnected halves."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(30):
+        for t in range(300):
+            if rng.random() < 0.4:
+                post = int(t > 80 + 7 * i)
+                half = 1.0 * (i + t) if (i < 15) == (t < 150) else None
+                rows += [(f"f{i}", t, post, float(i + 0.01 * t + 0.5 * post + rng.normal()), None if half is None else half + 2.0 * post + float(rng.normal()))] * int(rng.integers(1, 3))
+    df = spark.createDataFrame(rows, "entity string, period long, post int, y double, z double").repartition(5)
+    a, b = ({r["outcome"]: r for r in regress.twfe(df, ["y", "z"], "entity", "period", "post", most).collect()} for most in (200, 1000))
+    for o in ("y", "z"):
+        for c in ("coef_post", "se_cluster", "t_stat", "p_value"):
+            assert a[o][c] == pytest.approx(b[o][c], rel=1e-8, abs=1e-12), (o, c)
+        assert (a[o]["nobs"], a[o]["n_firms"], a[o]["status"]) == (b[o]["nobs"], b[o]["n_firms"], "ok")
+
+
 def test_bundle_and_resume(spark, tmp_path):
     a, b = spark.createDataFrame([("=1",)], "v string"), spark.createDataFrame([(1,)], "n long")
     bundle.write({"summary": b, "data": a}, str(tmp_path / "w"))

@@ -80,6 +80,16 @@ def twfe_regression(spark, sf):
     return regress.twfe(_regression(spark, sf), ["revenue_growth", "gross_margin", "operating_margin", "net_margin", "roa", "operating_income_growth"], "entity", "period", "post")
 
 
+def twfe_balanced(spark, sf):
+    """Mean order price by region and year, where each region has every year; post begins in another year in each region."""
+    o, c, n = read(spark, sf, "orders"), read(spark, sf, "customer"), read(spark, sf, "nation")
+    k = F.col("n_regionkey")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(k.alias("entity"), F.year("o_orderdate").alias("period")).agg(F.avg("o_totalprice").alias("price"))
+    rows = rows.withColumn("post", (F.col("period") >= 1994 + F.col("entity") % 4).cast("int"))
+    r = regress.twfe(rows, ["price"], "entity", "period", "post")
+    return r.select("outcome", "nobs", "n_firms", *[F.round(x, 4).alias(x) for x in ("coef_post", "se_cluster", "t_stat")], "status")
+
+
 def twfe_counts(spark, sf):
     c = regress.cells(_regression(spark, sf), ["revenue_growth", "gross_margin"], "entity", "period", "post")
     return c.groupBy("outcome").agg(F.sum("n").alias("nobs"), F.count_distinct("entity").alias("n_firms"), F.count_distinct("period").alias("n_periods"))
@@ -166,6 +176,18 @@ QUERIES = {
     "panel_outcomes_calendar": (lambda s, d: _outcomes(s, d, False, True), "WITH " + _outcome_sql(_QUARTER, 4, True) + " " + _ROUNDED),
     "event_panel": (event_panel, "WITH " + _panel_sql(_QUARTER) + ", " + _EVENTS + " SELECT entity, period, round(revenue, 4) AS revenue, event_index, period - event_index AS event_time, CAST(period >= event_index AS INTEGER) AS post FROM panel JOIN events_ USING (entity) WHERE period - event_index BETWEEN -40 AND 40"),
     "twfe_regression": (twfe_regression, None),
+    "twfe_balanced": (twfe_balanced, """WITH r AS (
+  SELECT n_regionkey AS e, year(o_orderdate) AS t, avg(o_totalprice) AS y, CASE WHEN year(o_orderdate) >= 1994 + n_regionkey % 4 THEN 1.0 ELSE 0.0 END AS p
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2, 4
+), d AS (
+  SELECT e, t, p - avg(p) OVER (PARTITION BY e) - avg(p) OVER (PARTITION BY t) + avg(p) OVER () AS p, y - avg(y) OVER (PARTITION BY e) - avg(y) OVER (PARTITION BY t) + avg(y) OVER () AS y FROM r
+), b AS (
+  SELECT sum(p * y) / sum(p * p) AS b, sum(p * p) AS pp, count(*) AS n, count(DISTINCT e) AS g, count(DISTINCT t) AS s FROM d
+), m AS (
+  SELECT sum(x * x) AS meat FROM (SELECT e, sum(p * (y - b * p)) AS x FROM d, b GROUP BY e)
+), v AS (
+  SELECT *, sqrt(meat / (pp * pp) * g / (g - 1) * (n - 1) / (n - (g + s))) AS se FROM b, m
+) SELECT 'price' AS outcome, n AS nobs, g AS n_firms, round(b, 4) AS coef_post, round(se, 4) AS se_cluster, round(b / se, 4) AS t_stat, 'ok' AS status FROM v"""),
     "twfe_counts": (twfe_counts, "WITH " + _panel_sql(_QUARTER) + ", " + _EVENTS + """, w AS (
   SELECT p.* FROM panel p JOIN events_ USING (entity) WHERE period - event_index BETWEEN -40 AND 40
 ), o AS (
