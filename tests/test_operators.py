@@ -1,6 +1,8 @@
 """Operators on small fixtures, against plain Python."""
 
+import os
 import random
+import shutil
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -177,15 +179,81 @@ def test_bundle_and_resume(spark, tmp_path):
     assert sorted(resume.run(spark, more, store, schema, "key", work).collect()) == [("a", 1, 20), ("b", 4, 10)]
 
 
-def test_stream_skips_what_is_done(spark, tmp_path):
+@pytest.fixture
+def landing(spark, tmp_path):
+    """A folder that rows land in, a store, and a way to run the stream over what is there."""
     from pyspark.sql import types as T
 
     schema = T.StructType([T.StructField("key", T.StringType()), T.StructField("seq", T.LongType())])
     src = "key string, ordinal long"
-    spark.createDataFrame([("a", 1), ("b", 2)], src).write.json(str(tmp_path / "in"))
-    work = lambda df: df.select("key", F.col("ordinal").alias("seq"))
-    for _ in range(2):
+
+    def land(*rows):
+        spark.createDataFrame(rows, src).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+
+    def go(work=lambda df: df.select("key", F.col("ordinal").alias("seq"))):
         q = resume.stream(spark.readStream.schema(src).json(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), "key", schema, work)
-        q.awaitTermination(60)
-        spark.createDataFrame([("b", 9), ("c", 3)], src).write.mode("append").json(str(tmp_path / "in"))
-    assert sorted(r["key"] for r in spark.read.schema(schema).json(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+        assert q.awaitTermination(120)
+
+    def rows():
+        return sorted((r["key"], r["seq"]) for r in spark.read.schema(schema).option("recursiveFileLookup", True).json(str(tmp_path / "out")).collect())
+
+    return land, go, rows, schema, str(tmp_path / "out")
+
+
+def test_stream_skips_what_is_done(spark, landing):
+    land, go, rows, schema, out = landing
+    spark.createDataFrame([("a", 7)], schema).write.json(out)  # done by a run in batch
+    land(("a", 1), ("b", 3), ("b", 2), (None, 4))
+    go()
+    assert rows() == [("a", 7), ("b", 2)]
+    for file in spark.read.schema(schema).option("recursiveFileLookup", True).json(out).inputFiles():
+        os.remove(file.removeprefix("file://"))  # the store isn't read again: the state knows what is done
+    land(("b", 9), ("c", 5), ("a", 0))
+    go()
+    assert rows() == [("c", 5)]
+
+
+def test_stream_that_fails_doubles_nothing(spark, landing):
+    land, go, rows, schema, out = landing
+    land(("a", 1), ("b", 2))
+
+    def breaks(df):
+        df.select("key", F.col("ordinal").alias("seq")).write.mode("append").json(out + "/stream-part")
+        raise ValueError("half way")
+
+    with pytest.raises(Exception, match="half way"):
+        go(breaks)
+    shutil.rmtree(out)
+    go()
+    go()
+    assert rows() == [("a", 1), ("b", 2)]
+
+
+def test_compaction_keeps_the_last_row_of_a_key(spark, landing):
+    *_, rows, schema, out = landing
+    resume.compact(spark, out, schema, "key")
+    for part in ([("a", 1), ("b", 2)], [("a", 3)]):
+        spark.createDataFrame(part, schema).write.mode("append").json(out)
+    want = sorted(map(tuple, resume.load(spark, out, schema, "key").collect()))
+    resume.compact(spark, out, schema, "key")
+    assert rows() == want == [("a", 3), ("b", 2)]
+
+
+def test_bundles_are_written_whole_or_not_at_all(spark, tmp_path):
+    path, n = str(tmp_path / "b"), spark.range(10).withColumn("v", F.lit("x"))
+    seen = bundle.write({"one": n, "two": n.filter("id > 6").drop("v")}, path, metrics={"most": F.max("id"), "texts": F.count("v")})
+    assert seen["one"] == {"rows": 10, "most": 9, "texts": 10} and seen["two"] == {"rows": 3, "most": 9}
+    first = bundle.version(spark, path)
+    assert sorted(map(tuple, bundle.seen(spark, path).filter("name = 'two'").collect())) == [("two", "most", "9"), ("two", "rows", "3")]
+    breaks = n.withColumn("v", F.when(F.col("id") == 5, F.raise_error(F.lit("half way"))).otherwise("y"))
+    with pytest.raises(Exception, match="half way"):
+        bundle.write({"one": n.limit(1), "two": breaks}, path)
+    assert bundle.version(spark, path) == first and bundle.table(spark, path, "one").count() == 10
+    pinned = bundle.table(spark, path, "one", number=first)
+    bundle.write({"three": n.limit(2)}, path, "csv")
+    assert bundle.names(spark, path) == [("three", "csv")] and bundle.table(spark, path).count() == 2
+    assert bundle.names(spark, path, first) == [("one", "parquet"), ("two", "parquet")] and pinned.count() == 10
+    bundle.vacuum(spark, path, 1)
+    assert bundle._numbers(spark, path) == [first + 1] and bundle.table(spark, path).count() == 2
+    with pytest.raises(FileNotFoundError):
+        bundle.version(spark, str(tmp_path / "none"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -90,17 +95,95 @@ def _csv(writer, path: str) -> None:
     writer.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-def write(tables: dict[str, DataFrame], path: str, kind: str = "parquet") -> None:
-    """Each table in its own folder, texts guarded, and a manifest that lists them in order."""
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    fs, p = _fs(spark, f"{path}/manifests/*.json")
+    return sorted(int(str(s.getPath().getName())[:-5]) for s in fs.globStatus(p) or [])
+
+
+def version(spark: SparkSession, path: str) -> int:
+    """The number of a bundle's last complete version: given to names() and table() it pins what they read."""
+    found = _numbers(spark, path)
+    if not found:
+        raise FileNotFoundError(path)
+    return found[-1]
+
+
+def _manifest(spark: SparkSession, path: str, number: int | None) -> dict:
+    fs, p = _fs(spark, f"{path}/manifests/{version(spark, path) if number is None else number}.json")
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, manifest: dict) -> int:
+    """Makes a manifest the next version. It is written aside and renamed, which either happens or doesn't; a number that another writer took is passed over."""
+    jvm = spark.sparkContext._jvm
+    fs, aside = _fs(spark, f"{path}/manifests/.{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    try:
+        out.write(bytearray(json.dumps(manifest).encode()))
+    finally:
+        out.close()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(aside.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    number = (_numbers(spark, path) or [0])[-1] + 1
+    while True:
+        to = jvm.org.apache.hadoop.fs.Path(f"{path}/manifests/{number}.json")
+        try:
+            files.rename(fs.makeQualified(aside), fs.makeQualified(to), none)
+            return number
+        except Py4JJavaError:
+            if not fs.exists(to):
+                raise
+            number += 1
+
+
+def write(tables: dict[str, DataFrame], path: str, kind: str = "parquet", metrics: dict[str, Column] | None = None) -> dict[str, dict]:
+    """Writes the next version of a bundle: tables in their own folders, texts guarded, and last a manifest that lists them in order.
+
+    Readers see the version before it until the manifest is there, and all tables of the new one then; a write that fails leaves
+    nothing that is read, and can be done again. The result has each table's number of rows, and the metrics (aggregates of
+    those of its columns that it has); they are observed as the rows are written, without another pass, and kept in the manifest.
+    """
     spark = next(iter(tables.values())).sparkSession
+    folder, seen = uuid.uuid4().hex, {}
     for name, df in tables.items():
-        out = guarded(df).write.mode("overwrite")
+        watch = Observation()
+        out = guarded(df).observe(watch, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in (metrics or {}).items() if _fits(df, c)]).write
         if kind == "csv":
-            _csv(out, f"{path}/{name}.csv")
+            _csv(out, f"{path}/{folder}/{name}.csv")
         else:
-            out.format(kind).save(f"{path}/{name}.{kind}")
-    rows = [(i, name, kind) for i, name in enumerate(tables)]
-    spark.createDataFrame(rows, "ordinal int, name string, kind string").coalesce(1).write.mode("overwrite").json(f"{path}/manifest.json")
+            out.format(kind).save(f"{path}/{folder}/{name}.{kind}")
+        seen[name] = watch.get
+    listed = [{"name": n, "kind": kind, "path": f"{folder}/{n}.{kind}", "seen": {k: v if isinstance(v, (int, float, str, bool)) or v is None else str(v) for k, v in seen[n].items()}} for n in tables]
+    _publish(spark, path, {"folder": folder, "tables": listed})
+    return seen
+
+
+def _fits(df: DataFrame, metric: Column) -> bool:
+    """Whether a table has the columns that an aggregate needs."""
+    try:
+        return bool(df.limit(0).agg(metric).columns)
+    except AnalysisException:
+        return False
+
+
+def seen(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """name, metric and value (text) of what was observed when a version was written."""
+    rows = [(t["name"], k, None if v is None else str(v)) for t in _manifest(spark, path, number)["tables"] for k, v in t["seen"].items()]
+    return spark.createDataFrame(rows, "name string, metric string, value string")
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 2) -> None:
+    """Deletes the tables of all but the last `keep` versions, manifests first. Folders of writes that aren't finished stay."""
+    fs, _ = _fs(spark, path)
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for number in _numbers(spark, path)[: -keep or None]:
+        folder = _manifest(spark, path, number)["folder"]
+        fs.delete(new(f"{path}/manifests/{number}.json"), False)
+        fs.delete(new(f"{path}/{folder}"), True)
 
 
 def write_both(df: DataFrame, path: str, kinds: tuple[str, ...] = ("parquet", "csv")) -> None:
@@ -129,19 +212,17 @@ def append_log(df: DataFrame, path: str, fields: list[str]) -> None:
     _csv(df.select(*fields).write.mode("append"), path)
 
 
-def names(spark: SparkSession, path: str) -> list[tuple[str, str]]:
-    """Names and kinds of a bundle's tables, in order; of a workbook, its sheets."""
+def names(spark: SparkSession, path: str, number: int | None = None) -> list[tuple[str, str]]:
+    """Names and kinds of the tables of a bundle's version (the last unless given), in order; of a workbook, its sheets."""
     if path.lower().endswith(".xlsx"):
         return [(name, "xlsx") for name in workbook.names(spark, path)]
-    return [(r["name"], r["kind"]) for r in spark.read.json(f"{path}/manifest.json").orderBy("ordinal").collect()]
-
-
-def table(spark: SparkSession, path: str, name: str | None = None, skip: tuple[str, ...] = ("summary", "readme")) -> DataFrame:
-    """The named table, or (if there's none of that name) the first whose name has no word of skip, else the first."""
-    all_ = names(spark, path)
-    by_name = dict(all_)
-    if name not in by_name:
-        name = next((n for n, _ in all_ if not any(s in n.lower() for s in skip)), all_[0][0])
-    if by_name[name] == "xlsx":
-        return workbook.read(spark, path, name)
-    return read(spark, f"{path}/{name}.{by_name[name]}")
+    return [(t["name"], t["kind"]) for t in _manifest(spark, path, number)["tables"]]
+
+
+def table(spark: SparkSession, path: str, name: str | None = None, skip: tuple[str, ...] = ("summary", "readme"), number: int | None = None) -> DataFrame:
+    """The named table, or (if there's none of that name) the first whose name has no word of skip, else the first; of a version, the last unless given."""
+    book = path.lower().endswith(".xlsx")
+    listed = {n: None for n, _ in names(spark, path)} if book else {t["name"]: t["path"] for t in _manifest(spark, path, number)["tables"]}
+    if name not in listed:
+        name = next((n for n in listed if not any(s in n.lower() for s in skip)), next(iter(listed)))
+    return workbook.read(spark, path, name) if book else read(spark, f"{path}/{listed[name]}")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions import workers
 from ..operators import cascade, dedupe
 from ..sources import bundle
 
@@ -17,7 +21,7 @@ def load(spark: SparkSession, path: str, schema: T.StructType, key: str) -> Data
     """The store's last row of each key (by seq); lines that don't parse are skipped; an absent store is empty."""
     if not bundle.exists(spark, path):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).filter(F.col(key).isNotNull())
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path).filter(F.col(key).isNotNull())
     return dedupe.keep_last(rows, [key], "seq")
 
 
@@ -67,16 +71,71 @@ def run(spark: SparkSession, inputs: DataFrame, path: str, schema: T.StructType,
     return load(spark, path, schema, key)
 
 
-def stream(source: DataFrame, path: str, checkpoint: str, key: str, schema: T.StructType, work: Callable[[DataFrame], DataFrame]):
-    """The same over a streaming source: each micro-batch does and appends only keys that are new."""
+class _Firsts(StatefulProcessor):
+    """Of each key the first row (by ordinal) of the first micro-batch that has it; keys of the initial state have had theirs."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        s = batch.sparkSession
-        keys = T.StructType([schema[key], schema["seq"]])  # of the store's rows no more than this is read
-        todo = pending(batch, load(s, path, keys, key), key)
-        work(todo).select(*schema.names).write.mode("append").json(path)
+    def __init__(self, ordinal: str, schema: T.StructType, ttl_ms: int | None):
+        self.ordinal, self.schema, self.ttl_ms = ordinal, schema, ttl_ms
 
-    return source.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.done = handle.getValueState("done", "done boolean", self.ttl_ms) if self.ttl_ms else handle.getValueState("done", "done boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803  Spark's names
+        first = None
+        for part in rows:
+            own = part.sort_values(self.ordinal, na_position="last", kind="stable").iloc[:1]
+            first = own if first is None else pd.concat([first, own]).sort_values(self.ordinal, na_position="last", kind="stable").iloc[:1]
+        if first is not None and not self.done.exists():
+            self.done.update((True,))
+            yield first
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        self.done.update((True,))
+
+    def close(self) -> None:
+        pass
+
+
+_STORES = "spark.sql.streaming.stateStore.providerClass"
+
+
+def stream(source: DataFrame, path: str, checkpoint: str, key: str, schema: T.StructType, work: Callable[[DataFrame], DataFrame], ordinal: str = "ordinal", ttl_days: float | None = None):
+    """run() over a streaming source: does and appends the first row of each key that is new.
+
+    Which keys are done is keyed state of the query; the store is read once, when the query first starts, to set it up. So a
+    micro-batch's work doesn't depend on the store's size. A micro-batch writes to a folder of its own, named after query and
+    batch, and one that is run again after a failure writes it anew: no result is doubled. With ttl_days a key may be done again
+    when so much time has passed. Rows without a key are left out.
+    """
+    spark = source.sparkSession
+    workers.ship(spark)
+    keys = T.StructType([schema[key], schema["seq"]])  # of the store's rows no more than this is read
+    done = load(spark, path, keys, key).select(key).groupBy(key)
+    ttl_ms = None if ttl_days is None else int(ttl_days * 86_400_000)
+    new = source.filter(F.col(key).isNotNull()).groupBy(key).transformWithStateInPandas(
+        _Firsts(ordinal, source.schema, ttl_ms), source.schema, "Append", "ProcessingTime" if ttl_ms else "None", initialState=done)
+
+    def each(batch: DataFrame, number: int) -> None:
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        work(batch).select(*schema.names).write.mode("overwrite").json(f"{path}/stream-{query}-{number}")
+
+    before = spark.conf.get(_STORES, None)
+    spark.conf.set(_STORES, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return new.writeStream.option("checkpointLocation", checkpoint).foreachBatch(each).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_STORES, before) if before else spark.conf.unset(_STORES)
+
+
+def compact(spark: SparkSession, path: str, schema: T.StructType, key: str) -> None:
+    """Rewrites a store as the last row of each key. What is appended meanwhile stays; if it ends half way, load() gives the same rows."""
+    if not bundle.exists(spark, path):
+        return
+    fs, p = bundle._fs(spark, path)
+    old = [s.getPath() for s in fs.listStatus(p)]
+    load(spark, path, schema, key).write.json(f"{path}/compact-{uuid.uuid4().hex}")
+    for part in old:
+        fs.delete(part, True)
 
 
 def windowed_counts(events: DataFrame, ts: str, by: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
