@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import dedupe, labels, overlap
+from ..operators import brands, dedupe, labels, overlap
 from . import tables
 from .tables import LISTING, MASTER, PROVIDERS, mode_sql, read
 
@@ -210,6 +210,19 @@ def review_queue(spark, sf):
     return labels.review_queue(over)
 
 
+def provider_review(spark, sf):
+    """review_queue() whose single ones are one provider's."""
+    over = _summary(spark, sf).withColumn("broad_industry", F.when(F.col("broad_industry") == "MACHINERY", "Other / Unclassified").otherwise(F.col("broad_industry")))
+    return labels.review_queue(over, provider="Urgent")
+
+
+def labelled_summary(spark, sf):
+    """The summary of listings whose industries come from labels where there are some."""
+    long = _master(spark, sf)
+    lab = long.groupBy("entity_key").agg(F.min("ordinal").alias("ordinal")).withColumns({"final_broad": F.when(F.col("ordinal") % 3 == 0, "Labelled").otherwise(" "), "final_sub": F.when(F.col("ordinal") % 2 == 0, "Checked")})
+    return overlap.summary(labels.apply_labels(long, lab), PROVIDERS).select("entity_key", "provider_count", "broad_industry", "sub_industry")
+
+
 _NAV, _INTERNAL = ["1996customer000000005", "1997customer000000010"], {"URGENT": ["1996customer000000004"], "LOW": ["1995customer000000004"]}
 
 
@@ -228,6 +241,20 @@ def override_defaults(spark, sf):
     return o.select("o_orderkey", d.alias("d")).select("o_orderkey", "d.listing_status", "d.financial_data_available", "d.financial_data_level", "d.score", "d.confidence", "d.source_url", "d.source", "d.needs_review")
 
 
+def brand_industries(spark, sf):
+    """Brands' own industries for rows that bear their names, as they are written or as a search form."""
+    k = F.col("c_custkey")
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k % len(v) + 1).cast("int"))
+    name = F.when(k % 4 == 0, F.upper(F.lit(_BRANDS[0]))).when(k % 4 == 1, F.concat(F.lit(" "), F.lit(_BRANDS[1]), F.lit("!"))).otherwise(F.col("c_name"))
+    found = {"broad": pick(brands.BRANDS[_BRANDS[0]][0], "Home", "Other / Unclassified"), "sub": F.lit(brands.BRANDS[_BRANDS[0]][1]), "confidence": pick("high", "high", "high", "low", "medium"), "reason": F.when(k % 7 != 0, "why"), "needs_review": k % 11 == 0}
+    rows = read(spark, sf, "customer").select("c_custkey", name.alias("name"), *[c.alias(n) for n, c in found.items()])
+    x = brands.overridden({n: F.col(n) for n in found}, F.col("name"), F.lit(None).cast("string"))
+    return rows.select("c_custkey", x.alias("x")).select("c_custkey", "x.*")
+
+
+_BRANDS = list(brands.BRANDS)[:2]
+
+
 def brand_override(spark, sf):
     c = read(spark, sf, "customer").select(X.key_lower(F.col("c_name")).alias("entity_key"), F.col("c_mktsegment").alias("broad"), F.lit("General").alias("sub"), F.when(F.col("c_custkey") % 2 == 0, "high").otherwise("low").alias("confidence"))
     o = read(spark, sf, "customer").filter("c_acctbal < 0").select(X.key_lower(F.col("c_name")).alias("key"), F.lit("MACHINERY").alias("to_broad"), F.lit("General").alias("to_sub"))
@@ -315,6 +342,20 @@ UNION ALL SELECT o_custkey, o_orderpriority, max(o_orderkey), arg_max(o_ordersta
 SELECT m.entity_key, provider, ordinal, coalesce(b, broad) AS broad, CASE WHEN l.entity_key IS NULL THEN sub ELSE 'Checked' END AS sub, b IS NOT NULL AS labelled FROM master m LEFT JOIN l USING (entity_key)"""),
     "review_queue": (review_queue, "WITH " + SUMMARY + """, s AS (SELECT * FROM summary WHERE provider_count = 1 AND broad_industry = 'MACHINERY' ORDER BY canonical_name, entity_key LIMIT 500)
 SELECT entity_key, canonical_name, provider_count, 'overlap' AS reason FROM summary WHERE provider_count >= 2 UNION ALL SELECT entity_key, canonical_name, provider_count, 'single_unclassified' FROM s"""),
+    "provider_review": (provider_review, "WITH " + SUMMARY + """, s AS (SELECT * FROM summary WHERE provider_count = 1 AND broad_industry = 'MACHINERY' AND contains(lower(provider_set), 'urgent') ORDER BY canonical_name, entity_key LIMIT 500)
+SELECT entity_key, canonical_name, provider_count, 'overlap' AS reason FROM summary WHERE provider_count >= 2 UNION ALL SELECT entity_key, canonical_name, provider_count, 'single_unclassified' FROM s"""),
+    "labelled_summary": (labelled_summary, "WITH " + MASTER + f""", f AS (SELECT entity_key, min(ordinal) AS o FROM master GROUP BY 1
+), l AS (
+  SELECT entity_key, provider, CASE WHEN o % 3 = 0 THEN 'Labelled' ELSE broad END AS broad, CASE WHEN o % 2 = 0 THEN 'Checked' ELSE sub END AS sub FROM master JOIN f USING (entity_key)
+) SELECT * FROM (SELECT entity_key, count(DISTINCT provider) AS provider_count FROM l GROUP BY 1) JOIN (SELECT entity_key, m AS broad_industry FROM {mode_sql('broad', 'l')}) USING (entity_key) JOIN (SELECT entity_key, m AS sub_industry FROM {mode_sql('sub', 'l')}) USING (entity_key)"""),
+    "brand_industries": (brand_industries, f"""WITH r AS (
+  SELECT c_custkey, c_custkey % 4 AS q, (['{brands.BRANDS[_BRANDS[0]][0]}', 'Home', 'Other / Unclassified'])[c_custkey % 3 + 1] AS broad, '{brands.BRANDS[_BRANDS[0]][1]}' AS sub, (['high', 'high', 'high', 'low', 'medium'])[c_custkey % 5 + 1] AS confidence,
+         CASE WHEN c_custkey % 7 <> 0 THEN 'why' END AS reason, c_custkey % 11 = 0 AS needs_review FROM customer
+), b AS (
+  SELECT *, CASE q WHEN 0 THEN '{_BRANDS[0]}' WHEN 1 THEN '{_BRANDS[1]}' END AS k, CASE q WHEN 0 THEN '{brands.BRANDS[_BRANDS[0]][0]}' WHEN 1 THEN '{brands.BRANDS[_BRANDS[1]][0]}' END AS tb, CASE q WHEN 0 THEN '{brands.BRANDS[_BRANDS[0]][1]}' WHEN 1 THEN '{brands.BRANDS[_BRANDS[1]][1]}' END AS ts FROM r
+), u AS (SELECT *, q < 2 AND NOT (broad = tb AND sub = ts AND confidence = 'high' AND NOT needs_review) AS use FROM b)
+SELECT c_custkey, CASE WHEN use THEN tb ELSE broad END AS broad, CASE WHEN use THEN ts ELSE sub END AS sub, CASE WHEN use THEN 'high' ELSE confidence END AS confidence,
+  CASE WHEN use THEN 'exact brand ' || k || '; before: ' || broad || ' / ' || sub || ' / ' || confidence || '; ' || coalesce(reason, '') ELSE reason END AS reason, CASE WHEN use THEN false ELSE needs_review END AS needs_review FROM u"""),
     "exclusion_gates": (exclusion_gates, "WITH " + LISTING + """ SELECT ordinal, name, provider, CASE
   WHEN (provider = 'URGENT' AND k = '1996customer000000004') OR (provider = 'LOW' AND k = '1995customer000000004') OR (provider = 'HIGH' AND k LIKE '1996customer0000001%') THEN 'internal'
   WHEN k IN ('1996customer000000005', '1997customer000000010') THEN 'nav' ELSE '' END AS gate FROM (SELECT *, regexp_replace(lower(name), '[^a-z0-9]+', '', 'g') AS k FROM listing)"""),

@@ -241,7 +241,7 @@ SELECT * FROM a UNION ALL SELECT page_id % 40, page_id, 'b' FROM pages WHERE pag
 ), n AS (SELECT DISTINCT name FROM r)
 SELECT n.name, left(coalesce(t, ''), 10000) AS evidence FROM n LEFT JOIN (
   SELECT name, string_agg('TITLE: T ' || page_id || ' | SNIPPET: | URL:' || CASE WHEN href = '' THEN '' ELSE ' ' || href END, ' ' ORDER BY nth, rank) AS t FROM r WHERE rank <= 5 AND NOT contains(lower(regexp_extract(href, '^https?://([^/?#]*)', 1)), 'example.net') GROUP BY name) x ON x.name = n.name"""),
-    "extra_pages": (extra_pages, None),
+    "extra_pages": (extra_pages, "SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[\\s\\x{00A0}]+', ' ', 'g')) AS extra FROM pages"),
     "provider_listings": (provider_listings, """WITH a AS (
   SELECT p_partkey, p_partkey % 7 AS t, p_partkey % 5 AS h, CAST((p_partkey // 35) % 5 AS VARCHAR) AS n, CASE p_partkey % 7 WHEN 0 THEN 'Help' WHEN 1 THEN '12345' WHEN 2 THEN upper(p_name) WHEN 3 THEN 'x' WHEN 4 THEN 'me@x' ELSE p_name END AS name FROM part
 ), f AS (
