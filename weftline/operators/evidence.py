@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import ordered
 from ..functions import text as X
 from ..functions import workers
 from . import dedupe
@@ -323,15 +324,13 @@ def search_queries(name: Column, friendly: Column, country: Column, special: dic
 def evidence_bundle(asked: DataFrame, results: DataFrame, key: str, blocked: Sequence[str], cap: int = 10000, most: int = 5) -> DataFrame:
     """key and what the results (query, rank, title, body, href) of its queries (an array) say, in order of query and rank.
 
-    The first `most` results of a query count, but for those of blocked domains; a key has few queries, so few results are
-    gathered. The text is cut at cap characters; a key without results has the empty one.
+    The first `most` results of a query count, but for those of blocked domains. The text is cut at cap characters; a key without results has the empty one.
     """
     each = asked.select(key, F.posexplode("queries").alias("nth", "query")).join(results.filter(F.col("rank") <= most), "query", "left")
     href = X.clean(F.col("href"))
     said = X.clean(F.concat(F.lit("TITLE: "), X.clean(F.col("title")), F.lit(" | SNIPPET: "), X.clean(F.col("body")), F.lit(" | URL: "), href))
     each = each.withColumn("said", F.when(F.col("rank").isNotNull() & ~((href != "") & X.blocked_domain(href, blocked)), said))
-    got = each.groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("said").isNotNull(), F.struct("nth", "rank", "said")))).alias("x"))
-    return got.select(key, F.left(F.array_join(F.transform("x", lambda r: r["said"]), " "), F.lit(cap)).alias("evidence"))
+    return ordered.joined(each, key, ["nth", "rank"], F.col("said"), "evidence", " ", cap)
 
 
 def worth_reading(links: Column, most: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import ordered
 from ..functions import text as X
 from . import dedupe
 
@@ -31,8 +32,7 @@ def earliest(evidence: DataFrame, key: str) -> DataFrame:
 
 def notes(evidence: DataFrame, key: str, line: Column) -> DataFrame:
     """key and all its evidence lines by date and provider, joined."""
-    got = evidence.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("date", "provider", "ordinal", line.alias("line")))).alias("x"))
-    return got.select(key, F.array_join(F.transform("x", lambda r: r["line"]), " | ").alias("note"))
+    return ordered.joined(evidence, key, ["date", "provider", "ordinal"], line, "note", " | ")
 
 
 def core(rows: DataFrame, status: str) -> DataFrame:
