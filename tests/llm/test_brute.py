@@ -260,18 +260,55 @@ def test_markers_cannot_be_forged(spark):
     assert len(got) == 2
 
 
-def test_rotation_equals_its_sql_beyond_a_segment(spark):
+SEGMENTS_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), n AS (
+  SELECT *, (row_number() OVER (PARTITION BY conv_id, turn IS NULL ORDER BY turn, role, text) - 1) // 256 AS block FROM t
+), s AS (
+  SELECT *, CASE WHEN turn IS NULL THEN -1 - block ELSE block END AS segment FROM n
+), f AS (
+  SELECT *, sum(CASE WHEN role <> 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS others FROM s WHERE segment = 0
+), o AS (
+  SELECT conv_id, turn, role, text, segment, false AS own FROM f WHERE others = 0
+), a AS (
+  SELECT conv_id, turn, role, text, segment, 1 AS place, true AS own FROM s
+  UNION ALL SELECT o.conv_id, o.turn, o.role, o.text, x.segment, 0, false FROM o JOIN (SELECT DISTINCT conv_id, segment FROM s WHERE segment <> 0) x ON o.conv_id IS NOT DISTINCT FROM x.conv_id
+), w AS (
+  SELECT DISTINCT conv_id, role AS perspective FROM t WHERE role <> 'system'
+), x AS (
+  SELECT a.*, w.perspective, replace(text, '<|', '< |') || '<|end|>' AS body, CASE WHEN role = 'system' THEN '<|system|>' WHEN role = perspective THEN '<|assistant|>'
+    ELSE '<|user name=' || replace(replace(role, '<|', '< |'), '|>', '| >') || '|>' END || chr(10) AS head
+  FROM a JOIN w ON a.conv_id IS NOT DISTINCT FROM w.conv_id
+), y AS (
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, segment ORDER BY place, turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS p FROM x
+)
+SELECT conv_id, perspective, CAST(segment AS BIGINT) AS segment, count(*) FILTER (WHERE own) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY place, turn, role, text) AS rendered,
+       coalesce(string_agg(CAST(p AS BIGINT) || '-' || CAST(p + length(body) AS BIGINT), ',' ORDER BY p) FILTER (WHERE role = perspective), '') AS mask
+FROM y GROUP BY conv_id, perspective, segment
+"""
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_rotation_equals_its_sql_beyond_a_segment(spark, whole):
     import duckdb
     import pandas as pd
 
     rng = random.Random(5)
-    made = [(1, 0, "system", "S"), (1, 1, "system", "S2")] + [(1, 3 * i, rng.choice("abc"), f"t{i}") for i in range(1, 700)] + [(2, None, rng.choice("ab"), f"n{i}") for i in range(300)] + [(3, 0, "system", "only")] + [(4, i % 5, "a", "same") for i in range(600)] + [(None, i, "zz"[: 1 + i % 2], "<|end|>") for i in range(300)]
-    got = chat_format.rotate(spark.createDataFrame(made, "conv_id long, turn long, role string, text string"))
-    got = sorted(str((r["conv_id"], r["perspective"], r["segment"], r["n_turns"], r["rendered"], ",".join(f"{a}-{b}" for a, b in r["mask"]))) for r in got.collect())
+    made = [(1, 0, "system", "S"), (1, 1, "system", "S2")] + [(1, 3 * i, rng.choice("abc"), f"t{i}") for i in range(1, 1000)] + [(2, None, rng.choice("ab"), f"n{i}") for i in range(300)] + [(2, 1, "a", "after")]
+    made += [(3, 0, "system", "only")] + [(4, i % 5, "a", "same") for i in range(600)] + [(None, i, "zz"[: 1 + i % 2], "<|end|>") for i in range(300)] + [(5, 0, "a", None), (5, 0, None, "x" * 200_000), (5, 1, "|>", "é")]
+    clash = ", conv string, c string, o string, segment string, said string, lines string, parts string, range string"
+    df = spark.createDataFrame([(*m, *[None] * 8) for m in made], "conv_id long, turn long, role string, text string" + clash).repartition(5)
+    got = (chat_format.perspectives if whole else chat_format.rotate)(df)
+    names = [c for c in got.columns if c != "mask"]
+    got = sorted(str((*[r[c] for c in names], ",".join(f"{a}-{b}" for a, b in r["mask"]))) for r in got.collect())
     frame = pd.DataFrame(made, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
     con = duckdb.connect()
     con.register("conversations", frame)
-    assert got == sorted(map(str, con.execute("SELECT conv_id, perspective, segment, n_turns, rendered, mask FROM (" + chat_format.SQL + ")").fetchall()))
+    sql = chat_format.SQL if whole else SEGMENTS_SQL
+    assert got == sorted(map(str, con.execute(f"SELECT {', '.join(names)}, mask FROM ({sql})").fetchall()))
+    if whole:
+        assert sum("(1, 'a', 1001," in g for g in got) == 1 and len(got) == 3 + 2 + 1 + 2 + 3
 
 
 AWKWARD = [(None, "same text for all of them here"), (1, None), (1, None), (2, ""), (3, "same text for all of them here"), (3, "same text for all of them here"), (4, "same text for all of them here"), (5, "x" * 400_000), (6, "a b " * 50_000), (7, "\n" * 1000), (8, "漢" * 3000)]
