@@ -1,5 +1,7 @@
 """Landed records, page evidence, search, overrides, sinks and the whole taxonomy, on small fixtures."""
 
+import json
+import os
 import random
 import re
 
@@ -8,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import schema
 from weftline.functions import text as X
-from weftline.operators import dedupe, evidence, facts, labels, matching, panel, providers, records, taxonomy
+from weftline.operators import dedupe, entities, evidence, facts, labels, matching, panel, providers, records, taxonomy
 from weftline.sources import bundle
 from weftline.streaming import resume
 
@@ -196,3 +198,46 @@ def test_taxonomy_of_full_size(spark):
             if sum(p in f"{body} {nav}".lower()[:10000] for p in g.phrases) >= g.min_hits:
                 want[i, g.broad, g.sub] = want.get((i, g.broad, g.sub), 0) + g.delta
     assert got == want and len(want) > 500
+
+
+def test_sections_are_read_as_asked_and_as_they_land(spark, tmp_path):
+    folders = {}
+    for name in "abc":
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "1.json").write_text(f"{name}1\nsecond line")
+        folders[name] = str(tmp_path / name)
+    os.utime(tmp_path / "a" / "1.json", (0, 0))
+    assert sorted(r["text"] for r in bundle.sections(spark, folders).collect()) == ["a1\nsecond line", "b1\nsecond line", "c1\nsecond line"]
+    some = bundle.sections(spark, folders, {"a", "c"})
+    assert sorted(os.path.basename(os.path.dirname(f)) for f in some.inputFiles()) == ["a", "c"]
+    assert [r["section"] for r in bundle.sections(spark, folders, {"a", "b"}, max_age_days=1).collect()] == ["b"]
+    for want in (["b1", "c1"], ["b2"], []):
+        q = bundle.sections(spark, folders, {"b", "c"}, stream=True).select("section", "text").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+        seen = sorted(r["text"][:2] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        assert set(want) <= set(seen) and len(seen) == (2 if want == ["b1", "c1"] else 3)
+        (tmp_path / "b" / "2.json").write_text("b2")
+
+
+def test_entity_candidates(spark):
+    def entity(label, ticker=None, aliases=(), parents=(), exchanges=(), site=None):
+        claim = lambda *values: [{"mainsnak": {"datavalue": {"value": v}}} for v in values]
+        return {"labels": {"en": {"value": label}}, "aliases": {"en": [{"value": a} for a in aliases]}, "claims": {
+            "P249": claim(*([ticker] if ticker else [])), "P749": claim(*({"id": p} for p in parents)), "P414": claim(*({"id": x} for x in exchanges)), "P856": claim(*([site] if site else []))}}
+
+    known = {"Q1": entity("Oak Lamp", "OAK", exchanges=["Q8", "Q99", "Q9", "Q8"], site="https://www.oak.example/"), "Q2": entity("Something Else", None, ["Oak Lamp"], ["Q1", "Q5", "Q1"]), "Q3": entity("Far Away", "FAR"),
+             "Q5": entity("Parent", "PAR"), "Q8": entity("NYSE"), "Q9": entity("LSE"), "Q7": entity("Oak Lanp", "TYP")}
+    docs = spark.createDataFrame([(q, json.dumps({"entities": {q: e}})) for q, e in known.items()] + [("Q77", "{}")], "qid string, doc string")
+    found = records.entities(docs, "qid", "doc")
+    search = lambda *ids: json.dumps({"search": [{"id": i} for i in ids]})
+    rows = [(1, "Oak Lamp Inc", "", search("Q1", "", "Q2", "Q3")), (2, "Oak Lamp", "https://oak.example/x", search("Q7", "Q77", "Q1")), (3, "Nothing", "", search("Q3")), (4, None, "", None), (5, "x", "", "{broken")]
+    asked = spark.createDataFrame(rows, "k int, name string, url string, doc string")
+    hits = entities.search_hits(asked, "k", "doc")
+    assert sorted((r["k"], r["rank"], r["id"]) for r in hits.collect()) == [(1, 0, "Q1"), (1, 2, "Q2"), (2, 0, "Q7"), (2, 1, "Q77"), (2, 2, "Q1"), (3, 0, "Q3")]
+    got = entities.candidates(asked, hits, found, "k", "name", "url", "qid")
+    assert sorted(map(tuple, got.select("k", "id", "via", F.round("score").cast("int"), "method", "exchange").collect())) == [
+        (1, "Q1", "Q1", 100, "wikidata_direct_ticker", "NYSE; LSE"), (1, "Q1", "Q2", 100, "wikidata_public_parent", "NYSE; LSE"), (1, "Q5", "Q2", 100, "wikidata_public_parent", ""),
+        (2, "Q1", "Q1", 100, "wikidata_direct_ticker", "NYSE; LSE"), (2, "Q7", "Q7", 88, "wikidata_direct_ticker", "")]
+    assert sorted(map(tuple, entities.best_scores(got, "k").collect())) == [(1, 100.0, 100.0), (2, 100.0, None)]
+    assert sorted((r["k"], r["id"]) for r in entities.first_of(got, "k", [F.col("ticker")]).collect()) == [(1, "Q1"), (2, "Q1")]
+    assert entities.candidates(asked.limit(0), hits.limit(0), found, "k", "name", "url", "qid").count() == 0

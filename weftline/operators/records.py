@@ -130,7 +130,7 @@ def entity_matches(scored: DataFrame, found: DataFrame, key: str, id_col: str, u
     hits = scored.join(facts_, scored[id_col] == facts_["__id"]).withColumn("__own", X.domain(F.col(url)))
     more = (F.col("__own") != "") & F.array_contains("__sites", F.col("__own"))
     hits = hits.withColumn("score", F.least(F.lit(100.0), F.col("score") + F.when(more, 10.0).otherwise(0.0)))
-    one = hits.filter(F.col("ticker").isNotNull() & (F.col("score") >= direct)).select(key, F.col("__id").alias("id"), "score", F.lit("direct").alias("method"), "ticker", "name")
+    one = hits.filter(F.col("ticker").isNotNull() & (F.col("score") >= direct)).select(key, F.col("__id").alias("id"), "score", F.lit("wikidata_direct_ticker").alias("method"), "ticker", "name")
     up = hits.filter(F.col("score") >= parent).select(key, "score", F.explode(F.array_distinct("__up")).alias("id"))
-    two = up.join(facts_.filter("ticker is not null").select(F.col("__id").alias("id"), "ticker", "name"), "id").select(key, "id", "score", F.lit("parent").alias("method"), "ticker", "name")
+    two = up.join(facts_.filter("ticker is not null").select(F.col("__id").alias("id"), "ticker", "name"), "id").select(key, "id", "score", F.lit("wikidata_public_parent").alias("method"), "ticker", "name")
     return one.unionByName(two)

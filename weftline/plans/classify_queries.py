@@ -166,6 +166,22 @@ _NAMES = """n AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY p_name
 )"""
 
 
+#: Over ab (pairs a, b of texts): t, and ratio (a, b, ratio) by longest matching blocks, for texts of under 1000 letters.
+RATIO_SQL = """t AS (
+  SELECT a, b, a AS x, b AS y, CAST(0 AS BIGINT) AS size FROM ab
+  UNION ALL
+  SELECT a, b, p.x, p.y, p.size FROM (
+    SELECT a, b, unnest([{'x': substr(x, 1, i - 1), 'y': substr(y, 1, j - 1), 'size': k}, {'x': substr(x, i + k), 'y': substr(y, j + k), 'size': 0}]) AS p FROM (
+      SELECT *, strpos(y, substr(x, i, k)) AS j FROM (
+        SELECT *, 1000 * k - v AS i FROM (
+          SELECT *, (v + 999) // 1000 AS k FROM (
+            SELECT a, b, x, y, list_max(list_transform(list_filter(flatten([[1000 * n - m FOR m IN range(1, length(x) - n + 2)] FOR n IN range(1, length(x) + 1)]), lambda c: contains(y, substr(x, 1000 * ((c + 999) // 1000) - c, (c + 999) // 1000))), lambda c: c)) AS v
+            FROM t WHERE x <> '' AND y <> '') WHERE v IS NOT NULL))))
+), ratio AS (
+  SELECT a, b, 100 * (2.0 * sum(size) / (length(a) + length(b))) AS ratio FROM t GROUP BY a, b
+)"""
+
+
 def _native(spark, sf):
     p = _pairs(spark, sf).withColumns(matching.token_scores()).withColumn("score", F.greatest("set_score", "key_score"))
     return matching.top(p, "l_id", [F.col("r_id")])
@@ -313,19 +329,7 @@ FROM t JOIN h USING (page_id) JOIN l USING (page_id)"""),
          array_to_string(list_sort(l_tok), ' ') AS l_set, array_to_string(list_sort(r_tok), ' ') AS r_set FROM s JOIN l USING (l_id, l_key) JOIN r USING (r_id, r_key)
 ), ab AS (
   SELECT l_norm AS a, r_norm AS b FROM q UNION SELECT l_sorted, r_sorted FROM q UNION SELECT l_set, r_set FROM q
-), t AS (
-  SELECT a, b, a AS x, b AS y, CAST(0 AS BIGINT) AS size FROM ab
-  UNION ALL
-  SELECT a, b, p.x, p.y, p.size FROM (
-    SELECT a, b, unnest([{'x': substr(x, 1, i - 1), 'y': substr(y, 1, j - 1), 'size': k}, {'x': substr(x, i + k), 'y': substr(y, j + k), 'size': 0}]) AS p FROM (
-      SELECT *, strpos(y, substr(x, i, k)) AS j FROM (
-        SELECT *, 1000 * k - v AS i FROM (
-          SELECT *, (v + 999) // 1000 AS k FROM (
-            SELECT a, b, x, y, list_max(list_transform(list_filter(flatten([[1000 * n - m FOR m IN range(1, length(x) - n + 2)] FOR n IN range(1, length(x) + 1)]), lambda c: contains(y, substr(x, 1000 * ((c + 999) // 1000) - c, (c + 999) // 1000))), lambda c: c)) AS v
-            FROM t WHERE x <> '' AND y <> '') WHERE v IS NOT NULL))))
-), ratio AS (
-  SELECT a, b, 100 * (2.0 * sum(size) / (length(a) + length(b))) AS ratio FROM t GROUP BY a, b
-), z AS (
+), """ + RATIO_SQL + """, z AS (
   SELECT l_id, r_id, greatest(set_score, key_score, w.ratio, o.ratio, CASE WHEN shared > 0 THEN u.ratio ELSE 0 END) AS score, 'The ' || p_name || ' & Co' AS r_name
   FROM q JOIN n ON n.id = q.r_id JOIN ratio w ON w.a = l_norm AND w.b = r_norm JOIN ratio o ON o.a = l_sorted AND o.b = r_sorted JOIN ratio u ON u.a = l_set AND u.b = r_set
 ) SELECT l_id, r_id, round(score, 4) AS score, row_number() OVER (PARTITION BY l_id ORDER BY score DESC, length(r_name), r_name) AS place FROM z WHERE score >= 70 QUALIFY place <= 6"""),

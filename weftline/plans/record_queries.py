@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import evidence, facts, labels, matching, panel, providers, records
+from ..operators import entities, evidence, facts, labels, matching, panel, providers, records
 from ..streaming import resume
 from . import panel_queries
+from .classify_queries import RATIO_SQL
 from .tables import read
 
 
@@ -68,6 +69,19 @@ def entity_matches(spark, sf):
     return records.entity_matches(hits, _entities(spark, sf), "c_custkey", "qid", "url")
 
 
+def entity_candidates(spark, sf):
+    """Customers' names asked of the landed entities of suppliers: their own name, another's, one that only sounds like it."""
+    k = F.col("c_custkey")
+    number = lambda c: F.lpad(c.cast("string"), 9, "0")
+    name = F.when(k % 3 == 0, F.concat(F.lit("Supplier#"), number(k % 100 + 1))).when(k % 3 == 1, F.concat(F.lit("Supplier "), number((k * 7) % 100 + 1), F.lit(" Inc"))).otherwise(F.concat(F.lit("Suplier "), number(k % 100 + 1)))
+    url = F.when(k % 2 == 0, F.concat(F.lit("https://s"), (k % 100 + 1).cast("string"), F.lit(".example/x"))).otherwise("")
+    hit = lambda c: F.concat(F.lit('{"id": "Q'), c.cast("string"), F.lit('"}'))
+    doc = F.concat(F.lit('{"search": ['), F.concat_ws(", ", hit(k % 100 + 1), F.lit('{"id": ""}'), hit((k * 7) % 110 + 1), hit(F.lit(1))), F.lit("]}"))
+    asked = read(spark, sf, "customer").select("c_custkey", name.alias("asked"), url.alias("url"), doc.alias("doc"))
+    x = entities.candidates(asked, entities.search_hits(asked, "c_custkey", "doc"), _entities(spark, sf), "c_custkey", "asked", "url", "qid")
+    return x.withColumn("score", F.round("score", 4))
+
+
 def market_ranks(spark, sf):
     k = F.col("s_suppkey")
     exchange = F.element_at(F.array(*map(F.lit, [" NYSE", "London", "Toronto", "Frankfurt", "SET", "Elsewhere"])), (k % 6 + 1).cast("int"))
@@ -204,8 +218,21 @@ QUERIES = {
     "entity_matches": (entity_matches, "WITH " + _ENTITIES + """, h AS (
   SELECT c_custkey, e.*, least(100.0, 45 + (c_custkey * 37) % 60 + CASE WHEN c_custkey % 2 = 0 THEN 10 ELSE 0 END)::DOUBLE AS score FROM customer JOIN e ON e.k = c_custkey % 120
 ), u AS (SELECT DISTINCT c_custkey, score, unnest([p, o]) AS up FROM h WHERE score >= 70)
-SELECT c_custkey, qid AS id, score, 'direct' AS method, ticker, label AS name FROM h WHERE ticker IS NOT NULL AND score >= 75
-UNION ALL SELECT c_custkey, e.qid, u.score, 'parent', e.ticker, e.label FROM u JOIN e ON e.k = u.up WHERE e.ticker IS NOT NULL"""),
+SELECT c_custkey, qid AS id, score, 'wikidata_direct_ticker' AS method, ticker, label AS name FROM h WHERE ticker IS NOT NULL AND score >= 75
+UNION ALL SELECT c_custkey, e.qid, u.score, 'wikidata_public_parent', e.ticker, e.label FROM u JOIN e ON e.k = u.up WHERE e.ticker IS NOT NULL"""),
+    "entity_candidates": (entity_candidates, "WITH RECURSIVE " + _ENTITIES + """, h AS (
+  SELECT DISTINCT c_custkey, unnest([c_custkey % 100 + 1, (c_custkey * 7) % 110 + 1]) AS k FROM customer
+), p AS (
+  SELECT c_custkey, e.*, CASE WHEN c_custkey % 3 = 2 THEN 'suplier ' ELSE 'supplier ' END || lpad(CAST(CASE WHEN c_custkey % 3 = 1 THEN (c_custkey * 7) % 100 + 1 ELSE c_custkey % 100 + 1 END AS VARCHAR), 9, '0') AS a, replace(lower(trim(label)), '#', ' ') AS b,
+         CASE WHEN c_custkey % 2 = 0 AND c_custkey % 100 + 1 = e.k THEN 10 ELSE 0 END AS more FROM h JOIN customer USING (c_custkey) JOIN e USING (k)
+), ab AS (
+  SELECT DISTINCT a, b FROM p UNION SELECT DISTINCT array_to_string(list_sort(string_split(a, ' ')), ' '), array_to_string(list_sort(string_split(b, ' ')), ' ') FROM p
+), """ + RATIO_SQL + """, s AS (
+  SELECT p.*, least(100, more + greatest(x.ratio, y.ratio, CASE WHEN a = b THEN 100 WHEN left(a, 8) = left(b, 8) OR right(a, 9) = right(b, 9) THEN 50 ELSE 0 END)) AS score
+  FROM p JOIN ratio x USING (a, b) JOIN ratio y ON y.a = array_to_string(list_sort(string_split(p.a, ' ')), ' ') AND y.b = array_to_string(list_sort(string_split(p.b, ' ')), ' ')
+), u AS (SELECT DISTINCT c_custkey, qid AS via, score, unnest([p, o]) AS up FROM s WHERE score >= 70)
+SELECT c_custkey, qid AS id, qid AS via, round(score, 4) AS score, 'wikidata_direct_ticker' AS method, 'wikidata_entity' AS entity_type, label AS name, ticker, '' AS exchange FROM s WHERE ticker IS NOT NULL AND score >= 75
+UNION ALL SELECT c_custkey, e.qid, via, round(score, 4), 'wikidata_public_parent', 'public_parent', e.label, e.ticker, '' FROM u JOIN e ON e.k = u.up WHERE e.ticker IS NOT NULL"""),
     "market_ranks": (market_ranks, """WITH m AS (
   SELECT s_nationkey, s_suppkey, 70 + s_suppkey % 3 AS score, CASE s_suppkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 ELSE CASE WHEN s_suppkey % 2 = 0 THEN 5 ELSE 2 END END AS market, CASE WHEN s_suppkey % 2 = 0 THEN 'A.' || s_suppkey ELSE 'AB' END AS ticker, s_name FROM supplier
 ), r AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY score DESC, market, length(ticker), length(s_name), ticker, s_suppkey) AS place FROM m)

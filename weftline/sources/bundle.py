@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Collection
+from datetime import UTC, datetime, timedelta
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
@@ -63,22 +65,38 @@ def numbered(spark: SparkSession, path: str, ordinal: str = "ordinal") -> DataFr
     return df.coalesce(1).withColumn(ordinal, F.monotonically_increasing_id())
 
 
-def landed(spark: SparkSession, path: str, max_age_days: float | None = None, now: str | None = None) -> DataFrame:
-    """path, modified and text of the files below a path or glob; with an age only those written within it before now (a timestamp's text; else the present)."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+def _since(max_age_days: float, now: str | None) -> str:
+    """The moment that is so long before now, as readers take it."""
+    at = datetime.fromisoformat(now).replace(tzinfo=UTC) if now else datetime.now(UTC)
+    return (at - timedelta(days=max_age_days)).strftime("%Y-%m-%dT%H:%M:%S")
+
+
+def landed(spark: SparkSession, path: str, max_age_days: float | None = None, now: str | None = None, stream: bool = False) -> DataFrame:
+    """path, modified and text of the files below a path or glob; with an age only those written within it before now (a timestamp's text in UTC; else the present).
+
+    The age is applied as files are listed, to the second, so older ones aren't read. As a stream it gives each file once, as it lands.
+    """
+    reader = (spark.readStream if stream else spark.read).format("text").option("wholetext", True).option("recursiveFileLookup", True)
     if max_age_days is not None:
-        at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
-        df = df.filter(F.col("modificationTime") > at - F.make_dt_interval(F.lit(int(max_age_days)), F.lit(0), F.lit(0), F.lit((max_age_days % 1) * 86400)))
-    return df.select("path", F.col("modificationTime").alias("modified"), F.col("content").cast("string").alias("text"))
+        reader = reader.option("modifiedAfter", _since(max_age_days, now)).option("timeZone", "UTC")
+    if stream:
+        reader = reader.schema("value string")
+    df = reader.load(path)
+    return df.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("value").alias("text"))
+
 
+def sections(spark: SparkSession, paths: dict[str, str], wanted: Collection[str] | None = None, max_age_days: float | None = None, now: str | None = None, stream: bool = False) -> DataFrame:
+    """path, modified, text and section of the files of a source that comes in parts: section names to paths or globs, those without a file left out.
 
-def sections(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """path, modified, text and section of the files of a source that comes in parts: section names to paths or globs, those without a file left out."""
+    Of the sections only those in wanted are listed and read. As a stream, sections (folders, which must be there) give files as they land.
+    """
     out = None
     for name, path in paths.items():
+        if wanted is not None and name not in wanted:
+            continue
         fs, p = _fs(spark, path)
         if fs.globStatus(p):
-            part = landed(spark, path).withColumn("section", F.lit(name))
+            part = landed(spark, path, max_age_days, now, stream).withColumn("section", F.lit(name))
             out = part if out is None else out.unionByName(part)
     if out is None:
         raise FileNotFoundError(str(paths))
