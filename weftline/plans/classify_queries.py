@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import cascade, evidence, matching, providers, taxonomy
-from .tables import read
+from .tables import read, texts
 
 RULES = [("round", ["ring", "gear"]), ("red things", ["red"]), ("plates", ["plate", "late"])]
 PHRASES = ["the", "of the", "and", "à", "de la"]
@@ -25,25 +25,26 @@ def keyword_rules(spark, sf):
 
 
 def phrase_counts(spark, sf):
-    d = read(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
+    d = texts(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
     return d.select("doc_id", *[X.phrase_count(F.col("t"), p).alias(f"n{i}") for i, p in enumerate(["lamp", "the ", " of ", "de la", "en-"])])
 
 
 def taxonomy_scores(spark, sf):
-    return taxonomy.scores(read(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id", {"text": 2, "source": 1}, TERMS, RAILS)
+    return taxonomy.scores(texts(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id", {"text": 2, "source": 1}, TERMS, RAILS)
 
 
 def taxonomy_confidence(spark, sf):
-    d = taxonomy.entries(read(spark, sf, "documents").select("doc_id", "text", "source"), {"text": 2, "source": 1}, TERMS, RAILS)
+    d = taxonomy.entries(texts(spark, sf, "documents").select("doc_id", "text", "source"), {"text": 2, "source": 1}, TERMS, RAILS)
     return taxonomy.classify(d, "doc_id", F.col("doc_id") % 3 != 0, F.col("doc_id") % 2 == 0, F.col("doc_id") % 7 == 0)
 
 
 def _term_tables(spark, sf):
     """708 terms and 53 guardrails by rule from the corpus: its 600 commonest words, the first 108 as pairs with the next, rules over three words."""
-    words = read(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).filter(F.length("w") >= 2).groupBy("w").count()
+    words = texts(spark, sf, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("w")).filter(F.length("w") >= 2).groupBy("w").count()
     first = words.orderBy(F.desc("count"), "w").limit(600)
     rank = (F.row_number().over(W.orderBy(F.desc("count"), "w")) - 1).alias("rank")  # over 600 rows
     ranked = first.select("w", rank, F.lead("w").over(W.orderBy(F.desc("count"), "w")).alias("after"), F.lead("w", 2).over(W.orderBy(F.desc("count"), "w")).alias("last"))
+    ranked = spark.createDataFrame(ranked.collect(), ranked.schema)  # 600 rows, counted once
     k = F.col("rank")
     place = lambda n: (F.concat(F.lit("B"), (n % 9).cast("string")).alias("broad"), F.concat(F.lit("S"), (n % 27).cast("string")).alias("sub"))
     terms = ranked.select(k.alias("ordinal"), *place(k), F.col("w").alias("term")).unionByName(ranked.filter(k < 108).select((k + 600).alias("ordinal"), *place(k + 600), F.concat_ws(" ", "w", "after").alias("term")))
@@ -57,7 +58,7 @@ def _term_tables(spark, sf):
 def taxonomy_tables(spark, sf):
     """Scores of all documents under the terms and guardrails of _term_tables(), by one automaton."""
     terms, rules = _term_tables(spark, sf)
-    d = taxonomy.scanned(read(spark, sf, "documents").select("doc_id", "text", "source"), {"text": 2, "source": 1}, taxonomy.read_terms(terms), taxonomy.read_rules(rules))
+    d = taxonomy.scanned(texts(spark, sf, "documents").select("doc_id", "text", "source"), {"text": 2, "source": 1}, taxonomy.read_terms(terms), taxonomy.read_rules(rules))
     return d.select("doc_id", F.explode("entries").alias("e")).select("doc_id", "e.*")
 
 
@@ -98,7 +99,7 @@ def page_title(spark, sf):
 
 
 def _evidence(spark, sf):
-    return evidence.with_evidence(read(spark, sf, "pages"), out="e", blocked=providers.BLOCKED_DOMAINS)
+    return evidence.with_evidence(texts(spark, sf, "pages"), out="e", blocked=providers.BLOCKED_DOMAINS)
 
 
 def page_evidence(spark, sf):

@@ -12,6 +12,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of texts over at least as many partitions as there are cores: only one of fewer, which is small, is dealt anew."""
+    df, cores = read(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One sighting of an entity (a customer in one year) by a provider (an order priority) for each order.
 
