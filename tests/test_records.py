@@ -61,12 +61,12 @@ def test_listings_count_once(spark):
     rows = [(1, "Nike", "https://zip.co/us/store/nike"), (2, "NIKE", "https://zip.co/us/store/nike"), (3, "Nike", "https://zip.co/us/store/NIKE"), (4, "Ni ke", "https://zip.co/us/store/nike"), (5, "...", "https://zip.co/us/store/dots"), (6, "a", "https://zip.co/us/store/a"), (7, "Z", "https://zip.co/us/store/directory/z")]
     df = spark.createDataFrame(rows, "o int, text string, href string")
     kept = lambda rules, **more: sorted(r["o"] for r in evidence.first_seen(evidence.listings(df, rules), "o", rules["seen"], **more).collect())
-    assert kept(providers.E) == [1]
-    assert kept(providers.E | {"seen": ["low", "link"]}) == [1, 4, 5]
+    assert kept(providers.ZIP) == [1]
+    assert kept(providers.ZIP | {"seen": ["low", "link"]}) == [1, 4, 5]
     card = spark.createDataFrame([(1, "Nike\nSports\nKlarna at checkout", "https://x"), (2, "Show more", "https://www.klarna.com/us/store/")], "o int, text string, href string")
-    assert [r["name"] for r in evidence.listings(card, providers.B).collect()] == ["Nike"]
+    assert [r["name"] for r in evidence.listings(card, providers.KLARNA).collect()] == ["Nike"]
     region = spark.createDataFrame([(1, "Australia", "https://www.afterpay.com/en-us/stores/au"), (2, "Oak", "https://www.afterpay.com/en-us/stores/a/b"), (3, "Oak", "https://www.afterpay.com/en-us/stores/oak")], "o int, text string, href string")
-    assert [r["o"] for r in evidence.listings(region, providers.C).collect()] == [3]
+    assert [r["o"] for r in evidence.listings(region, providers.AFTERPAY).collect()] == [3]
 
 
 def test_official_site_prefers_the_name(spark):

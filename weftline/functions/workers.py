@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,7 +21,9 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     top = Path(__file__).resolve().parents[1]
-    to = os.path.join(os.path.realpath(tempfile.mkdtemp()), f"{top.name}.zip")
+    folder = os.path.realpath(tempfile.mkdtemp())
+    atexit.register(shutil.rmtree, folder, True)
+    to = os.path.join(folder, f"{top.name}.zip")
     with zipfile.ZipFile(to, "w") as z:
         for f in sorted(top.rglob("*.py")):
             z.write(f, f.relative_to(top.parent))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 # What each provider's pages hold besides listings, and where its listings are.
-A = {
+AFFIRM = {
     "blocked": [
         "affirm", "shop", "help", "help center", "log in", "sign in", "sign up", "get started", "for shoppers", "for businesses", "business", "developers", "careers", "investors",
         "press", "security", "privacy", "terms", "licenses", "accessibility", "your privacy choices", "download the app", "check my purchasing power", "learn more", "see all", "load more",
@@ -12,7 +12,7 @@ A = {
     "blocked_parts": ["/help", "/business", "/careers", "/investors", "/press", "/licenses", "/terms", "/privacy", "support.apple.com", "fdic.gov"],
     "seen": ["low"],
 }
-B = {
+KLARNA = {
     "blocked": [
         "klarna", "help", "about us", "careers", "privacy", "terms", "legal", "press", "security", "sign in", "for business", "for shoppers", "customer service", "business login",
         "developer portal", "all categories", "united states", "show more",
@@ -23,7 +23,7 @@ B = {
     "path": "/us/store/",
     "seen": ["low", "link"],
 }
-C = {
+AFTERPAY = {
     "blocked": [
         "stores", "retailer pages", "help", "guide", "afterpay access", "retailer resources", "how afterpay works", "all categories", "for retailers", "get the app", "login", "sign up",
         "account login", "privacy", "terms", "contact", "careers", "security", "licenses", "mobile app", "investors", "media", "about us", "partner program", "responsible spending",
@@ -35,7 +35,7 @@ C = {
     "last": "stores",
     "seen": ["low", "link"],
 }
-D = {
+CLEARPAY = {
     "blocked": [
         "get the app", "how it works", "get the facts", "invite a friend", "help", "login", "sign up", "all categories", "most popular", "on sale", "new", "support small", "shop in-store",
         "support", "account login", "security", "contact us", "hardship", "single use payments", "gift cards", "clearpay card", "clearpay app", "google play", "app store", "resources",
@@ -55,7 +55,7 @@ D = {
     "shut": ["/en-GB/stores/retailer-pages"],
     "seen": ["key"],
 }
-E = {
+ZIP = {
     "blocked": [
         "customers", "business", "for business", "how it works", "shop stores", "shop categories", "insights", "help", "products", "affiliate", "resource", "pricing",
         "change region from united states", "sign in", "sign up", "open mobile navigation", "customer sign in", "become a zip merchant", "merchant sign in", "merchant resources",
@@ -81,3 +81,6 @@ BLOCKED_DOMAINS = [
     "crunchbase.", "retailmenot.", "coupon", "shop.app", "linktr.ee", "linktree", "amazon.com", "ebay.com",
 ]
 PROVIDER_DOMAINS = ["affirm.com", "klarna.com", "afterpay.com", "clearpay.co.uk", "zip.co"]
+
+#: The rules of each provider by its name; a caller may pass others of the same form.
+RULES = {"affirm": AFFIRM, "klarna": KLARNA, "afterpay": AFTERPAY, "clearpay": CLEARPAY, "zip": ZIP}

@@ -25,6 +25,7 @@ LEGAL = [
     "inc", "incorporated", "corp", "corporation", "co", "company", "companies", "ltd", "limited", "llc", "com", "plc", "holdings", "holding", "sa", "ag", "nv", "se", "spa", "ab", "oyj", "kk", "pte",
     "gmbh", "sarl", "bv", "asa", "as",
 ]
+# Words of names that tell no company from another.
 GENERIC = ["shop", "store", "official", "online", "usa", "us", "uk", "the", "and", "of", "for"]
 # Properties of an entity.
 TICKER, EXCHANGE, PARENT, OWNER, SITE = "P249", "P414", "P749", "P127", "P856"

@@ -193,8 +193,7 @@ def provider_listings(spark, sf):
     to = F.element_at(F.array(*map(F.lit, ["https://www.klarna.com/us/store/", "https://www.afterpay.com/en-us/stores/", "https://www.clearpay.co.uk/en-GB/stores/", "https://zip.co/us/store/", "https://zip.co/us/store/directory/"])), (k % 5 + 1).cast("int"))
     anchors = read(spark, sf, "part").select("p_partkey", text.alias("text"), F.concat(to, n, F.lit("?a=1")).alias("href"))
     out = None
-    for provider in "ABCDE":
-        rules = getattr(providers, provider)
+    for provider, rules in zip("ABCDE", providers.RULES.values(), strict=True):
         part = evidence.first_seen(evidence.listings(anchors, rules), "p_partkey", rules["seen"]).select(F.lit(provider).alias("provider"), "p_partkey", "name")
         out = part if out is None else out.unionByName(part)
     return out
