@@ -87,7 +87,7 @@ def twfe_balanced(spark, sf):
     rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy(k.alias("entity"), F.year("o_orderdate").alias("period")).agg(F.avg("o_totalprice").alias("price"))
     rows = rows.withColumn("post", (F.col("period") >= 1994 + F.col("entity") % 4).cast("int"))
     r = regress.twfe(rows, ["price"], "entity", "period", "post")
-    return r.select("outcome", "nobs", "n_firms", *[F.round(x, 4).alias(x) for x in ("coef_post", "se_cluster", "t_stat")], "status")
+    return r.select("outcome", "nobs", "n_firms", *[F.round(x, 4).alias(x) for x in ("coef_post", "se_cluster", "t_stat", "p_value")], "status")
 
 
 def twfe_counts(spark, sf):
@@ -187,7 +187,10 @@ QUERIES = {
   SELECT sum(x * x) AS meat FROM (SELECT e, sum(p * (y - b * p)) AS x FROM d, b GROUP BY e)
 ), v AS (
   SELECT *, sqrt(meat / (pp * pp) * g / (g - 1) * (n - 1) / (n - (g + s))) AS se FROM b, m
-) SELECT 'price' AS outcome, n AS nobs, g AS n_firms, round(b, 4) AS coef_post, round(se, 4) AS se_cluster, round(b / se, 4) AS t_stat, 'ok' AS status FROM v"""),
+), z AS (
+  SELECT *, b / se AS t, b * b / (2 * se * se) AS z2 FROM v
+) SELECT 'price' AS outcome, n AS nobs, g AS n_firms, round(b, 4) AS coef_post, round(se, 4) AS se_cluster, round(t, 4) AS t_stat,
+  round(1 - 2 * sqrt(z2 / pi()) * list_sum([CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * exp(k * ln(z2) - lgamma(k + 1)) / (2 * k + 1) FOR k IN range(0, 90)]), 4) AS p_value, 'ok' AS status FROM z"""),
     "twfe_counts": (twfe_counts, "WITH " + _panel_sql(_QUARTER) + ", " + _EVENTS + """, w AS (
   SELECT p.* FROM panel p JOIN events_ USING (entity) WHERE period - event_index BETWEEN -40 AND 40
 ), o AS (
