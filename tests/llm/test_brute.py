@@ -427,4 +427,4 @@ def test_very_long_texts_in_pieces_are_the_same(monkeypatch, spark):
 
 
 def test_every_query_is_registered():
-    assert [n.split("_")[0] for n in sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in sorted(registry.queries(), key=lambda n: int(n[2:].split("_")[0]))] == [f"op{k}" for k in range(1, 14)]
