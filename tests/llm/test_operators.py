@@ -1,6 +1,8 @@
 """Each operator against a plain version of its contract, on texts that hold the awkward cases."""
 
+import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -433,3 +435,39 @@ def test_written_tables_are_shared(spark):
     x = common.written(spark.range(3).toDF("n"), "t")
     assert x.count() == 3 and x.written_to.startswith(common.shared_dir(spark))
     common.unwrite(x)
+
+
+def test_toxicity_word_evidence(spark):
+    said = ["the worthless idiot met a committee in disgust at the trash", "worthless committee coffee trash", "all is well"] * 200
+    docs = spark.createDataFrame([*enumerate(said), (9000, "worthless Worthless"), (9001, None), (9002, "idioté id1ot")], "doc_id long, text string")
+    lm = toxicity.language(docs)
+    plain = collections.Counter(w for t in [*said, "worthless worthless", "idioté id1ot"] for w in re.findall(r"[a-zé]+", t))
+    assert lm.total == sum(plain.values())
+    assert {w: lm.count(w) for w in plain} == {w: n if n >= toxicity.LEAST else 0 for w, n in plain.items()} and lm.count("worthles") == 0
+    read = toxicity.Restorer(lm)
+    for w in ("worthless", "committee", "coffee", "all", "well"):
+        assert read(w).strip() == w
+    for hidden, want in [("w0rthless", "worthless"), ("worthlessss", "worthless"), ("idiiot", "idiot"), ("1d10t", "idiot"), ("c0ffee", "coffee"), ("tr@@sh", "trash")]:
+        assert read(hidden).strip() == want, hidden
+    assert read("worthless committee in disgust") == " worthless   committee  in disgust"
+    long = "worthless coffee " * 400_000
+    raw = np.frombuffer(long.encode(), np.uint8)
+    keys, ns = toxicity.added(list(toxicity.word_blocks(raw, np.array([0, len(raw)]))))
+    assert dict(zip(keys.tolist(), ns.tolist(), strict=True)) == {toxicity.word_key("worthless"): 400_000, toxicity.word_key("coffee"): 400_000}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_toxicity_finds_what_was_planted(spark):
+    """Of the labelled toxic texts that hold a word which mostly toxic texts hold, at least 0.95 are found; of the others at most 0.01 are called toxic."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    rows_ = docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect()
+    bags = {r["doc_id"]: set(re.findall(r"[a-z]+", (r["text"] or "").lower())) for r in rows_}
+    in_toxic = collections.Counter(w for r in rows_ if r["toxic"] for w in bags[r["doc_id"]])
+    in_clean = collections.Counter(w for r in rows_ if not r["toxic"] for w in bags[r["doc_id"]])
+    told = {w for w, n in in_toxic.items() if n >= 4 and in_clean[w] == 0 and len(w) >= 4}
+    toxic = [r["doc_id"] for r in rows_ if r["toxic"] and bags[r["doc_id"]] & told]
+    clean = [r["doc_id"] for r in rows_ if not r["toxic"]]
+    assert len(toxic) >= 15 and sum(got[i] for i in toxic) >= 0.95 * len(toxic)
+    assert sum(got[i] for i in clean) <= 0.01 * len(clean)

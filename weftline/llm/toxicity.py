@@ -3,8 +3,8 @@
 The channel is a character lattice: each written sign can stand for itself, for the letters it imitates, for nothing (a
 separator between spaced letters), or for one more copy of the letter before it. Viterbi search finds the reading that is
 likeliest under a character 4-gram model, whose counts are taken over the whole corpus by a distributed sum into a table of
-fixed size. Only places that look written through the channel are decoded; all other words read as they are. Chunks of a word
-are put together where the model finds the joined word far likelier than the two chunks.
+fixed size. Of letters written twice the counts of whole words decide, as far as the corpus has them often; known words stand. Only places that look written through the channel are decoded; all other words read as they are. Chunks of a word
+are put together where the model finds the joined word far likelier than the two chunks, unless these are known words and the joined one isn't.
 
 The scorer is a logistic regression over word and word-start features, learned from a bounded sample of labels.
 """
@@ -53,45 +53,133 @@ def gram_counts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.bincount(((s[:-3] * SYMBOLS + s[1:-2]) * SYMBOLS + s[2:-1]) * SYMBOLS + s[3:], minlength=SYMBOLS**4)
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: A word is known if it is one in so many of the corpus, or commoner, and there three times: no more than so many words are.
+MOST_WORDS, LEAST = 500_000, 3
+
+
+def word_key(word: str) -> int:
+    """The key that word_counts() gives a word in lower case."""
+    h = 0
+    for b in reversed(word.encode()):
+        h = (h * int(quality._R) + b + 1) & 0xFFFFFFFFFFFFFFFF
+    return h - (h >> 63 << 64)
+
+
+def word_counts(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and counts of the words of some texts: runs of letters, a byte above ASCII among them, A-Z in lower case."""
+    letter = _SYMBOL[raw] != 0
+    first, last = letter.copy(), letter.copy()
+    first[1:] &= ~letter[:-1]
+    last[:-1] &= ~letter[1:]
+    heads = starts[(starts > 0) & (starts < len(raw))]
+    first[heads], last[heads - 1] = letter[heads], letter[heads - 1]
+    begin, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    up, down = quality.powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((_LOWER[raw].astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
+    return np.unique(((total[stop] - total[begin]) * down[begin]).view(np.int64), return_counts=True)
+
+
+def word_blocks(raw: np.ndarray, starts: np.ndarray):
+    """word_counts() of a block; of one very long text in pieces."""
+    if len(starts) == 2 and len(raw) > common.PIECE:
+        for first, end, _ in common.word_pieces(raw, lambda x: np.concatenate([[True], (_SYMBOL[x[1:]] != 0) & (_SYMBOL[x[:-1]] == 0)]), 0):
+            yield word_counts(raw[first:end], np.array([0, end - first]))
+    else:
+        yield word_counts(raw, starts)
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts by key, added up."""
+    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
+
+
 @dataclass
 class Language:
-    """Character 4-gram log-probabilities with interpolated lower orders."""
+    """Character 4-gram log-probabilities with interpolated lower orders, and the counts of the known words by key."""
 
     table: np.ndarray
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    total: int = 0
 
     @staticmethod
-    def of(counts: np.ndarray, weight: float = 4.0) -> Language:
+    def of(counts: np.ndarray, weight: float = 4.0, keys: np.ndarray | None = None, held: np.ndarray | None = None, total: int = 0) -> Language:
         c4 = counts.reshape((SYMBOLS,) * 4).astype(np.float64)
         p = np.full(SYMBOLS, 1 / SYMBOLS)
         for order in (1, 2, 3, 4):
             c = c4.sum(axis=tuple(range(4 - order)))
             p = (c + weight * p) / (c.sum(axis=-1, keepdims=True) + weight)
-        return Language(np.log(p).astype(np.float32).ravel())
+        table = np.log(p).astype(np.float32).ravel()
+        if keys is None:
+            return Language(table)
+        order = np.argsort(keys)
+        return Language(table, keys[order], held[order], total)
+
+    def __post_init__(self):
+        self.rest = 1 + self.total - int(self.counts.sum())
+
+    def count(self, word: str) -> int:
+        """How often the corpus has a word, if that is known; 0 if not."""
+        key = word_key(word)
+        at = int(np.searchsorted(self.keys, key))
+        return int(self.counts[at]) if at < len(self.keys) and self.keys[at] == key else 0
+
+    def evidence(self, word: str, score: float) -> float:
+        """The log-probability of a word whose letters have the log-probability score: what is left of the known words is shared out by letters."""
+        n = self.count(word)
+        return (math.log(n + self.rest * math.exp(score)) if n else math.log(self.rest) + score) - math.log(self.total + 1)
 
 
 def language(docs: DataFrame, text_col: str = "text") -> Language:
-    """The model of all texts of docs: one sum of counts a task, added up by 4-gram (at most SYMBOLS to the 4th rows)."""
+    """The model of all texts of docs: sums of counts a task, added up by 4-gram (at most SYMBOLS to the 4th rows) and by word.
+
+    The words stay in a table; the model holds those that are known, at most MOST_WORDS.
+    """
+
+    def emit(words, keys, ns):
+        for k in range(0, len(keys), 50000):
+            part = keys[k : k + 50000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), words)), pa.array(part.astype(np.int64)), pa.array(ns[k : k + 50000])], ["word", "key", "n"])
 
     def run(batches):
         total = np.zeros(SYMBOLS**4, np.int64)
+        parts, size = [], 0
         for batch in batches:
             for _, _, raw, starts in common.byte_blocks(common.binary_texts(batch, "text")):
                 total += gram_counts(raw, starts)
+                for keys, ns in word_blocks(raw, starts):
+                    parts.append((keys, ns))
+                    size += len(keys)
+                    if size > 500_000:
+                        parts = [added(parts)]
+                        size = len(parts[0][0])
+                        if size > 250_000:
+                            yield from emit(True, *parts.pop())
+                            size = 0
+        if parts:
+            yield from emit(True, *added(parts))
         seen = np.flatnonzero(total)
-        for k in range(0, len(seen), 50000):
-            yield pa.RecordBatch.from_arrays([pa.array(seen[k : k + 50000], pa.int32()), pa.array(total[seen[k : k + 50000]])], ["gram", "n"])
-
-    rows = common.arrow_map(docs.select(F.col(text_col).alias("text")), run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    got = rows.toArrow()
+        yield from emit(False, seen, total[seen])
+
+    rows = common.arrow_map(docs.select(F.col(text_col).alias("text")), run, "word boolean, key long, n long").groupBy("word", "key").agg(F.sum("n").alias("n"))
+    rows = common.written(rows, "letters-and-words")
+    said = rows.filter("word").agg(F.sum("n")).first()[0] or 0
+    got = rows.filter(~F.col("word") | (F.col("n") >= max(LEAST, -(-said // MOST_WORDS)))).toArrow()
+    common.unwrite(rows)
+    word, key, n = (got.column(c).to_numpy() for c in ("word", "key", "n"))
     counts = np.zeros(SYMBOLS**4, np.int64)
-    counts[got.column("gram").to_numpy()] = got.column("n").to_numpy()
-    return Language.of(counts)
+    counts[key[~word]] = n[~word]
+    return Language.of(counts, keys=key[word], held=n[word], total=int(said))
 
 
-PAIR = 3.0
+PAIR, MORE = 3.0, 0.5  # what a letter's first further copy costs, and each copy after it
 
 
-def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merge: float = 0.5, odd: float = 1.5, pair: float = PAIR) -> str:
+def decode(written: str, lm: Language, swap: float = 0.7, cut: float = 0.2, merge: float = MORE, odd: float = 1.5, pair: float = PAIR) -> str:
     """The likeliest reading of a written place in lower case: words of letters with single spaces between.
 
     Between single letters, the commonest run of separators is taken for a filler and any other for the end of a word, unless
@@ -143,7 +231,7 @@ def plain_score(word: str, table: memoryview) -> float:
     """The score that decode() gives a word that is read as it is written."""
     score, context = 0.0, 0
     for c in word:
-        at = context * SYMBOLS + ord(c) - 96
+        at = context * SYMBOLS + (ord(c) - 96 if "a" <= c <= "z" else 27)
         score += table[at]
         context = at % SYMBOLS**3
     return score + table[context * SYMBOLS]
@@ -156,6 +244,7 @@ _BEFORE = re.compile(r"[\w@$!|+(]")
 _SPACED = re.compile(r"(?<![\w@$!|])[a-z0-9@$!|](?:[ .\-_*]{1,2}[a-z0-9@$!|]){2,}(?![\w@$|])")
 _NOISE = re.compile(r"([@$!|+(&%*#])\1{2,}|!!+")
 _WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"([^ .\-_*])\1+")
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _SIGN = np.zeros(256, bool)
@@ -170,6 +259,9 @@ _LOUD = np.zeros(256, bool)
 _LOUD[[ord(c) for c in "@$!|+(&%*#"]] = True
 #: Characters of the longest place whose reading is kept for the next time.
 REMEMBERED = 200
+#: Bytes of the longest chunk that is looked up among the known words.
+LONGEST = 64
+_LAST, _NEXT = re.compile(rb"[a-z\x80-\xff]+\Z"), re.compile(rb"[a-z\x80-\xff]+")
 JOIN, JOIN_SIGN = 6.0, 2.0  # how much likelier a joined word must be than its chunks, as a logarithm: across a blank, and across a sign
 
 
@@ -229,11 +321,27 @@ class Restorer:
         return self.known[written]
 
     def read_once(self, written: str) -> str:
-        """decode(); a plain word with one doubled letter has two readings only, which are compared outright."""
+        """decode(), with the known words' evidence on letters that are written twice.
+
+        A plain word with one doubled letter has two readings only, which are compared outright. In any other reading a letter
+        that was written more than once is doubled where that gives a known word that is likelier.
+        """
         if (k := doubled(written)) < 0:
-            return decode(written, self.lm)
+            read = decode(written, self.lm)
+            runs = [m.group() for m in _RUN.finditer(written)] if self.lm.total else []
+            return " ".join(self.redoubled(w, runs) for w in read.split()) if runs else read
         short = written[:k] + written[k + 1 :]
-        return short if plain_score(short, self.table) - PAIR > plain_score(written, self.table) else written
+        return short if self.value(short) - PAIR > self.value(written) else written
+
+    def value(self, word: str) -> float:
+        return self.lm.evidence(word, plain_score(word, self.table))
+
+    def redoubled(self, word: str, runs: list[str]) -> str:
+        """The likelier of a word and the known words that it is with a letter doubled that one of the runs may stand for."""
+        saved = {c: PAIR if len(r) == 2 else MORE for r in runs for c in (r[0] if r[0].isalpha() else LEET.get(r[0], ""))}
+        more = {word[:k] + c + word[k:]: saved[c] for k, c in enumerate(word) if c in saved}
+        known = [(self.value(w) + gain, w) for w, gain in more.items() if self.lm.count(w)]
+        return max([(self.value(word), word), *known])[1]
 
     def __call__(self, text: str) -> str:
         """text, lower-cased, with the decoded readings in the places they belong to."""
@@ -251,11 +359,25 @@ class Restorer:
             out.append(" " + self.read(t[first:end]) + " ")
         return self.joined("".join([*out, t[end:]]) if out else t)
 
+    def unknown(self, raw: np.ndarray, at: np.ndarray, end: np.ndarray, gain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places without those between two known words that aren't a known word together."""
+        if not self.lm.total:
+            return at, end, gain
+        text, keep = raw.tobytes(), np.ones(len(at), bool)
+        for k, (a, b) in enumerate(zip(at.tolist(), end.tolist(), strict=True)):
+            left, right = _LAST.search(text, max(0, a - LONGEST), a), _NEXT.match(text, b + 1)
+            if left and right and right.end() - b <= LONGEST:
+                one, two = left.group().decode("utf-8", "replace"), right.group().decode("utf-8", "replace")
+                keep[k] = not (self.lm.count(one) and self.lm.count(two)) or self.lm.count(one + two) > 0
+        return at[keep], end[keep], gain[keep]
+
     def joined(self, text: str) -> str:
         """text with the chunks of words put together, the likeliest of neighbours first, until no two read as one word."""
         raw = np.frombuffer(text.encode(), np.uint8)
         while len((found := chunk_ends(raw, self.lm))[0]):
-            at, end, gain = found
+            at, end, gain = self.unknown(raw, *found)
+            if not len(at):
+                break
             near = at[1:] - end[:-1] <= 32
             first = np.ones(len(at), bool)
             first[1:] &= ~near | (gain[1:] >= gain[:-1])
