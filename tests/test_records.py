@@ -154,6 +154,33 @@ def test_sinks_and_landed_files(spark, tmp_path):
     assert [(r["ordinal"], r["merchant_name"]) for r in bundle.numbered(spark, str(tmp_path / "o.csv")).collect()] == [(0, "Oak"), (1, "Oak")]
 
 
+@pytest.mark.parametrize(("multi_line", "most"), [(True, 100_000), (False, 100_000), (False, 2)])
+def test_rows_are_numbered_where_they_are_read(spark, tmp_path, monkeypatch, multi_line, most):
+    monkeypatch.setattr(bundle, "MOST_BLOCKS", most)
+    want = []
+    for name in ("c", "a", "d", "b"):
+        said = [f"{name}{k}" for k in range({"a": 0, "b": 5, "c": 3000, "d": 1200}[name])]
+        text = [f'"{x},\nmore ""of"" it"' if multi_line else f'"{x}, ""so"""' for x in said]
+        (tmp_path / f"{name}.csv").write_text("\ufeff name ,n\n" + "".join(f"{t},{k}\n" for k, t in enumerate(text)))
+        want.append((name, [(f'{x},\nmore "of" it' if multi_line else f'{x}, "so"', str(k)) for k, x in enumerate(said)]))
+    rows = [r for _, part in sorted(want) for r in part]
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+        df = bundle.numbered(spark, str(tmp_path / "*.csv"), multi_line=multi_line)
+        assert df.columns == ["name", "n", "ordinal"]
+        got = sorted((r["ordinal"], r["name"], r["n"]) for r in df.collect())
+        parts = df.select(F.spark_partition_id()).distinct().count()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert got == [(i, *r) for i, r in enumerate(rows)]
+    assert multi_line or parts > 1
+    with pytest.raises(ValueError):
+        bundle.numbered(spark, str(tmp_path / "*.csv"), "n")
+
+
 def test_runs_forced_and_written_back(spark, tmp_path):
     from pyspark.sql import types as T
 

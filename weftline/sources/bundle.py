@@ -9,7 +9,7 @@ from datetime import UTC, datetime, timedelta
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -59,10 +59,32 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
 
 
-def numbered(spark: SparkSession, path: str, ordinal: str = "ordinal") -> DataFrame:
-    """A csv file's rows, all text, with their place in it: read in one piece, as such files are written by hand."""
-    df = read(spark, path)
-    return df.coalesce(1).withColumn(ordinal, F.monotonically_increasing_id())
+#: How many blocks of files numbered() counts in the driver, a row each.
+MOST_BLOCKS = 100_000
+
+
+def numbered(spark: SparkSession, path: str, ordinal: str = "ordinal", multi_line: bool = True) -> DataFrame:
+    """Rows of csv files, all text, with their place: files by path, and rows as they stand in them, counted from 0 through all files.
+
+    Blocks of files are counted in one pass, when this is called, and numbered in another, each where it is read; no row is
+    shuffled up to MOST_BLOCKS blocks, and beyond them rows meet their block's count by a shuffled join. A file is one block, as
+    a quoted text may hold line ends; with multi_line off none does, and long files are split. Files must not change between
+    the passes; without rows the result is empty.
+    """
+    df = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"').csv(path)
+    names = [c.lstrip("\ufeff").strip() for c in df.columns]
+    if ordinal in names:
+        raise ValueError(f"there is a column {ordinal}")
+    block = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")]
+    spot = F.monotonically_increasing_id().alias("__spot")  # a task reads a block's rows one after another
+    blocks = df.select(*block, spot).groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__spot").alias("__first"))
+    before = F.sum("__n").over(Window.orderBy("__file", "__block")) - F.col("__n")
+    shift = blocks.select("__file", "__block", (before - F.col("__first")).alias("__shift"))
+    few = shift.limit(MOST_BLOCKS + 1).collect()
+    if len(few) <= MOST_BLOCKS:
+        shift = F.broadcast(spark.createDataFrame(few, shift.schema))
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(df.columns, names, strict=True)], *block, spot)
+    return rows.join(shift, ["__file", "__block"]).select(*[f"`{n}`" for n in names], (F.col("__spot") + F.col("__shift")).alias(ordinal))
 
 
 def _since(max_age_days: float, now: str | None) -> str:
