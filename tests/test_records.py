@@ -80,6 +80,9 @@ def test_queries_and_reading_on(spark):
     df = spark.createDataFrame([("BigOak", "United States")], "n string, c string")
     q = df.select(evidence.search_queries(F.col("n"), X.friendly_name(F.col("n")), F.col("c"), {"bigoak": ["more"]}).alias("q")).first()["q"]
     assert q[0] == '"BigOak" official website store US' and q[5] == '"Big Oak" official website store US' and q[-1] == "more" and len(q) == 11
+    known = spark.createDataFrame([("L.L.Bean",), ("The Pro's Closet Inc",), ("Hanna Andersson",), ("B&H Photo",), ("Oak",), (None,)], "n string")
+    own = [r["q"] for r in known.select(F.filter(evidence.search_queries(F.col("n"), F.col("n"), F.lit("")), lambda x: F.array_contains(F.array(*[F.lit(v) for vs in evidence.SPECIAL.values() for v in vs]), x)).alias("q")).collect()]
+    assert own == [['"L.L.Bean" outdoor clothing outdoor gear boots'], ['"The Pro\'s Closet" used bikes cycling marketplace'], evidence.SPECIAL["hannaandersson"], [], [], []]
     links = spark.createDataFrame([(["https://a/Login", "https://a/shop", "https://a/x?help", "https://a/c"],)], "l array<string>")
     assert links.select(evidence.worth_reading(F.col("l"), 2).alias("l")).first()["l"] == ["https://a/shop", "https://a/x?help"]
 

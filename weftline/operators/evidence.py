@@ -311,8 +311,41 @@ def with_fallback(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 QUERIES = ('"{}" official website store', '"{}" products', '"{}" product categories', '"{}" what does it sell', '"{}" retailer brand products')
 
 
+# The queries that some names' keys (key_plain) have of their own.
+SPECIAL = {
+    "hannaandersson": ['"Hanna Andersson" kids pajamas children clothing baby toddler', '"Hanna Andersson" childrens clothing pajamas official'],
+    "bhphoto": ['"B&H Photo" cameras video audio computers electronics'],
+    "farfetch": ['"Farfetch" luxury fashion designer clothing shoes accessories'],
+    "bestbuy": ['"Best Buy" consumer electronics computers appliances cameras'],
+    "lelabofragrances": ['"Le Labo" fragrances perfume cologne candles'],
+    "lyft": ['"Lyft" rideshare ride hailing transportation app'],
+    "nespresso": ['"Nespresso" coffee capsules espresso machines'],
+    "officedepot": ['"Office Depot" office supplies printer ink business supplies'],
+    "ouraring": ['"Oura Ring" smart ring sleep tracking wearable health tech'],
+    "popsockets": ['"PopSockets" phone grip phone stand mobile accessories'],
+    "shutterfly": ['"Shutterfly" photo books photo printing personalized gifts'],
+    "sixflags": ['"Six Flags" theme park amusement park tickets season pass'],
+    "surlatable": ['"Sur La Table" cookware kitchenware kitchen tools'],
+    "tpsgaragellc": ['"TPS Garage" automotive parts performance parts garage'],
+    "theprosclosetinc": ['"The Pro\'s Closet" used bikes cycling marketplace'],
+    "williamsomona": ['"Williams Sonoma" cookware kitchenware home goods'],
+    "williamssonoma": ['"Williams Sonoma" cookware kitchenware home goods'],
+    "zara": ['"Zara" fashion apparel clothing official store'],
+    "doordash": ['"DoorDash" food delivery restaurant delivery order food'],
+    "tmobile": ['"T-Mobile" wireless carrier phone plans mobile network'],
+    "llbean": ['"L.L.Bean" outdoor clothing outdoor gear boots'],
+    "rei": ['"REI" outdoor gear camping hiking cycling apparel'],
+    "patagonia": ['"Patagonia" outdoor clothing gear jackets'],
+    "newbalancerunning": ['"New Balance" running shoes athletic footwear apparel'],
+    "roomstogoinc": ['"Rooms To Go" furniture store sofas bedroom furniture'],
+    "skiptomaincontent": ['"Skip to main content" navigation link'],
+    "moreinformationaboutourcookiepolicy": ['"cookie policy" website privacy informational page'],
+}
+
+
 def search_queries(name: Column, friendly: Column, country: Column, special: dict[str, list[str]] | None = None) -> Column:
-    """The queries about a name and, if it reads otherwise, its friendly form; then those that a few keys (key_plain) have of their own."""
+    """The queries about a name and, if it reads otherwise, its friendly form; then those that a few keys (key_plain) have of their own: SPECIAL unless given."""
+    special = SPECIAL if special is None else special
     names = X.unique_items(X.filled(name, friendly))
     asked = F.flatten(F.transform(names, lambda n: F.array(*[F.concat(F.lit(a), n, F.lit(b), *([X.country_hint(country)] if k == 0 else [])) for k, (a, b) in enumerate(q.split("{}") for q in QUERIES)])))
     if not special:
