@@ -121,7 +121,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def bounded_sample(df: DataFrame, key: str, cap: int, stratum: str | None = None, max_strata: int = 1000) -> DataFrame:
-    """About cap rows (a stratum), chosen by a hash of key, so that every run and any order of rows gives the same ones."""
+    """About cap rows (a stratum), chosen by a hash of key, so that every run and any order of rows gives the same ones.
+
+    Where keys repeat so often that the chosen ones have over 1.25 times cap rows, a limit keeps the sample bounded, and which of
+    them stay is then up to the run.
+    """
     spread = F.pmod(F.xxhash64(F.lit(17), F.col(key).cast("string")), F.lit(1_000_000))
     if stratum is None:
         total = max(1, df.count())
