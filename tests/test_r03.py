@@ -3,6 +3,7 @@
 import duckdb
 
 import __spark_entry__ as e
+from weftline.operators import evidence
 
 
 def against_sql(spark, name, folder, **tables):
@@ -20,3 +21,16 @@ def test_a_number_in_two_names_makes_no_ticker_pair(spark, tmp_path):
     got, want = against_sql(
         spark, "ticker_pairs", tmp_path, supplier=([(k,) for k in range(1, 31)], "s_suppkey long"), customer=([(k,) for k in range(1, 131)], "c_custkey long"))
     assert got == want and (3, 103) in got and (11, 11) not in got
+
+
+def test_a_reference_without_its_semicolon_stays_as_it_is(spark, tmp_path):
+    html = '<title>A&amp;&amp;B &quot;C&quot; und&amp</title><h1>A&ampersand; &copy &am</h1><ul><li><a href="/x?a=1&copy=2&amp;b=3">Li&ampnk &quot</a></li></ul>'
+    got, want = against_sql(spark, "page_evidence", tmp_path, pages=([(1, "https://h.example.com/p", html), (2, "https://h.example.com/p", "<title>&amp</title>")], "page_id long, url string, html string"))
+    assert got == want and got[0][1] == 'A&&B "C" und&amp'
+
+
+def test_references_in_parsed_pages():
+    html = "<title>a&amp b&eacute;&#233;&#xe9; &noSuch;</title><script type='application/ld+json'>{\"name\": \"R&amp D\"}</script><a href='/shop?x&amp=1'>&ltx</a>"
+    got = evidence.parse(html, "https://h.x/", closed=True)
+    assert (got["title"], got["schema_text"], got["anchors"]) == ("a&amp bééé &noSuch;", "R&amp D", [{"text": "&ltx", "href": "https://h.x/shop?x&amp=1"}])
+    assert evidence.parse("<title>a&amp</title>", "")["title"] == "a&"

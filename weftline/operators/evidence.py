@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
+from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
@@ -74,8 +76,9 @@ DESCRIPTIONS = (("name", "description"), ("property", "og:description"), ("name"
 class _Page(HTMLParser):
     """Texts by element; an element left open is closed by the next of its kind or by the end."""
 
-    def __init__(self):
+    def __init__(self, mark: str = ""):
         super().__init__(convert_charrefs=True)
+        self.mark = mark  # stands for an & that begins no reference
         self.title, self.body, self.headings, self.anchors, self.schema = [], [], [], [], []
         self.meta: dict[tuple[str, str], str] = {}
         self.inside: str | None = None
@@ -84,7 +87,7 @@ class _Page(HTMLParser):
         self.open_items: list[list[str] | None] = []  # None: a list within an item
 
     def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
+        a = {k: self._plain(v or "") for k, v in attrs}
         if tag == "script" and "application/ld+json" in a.get("type", "").lower():
             self.ld = []
         if tag in _SILENT:
@@ -140,7 +143,11 @@ class _Page(HTMLParser):
             self.headings.append(_joined(self.head))
             self.head = None
 
+    def _plain(self, text: str) -> str:
+        return text.replace(self.mark, "&") if self.mark else text
+
     def handle_data(self, data):
+        data = self._plain(data)
         if self.ld is not None:
             self.ld.append(data)
         if self.silent:
@@ -163,15 +170,30 @@ class _Page(HTMLParser):
         self._close_head()
 
 
-def parse(html: str | None, url: str | None, blocked: Sequence[str] = ()) -> dict:
+#: An & with the reference that it begins, if that is closed by a semicolon; the commonest ones are passed over.
+_REFERENCE = re.compile("&(?!amp;|quot;|lt;|gt;)(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)?")
+
+
+def _marked(html: str) -> tuple[str, str]:
+    """html with a sign that it lacks for each & that begins no closed reference, and that sign."""
+    mark = next((c for c in map(chr, range(0xE000, 0xF900)) if c not in html), "")
+    sign = lambda m: m[0] if (m[1] or "").startswith("#") or m[1] in html5 else mark + (m[1] or "")
+    return (_REFERENCE.sub(sign, html) if mark else html), mark
+
+
+def parse(html: str | None, url: str | None, blocked: Sequence[str] = (), closed: bool = False) -> dict:
     """The evidence of one page; malformed input gives what could be read, and error names what went wrong.
 
+    Character references are resolved as HTML has it, those of old names without a semicolon too; with closed, only those that a
+    semicolon ends, and `&amp` stays as it is.
+
     Internal links are those of the page's own domain to a path of CATEGORY; external ones those to another domain that has no
     part of blocked. Both are distinct and in order; anchors without a href, or with one that is no URL, don't count.
     """
-    p, error = _Page(), ""
+    text, mark = _marked(html or "") if closed else (html or "", "")
+    p, error = _Page(mark), ""
     try:
-        p.feed(html or "")
+        p.feed(text)
         p.done()
     except Exception as e:  # noqa: BLE001  one bad page must not end the job: it becomes a row with an error
         error = type(e).__name__
@@ -205,20 +227,20 @@ def parse(html: str | None, url: str | None, blocked: Sequence[str] = ()) -> dic
     }
 
 
-def page_evidence(blocked: Sequence[str] = ()):
+def page_evidence(blocked: Sequence[str] = (), closed: bool = False):
     """The UDF of (html, url) that gives a PAGE."""
 
     @F.pandas_udf(PAGE)
     def of(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(h, u, blocked) for h, u in zip(html, url, strict=True)], columns=PAGE.names)
+        return pd.DataFrame([parse(h, u, blocked, closed) for h, u in zip(html, url, strict=True)], columns=PAGE.names)
 
     return of
 
 
-def with_evidence(pages: DataFrame, html: str = "html", url: str = "url", out: str = "evidence", blocked: Sequence[str] = ()) -> DataFrame:
+def with_evidence(pages: DataFrame, html: str = "html", url: str = "url", out: str = "evidence", blocked: Sequence[str] = (), closed: bool = False) -> DataFrame:
     """pages with a PAGE struct."""
     workers.ship(pages.sparkSession)
-    return pages.withColumn(out, page_evidence(blocked)(html, url))
+    return pages.withColumn(out, page_evidence(blocked, closed)(html, url))
 
 
 def readable(pages: DataFrame, status: str = "status", kind: str = "content_type", html: str = "html") -> DataFrame:
