@@ -1,8 +1,12 @@
 """Queries against their SQL on small tables made for one fault each."""
 
+import random
+
 import duckdb
+import numpy as np
 
 import __spark_entry__ as e
+from weftline.llm import common, jaccard_join
 from weftline.operators import evidence
 
 
@@ -34,3 +38,36 @@ def test_references_in_parsed_pages():
     got = evidence.parse(html, "https://h.x/", closed=True)
     assert (got["title"], got["schema_text"], got["anchors"]) == ("a&amp bééé &noSuch;", "R&amp D", [{"text": "&ltx", "href": "https://h.x/shop?x&amp=1"}])
     assert evidence.parse("<title>a&amp</title>", "")["title"] == "a&"
+
+
+def test_large_regions_make_no_loose_component_of_unlike_texts(spark, monkeypatch):
+    rng = random.Random(3)
+    words = lambda n: " ".join(str(rng.randrange(10**9)) for _ in range(n))
+    common_ = "this line is at the head of every text that is here"
+    texts = [f"{common_} {words(n)}" for n in [8] * 60 + [9] * 30 + [20, 40] * 20]
+    texts += [t + " end" for t in texts[:10]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    least = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if 100 * len(plain[a] & plain[b]) >= 75 * len(plain[a] | plain[b]):
+                least[b] = min(least[b], least[a])
+    for small, block in ((128, 1024), (2, 1024), (2, 7)):
+        monkeypatch.setattr(jaccard_join, "SMALL", small)
+        monkeypatch.setattr(jaccard_join, "BLOCK", block)
+        got = dict(jaccard_join.jaccard_components(docs).select("doc_id", "component_id").collect())
+        assert [got[k] for k in range(len(texts))] == least
+    loose = jaccard_join.loose_components(jaccard_join.signatures(docs, "doc_id", "text"))
+    assert loose.groupBy("label").count().agg({"count": "max"}).first()[0] < 60
+
+
+def test_texts_far_from_all_pivots_make_one_region(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    own = [np.sort(rng.integers(0, 1 << 62, 40).astype(np.uint64)) for _ in range(300)]
+    monkeypatch.setattr(jaccard_join, "MOST_SHINGLES", 2000)
+    rows, written = [], common.written
+    monkeypatch.setattr(common, "written", lambda df, name: (out := written(df, name), rows.append((name, out.count())))[0])
+    big = spark.createDataFrame([(1, k, bytearray(x.tobytes())) for k, x in enumerate(own)], "label long, node long, shingles binary")
+    assert jaccard_join._divide(big).count() == 0
+    assert dict(rows)["cells"] <= 2 * len(own)

@@ -7,12 +7,13 @@ Links are pairs of documents whose sets of word shingles are within Jaccard dist
    further apart than EPS. Shingles that many documents share come last in the order, so that they make no regions unless
    a set has little else. A screen drops the shingles that only one set has before anything is dealt out.
 2. Regions with the same members count once. In each region a histogram of each set bounds what two sets can share, which
-   rejects, exactly, nearly all pairs that only share a passage. What is left makes loose components.
+   rejects, exactly, nearly all pairs that only share a passage; large regions are dealt by the sets' sizes and in blocks for
+   that. What is left makes loose components.
 3. Each loose component is joined exactly: documents are taken as pivots, each is compared with all members and linked with
    those within EPS, until every pair that isn't connected yet has had one of the two as pivot. A component of over
    MOST_SHINGLES is divided first: pivots create Voronoi regions, a document goes to its nearest pivot's region and, by the
-   triangle inequality, to every region whose pivot is at most 2 EPS further; regions that are still too large are joined in
-   blocks.
+   triangle inequality, to every region whose pivot is at most 2 EPS further; what is far from all pivots makes one region of
+   its own. Regions that are still too large are joined in blocks.
 
 Sets are told apart by 64-bit ids, which a second id of each set verifies; if two unlike sets ever share one, all ids are made
 anew from another seed. Shingles are compared by 64-bit hashes.
@@ -34,8 +35,8 @@ from .components import components
 WORDS = 5
 #: Links have 100 * intersection >= PER_CENT * union.
 PER_CENT = 75
-#: Bits of the screens (8 MB and 1 MB), documents from which a shingle comes last, members up to which a region's pairs are bounded one by one.
-SCREEN_BITS, ORDER_BITS, COMMON, SMALL = 26, 23, 64, 128
+#: Bits of the screens (8 MB and 1 MB), documents from which a shingle comes last, members from which a region is dealt by size, members of a block then.
+SCREEN_BITS, ORDER_BITS, COMMON, SMALL, BLOCK = 26, 23, 64, 128, 1024
 MOST_SHINGLES, PIVOTS = 2_000_000, 8
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -134,8 +135,8 @@ def set_id(own: np.ndarray, seed: int = 0) -> int:
 
 
 def histogram_size(n: int) -> int:
-    """Buckets: a fourth to an eighth of n, which tells sets of unlike texts apart and is a small share of a set's bytes."""
-    return 1 << max(5, min(14, int(n).bit_length() - 3))
+    """Buckets: a half to a fourth of n, from 1024 on a fourth to an eighth, which tells sets of unlike texts apart and is a small share of a set's bytes."""
+    return 1 << max(5, min(14, int(n).bit_length() - (2 if n < 1024 else 3)))
 
 
 def histogram(own: np.ndarray) -> bytes:
@@ -227,22 +228,42 @@ class Forest:
         return np.array([self.find(k) for k in range(len(self.up))])
 
 
+def fitting(hists: list[np.ndarray], n: np.ndarray, forest: Forest) -> None:
+    """Joins the members (in order of n) that the histograms can't tell apart; those joined already aren't compared."""
+    last = np.searchsorted(n, 100 * n // PER_CENT, "right")
+    wide: dict[int, tuple[int, np.ndarray]] = {}  # of a number of buckets, the first member that has it, and all members' histograms
+    sizes = np.array([len(x) for x in hists])
+    for size in np.unique(sizes):
+        own = np.flatnonzero(sizes == size)
+        wide[int(size)] = int(own[0]), np.stack([hists[k] for k in own])
+    folded = {size // 2: (first, h.reshape(len(h), 2, -1).sum(axis=1)) for size, (first, h) in wide.items()}
+    labels = np.arange(len(n))
+    for i in range(len(n) - 1):
+        js = np.arange(i + 1, last[i])
+        js = js[labels[js] != labels[i]]
+        own = hists[i].astype(np.int32)
+        for table, part in ((wide, js[sizes[js] == len(own)]), (folded, js[sizes[js] == 2 * len(own)])):
+            step = max(1, (1 << 20) // len(own))
+            for k in range(0, len(part), step):
+                some = part[k : k + step]
+                first, h = table[len(own)]
+                both = np.minimum(h[some - first], own).sum(axis=1)
+                for j in some[both >= need(n[some], n[i])]:
+                    if labels[j] != labels[i]:
+                        forest.join(i, int(j))
+                        labels[(labels == labels[i]) | (labels == labels[j])] = min(labels[i], labels[j])
+
+
 def loose_links(batches):
-    """Of each region, links of each node with the first of its loose component: what the histograms can't tell apart."""
+    """Of each group of a region's members, links of each node with the first of its loose component: what the histograms can't tell apart."""
     for_out: tuple[list, list] = ([], [])
     for _, group in common.whole_groups(batches, "h"):
         n = group.column("n").to_numpy()
         order = np.argsort(n, kind="stable")
         n, nodes = n[order], group.column("node").to_numpy()[order]
         data = group.column("histogram").to_pylist()
-        hist = [read_histogram(data[k], int(m)) for k, m in zip(order, n, strict=True)]
         forest = Forest(len(n))
-        for i in range(len(n) - 1):
-            for j in range(i + 1, int(np.searchsorted(n, 100 * n[i] // PER_CENT, "right"))):
-                if forest.find(i) != forest.find(j):
-                    other = hist[j] if len(hist[j]) == len(hist[i]) else hist[j].reshape(-1, len(hist[i])).sum(axis=0)
-                    if int(np.minimum(hist[i], other).sum()) >= need(n[i], n[j]):
-                        forest.join(i, j)
+        fitting([read_histogram(data[k], int(m)) for k, m in zip(order, n, strict=True)], n, forest)
         for k, top in enumerate(forest.labels()):
             if top != k:
                 for_out[0].append(nodes[top])
@@ -253,21 +274,40 @@ def loose_links(batches):
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in for_out], ["a", "b"])
 
 
+def _large_groups(rows: DataFrame, large: DataFrame, shapes: DataFrame) -> DataFrame:
+    """h (a group), node, n and histogram of the groups in which the members of large regions (h) are compared.
+
+    Sets of sizes that a link allows lie in one layer of sizes or in the layers beside, so a member is compared with its own
+    layer and the one below. A layer of over BLOCK members is dealt in blocks, a group for each two of them: only histograms
+    are repeated for that.
+    """
+    members = rows.join(large.select("h"), "h").join(shapes.select("node", "n"), "node")
+    layer = F.floor(F.log(F.col("n").cast("double")) / float(np.log(1.005 * 100 / PER_CENT)))
+    members = members.select("h", "node", F.explode(F.array(layer, layer + 1)).alias("layer"))
+    sizes = members.groupBy("h", "layer").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    own = F.pmod(F.xxhash64(F.lit(9), "node"), F.col("blocks"))
+    dealt = members.join(sizes, ["h", "layer"]).select("h", "layer", "node", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    group = F.xxhash64("h", "layer", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.select(group.alias("h"), "node").join(shapes, "node").select("h", "node", "n", "histogram")
+
+
 def loose_components(sigs: DataFrame) -> DataFrame:
     """node and label of the nodes that may have links."""
-    spark = sigs.sparkSession
     rows = sigs.filter("size(window) > 0").select("node", F.explode("window").alias("h")).groupBy("h", "node").agg(F.lit(1).alias("one")).drop("one")
     rows = common.written(rows, "regions")
-    regions = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least"), F.max("node").alias("most"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
+    regions = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor("node").alias("all"))  # ids are hashes: their xor tells member sets apart, and packs well where there is one
     regions = common.written(regions.filter("m > 1"), "sizes")
-    same = regions.filter(F.col("m") <= SMALL).groupBy("m", "least", "most", "sum").agg(F.min("h").alias("h")).select("h")
+    same = common.written(regions.groupBy("m", "least", "most", "all").agg(F.min("h").alias("h")).select("h", "m"), "same")
+    common.unwrite(regions)
+    large = common.written(same.filter(F.col("m") > SMALL).select("h"), "large")
     shapes = sigs.filter("histogram is not null").select("node", "n", "histogram").dropDuplicates(["node"])
-    members = rows.join(same, "h").join(shapes, "node").select("h", "node", "n", "histogram")
-    small = common.arrow_map(members.repartition("h").sortWithinPartitions("h"), loose_links, "a long, b long")
-    large = rows.join(regions.filter(F.col("m") > SMALL).select("h", "least"), "h").filter("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
-    links = common.written(small.unionByName(large).distinct(), "loose")
+    members = rows.join(same.filter(F.col("m") <= SMALL).select("h"), "h").join(shapes, "node").select("h", "node", "n", "histogram")
+    found = []  # one after the other, so that the shuffle files of one are gone before the next
+    for groups in (members, _large_groups(rows, large, shapes)):
+        links = common.arrow_map(groups.repartition("h").sortWithinPartitions("h"), loose_links, "a long, b long")
+        found.append(common.written(links.distinct(), "loose"))
     common.unwrite(rows)
-    common.unwrite(regions)
+    links = found[0].unionByName(found[1])
     return components(links)
 
 
@@ -345,6 +385,7 @@ def _divide(big: DataFrame) -> DataFrame:
     pivots = pivots.groupBy("label").agg(F.slice(F.array_sort(F.collect_list("pivot")), 1, 4 * PIVOTS).alias("pivots"))
     near = T.StructType([T.StructField(x, T.LongType()) for x in ("label", "node", "cell", "pivot")])
     eps = 1 - PER_CENT / 100
+    far = 1 - 2 * eps  # a set that is further from all pivots would lie in every region: such ones make one region, with those that are within EPS of being such
 
     def place(batches):
         for batch in batches:
@@ -357,8 +398,10 @@ def _divide(big: DataFrame) -> DataFrame:
                     both = len(np.intersect1d(s, q, assume_unique=True))
                     d.append(1 - both / (len(s) + len(q) - both))
                     linked.append(both >= need(len(s), len(q)))
-                least = min(d, default=0.0)
-                out += [(label, node, k, own[k]["node"] if linked[k] else None) for k in range(len(d)) if d[k] <= least + 2 * eps + 1e-9] or [(label, node, 0, None)]
+                least = min(d, default=1.0)
+                out += [(label, node, k, own[k]["node"] if linked[k] else None) for k in range(len(d)) if least <= far and d[k] <= least + 2 * eps + 1e-9]
+                if least > far - eps - 1e-9:
+                    out.append((label, node, -1, None))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], near.names)
 
     placed = rows.select("label", "node", "shingles").join(pivots, "label", "left")
