@@ -1,9 +1,11 @@
 """Queries against their SQL on small tables made for one fault each."""
 
 import random
+import weakref
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 import __spark_entry__ as e
 from weftline.llm import common, jaccard_join
@@ -71,3 +73,21 @@ def test_texts_far_from_all_pivots_make_one_region(spark, monkeypatch):
     big = spark.createDataFrame([(1, k, bytearray(x.tobytes())) for k, x in enumerate(own)], "label long, node long, shingles binary")
     assert jaccard_join._divide(big).count() == 0
     assert dict(rows)["cells"] <= 2 * len(own)
+
+
+def test_few_parsed_pages_are_python_objects_at_a_time(monkeypatch):
+    alive, most, parse = weakref.WeakSet(), [0], evidence.parse
+
+    class Row(dict):
+        __hash__ = object.__hash__
+
+    def one(*args):
+        row = Row(parse(*args))
+        alive.add(row)
+        most[0] = max(most[0], len(alive))
+        return row
+
+    monkeypatch.setattr(evidence, "parse", one)
+    n = 5 * evidence.AT_ONCE + 1
+    got = evidence.parsed(pa.array([f"<title>{k}</title>" for k in range(n - 1)] + [None]), pa.array([None] * n, pa.string()))
+    assert got.field("title").to_pylist() == [*map(str, range(n - 1)), ""] and most[0] <= 2 * evidence.AT_ONCE

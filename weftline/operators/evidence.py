@@ -9,7 +9,7 @@ from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import urljoin, urlparse
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -227,12 +227,27 @@ def parse(html: str | None, url: str | None, blocked: Sequence[str] = (), closed
     }
 
 
+#: Pages that are Python objects at a time: a batch's evidence is kept in Arrow's form, which takes about what its texts take.
+AT_ONCE = 128
+_LINKS = pa.list_(pa.struct([("text", pa.string()), ("href", pa.string())]))
+_KIND = pa.struct([(f.name, _LINKS if f.name == "anchors" else pa.list_(pa.string()) if isinstance(f.dataType, T.ArrayType) else pa.string()) for f in PAGE])
+
+
+def parsed(html: pa.Array, url: pa.Array, blocked: Sequence[str] = (), closed: bool = False) -> pa.Array:
+    """parse() of each page."""
+    parts = [pa.array([], _KIND)]
+    for k in range(0, len(html), AT_ONCE):
+        some = zip(html.slice(k, AT_ONCE).to_pylist(), url.slice(k, AT_ONCE).to_pylist(), strict=True)
+        parts.append(pa.array([parse(h, u, blocked, closed) for h, u in some], _KIND))
+    return pa.concat_arrays(parts)
+
+
 def page_evidence(blocked: Sequence[str] = (), closed: bool = False):
     """The UDF of (html, url) that gives a PAGE."""
 
-    @F.pandas_udf(PAGE)
-    def of(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse(h, u, blocked, closed) for h, u in zip(html, url, strict=True)], columns=PAGE.names)
+    @F.arrow_udf(PAGE)
+    def of(html: pa.Array, url: pa.Array) -> pa.Array:
+        return parsed(html, url, blocked, closed)
 
     return of
 
