@@ -168,7 +168,8 @@ def scanned(docs: DataFrame, sources: dict[str, int], terms: Sequence[Term], gua
 
 def scores(docs: DataFrame, key: str, sources: dict[str, int], terms: Sequence[Term], guardrails: Sequence[Guardrail] = (), cap: int = 10000) -> DataFrame:
     """key, ordinal, broad, sub, score: entries() as rows."""
-    return entries(docs, sources, terms, guardrails, cap, "__e").select(key, F.explode("__e").alias("e")).select(key, "e.*")
+    # of explode() Spark infers a filter on the array, which is put under the projection: all entries would be worked out twice
+    return entries(docs, sources, terms, guardrails, cap, "__e").select(key, F.explode_outer("__e").alias("e")).filter("e is not null").select(key, "e.*")
 
 
 def confidence(top: Column, margin: Column, second: Column, other_broad: Column, fetched: Column, structured: Column, snippet_only: Column) -> Column:
