@@ -38,8 +38,13 @@ def alnum(c: Column) -> Column:
 
 
 def key_squashed(c: Column) -> Column:
-    """Key A: squashed, lower-cased, & spelt out, letters and digits only."""
-    return alnum(F.replace(F.lower(squash(c)), F.lit("&"), F.lit("and")))
+    """Key A: lower-cased, & spelt out, letters and digits only, which leaves no white space either."""
+    return alnum(F.replace(F.lower(F.coalesce(c, F.lit(""))), F.lit("&"), F.lit("and")))
+
+
+def has_key(c: Column) -> Column:
+    """Whether key_squashed() leaves anything of a text; false or null if not."""
+    return F.lower(c).rlike("[a-z0-9&]")
 
 
 def _spelt(c: Column) -> Column:
@@ -151,7 +156,12 @@ def cache_key(key: Column, *rest: Column) -> Column:
 
 def split_items(c: Column) -> Column:
     """The cleaned, non-empty items of a list delimited by ; | or a comma."""
-    return F.filter(F.transform(F.split(clean(c), "[;|,]"), clean), lambda x: x != "")
+    return F.filter(F.transform(F.split(clean(c), "[;|,]"), lambda x: F.trim(x)), lambda x: x != "")  # clean() has left single blanks only
+
+
+def joined_sorted(items: Column, sep: str = "; ") -> Column:
+    """The distinct non-blank items of an array in order, joined."""
+    return F.array_join(F.sort_array(F.array_distinct(F.array_remove(items, ""))), sep)
 
 
 def unique_items(items: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +12,14 @@ from ..functions import text as X
 from . import dedupe
 
 
+def keyed(listings: DataFrame) -> DataFrame:
+    """Listings with squashed names and a key, without blank keys."""
+    return listings.filter(X.has_key(F.col("name"))).withColumns({"name": X.squash(F.col("name")), "entity_key": X.key_squashed(F.col("name"))})
+
+
 def master(listings: DataFrame) -> DataFrame:
     """Listings (ordinal, name, provider, country, broad, sub, url) with a key, without blank keys, first of each (key, provider)."""
-    keyed = listings.withColumn("name", X.squash(F.col("name"))).withColumn("entity_key", X.key_squashed(F.col("name"))).filter(F.length("entity_key") > 0)
-    return dedupe.keep_first(keyed, ["entity_key", "provider"], "ordinal")
+    return dedupe.keep_first(keyed(listings), ["entity_key", "provider"], "ordinal")
 
 
 def with_canonical(long: DataFrame, key: str = "entity_key", name: str = "name") -> DataFrame:
@@ -23,19 +28,30 @@ def with_canonical(long: DataFrame, key: str = "entity_key", name: str = "name")
 
 
 def summary(long: DataFrame, providers: Sequence[str]) -> DataFrame:
-    """One row an entity: canonical name, variants, provider set and count, countries, modal industry, URLs, source files, 0/1 flags."""
-    return long.groupBy("entity_key").agg(
+    """One row an entity: canonical name, variants, provider set and count, countries, modal industry, URLs, source files, 0/1 flags.
+
+    An entity's distinct rows are gathered once for all its sets: in a master() there is one for each provider.
+    """
+    rows = F.collect_set(F.struct("name", "provider", "country", "url", "file"))
+    found = long.groupBy("entity_key").agg(
         dedupe.shortest_name("name").alias("canonical_name"),
-        dedupe.sorted_set(F.col("name"), " | ").alias("name_variants"),
-        dedupe.sorted_set(F.col("provider")).alias("provider_set"),
-        F.count_distinct("provider").alias("provider_count"),
-        dedupe.sorted_set(F.col("country")).alias("country_set"),
+        rows.alias("__rows"),
         dedupe.modal(F.col("broad"), "Other / Unclassified").alias("broad_industry"),
         dedupe.modal(F.col("sub")).alias("sub_industry"),
-        dedupe.sorted_set(F.col("url"), " | ").alias("urls"),
-        dedupe.sorted_set(F.col("file")).alias("files"),
         *[F.max(F.when(F.col("provider") == p, 1).otherwise(0)).alias("has_" + column_name(p)) for p in providers],
     )
+    sorted_set = lambda c, sep="; ": X.joined_sorted(F.col(f"__rows.{c}"), sep)
+    return found.select(
+        "entity_key", "canonical_name",
+        sorted_set("name", " | ").alias("name_variants"),
+        sorted_set("provider").alias("provider_set"),
+        F.size(F.array_compact(F.array_distinct("__rows.provider"))).cast("long").alias("provider_count"),
+        sorted_set("country").alias("country_set"),
+        "broad_industry", "sub_industry",
+        sorted_set("url", " | ").alias("urls"),
+        sorted_set("file").alias("files"),
+        *["has_" + column_name(p) for p in providers],
+    )
 
 
 def in_order(entities: DataFrame) -> DataFrame:
@@ -93,27 +109,58 @@ def has_provider(over: DataFrame, provider: str) -> Column:
 #: Columns whose delimited sets are united, and what they become.
 UNITED = {"name_variants": "name_variants", "country_set": "countries", "urls": "urls", "files": "files"}
 
+#: Keys up to this number are broadcast in a join.
+FEW = 100_000
+
 
 def aggregate_flags(over: DataFrame, providers: Sequence[str], exclusions: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """Alias-merged entities: whether any row has a provider, how many and which, the shortest name, the united sets of the rows (in the
-    order of in_order(); countries in one spelling), and the exclusion whose list of keys has the entity, blank for none."""
-    has = [F.bool_or(has_provider(over, p)).alias("has_" + column_name(p)) for p in providers]
-    out = over.groupBy("entity_key").agg(dedupe.shortest_name("canonical_name").alias("canonical_name"), F.count(F.lit(1)).alias("merged_rows"), *has)
-    own = [F.when(F.col("has_" + column_name(p)), F.lit(p)) for p in providers]
-    out = out.withColumn("providers", F.array_join(F.array_compact(F.array(*own)), "; ")).withColumn("provider_count", F.size(F.array_compact(F.array(*own))).cast("long"))
-    kinds = [F.when(F.col("entity_key").isin(list(keys)), F.lit(kind)) for kind, keys in (exclusions or {}).items()]
-    out = out.withColumn("exclusion", F.coalesce(*kinds, F.lit("")))
+    order of in_order(); countries in one spelling), and the exclusion whose list of keys has the entity, blank for none.
+
+    over is worked out once, at the call, and kept on the executors' disks as long as the result is in use. An entity of one row whose
+    sets repeat no item is that row; only the others are taken apart and united.
+    """
     found = {c: name for c, name in UNITED.items() if c in over.columns}
-    if not found:
-        return out
-    items = lambda c: X.country_items(F.col(c)) if c == "country_set" else X.split_items(F.col(c))
-    sets = F.array(*[F.struct(F.lit(k).alias("set"), items(c).alias("items")) for k, c in enumerate(found)])
-    rows = over.select("entity_key", F.struct(-F.col("provider_count"), F.col("canonical_name"), F.col("name_variants")).alias("row"), F.explode(sets).alias("s"))
-    each = rows.select("entity_key", "row", "s.set", F.posexplode("s.items").alias("place", "item"))
+    has = {"has_" + column_name(p): has_provider(over, p) for p in providers}
+    if found:
+        out = _united(over, has, found)
+    else:
+        out = _merged(over.select("entity_key", "canonical_name", *[c.alias(n) for n, c in has.items()]), list(has))
+    own = F.array_compact(F.array(*[F.when(F.col("has_" + column_name(p)), F.lit(p)) for p in providers]))
+    kinds = [F.when(F.col("entity_key").isin(list(keys)), F.lit(kind)) for kind, keys in (exclusions or {}).items()]
+    sums = [F.array_join(own, "; ").alias("providers"), F.size(own).cast("long").alias("provider_count"), F.coalesce(*kinds, F.lit("")).alias("exclusion")]
+    return out.select("entity_key", "canonical_name", "merged_rows", *has, *sums, *found.values())
+
+
+def _merged(rows: DataFrame, has: Sequence[str]) -> DataFrame:
+    """Shortest name, number of rows and any row's flags for each key."""
+    flags = [F.bool_or(c).alias(c) for c in has]
+    return rows.groupBy("entity_key").agg(dedupe.shortest_name("canonical_name").alias("canonical_name"), F.count(F.lit(1)).alias("merged_rows"), *flags)
+
+
+def _united(over: DataFrame, has: dict[str, Column], found: dict[str, str]) -> DataFrame:
+    """_merged() of over with the united sets of found's columns."""
+    items = {name: X.country_items(F.col(c)) if c == "country_set" else X.split_items(F.col(c)) for c, name in found.items()}
+    place = F.struct(-F.col("provider_count"), F.col("canonical_name"), F.col("name_variants"))
+    rows = over.select("entity_key", "canonical_name", place.alias("row"), *[c.alias(n) for n, c in has.items()], *[c.alias(n) for n, c in items.items()])
+    rows = rows.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+    repeats = F.exists(F.array(*[F.size(n) > F.size(F.array_distinct(F.transform(n, F.lower))) for n in items]), lambda x: x)
+    apart = rows.groupBy(F.col("entity_key").alias("__key")).agg(F.count(F.lit(1)).alias("n"), F.bool_or(repeats).alias("r")).filter("n > 1 OR r").select("__key")
+    apart = apart.localCheckpoint(storageLevel=StorageLevel.DISK_ONLY)
+    if apart.count() <= FEW:
+        apart = F.broadcast(apart)
+    on = F.col("entity_key").eqNullSafe(F.col("__key"))
+    name = F.when(F.col("canonical_name") != "", F.col("canonical_name")).alias("canonical_name")
+    alone = rows.join(apart, on, "left_anti").select("entity_key", name, F.lit(1).cast("long").alias("merged_rows"), *has, *[F.coalesce(F.array_join(n, "; "), F.lit("")).alias(n) for n in items])
+    rows = rows.join(apart, on, "left_semi")
+    sets = F.array(*[F.struct(F.lit(k).alias("set"), F.col(n).alias("items")) for k, n in enumerate(items)])
+    each = rows.select("entity_key", "row", F.explode(sets).alias("s")).select("entity_key", "row", "s.set", F.posexplode("s.items").alias("place", "item"))
     at = F.struct("row", "place")
     once = each.groupBy("entity_key", "set", F.lower("item")).agg(F.min_by("item", at).alias("item"), F.min(at).alias("at"))
-    joined = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("set") == k, F.struct("at", "item")))), lambda x: x["item"]), "; ").alias(name) for k, name in enumerate(found.values())]
-    return out.join(once.groupBy("entity_key").agg(*joined), "entity_key", "left").na.fill("", list(found.values()))
+    joined = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("set") == k, F.struct("at", "item")))), lambda x: x["item"]), "; ").alias(n) for k, n in enumerate(items)]
+    united = once.groupBy(F.col("entity_key").alias("__key")).agg(*joined)
+    some = _merged(rows, list(has)).join(united, on, "left").drop("__key").na.fill("", list(items))
+    return alone.unionByName(some)
 
 
 #: How much a confidence and a status count when classifications of one key are compared; others count 0.

@@ -33,7 +33,7 @@ SUMMARY = MASTER + f""", summary AS (
 
 
 def _alias(spark, sf):
-    keys = _master(spark, sf).filter(F.col("entity_key").endswith("0")).select("entity_key").distinct()
+    keys = overlap.keyed(tables.listings(spark, sf)).filter(F.col("entity_key").endswith("0")).select("entity_key").distinct()
     return keys.select(F.col("entity_key").alias("alias_key"), F.concat(F.lit("Group & "), F.substring("entity_key", -2, 1)).alias("canonical"))
 
 
