@@ -22,3 +22,10 @@ def test_ticker_pairs_are_dealt_before_they_are_made(spark):
     assert sum(sizes) == 80_000 and max(sizes) < 40_000
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert "Aggregate" not in plan and "Broadcast" not in plan
+
+
+def test_taxonomy_scores_see_the_ends_of_texts(spark, tmp_path):
+    long = "a word " * 3000
+    rows = [(1, long + "copyright", "s"), (2, "copyright " + long, "s"), (3, long + "the x und y", "s"), (4, long, "s"), (5, long + "idiot", "s"), (6, None, "licensed under")]
+    got, want = against_sql(spark, "taxonomy_scores", tmp_path, documents=(rows, "doc_id long, text string, source string"))
+    assert got == want and {(1, 5, "Home", "Legal", 12), (3, 6, "Trade", "Mixed", 4), (5, 0, "Home", "General", -9)} <= set(got)

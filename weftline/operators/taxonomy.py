@@ -47,17 +47,24 @@ def _times(words: str, word: str) -> Column:
     return F.size(F.filter(words, lambda x: x == word)).cast("long")
 
 
-def entries(docs: DataFrame, sources: dict[str, int], terms: Sequence[Term], guardrails: Sequence[Guardrail] = (), cap: int = 10000, out: str = "entries") -> DataFrame:
+def _every(sources: dict[str, int], cap: int | None) -> Column:
+    """The text that guardrails look at: all sources in a row, of which the first cap characters, or all if cap is None."""
+    c = X.clean(F.concat_ws(" ", *[F.col(s) for s in sources]))
+    return F.lower(c if cap is None else F.left(c, F.lit(cap)))
+
+
+def entries(docs: DataFrame, sources: dict[str, int], terms: Sequence[Term], guardrails: Sequence[Guardrail] = (), cap: int | None = 10000, out: str = "entries") -> DataFrame:
     """docs with an array of (ordinal, broad, sub, score) for the entries that a term or a guardrail touches.
 
     sources gives each text column's weight. The rules are a short list, made into one expression, so a document is scored
     in its own row: no documents-by-terms join and no shuffle. Terms of letters and digits are counted among the text's words, of
-    which only those that are terms are looked at again; other terms are searched for in the text.
+    which only those that are terms are looked at again; other terms are searched for in the text. Terms count in whole texts,
+    guardrails in the first cap characters of all sources (as the reference has it) or, with None, in whole ones too.
     """
     places = list(dict.fromkeys([(t.broad, t.sub) for t in terms] + [(g.broad, g.sub) for g in guardrails]))
     words = sorted({w for t in terms if (w := t.term.lower().strip()).isascii() and w.isalnum()})
     low = {f"__t{i}": F.lower(X.clean(F.col(c))) for i, c in enumerate(sources)}
-    every = F.lower(F.left(X.clean(F.concat_ws(" ", *[F.col(c) for c in sources])), F.lit(cap)))
+    every = _every(sources, cap)
     base = docs.withColumns(low | {"__all": every})
     if words:
         base = base.withColumns({f"__w{i}": F.filter(F.split(F.col(f"__t{i}"), "[^a-z0-9]+"), lambda w: w.isin(words)) for i in range(len(sources))})
@@ -102,7 +109,7 @@ def read_rules(table: DataFrame) -> list[Guardrail]:
     return [Guardrail(tuple(r["phrases"]), r["broad"], r["sub"], r["delta"], r["min_hits"]) for r in _bounded(table, "ordinal")]
 
 
-def scanned(docs: DataFrame, sources: dict[str, int], terms: Sequence[Term], guardrails: Sequence[Guardrail] = (), cap: int = 10000, out: str = "entries") -> DataFrame:
+def scanned(docs: DataFrame, sources: dict[str, int], terms: Sequence[Term], guardrails: Sequence[Guardrail] = (), cap: int | None = 10000, out: str = "entries") -> DataFrame:
     """entries() for any number of terms: each text is read once, by an automaton of all phrases, and the time doesn't grow with them.
 
     The same entries in the same order. The automata are broadcast; their size is bounded. Texts go to Python in Arrow batches.
@@ -121,7 +128,7 @@ def scanned(docs: DataFrame, sources: dict[str, int], terms: Sequence[Term], gua
     rules = [(at[g.broad, g.sub], g.delta, g.min_hits - sum(not p for p in g.phrases), [signs.index(p) for p in g.phrases if p]) for g in guardrails]
     held = docs.sparkSession.sparkContext.broadcast((Automaton(list(points)), Automaton(signs, words=False), list(points.values()), rules, places))
     low = {f"__t{i}": F.lower(X.clean(F.col(c))) for i, c in enumerate(sources)}
-    every = F.lower(F.left(X.clean(F.concat_ws(" ", *[F.col(c) for c in sources])), F.lit(cap)))
+    every = _every(sources, cap)
     weights, kept = list(sources.values()), docs.columns
     entry = "array<struct<ordinal:int,broad:string,sub:string,score:long>>"
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T._parse_datatype_string(entry))])
@@ -166,7 +173,7 @@ def scanned(docs: DataFrame, sources: dict[str, int], terms: Sequence[Term], gua
     return docs.withColumns(low | {"__every": every}).mapInArrow(run, schema)
 
 
-def scores(docs: DataFrame, key: str, sources: dict[str, int], terms: Sequence[Term], guardrails: Sequence[Guardrail] = (), cap: int = 10000) -> DataFrame:
+def scores(docs: DataFrame, key: str, sources: dict[str, int], terms: Sequence[Term], guardrails: Sequence[Guardrail] = (), cap: int | None = 10000) -> DataFrame:
     """key, ordinal, broad, sub, score: entries() as rows."""
     # of explode() Spark infers a filter on the array, which is put under the projection: all entries would be worked out twice
     return entries(docs, sources, terms, guardrails, cap, "__e").select(key, F.explode_outer("__e").alias("e")).filter("e is not null").select(key, "e.*")
